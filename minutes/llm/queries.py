@@ -7,9 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lm, tokens
+from . import decontam, hosts, lm, mixing, pii, quality, simhash, tokens, warc
 from .common import crc_bucket, table
 
+#: Verdict, and host and path, of the URL rules.
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+#: The key of the pseudonyms; a deployment passes its own secret to the operator.
+PII_KEY = "minutes"
+
 
 def tokenizer_file(name: str) -> str:
     import public_tokenizers
@@ -17,18 +22,54 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.round_trip(table(spark, sf_dir, "pages"), least=0)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), limit=4096)
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+    return found.select("doc_id", "text", "n_replaced", *(f"n_{k}" for k in pii.KINDS))
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.groups(table(spark, sf_dir, "documents"), shingle=3, bits=64, radius=2)
+    return found.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), budget_share=1.0, entropy_gain=0.5, max_repeat=4.0)
+    return found.select("doc_id", "source", F.round("mix_weight", 6).alias("mix_weight"), "mix_epoch", "mix_block", "mix_slot")
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10, span=20)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "n_near_items")
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hosts.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"), URL_RULES)
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = crc_bucket(F.col("doc_id"), 5) == 0
+    found = quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held_out, cut=0.3)
+    return found.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", (crc_bucket(F.col("doc_id"), 7) == 2).alias("held_out"))
     return lm.score(docs, docs.where(~F.col("held_out")), order=4, keep=("doc_id", "held_out"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_token_counts, op10_lm_scores)}
+    own = (op1_warc, op3_token_counts, op4_pii, op5_simhash, op6_mixing, op7_decontamination, op8_url_filter, op9_quality, op10_lm_scores)
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_url_filter": hosts.sql("pages", "labels", URL_RULES)}
