@@ -157,16 +157,21 @@ def fit(rows: DataFrame) -> Model:
     return model
 
 
-def score(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", cut: float = 0.3, max_rows: int = MAX_ROWS) -> DataFrame:
-    """(id, score, predicted) for every row; labels are learned where ``train``, an expression of ``doc_id``, holds."""
-    own = stored(features(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text"), "statistics")
+def learn(own: DataFrame, labels: DataFrame, train: Column, id_col: str, label_col: str, max_rows: int) -> Model:
+    """A model from the statistics ``own`` (doc_id, x) of the documents with a label."""
     labelled = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).where(train).dropna()
     labelled = labelled.groupBy("doc_id").agg(F.min("label").alias("label"))
     share = min(1.0, max_rows / max(1, labelled.count()))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     chosen = labelled.where(place < int(share * (1 << 30))) if share < 1 else labelled
-    rows = own.join(chosen, "doc_id").select("x", "label", (F.pmod(F.crc32(F.concat(F.lit("calibrate"), F.col("doc_id").cast("string")).cast("binary")), F.lit(5)) == 0).alias("calibrate"))
-    model = docs.sparkSession.sparkContext.broadcast(fit(stored(rows, "training")))
+    calibrate = F.pmod(F.crc32(F.concat(F.lit("calibrate"), F.col("doc_id").cast("string")).cast("binary")), F.lit(5)) == 0
+    return fit(stored(own.join(chosen, "doc_id").select("x", "label", calibrate.alias("calibrate")), "training"))
+
+
+def score(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", cut: float = 0.3, max_rows: int = MAX_ROWS) -> DataFrame:
+    """(id, score, predicted) for every row; labels are learned where ``train``, an expression of ``doc_id``, holds."""
+    own = stored(features(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text"), "statistics")
+    model = docs.sparkSession.sparkContext.broadcast(learn(own, labels, train, id_col, label_col, max_rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,3 +180,16 @@ def score(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_
 
     found = own.mapInArrow(run, f"doc_id {dict(own.dtypes)['doc_id']}, score double")
     return found.select(F.col("doc_id").alias(id_col), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", cut: float = 0.3, max_rows: int = MAX_ROWS) -> DataFrame:
+    """The rows of ``docs`` that the classifier accepts. Each is judged where it is read, so no text is shuffled."""
+    own = stored(features(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text"), "statistics")
+    model = docs.sparkSession.sparkContext.broadcast(learn(own, labels, train, id_col, label_col, max_rows))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text_col, 4 << 20):
+            x = np.array([statistics(t) for t in utf8(batch.column(text_col))])
+            yield batch.filter(pa.array(model.value.score(x) >= cut))
+
+    return docs.mapInArrow(run, docs.schema)

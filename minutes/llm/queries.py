@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, hosts, lm, mixing, pii, quality, simhash, tokens, warc
+from . import decontam, hosts, lm, mixing, pii, quality, simhash, tokens, topk, warc
 from .common import crc_bucket, table
 
 #: Verdict, and host and path, of the URL rules.
@@ -27,6 +27,11 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whole = topk.vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding").withColumn("v", F.transform("v", lambda x: F.floor(x * 256).cast("double")))
+    return topk.search(whole, F.col("vec_id") % 50 == 0, k=5)
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), limit=4096)
 
@@ -67,7 +72,7 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_warc, op3_token_counts, op4_pii, op5_simhash, op6_mixing, op7_decontamination, op8_url_filter, op9_quality, op10_lm_scores)
+    own = (op1_warc, op2_topk, op3_token_counts, op4_pii, op5_simhash, op6_mixing, op7_decontamination, op8_url_filter, op9_quality, op10_lm_scores)
     return {f.__name__: f for f in own}
 
 

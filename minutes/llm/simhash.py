@@ -230,20 +230,21 @@ def keep_one(docs: DataFrame, shingle: int = 5, bits: int = 256, similarity: flo
     """The rows of ``docs`` that stay: of every group of near copies the one with the least id.
 
     Similar are documents whose fingerprints agree in the share ``similarity`` of their bits and whose numbers of
-    shingles are in that ratio at least. Rows that repeat an id count as one document, of which one row stays; rows
-    with a null id stay if their whole group has none.
+    shingles are in that ratio at least. Rows that repeat an id count as one document, of which one row stays. Rows
+    with a null id cannot be told apart: they go if every one of them is a copy of a row with an id, else all stay.
     """
     radius = int((1 - similarity) * bits)
     found = groups(docs, shingle, bits, radius, lsh(width, bits), similarity, id_col, text_col)
     same = F.col(id_col).eqNullSafe(F.col("component_id"))
-    kept = found.where(same).groupBy(id_col).agg(F.count("*").alias("__n"))
-    kept = stored(kept.withColumnRenamed(id_col, "__id"), "kept")
-    stay = docs.join(kept, F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
-    if kept.where("__n > 1 and __id is not null").isEmpty():
-        return stay
-    again = kept.where("__n > 1 and __id is not null")
-    alone = stay.join(again, F.col(id_col).eqNullSafe(F.col("__id")), "left_anti")
-    return alone.unionByName(stay.join(again, F.col(id_col).eqNullSafe(F.col("__id")), "left_semi").dropDuplicates([id_col]))
+    by_id = stored(found.groupBy(F.col(id_col).alias("__id")).agg(F.max(same).alias("stays"), F.count("*").alias("n")), "copies")
+    # what goes is written by itself, so that Spark can see its size and broadcast it where it is small
+    gone = stored(by_id.where("not stays").select("__id"), "gone")
+    kept = docs.join(gone, F.col(id_col).eqNullSafe(F.col("__id")), "left_anti")
+    again = stored(by_id.where("stays and n > 1 and __id is not null").select("__id"), "repeated")
+    if again.isEmpty():
+        return kept
+    alone = kept.join(again, F.col(id_col).eqNullSafe(F.col("__id")), "left_anti")
+    return alone.unionByName(kept.join(again, F.col(id_col) == F.col("__id"), "left_semi").dropDuplicates([id_col]))
 
 
 def hex_fingerprint(fp: Column) -> Column:
