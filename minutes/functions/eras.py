@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import to_half_digits, trim_ws
+from .text import let, to_half_digits, trim_ws
 
 # Name, letter and the year before the first, newest first.
 ERAS = [("令和", "R", 2018), ("平成", "H", 1988), ("昭和", "S", 1925)]
@@ -60,12 +60,16 @@ def year_variants(year: Column) -> Column:
 
 def expand_year(token: Column) -> Column:
     """struct(year, era, terms) of a year as written in a query, else null."""
-    t = to_half_digits(trim_ws(token))
-    plain = F.regexp_extract(t, "^([0-9]{4})年?\\z", 1)
     pattern = f"^{ERA_YEAR}{_WS}*([0-9一二三四五六七八九十〇元]+){_WS}*年?\\z"
-    era, number = F.regexp_extract(t, pattern, 1), F.regexp_extract(t, pattern, 2)
-    year = F.coalesce(plain.try_cast("int"), era_to_year(era, kanji_number(number)))
-    return F.when(year.isNotNull(), F.struct(year.alias("year"), year_to_era(year).alias("era"), year_variants(year).alias("terms")))
+
+    def year_of(t: Column) -> Column:
+        number = let(F.regexp_extract(t, pattern, 2), kanji_number)
+        return F.coalesce(F.regexp_extract(t, "^([0-9]{4})年?\\z", 1).try_cast("int"), let(number, lambda n: era_to_year(F.regexp_extract(t, pattern, 1), n)))
+
+    def described(y: Column) -> Column:
+        return F.when(y.isNotNull(), F.struct(y.alias("year"), year_to_era(y).alias("era"), year_variants(y).alias("terms")))
+
+    return let(let(to_half_digits(trim_ws(token)), year_of), described)
 
 
 def year_terms(token: str) -> list[str]:

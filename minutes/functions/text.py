@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,3 +41,8 @@ def find_all(col: Column, pattern: str, groups: int) -> Column:
     """All matches as an array of structs g1, g2, ... (the groups of the pattern), in order."""
     parts = [F.regexp_extract_all(col, F.lit(pattern), F.lit(g)).alias(f"g{g}") for g in range(1, groups + 1)]
     return F.arrays_zip(*parts)
+
+
+def let(col: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a column that is worked out once, however often ``use`` names it."""
+    return F.transform(F.array(col), use)[0]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions.eras import era_to_year, kanji_number
-from ..functions.text import DIGITS, WS, squeeze_ws, to_half_digits, trim_ws
+from ..functions.text import DIGITS, WS, let, squeeze_ws, to_half_digits, trim_ws
 
 # Ids of meetings in addresses, pages that only look like meetings, and categories.
 MEETING_ID = "0000[0-9]{5,6}"
@@ -96,10 +96,10 @@ def meeting_id_of(url: Column) -> Column:
 def parse_era_year(name: Column) -> tuple[Column, Column]:
     """(era, year) of a name like 令和7年…; nulls if there is none or its number cannot be read."""
     pattern = f"(令和|平成|昭和){WS}*([0-9０-９一二三四五六七八九十元]+){WS}*年"
-    n = kanji_number(to_half_digits(F.regexp_extract(name, pattern, 2)))
+    number = let(to_half_digits(F.regexp_extract(name, pattern, 2)), kanji_number)
     era = F.regexp_extract(name, pattern, 1)
-    shown = F.concat(era, F.when(n == 1, "元").otherwise(n.cast("string")), F.lit("年"))
-    return shown, era_to_year(era, n)
+    shown = let(number, lambda n: F.concat(era, F.when(n == 1, "元").otherwise(n.cast("string")), F.lit("年")))
+    return shown, let(number, lambda n: era_to_year(era, n))
 
 
 def meeting_type(name: Column) -> Column:
