@@ -7,7 +7,7 @@ occur in a test item are stored, as no other list can be asked for.
 
 A search intersects, for every window of consecutive item words, the lists of its terms shifted by their offsets,
 beginning with the rarest term of the segment; what is left are exact phrase matches. With ``span`` it also looks for
-near matches: places of the rarest term with every other term of the window within ``span`` words.
+near matches: places of the window's first term with every other term of it within ``span`` words.
 
 Test items are sent to the tasks in blocks of at most ITEM_BYTES, one pass over the index per block.
 
@@ -128,8 +128,8 @@ def find(postings: list[np.ndarray], items: Items, span: int | None) -> tuple[li
                 left = left[among(left + o, postings[ids[o]])]
             exact.extend((int(s), len(ids), owners[w]) for s in left)
             if span is not None:
-                close = base
-                for t in dict.fromkeys(ids[order[1:]]):
+                close = postings[ids[0]]
+                for t in dict.fromkeys(ids[order]):
                     if not len(close):
                         break
                     close = close[within(close, postings[t], span)]
@@ -219,3 +219,25 @@ def judge(docs: DataFrame, items: DataFrame, window: int = 10, span: int | None
         F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
         F.size(F.array_distinct("near")).cast("long").alias("n_near_items"), ids.alias("items"), "spans",
     )
+
+
+def sql(docs: str, items: str, window: int, span: int) -> str:
+    """The same in SQL, for tables with the default column names."""
+    words = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    return f"""
+    WITH docs AS (SELECT row_number() OVER () AS uid, doc_id, {words} AS w FROM {docs}),
+    terms AS (SELECT uid, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM docs),
+    asked AS (SELECT DISTINCT item_id::VARCHAR AS item, {words} AS w FROM {items} WHERE item_id IS NOT NULL),
+    cut AS (SELECT item, unnest(generate_series(1, greatest(1, len(w) - {window - 1}))) AS s, w FROM asked WHERE len(w) > 0),
+    windows AS (SELECT item, list_slice(w, s, s + {window - 1}) AS p FROM cut),
+    distinct_windows AS (SELECT p, list(DISTINCT item) AS items, row_number() OVER () AS wid FROM windows GROUP BY p),
+    starts AS (SELECT t.uid, t.pos, d.p, d.items FROM distinct_windows d JOIN terms t ON t.word = d.p[1]),
+    exact AS (SELECT s.uid, s.pos, len(s.p) AS n, s.items FROM starts s JOIN docs USING (uid) WHERE list_slice(docs.w, s.pos, s.pos + len(s.p) - 1) = s.p),
+    hit AS (SELECT uid, count(DISTINCT place) AS n_hit FROM (SELECT uid, unnest(generate_series(pos, pos + n - 1)) AS place FROM exact) GROUP BY 1),
+    found AS (SELECT uid, list_sort(list(DISTINCT item)) AS ids FROM (SELECT uid, unnest(items) AS item FROM exact) GROUP BY 1),
+    near AS (SELECT uid, count(DISTINCT item) AS n_near FROM (
+      SELECT s.uid, unnest(s.items) AS item FROM starts s JOIN docs USING (uid) WHERE list_has_all(list_slice(docs.w, greatest(1, s.pos - {span}), s.pos + {span}), s.p)) GROUP BY 1)
+    SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, len(coalesce(ids, []))::BIGINT AS n_items, sha256(array_to_string(coalesce(ids, []), ',')) AS items_sha256,
+      coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0)::BIGINT AS n_near_items
+    FROM docs LEFT JOIN hit USING (uid) LEFT JOIN found USING (uid) LEFT JOIN near USING (uid)
+    """

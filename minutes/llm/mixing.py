@@ -74,7 +74,7 @@ def exponent(sources: DataFrame, budget: float, entropy_gain: float, max_repeat:
 
 def hashed(key: str, epoch: Column, name: Column) -> Column:
     """A place in [0, 2^40) for a document in one reading."""
-    return F.pmod(F.xxhash64(F.lit(key), epoch.cast("long"), name), F.lit(_UNITS))
+    return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(key), epoch.cast("string"), name)), 1, 10), 16, 10).cast("long")
 
 
 def block_of(place: Column, blocks: Column) -> Column:
@@ -127,3 +127,41 @@ def mix(docs: DataFrame, key: str = "mix", source_col: str = "source", id_col: s
     out = joined.withColumn("__n", copies).where("__n > 0").withColumn("mix_epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1)))
     out = out.withColumn("mix_slot", hashed(key, F.col("mix_epoch"), name)).withColumn("mix_block", block_of(F.col("mix_slot"), F.col("__blocks")))
     return out.withColumn("mix_weight", F.col("__weight")).select(*docs.columns, "mix_weight", "mix_epoch", "mix_block", "mix_slot")
+
+
+def sql(docs: str, budget_share: float, entropy_gain: float, max_repeat: float, key: str = "mix", block_tokens: int = BLOCK_TOKENS) -> str:
+    """The same sample in SQL, for a table with the default column names."""
+
+    def edge(name: str, keeps: str, below: bool) -> str:
+        """The same bisection: a recursive table of (pass, low, high), each pass measuring a grid of exponents."""
+        pick = "max" if below else "min"
+        low, high = ("edge", "least(edge + 1, 32)") if below else ("greatest(edge - 1, 0)", "edge")
+        return f"""{name} AS (SELECT 0 AS pass, 0.0::DOUBLE AS low, 1.0::DOUBLE AS high UNION ALL
+      SELECT pass + 1, low + (high - low) * ({low}) / 32.0, low + (high - low) * ({high}) / 32.0 FROM (
+        SELECT pass, low, high, coalesce({pick}(i) FILTER (WHERE {keeps}), {0 if below else 32}) AS edge FROM (
+          SELECT pass, low, high, i, ln(z) - a * s / z AS h, pow(least_tokens / total, a - 1) / z * {budget_share}::DOUBLE AS r FROM (
+            SELECT pass, low, high, i, low + (high - low) * i / 32.0 AS a, any_value(total) AS total, any_value(least_tokens) AS least_tokens,
+              sum(pow(tokens / total, low + (high - low) * i / 32.0)) AS z, sum(pow(tokens / total, low + (high - low) * i / 32.0) * ln(tokens / total)) AS s
+            FROM {name}, generate_series(0, 32) AS g(i), shares GROUP BY ALL))
+        GROUP BY ALL) WHERE pass < {PASSES})"""
+
+    place = lambda epoch: f"('0x' || substr(md5(concat_ws('|', '{key}', {epoch}::VARCHAR, doc_id::VARCHAR)), 1, 10))::BIGINT"
+    return rf"""
+    WITH RECURSIVE own AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+')) AS n FROM {docs}),
+    sources AS (SELECT source, sum(n)::DOUBLE AS tokens FROM own GROUP BY 1 HAVING sum(n) > 0),
+    shares AS (SELECT tokens, (SELECT sum(tokens) FROM sources) AS total, (SELECT min(tokens) FROM sources) AS least_tokens FROM sources),
+    goal AS (SELECT own_h + {entropy_gain} * (ln(kinds) - own_h) AS wanted FROM (SELECT -sum(tokens / total * ln(tokens / total)) AS own_h, count(*) AS kinds FROM shares)),
+    {edge("by_entropy", "h >= (SELECT wanted FROM goal)", True)},
+    {edge("by_repeat", f"r <= {max_repeat}", False)},
+    chosen AS (SELECT greatest((SELECT low FROM by_entropy WHERE pass = {PASSES}), (SELECT high FROM by_repeat WHERE pass = {PASSES})) AS a),
+    weights AS (SELECT source, tokens, pow(tokens / total, a) / sum(pow(tokens / total, a)) OVER () AS weight, total FROM sources, (SELECT any_value(total) AS total FROM shares), chosen),
+    quotas AS (SELECT *, floor(weight * total * {budget_share} / tokens + 1e-9)::BIGINT AS times, ceil(tokens / {block_tokens}) AS blocks FROM weights),
+    rests AS (SELECT *, greatest(0, weight * total * {budget_share} - times * tokens) AS rest FROM quotas),
+    placed AS (SELECT own.*, weight, times, blocks, rest, {place("times")} AS place FROM own JOIN rests ON own.source IS NOT DISTINCT FROM rests.source),
+    blocked AS (SELECT *, floor(place::DOUBLE / {_UNITS} * blocks)::BIGINT AS block FROM placed),
+    running AS (SELECT *, sum(n) OVER (PARTITION BY source ORDER BY block, place RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM (SELECT source, block, place, sum(n) AS n, any_value(rest) AS rest FROM blocked GROUP BY 1, 2, 3)),
+    last AS (SELECT source, min((block, place)) AS stop FROM running WHERE upto > rest GROUP BY 1),
+    copies AS (SELECT b.*, times + CASE WHEN (block, place) < stop THEN 1 ELSE 0 END AS copies FROM blocked b LEFT JOIN last l ON b.source IS NOT DISTINCT FROM l.source),
+    epochs AS (SELECT *, unnest(generate_series(0, copies - 1)) AS mix_epoch FROM copies WHERE copies > 0)
+    SELECT doc_id, source, round(weight, 6) AS mix_weight, mix_epoch, floor({place("mix_epoch")}::DOUBLE / {_UNITS} * blocks)::BIGINT AS mix_block, {place("mix_epoch")} AS mix_slot FROM epochs
+    """

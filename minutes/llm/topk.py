@@ -126,3 +126,14 @@ def search(all_vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     best = run(every).withColumn("rank", rank).where(F.col("rank") <= k)
     return best.select("query_id", "rank", "vec_id", F.col("score").cast("long").alias("score"))
+
+
+def sql(vectors_of: str, every: int, k: int) -> str:
+    """The same for floor(256 x) of a table with columns vec_id and embedding, every ``every``-th id asking."""
+    return f"""
+    WITH own AS (SELECT DISTINCT ON (vec_id) vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)) AS v FROM {vectors_of}
+      WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 ORDER BY vec_id, embedding),
+    scored AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score FROM own q, own c WHERE q.vec_id % {every} = 0 AND q.vec_id <> c.vec_id),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM scored)
+    SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= {k}
+    """

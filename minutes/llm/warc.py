@@ -179,3 +179,16 @@ def round_trip(pages: DataFrame, least: int = 0, id_col: str = "page_id", url_co
     path = scratch(spark, "warc")
     write(pages, path, least, id_col, url_col, payload_col)
     return read(spark, path, dict(pages.dtypes)[id_col])
+
+
+def sql(pages: str) -> str:
+    """The rows of ``round_trip`` with ``least`` 0 in SQL, for a table with the default column names and ids."""
+    bits = "(('0x' || substr(sum, (i // 4) * 5 + 1, 5))::INT >> (15 - 5 * (i % 4))) & 31"
+    return f"""
+    WITH own AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS sum FROM {pages}),
+    best AS (SELECT *, max(page_id) OVER (PARTITION BY sum) AS original FROM own),
+    said AS (SELECT *, original IS NOT NULL AND page_id IS DISTINCT FROM original AS again FROM best)
+    SELECT page_id, strlen(payload)::BIGINT AS payload_bytes,
+      array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ({bits}) + 1, 1) FOR i IN range(32)], '') AS payload_digest,
+      CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN original END AS refers_to FROM said
+    """
