@@ -12,41 +12,55 @@ import heapq
 
 import numpy as np
 
-LEAF, FANOUT = 64, 24
+LEAF, FANOUT = 256, 16
 #: Share of a distance allowed for rounding before an entry is passed over.
 SLACK = 1e-9
 
 
-def distances(x: np.ndarray, to: np.ndarray) -> np.ndarray:
-    d = x - to
-    return np.sqrt(np.einsum("ij,ij->i", d, d))
+class Points:
+    """Vectors with their squared norms (``square`` if all have that one); distances to a query by one product."""
+
+    def __init__(self, x: np.ndarray, square: float | None = None) -> None:
+        self.x, self.squares = x, np.einsum("ij,ij->i", x, x) if square is None else np.full(len(x), square)
+
+    def distances(self, to: np.ndarray, square: float, keep: slice | np.ndarray = slice(None)) -> np.ndarray:
+        return np.sqrt(np.maximum(0, self.squares[keep] + square - 2 * (self.x[keep] @ to)))
 
 
 class Tree:
-    """Vectors (rows of x) with ids; pages[i] = (routing vectors, radii, distances to parent, child pages) for inner
-    pages, (None, None, distances to parent, rows) for leaves; page 0 is the root and ``pivot`` its routing vector."""
+    """Vectors (rows of x) with ids. pages[i] is (routing vectors, radii, distances to parent, child pages) for an inner
+    page and (None, None, distances to parent, first row) for a leaf, whose rows are next to one another; page 0 is the
+    root and ``pivot`` its routing vector. With ``square``, the squared norm of all, equal products are equal distances."""
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray, pivot: np.ndarray) -> None:
-        order = np.argsort(ids, kind="stable")
-        self.ids, self.x, self.pivot = ids[order], x[order], pivot
-        self.pages: list[tuple] = []
-        self.radius = self._load(np.arange(len(ids)), pivot)
+    def __init__(self, ids: np.ndarray, x: np.ndarray, pivot: np.ndarray, square: float | None = None) -> None:
+        self.pivot, self.pages = pivot, []
+        self._order: list[np.ndarray] = []
+        self._placed = 0
+        own = Points(x)
+        self.radius = self._load(own, np.arange(len(ids)), pivot)
+        order = np.concatenate(self._order)
+        del self._order
+        self.ids, self.points = ids[order], Points(x[order], square)
 
-    def _load(self, rows: np.ndarray, pivot: np.ndarray) -> float:
+    def _load(self, own: Points, rows: np.ndarray, pivot: np.ndarray) -> float:
         """Build the page for ``rows`` around ``pivot``; the radius it covers."""
         at = len(self.pages)
         self.pages.append(())
-        own = distances(self.x[rows], pivot)
+        part = Points(own.x[rows])
+        to = lambda v: part.distances(v, float(v @ v))
+        parent = to(pivot)
         if len(rows) <= LEAF:
-            self.pages[at] = (None, None, own, rows)
-            return float(own.max(initial=0.0))
+            self.pages[at] = (None, None, parent, self._placed)
+            self._placed += len(rows)
+            self._order.append(rows)
+            return float(parent.max(initial=0.0))
         k = min(FANOUT, -(-len(rows) // LEAF))
         # routing vectors far from one another: each next one is the row farthest from those taken
-        taken, near = [int(np.argmax(own))], distances(self.x[rows], self.x[rows[np.argmax(own)]])
-        side = np.zeros(len(rows), np.int64)
-        while len(taken) < k and near.max() > 0:
+        taken = [int(np.argmax(parent))]
+        near, side = to(part.x[taken[0]]), np.zeros(len(rows), np.int64)
+        while len(taken) < k and near.max() > 1e-6 * (1 + parent.max()):
             taken.append(int(np.argmax(near)))
-            d = distances(self.x[rows], self.x[rows[taken[-1]]])
+            d = to(part.x[taken[-1]])
             side[d < near] = len(taken) - 1
             near = np.minimum(near, d)
         if len(taken) == 1:  # all rows are equal: cut by number
@@ -56,41 +70,48 @@ class Tree:
         for i, t in enumerate(taken):
             below = rows[side == i]
             if len(below):
-                routes.append(self.x[rows[t]])
+                routes.append(part.x[t])
                 children.append(len(self.pages))
-                radii.append(self._load(below, self.x[rows[t]]))
-        routes = np.array(routes)
-        self.pages[at] = (routes, np.array(radii), distances(routes, pivot), np.array(children))
-        return float(own.max())
+                radii.append(self._load(own, below, part.x[t]))
+        routes = Points(np.array(routes))
+        self.pages[at] = (routes, np.array(radii), routes.distances(pivot, float(pivot @ pivot)), np.array(children))
+        return float(parent.max())
 
     def search(self, query: np.ndarray, own: int, k: int, limit: float) -> list[tuple[float, int, int]]:
         """The k nearest rows but those of id ``own``, no farther than ``limit``: (distance, id, row), ties by id."""
-        best: list[tuple[float, int, int]] = []  # a heap of the worst first, as (-distance, -id, row)
+        square = float(query @ query)
+        # what a rounded distance may be off by: squares of this size cancel in it
+        slack = 1e-6 * (1 + np.sqrt(square))
+        best: list[tuple[float, int, int]] = []
         todo = [(0.0, 0, float(np.sqrt(((query - self.pivot) ** 2).sum())))]
         while todo:
             least, page, to_pivot = heapq.heappop(todo)
-            if least > limit * (1 + SLACK):
+            reach = limit * (1 + SLACK) + slack
+            if least > reach:
                 break
             routes, radii, parent, below = self.pages[page]
-            reach = limit * (1 + SLACK) + SLACK
+            gap = np.abs(to_pivot - parent)
             if routes is not None:
-                may = np.flatnonzero(np.abs(to_pivot - parent) - radii <= reach)
-                d = distances(routes[may], query)
-                for i, x in zip(may, d, strict=True):
-                    if (low := max(least, x - radii[i])) <= reach:
-                        heapq.heappush(todo, (low, int(below[i]), float(x)))
+                may = np.flatnonzero(gap - radii <= reach)
+                d = routes.distances(query, square, may)
+                low = np.maximum(least, d - radii[may])
+                for j in np.flatnonzero(low <= reach):
+                    heapq.heappush(todo, (float(low[j]), int(below[may[j]]), float(d[j])))
+                continue
+            rows = slice(below, below + len(parent))
+            may = gap <= reach
+            if not may.all():
+                rows = below + np.flatnonzero(may)
+            d = self.points.distances(query, square, rows)
+            close = np.flatnonzero(d <= reach)
+            if not len(close):
                 continue
-            rows = below[np.abs(to_pivot - parent) <= reach]
-            d = distances(self.x[rows], query)
-            for j in np.flatnonzero(d <= reach):
-                name = int(self.ids[rows[j]])
-                if name == own:
-                    continue
-                entry = (-float(d[j]), -name, int(rows[j]))
-                if len(best) < k:
-                    heapq.heappush(best, entry)
-                elif entry > best[0]:
-                    heapq.heapreplace(best, entry)
-                if len(best) == k:
-                    limit = min(limit, -best[0][0])
-        return [(-d, -name, row) for d, name, row in best]
+            d, names = d[close], self.ids[rows][close]
+            place = close + below if isinstance(rows, slice) else rows[close]
+            order = np.lexsort((names, d))[: k + 1]  # one more than k, as the query's own may be among them
+            best += [(float(d[i]), int(names[i]), int(place[i])) for i in order if names[i] != own]
+            best.sort()
+            del best[k:]
+            if len(best) == k:
+                limit = min(limit, best[-1][0])
+        return best

@@ -28,10 +28,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from .common import stored
-from .mtree import Tree, distances
+from .mtree import Points, Tree
 
 #: Vectors in a subtree, the most routing vectors, and queries that a task holds at once.
-TREE, PIVOTS, QUERIES = 4096, 1024, 2048
+TREE, PIVOTS, QUERIES = 8192, 1024, 512
 
 
 def vectors(df: DataFrame, id_col: str, vec_col: str, scale: Column | None = None) -> DataFrame:
@@ -84,7 +84,7 @@ def search(all_vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
 
     def build(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         x = lift(unpack(pa.array(rows["v"]), size), top)
-        tree = Tree(rows["vec_id"].to_numpy(), x, sent.value[key[0]])
+        tree = Tree(rows["vec_id"].to_numpy(), x, sent.value[key[0]], top)
         return pd.DataFrame({"pivot": [key[0]], "cut": [key[1]], "radius": [tree.radius], "tree": [pickle.dumps(tree, protocol=5)]})
 
     trees = stored(spread.groupBy("pivot", "cut").applyInPandas(build, "pivot int, cut int, radius double, tree binary"), "trees")
@@ -99,7 +99,7 @@ def search(all_vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
             tree: Tree = pickle.loads(one["tree"].iloc[0])
             lifted = unpack(pa.array(asked["v"]), size)
             for name, q, limit in zip(asked["query_id"], np.hstack([lifted, np.zeros((len(asked), 1))]), asked["reach"], strict=True):
-                rows += [(name, i, float(tree.x[row] @ q)) for _, i, row in tree.search(q, name, k, limit)]
+                rows += [(name, i, float(tree.points.x[row] @ q)) for _, i, row in tree.search(q, name, k, limit)]
         return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
     groups = ["pivot", "cut", "block"]
@@ -118,7 +118,8 @@ def search(all_vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
             if batch.num_rows:
                 q = np.hstack([unpack(batch.column("v"), size), np.zeros((batch.num_rows, 1))])
                 reach = batch.column("reach").to_numpy()
-                kept = [np.flatnonzero(distances(sent.value, x) - radii <= r) for x, r in zip(q, reach, strict=True)]
+                routes = Points(sent.value)
+                kept = [np.flatnonzero(routes.distances(x, float(x @ x)) - radii <= r * (1 + 1e-9) + 1e-6 * (1 + np.sqrt(x @ x))) for x, r in zip(q, reach, strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(kept, pa.list_(pa.int32()))], ["query_id", "v", "block", "reach", "pivots"])
 
     routed = known.mapInArrow(route, "query_id long, v array<double>, block int, reach double, pivots array<int>")
