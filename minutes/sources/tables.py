@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -12,16 +12,17 @@ from ..functions.normalize import add_norm
 __all__ = ["read_dicts", "read_gian", "read_meetings", "read_summaries", "read_texts", "read_toc"]
 
 
-def key_of_file(name) -> tuple:
-    """(meeting_id, text_key) of a text file's name."""
-    key = F.regexp_replace(name, "\\.txt\\z", "")
+def key_of_file(name: Column) -> tuple[Column, Column]:
+    """(meeting_id, text_key) of a text file's name, which may come with its special characters escaped."""
+    plain = F.coalesce(F.try_url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))), name)
+    key = F.regexp_replace(plain, "\\.txt\\z", "")
     return F.substring_index(key, "_", 1), key
 
 
 def read_texts(spark: SparkSession, folder: str, partitions: int | None = None) -> DataFrame:
     """One row per text file below ``folder``: meeting_id, text_key, raw. Files are small; ``partitions`` spreads them."""
     files = spark.read.text(folder, wholetext=True, pathGlobFilter="*.txt").select("value", F.col("_metadata.file_name").alias("file"))
-    meeting, key = key_of_file(F.url_decode(F.replace("file", F.lit("+"), F.lit("%2B"))))
+    meeting, key = key_of_file(F.col("file"))
     rows = files.select(meeting.alias("meeting_id"), key.alias("text_key"), F.col("value").alias("raw"))
     return rows.repartition(partitions) if partitions else rows
 
