@@ -19,13 +19,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import let
+
 ROUNDS = 8
 #: Kinds with the pattern of their candidates, in order of preference where candidates overlap.
 KINDS = {
     "mail": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])",
     "secret": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|(?i:(?<![a-z])(?:password|passwd|token|secret|api_key)\s?[=:]\s?[\"']?)[A-Za-z0-9+/_-]{8,256}",
-    "account": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])",
-    "phone": r"(?<![0-9A-Za-z])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|(?<![0-9A-Za-z+])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])",
+    "account": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])",
+    "phone": r"(?<![0-9A-Za-z])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|(?<![0-9A-Za-z+])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])|(?<![0-9A-Za-z+-])[2-9][0-9]{2}-[2-9][0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
     "address": r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z])(?!\.[0-9])",
     "date": r"(?<![0-9A-Za-z/-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9A-Za-z/-])",
     "social": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
@@ -49,28 +51,30 @@ def _shift(text: Column, other: Column, i: Column, key: str, kind: str) -> Colum
     tweak = F.concat_ws("|", F.lit(key), F.lit(kind), i.cast("string"), F.length(text).cast("string"), other)
     hashed = F.concat(F.sha2(tweak, 256), F.sha2(F.concat(tweak, F.lit("|")), 256))
 
-    def move(char: Column, at: Column) -> Column:
+    def move(char: Column, at: Column, bytes_: Column) -> Column:
         code = F.ascii(char)
-        byte = F.conv(F.substring(hashed, (at % 64) * 2 + 1, F.lit(2)), 16, 10).cast("int")
+        byte = F.conv(F.substring(bytes_, (at % 64) * 2 + 1, F.lit(2)), 16, 10).cast("int")
         turn = lambda first, n: F.char(F.lit(first) + (code - first + byte) % n)
         return (
             F.when(code.between(48, 57), turn(48, 10)).when(code.between(97, 122), turn(97, 26)).when(code.between(65, 90), turn(65, 26)).when(code.between(33, 40), turn(33, 8)).otherwise(char)
         )
 
-    return F.array_join(F.transform(F.split(text, ""), move), "")
+    return let(hashed, lambda h: F.array_join(F.transform(F.split(text, ""), lambda c, i: move(c, i, h)), ""))
 
 
 def feistel_text(text: Column, key: str, kind: str) -> Column:
     """A keyed permutation of the strings with the same class of character at each place."""
-    half = F.floor(F.length(text) / 2).cast("int")
-    start = F.struct(F.substring(text, F.lit(1), half).alias("a"), F.substring(text, half + 1, F.length(text)).alias("b"))
+
+    def halves(t: Column) -> Column:
+        half = F.floor(F.length(t) / 2).cast("int")
+        return F.struct(F.substring(t, F.lit(1), half).alias("a"), F.substring(t, half + 1, F.length(t)).alias("b"))
 
     def step(s: Column, i: Column) -> Column:
         return F.when(i % 2 == 0, F.struct(_shift(s["a"], s["b"], i, key, kind).alias("a"), s["b"].alias("b"))).otherwise(
             F.struct(s["a"].alias("a"), _shift(s["b"], s["a"], i, key, kind).alias("b"))
         )
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, step, lambda s: F.concat(s["a"], s["b"]))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), let(text, halves), step, lambda s: F.concat(s["a"], s["b"]))
 
 
 def feistel_number(number: Column, low: int, high: int, key: str, kind: str) -> Column:
@@ -91,8 +95,8 @@ def digits(text: Column) -> Column:
 
 def put_back(layout: Column, found: str, new: Column) -> Column:
     """``layout`` with its characters of class ``found`` replaced in order by those of ``new``."""
-    keep, take = F.split(layout, found, -1), F.split(new, "")
-    return F.array_join(F.transform(keep, lambda part, i: F.concat(part, F.coalesce(F.get(take, i), F.lit("")))), "")
+    put = lambda take: F.transform(F.split(layout, found, -1), lambda part, i: F.concat(part, F.coalesce(F.get(take, i), F.lit(""))))
+    return F.array_join(let(F.split(new, ""), put), "")
 
 
 def luhn_sum(number: Column) -> Column:
@@ -129,7 +133,7 @@ def kind_of(text: Column) -> Column:
     octets = F.forall(F.split(text, r"\."), lambda o: o.cast("int") < 256)
     social = ~text.rlike("^(?:000|666|9)|-00-|-0000$")
     valid = {
-        "mail": F.lit(True), "secret": F.lit(True), "account": iban_rest(text) == 1, "phone": F.length(digits(text)).between(8, 15), "address": octets,
+        "mail": F.lit(True), "secret": F.lit(True), "account": iban_rest(F.replace(text, F.lit(" "), F.lit(""))) == 1, "phone": F.length(digits(text)).between(8, 15), "address": octets,
         "date": as_date(text).between(F.lit(FIRST).cast("date"), F.lit(LAST).cast("date")), "social": social, "card": luhn_sum(digits(text)) % 10 == 0,
     }
     out = F.when(F.lit(False), F.lit(""))
@@ -143,34 +147,38 @@ def pseudonym(text: Column, kind: Column, key: str) -> Column:
     number = digits(text)
     # cards: all but the first and the check digit, which is worked out anew
     core = F.concat(F.substring(number, 1, 1), feistel_text(F.substring(number, F.lit(2), F.length(number) - 2), key, "card"))
-    card = F.concat(core, ((10 - luhn_sum(F.concat(core, F.lit("0"))) % 10) % 10).cast("string"))
+    card = let(core, lambda c: F.concat(c, ((10 - luhn_sum(F.concat(c, F.lit("0"))) % 10) % 10).cast("string")))
     # phones: the country code stays; a leading 2-9 of the area and of the exchange stays in that range
     country = F.regexp_extract(text, r"^\+[0-9]{1,3}(?=[ .(-])", 0)
     local = F.substring(number, F.length(digits(country)) + 1, F.length(number))
     narrow = lambda c: F.translate(c, "23456789", NARROW)
-    ranged = F.concat(narrow(F.substring(local, 1, 1)), F.substring(local, 2, 2), narrow(F.substring(local, 4, 1)), F.substring(local, F.lit(5), F.length(local)))
-    ten = F.length(local) == 10
-    moved = F.translate(feistel_text(F.when(ten, ranged).otherwise(local), key, "phone"), NARROW, "23456789")
+
+    def ranged(n: Column) -> Column:
+        ten = F.concat(narrow(F.substring(n, 1, 1)), F.substring(n, 2, 2), narrow(F.substring(n, 4, 1)), F.substring(n, F.lit(5), F.length(n)))
+        return F.when(F.length(n) == 10, ten).otherwise(n)
+
+    moved = F.translate(feistel_text(let(local, ranged), key, "phone"), NARROW, "23456789")
     phone = F.concat(country, put_back(F.substring(text, F.length(country) + 1, F.length(text)), "[0-9]", moved))
     # addresses: a number of 32 bits
     octets = F.split(text, r"\.")
     packed = F.aggregate(octets, F.lit(0).cast("long"), lambda n, o: n * 256 + o.cast("long"))
     spread = feistel_number(packed, 1 << 16, 1 << 16, key, "address")
-    address = F.concat_ws(".", *(F.shiftright(spread, s).bitwiseAND(255).cast("string") for s in (24, 16, 8, 0)))
+    address = let(spread, lambda n: F.concat_ws(".", *(F.shiftright(n, s).bitwiseAND(255).cast("string") for s in (24, 16, 8, 0))))
     # dates: the day's number within the cycle, and the layout it had
     day = F.date_add(F.lit(FIRST).cast("date"), feistel_number(F.datediff(as_date(text), F.lit(FIRST).cast("date")), LOW, HIGH, key, "date").cast("int"))
     date = F.when(F.substring(text, 5, 1) == "-", F.date_format(day, "yyyy-MM-dd")).otherwise(F.date_format(day, "dd/MM/yyyy"))
     # accounts: country and layout stay, check digits are worked out anew
-    body = feistel_text(F.substring(text, F.lit(5), F.length(text)), key, "account")
-    check = 98 - iban_rest(F.concat(F.substring(text, 1, 2), F.lit("00"), body))
-    account = F.concat(F.substring(text, 1, 2), F.lpad(check.cast("string"), 2, "0"), body)
+    plain = F.replace(text, F.lit(" "), F.lit(""))
+    body = feistel_text(F.substring(plain, F.lit(5), F.length(plain)), key, "account")
+    check = lambda b: 98 - iban_rest(F.concat(F.substring(text, 1, 2), F.lit("00"), b))
+    account = let(body, lambda b: F.concat(F.substring(text, 1, 2), F.lpad(check(b).cast("string"), 2, "0"), b))
     # mail: the name before the @; secrets: the value behind the mark
     name = F.substring_index(text, "@", 1)
     mail = F.concat(feistel_text(name, key, "mail"), F.substring(text, F.length(name) + 1, F.length(text)))
     mark = F.regexp_extract(text, r"^(?:AKIA|(?i:[a-z_]+)\s?[=:]\s?[\"']?)", 0)
     secret = F.concat(mark, feistel_text(F.substring(text, F.length(mark) + 1, F.length(text)), key, "secret"))
     social = put_back(text, "[0-9]", feistel_text(number, key, "social"))
-    made = {"mail": mail, "secret": secret, "account": account, "phone": phone, "address": address, "date": date, "social": social, "card": put_back(text, "[0-9]", card)}
+    made = {"mail": mail, "secret": secret, "account": put_back(text, "[A-Z0-9]", account), "phone": phone, "address": address, "date": date, "social": social, "card": put_back(text, "[0-9]", card)}
     out = F.when(F.lit(False), F.lit(""))
     for k, c in made.items():
         out = out.when(kind == k, c)
@@ -183,7 +191,7 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", counts: bool
     found = F.when(text.rlike("[0-9@=:]") & text.rlike(CANDIDATE), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)))
     judged = F.transform("__found", lambda m: F.struct(m.alias("old"), kind_of(m).alias("kind")))
     made = F.transform("__judged", lambda x: F.struct(x["kind"].alias("kind"), F.when(x["kind"].isNull(), x["old"]).otherwise(pseudonym(x["old"], x["kind"], key)).alias("new")))
-    pieces = F.transform(F.split(text, CANDIDATE, -1), lambda p, i: F.concat(p, F.coalesce(F.get(F.col("__made"), i)["new"], F.lit(""))))
+    pieces = F.transform(F.split(text, F.lit(CANDIDATE), F.lit(-1)), lambda p, i: F.concat(p, F.coalesce(F.get(F.col("__made"), i)["new"], F.lit(""))))
     out = docs.withColumn("__found", found).withColumn("__judged", judged).withColumn("__made", made)
     out = out.withColumn(text_col, F.when(F.col("__found").isNull(), text).otherwise(F.array_join(pieces, "")))
     if counts:
