@@ -222,7 +222,9 @@ def groups(docs: DataFrame, shingle: int = 3, bits: int = 64, radius: int = 2, b
     nodes = stored(folded.select("fp", F.col("most").alias("n_shingles"), "least", F.monotonically_increasing_id().alias("node")), "nodes")
     roots = connected(links(nodes, bands or pigeonhole(radius, bits), bits, radius, ratio))
     placed = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = placed.join(placed.groupBy("root").agg(F.min("least").alias("component_id")), "root").select(*key, "component_id")
+    # written by itself: a join below an aggregate by the same key could not be split where a group is large
+    least = stored(placed.groupBy("root").agg(F.min("least").alias("component_id")), "components")
+    named = placed.join(least, "root").select(*key, "component_id")
     return found.join(named, key, "left").select(F.col("doc_id").alias(id_col), "fp", "component_id")
 
 
