@@ -55,13 +55,13 @@ class Items:
             self.windows.append((np.array(own, np.int64), [sorted(found[w]) for w in own]))
 
 
-def blocks(items: DataFrame, window: int) -> Iterator[Items]:
+def blocks(items: DataFrame, window: int) -> tuple[int, Iterator[Items]]:
+    """The number of blocks of ITEM_BYTES, and the blocks one by one."""
     rows = items.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("binary").alias("text")).dropna()
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text") + F.octet_length("item")), F.lit(0))).first()[0]
     n = max(1, -(-size // ITEM_BYTES))
-    for k in range(n):
-        own = rows if n == 1 else rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)
-        yield Items([(r[0], bytes(r[1])) for r in own.toLocalIterator()], window)
+    parts = (rows if n == 1 else rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k) for k in range(n))
+    return n, (Items([(r[0], bytes(r[1])) for r in own.toLocalIterator()], window) for own in parts)
 
 
 def build_index(docs: DataFrame, items: Items, gap: int) -> DataFrame:
@@ -191,8 +191,11 @@ def joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def matches(docs: DataFrame, items: DataFrame, window: int = 10, span: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(uid, doc_id, n_words, spans, items, near) for every row of ``docs``; items has item_id and text."""
     narrow = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    n, parts = blocks(items, window)
+    if n > 1:  # several passes need the same numbers for the same rows
+        narrow = stored(narrow, "numbered")
     found = []
-    for own in blocks(items, window):
+    for own in parts:
         index = stored(build_index(narrow, own, window + (span or 0)), "postings")
         found.append(search_index(index, own, span))
     if len(found) == 1:
