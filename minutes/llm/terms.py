@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 HEAD_TERMS = 200_000
 HEAD_BYTES = 64
 #: Distinct terms a task gathers before it hands them on.
-FLUSH = 400_000
+FLUSH = 250_000
 
 
 def count_terms(docs: DataFrame, column: str, split: Callable[[pa.Array], Iterator[list]], kind: str) -> DataFrame:
