@@ -27,7 +27,7 @@ from .common import stored
 #: Tokens in a block of a permutation, and the most sources of a broadcast (about 100 bytes each).
 BLOCK_TOKENS = 1_000_000
 MAX_SOURCES = 100_000
-GRID, PASSES = 33, 7
+GRID, PASSES = 33, 6
 WORD = r"[^\x20\x09-\x0D]+"
 _UNITS = 1 << 40
 
@@ -49,27 +49,25 @@ def exponent(sources: DataFrame, budget: float, entropy_gain: float, max_repeat:
 
     def measure(grid: list[float]) -> list[tuple[float, float]]:
         """Entropy and largest repetition at each exponent. Repetition is largest for the smallest source."""
-        row = sources.agg(*(x for a in grid for x in (F.sum(F.pow(share, F.lit(a))), F.sum(F.pow(share, F.lit(a)) * F.log(share))))).first()
+        each = sources.select(share.alias("p"), F.posexplode(F.array(*map(F.lit, grid))).alias("i", "a"))
+        power = F.pow("p", "a")
+        sums = {r["i"]: (r["z"], r["s"]) for r in each.groupBy("i").agg(F.sum(power).alias("z"), F.sum(power * F.log("p")).alias("s")).collect()}
         out = []
         for i, a in enumerate(grid):
-            z, s = row[2 * i], row[2 * i + 1]
+            z, s = sums[i]
             out.append((math.log(z) - a * s / z, (least / total) ** (a - 1) / z * budget / total))
         return out
 
     (even, _), (own, _) = measure([0.0, 1.0])
     wanted = own + entropy_gain * (even - own)
-
-    def bisect(holds_below: bool, test) -> float:
-        """The edge of ``test`` in [0, 1]: it holds up to the edge, or from it on."""
-        low, high = 0.0, 1.0
-        for _ in range(PASSES):
-            grid = [low + (high - low) * i / (GRID - 1) for i in range(GRID)]
-            ok = [test(*m) for m in measure(grid)]
-            edge = max((i for i, x in enumerate(ok) if x), default=0) if holds_below else min((i for i, x in enumerate(ok) if x), default=GRID - 1)
-            low, high = (grid[edge], grid[min(edge + 1, GRID - 1)]) if holds_below else (grid[max(edge - 1, 0)], grid[edge])
-        return low if holds_below else high
-
-    return max(bisect(True, lambda h, _: h >= wanted), bisect(False, lambda _, r: r <= max_repeat))
+    spans = [(0.0, 1.0), (0.0, 1.0)]  # of the entropy's edge, which holds below it, and of the limit's, which holds above
+    for _ in range(PASSES):
+        grids = [[low + (high - low) * i / (GRID - 1) for i in range(GRID)] for low, high in spans]
+        found = measure([a for grid in grids for a in grid])
+        up = max((i for i, (h, _) in enumerate(found[:GRID]) if h >= wanted), default=0)
+        down = min((i for i, (_, r) in enumerate(found[GRID:]) if r <= max_repeat), default=GRID - 1)
+        spans = [(grids[0][up], grids[0][min(up + 1, GRID - 1)]), (grids[1][max(down - 1, 0)], grids[1][down])]
+    return max(spans[0][0], spans[1][1])
 
 
 def hashed(key: str, epoch: Column, name: Column) -> Column:
@@ -84,7 +82,9 @@ def block_of(place: Column, blocks: Column) -> Column:
 def plan(docs: DataFrame, budget_share: float = 1.0, entropy_gain: float = 0.5, max_repeat: float = 4.0, key: str = "mix", source_col: str = "source", id_col: str = "doc_id", text_col: str = "text", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """One row per source: tokens, weight, full readings, and where the last reading ends."""
     own = docs.select(F.col(source_col).cast("string").alias("source"), F.col(id_col).cast("string").alias("name"), n_tokens(F.col(text_col)).alias("n"))
-    sources = stored(own.groupBy("source").agg(F.sum("n").alias("tokens")).where("tokens > 0"), "sources")
+    own = stored(own, "sizes")  # three narrow columns: the words of a text are counted once
+    # a row per source: few files, as the bisection reads them again and again
+    sources = stored(own.groupBy("source").agg(F.sum("n").alias("tokens")).where("tokens > 0").coalesce(8), "sources")
     total = sources.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
     budget = budget_share * total
     a = exponent(sources, budget, entropy_gain, max_repeat)
