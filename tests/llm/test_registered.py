@@ -44,9 +44,11 @@ def test_op4(spark, docs):
     rows = queries.op4_pii(spark, str(DATA)).collect()
     private = re.compile(r"[\w.]+@[\w.]+|\+1 \(\d{3}\) \d{3}-\d{4}|(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w])|(?<!\d)\d{16}(?!\d)|AKIA\w{16}")
     assert len(rows) == len(docs)
+    # a number without a right check digit is no card and stays
+    card = lambda x: not x.isdigit() or sum(int(c) if i % 2 == 0 else sum(divmod(int(c) * 2, 10)) for i, c in enumerate(x[::-1])) % 10 == 0
     for r in rows:
         old = docs[r.doc_id]
-        assert not set(private.findall(old)) & set(private.findall(r.text)) and len(private.findall(old)) == len(private.findall(r.text))
+        assert not set(filter(card, private.findall(old))) & set(private.findall(r.text)) and len(private.findall(old)) == len(private.findall(r.text))
         assert (r.text == old) == (r.n_replaced == 0)
 
 
