@@ -10,6 +10,9 @@
    block is left as soon as every counter has passed the radius. A band with many members is cut into blocks that meet
    pairwise in separate tasks.
 5. A block returns a spanning forest of its links, never all pairs; components of all links are found by stars.
+6. With ``similarity``, fingerprints only propose: they are made of distinct shingles, and members of a block that have
+   a candidate there are sent once more with their sets of shingle hashes. A link is a pair of one band group whose
+   exact Jaccard similarity is high enough; pairs that are connected already are not compared again.
 
 Defined cases: a null, empty or blank text has the fingerprint zero and links like any other; fewer words than a
 shingle: the whole sequence is the one shingle; repeated rows are given row by row; null ids stay, and a component
@@ -18,6 +21,7 @@ whose ids are all null has the id null.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from itertools import combinations
 
@@ -32,6 +36,8 @@ from .components import connected
 
 #: Fingerprints in a packed block of small bands, and in each half of a block of a large band.
 LANES, BLOCK = 256, 2048
+#: Shingles in each half of a block of a large band.
+SHINGLES = 4 << 20
 SLICE = 2 << 20
 _STEP = 0x9E3779B97F4A7C15
 _MULTIPLIERS = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
@@ -49,37 +55,50 @@ def widen(h: np.ndarray, words: int) -> np.ndarray:
     return out
 
 
-def fingerprint(text: bytes, shingle: int, bits: int, seed: int = 42) -> tuple[bytes, int]:
-    """Big-endian fingerprint, and the number of shingles."""
+def shingles(text: bytes, shingle: int, seed: int = 42) -> np.ndarray:
+    """The hashes of a text's word shingles, in order."""
     words = text.lower().split()
     if not words:
-        return bytes(bits // 8), 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = [0, *(ends[:-1] + 1).tolist()]
     ends = ends[min(shingle, len(words)) - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(joined[a:b], seed) for a, b in zip(starts, ends, strict=False)], np.uint64)
+    return np.array([digest(joined[a:b], seed) for a, b in zip(starts, ends, strict=False)], np.uint64)
+
+
+def majority(h: np.ndarray, bits: int) -> bytes:
+    """The big-endian fingerprint of hashes."""
     rows = widen(h, bits // 64).astype(">u8").view(np.uint8).reshape(len(h), bits // 8)
     total = np.zeros(bits, np.int64)
     for at in range(0, len(rows), 1 << 16):
         total += np.unpackbits(rows[at : at + (1 << 16)], axis=1).sum(0, dtype=np.uint32)
-    return np.packbits(2 * total > len(h)).tobytes(), len(h)
+    return np.packbits(2 * total > len(h)).tobytes()
+
+
+def fingerprint(text: bytes, shingle: int, bits: int, seed: int = 42) -> tuple[bytes, int]:
+    """Big-endian fingerprint, and the number of shingles."""
+    h = shingles(text, shingle, seed)
+    return majority(h, bits), len(h)
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, bits: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp binary, n_shingles)"""
+def fingerprints(docs: DataFrame, shingle: int = 3, bits: int = 64, id_col: str = "doc_id", text_col: str = "text", distinct: bool = False) -> DataFrame:
+    """(doc_id, fp binary, n_shingles, digest, hash). With ``distinct`` repeats of a shingle do not count, and ``digest``
+    stands for the set of shingles; ``hash`` is of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SLICE):
-            found = [fingerprint(t, shingle, bits) for t in utf8(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([f for f, _ in found], pa.binary()), pa.array([n for _, n in found], pa.int64())],
-                ["doc_id", "fp", "n_shingles"],
-            )
+            found = []
+            for text in utf8(batch.column("text")):
+                h = shingles(text, shingle)
+                h = np.unique(h) if distinct else h
+                found.append((majority(h, bits), len(h), xxhash.xxh3_128_digest(h.tobytes()) if distinct else None))
+            columns = [pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.binary(), pa.int64(), pa.binary()), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns, batch.column("hash")], ["doc_id", "fp", "n_shingles", "digest", "hash"])
 
-    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return narrow.mapInArrow(run, f"doc_id {dict(narrow.dtypes)['doc_id']}, fp binary, n_shingles long")
+    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("hash"))
+    return narrow.mapInArrow(run, f"doc_id {dict(narrow.dtypes)['doc_id']}, fp binary, n_shingles long, digest binary, hash long")
 
 
 def pigeonhole(radius: int, bits: int = 64) -> Callable[[np.ndarray], list[np.ndarray]]:
@@ -157,70 +176,171 @@ def forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
             return label
 
 
-def links(nodes: DataFrame, bands: Callable, bits: int, radius: int, ratio: float = 0.0) -> DataFrame:
-    """Edges (a, b) that connect whatever links connect: nodes (node, fp, n_shingles) within ``radius`` bits and, with
-    ``ratio``, with numbers of shingles at least in that ratio."""
+def bit_rows(fp: pa.Array) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(b"".join(fp.to_pylist()), np.uint8).reshape(len(fp), -1), axis=1)
+
+
+def in_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Sorted rows in pieces of about LANES that hold whole groups (band, key, i, j)."""
+    kept: list[pa.Table] = []
+    for batch in batches:
+        kept.append(pa.Table.from_batches([batch]))
+        held = pa.concat_tables(kept).combine_chunks()
+        ends = borders(held)
+        cut, last = 0, int(ends[-1]) if len(ends) else 0
+        for end in [*ends[np.searchsorted(ends, np.arange(LANES, last, LANES), "right") - 1], last] if last else []:
+            if end > cut:
+                yield held.slice(cut, end - cut).combine_chunks()
+                cut = int(end)
+        kept = [held.slice(cut)]
+    if kept and kept[0].num_rows:
+        yield kept[0].combine_chunks()
+
+
+def borders(held: pa.Table) -> np.ndarray:
+    """Where a group begins, but for the first."""
+    group = np.stack([held.column(c).to_numpy() for c in GROUP], axis=1)
+    return np.flatnonzero((group[1:] != group[:-1]).any(1)) + 1
+
+
+GROUP = ["band", "key", "i", "j"]
+NAMES = ["fp", "node", "n_shingles"]
+
 
-    def rows_of(fp: pa.Array) -> np.ndarray:
-        return np.unpackbits(np.frombuffer(b"".join(fp.to_pylist()), np.uint8).reshape(len(fp), bits // 8), axis=1)
+def blocks(nodes: DataFrame, bands: Callable) -> DataFrame:
+    """Nodes (node, fp, n_shingles) dealt to the blocks (band, key, i, j) in which they meet others, sorted by block."""
 
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
-                for k, band in enumerate(bands(rows_of(part.column("fp")))):
+                for k, band in enumerate(bands(bit_rows(part.column("fp")))):
                     packed = np.packbits(band, axis=1)
                     wide = np.zeros((len(packed), 8), np.uint8)
                     wide[:, 8 - packed.shape[1] :] = packed
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(packed), k, np.int32)), pa.array(wide.view(">i8")[:, 0].astype(np.int64)), *part.columns], ["band", "key", *names])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(packed), k, np.int32)), pa.array(wide.view(">i8")[:, 0].astype(np.int64)), *part.columns], ["band", "key", *NAMES])
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def solve(part: pa.Table) -> pa.RecordBatch:
-            part = part.combine_chunks()
-            fp, node, size = (part.column(c).combine_chunks() for c in names)
-            rows, node, size = rows_of(fp), node.to_numpy(), size.to_numpy()
-            i, j = close_pairs(rows, rows, radius)
-            fit = (i < j) & (np.minimum(size[i], size[j]) >= ratio * np.maximum(size[i], size[j]))
-            label = forest(i[fit], j[fit], len(node))
-            own = np.flatnonzero(label != np.arange(len(node)))
-            return pa.RecordBatch.from_arrays([pa.array(node[own]), pa.array(node[label[own]])], ["a", "b"])
-
-        kept: list[pa.Table] = []
-        for batch in batches:
-            kept.append(pa.Table.from_batches([batch]))
-            held = pa.concat_tables(kept).combine_chunks()
-            cut = 0
-            group = np.stack([held.column(c).to_numpy() for c in ("band", "key", "i", "j")], axis=1)
-            ends = np.flatnonzero((group[1:] != group[:-1]).any(1)) + 1
-            last = int(ends[-1]) if len(ends) else 0
-            for end in [*ends[np.searchsorted(ends, np.arange(LANES, last, LANES), "right") - 1], last] if last else []:
-                if end > cut:
-                    yield solve(held.slice(cut, end - cut))
-                    cut = int(end)
-            kept = [held.slice(cut)]
-        if kept and kept[0].num_rows:
-            yield solve(pa.concat_tables(kept))
-
-    names = ["fp", "node", "n_shingles"]
-    keyed = nodes.select(*names).mapInArrow(key, "band int, key long, fp binary, node long, n_shingles long")
+    keyed = nodes.select(*NAMES).mapInArrow(key, "band int, key long, fp binary, node long, n_shingles long")
     keyed = stored(keyed, "bands")
-    shared = keyed.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").withColumn("cut", F.ceil(F.col("n") / BLOCK))
+    sizes = keyed.groupBy("band", "key").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("m")).where("n > 1")
+    shared = sizes.select("band", "key", F.greatest(F.ceil(F.col("n") / BLOCK), F.least("n", F.ceil(F.col("m") / SHINGLES))).alias("cut"))
     member = keyed.join(shared, ["band", "key"]).withColumn("own", F.pmod(F.hash("node"), F.col("cut")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("cut") - 1))
-    met = member.select("band", "key", *names, "own", other.alias("other")).select(
-        "band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), *names
+    met = member.select("band", "key", *NAMES, "own", other.alias("other")).select(
+        "band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), *NAMES
     )
-    groups = ["band", "key", "i", "j"]
-    return met.repartition(*groups).sortWithinPartitions(*groups).mapInArrow(compare, "a long, b long")
+    return met.repartition(*GROUP).sortWithinPartitions(*GROUP)
+
 
+def links(nodes: DataFrame, bands: Callable, radius: int) -> DataFrame:
+    """Edges (a, b) that connect whatever links within ``radius`` bits connect."""
 
-def groups(docs: DataFrame, shingle: int = 3, bits: int = 64, radius: int = 2, bands: Callable | None = None, ratio: float = 0.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp, component_id) for every row: the least id reachable over links of at most ``radius`` bits."""
-    found = stored(fingerprints(docs, shingle, bits, id_col, text_col), "fingerprints")
-    key = ["fp", "n_shingles"] if ratio else ["fp"]
-    folded = found.groupBy(*key).agg(F.min("doc_id").alias("least"), F.max("n_shingles").alias("most"))
-    nodes = stored(folded.select("fp", F.col("most").alias("n_shingles"), "least", F.monotonically_increasing_id().alias("node")), "nodes")
-    roots = connected(links(nodes, bands or pigeonhole(radius, bits), bits, radius, ratio))
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in in_groups(batches):
+            rows, node = bit_rows(part.column("fp").combine_chunks()), part.column("node").to_numpy()
+            i, j = close_pairs(rows, rows, radius)
+            label = forest(i[i < j], j[i < j], len(node))
+            own = np.flatnonzero(label != np.arange(len(node)))
+            yield pa.RecordBatch.from_arrays([pa.array(node[own]), pa.array(node[label[own]])], ["a", "b"])
+
+    return blocks(nodes, bands).mapInArrow(compare, "a long, b long")
+
+
+def reach(bits: int, similarity: float) -> int:
+    """A radius that four standard deviations of the differing bits at this Jaccard similarity stay within."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.ceil(bits * share + 4 * math.sqrt(bits * share * (1 - share)))
+
+
+def alike(i: np.ndarray, j: np.ndarray, sizes: np.ndarray, hashes: np.ndarray, similarity: float) -> np.ndarray:
+    """The least member of each member's group under those of the pairs (i < j, sorted by i) whose sets, lying in
+    ``hashes`` one behind the other, have at least this Jaccard similarity."""
+    n = len(sizes)
+    label, at, ends = np.arange(n), np.searchsorted(i, np.arange(n + 1)), np.r_[0, np.cumsum(sizes)]
+    _, dense = np.unique(hashes, return_inverse=True)
+    mark = np.zeros(len(hashes) + 1, bool)
+    for own in range(n):
+        others = j[at[own] : at[own + 1]]
+        others = others[label[others] != label[own]]
+        if not len(others):
+            continue
+        mine = dense[ends[own] : ends[own + 1]]
+        mark[mine] = True
+        if len(others) > 16:
+            upto = np.r_[0, np.cumsum(mark[dense])]
+            common = upto[ends[others + 1]] - upto[ends[others]]
+        else:
+            common = np.array([np.count_nonzero(mark[dense[ends[o] : ends[o + 1]]]) for o in others])
+        mark[mine] = False
+        close = others[common >= similarity * (sizes[own] + sizes[others] - common) - 1e-9]
+        if len(close):
+            joined = np.unique(label[np.r_[own, close]])
+            label[np.isin(label, joined)] = joined[0]
+    return label
+
+
+def verified_links(nodes: DataFrame, docs: DataFrame, bands: Callable, bits: int, similarity: float, shingle: int) -> DataFrame:
+    """Edges (a, b) that connect whatever pairs of a band group connect that have this Jaccard similarity at least.
+
+    ``nodes`` have in (id, hash) a row of ``docs`` (doc_id, text) to take the shingles from.
+    """
+    radius = reach(bits, similarity)
+
+    def pairs(rows: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        i, j = close_pairs(rows, rows, radius)
+        fit = (i < j) & (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-9)
+        return i[fit], j[fit]
+
+    def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in in_groups(batches):
+            group = np.zeros(part.num_rows, np.int64)
+            group[borders(part)] = 1
+            group = np.cumsum(group)
+            i, j = pairs(bit_rows(part.column("fp").combine_chunks()), part.column("n_shingles").to_numpy())
+            same = group[i] == group[j]
+            found = pa.array(np.union1d(i[same], j[same]))
+            yield pa.RecordBatch.from_arrays([part.column(c).combine_chunks().take(found) for c in (*GROUP, "node", "fp")], [*GROUP, "node", "fp"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", SLICE):
+            sets = [np.unique(shingles(t, shingle)).view(np.int64) for t in utf8(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in in_groups(batches):
+            ends = [0, *borders(part).tolist(), part.num_rows]
+            rows, node, sets = bit_rows(part.column("fp").combine_chunks()), part.column("node").to_numpy(), part.column("shingles").combine_chunks()
+            a, b = [], []
+            for start, end in zip(ends[:-1], ends[1:], strict=True):
+                own, of = sets.slice(start, end - start), node[start:end]
+                size = pa.compute.list_value_length(own).to_numpy().astype(np.int64)
+                label = alike(*pairs(rows[start:end], size), size, own.flatten().to_numpy(), similarity)
+                linked = np.flatnonzero(label != np.arange(len(of)))
+                a.append(of[linked])
+                b.append(of[label[linked]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+
+    kind = "band int, key long, i long, j long, node long, fp binary"
+    near = stored(blocks(nodes, bands).mapInArrow(propose, kind), "candidates")
+    asked = stored(near.select("node").distinct().join(nodes, "node").select("node", "id", F.col("hash").alias("__hash")), "asked")
+    text = docs.withColumn("hash", F.xxhash64("text")).join(asked, (F.col("hash") == F.col("__hash")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("node", "text")
+    sets = stored(text.mapInArrow(cut, "node long, shingles array<long>").groupBy("node").agg(F.first("shingles").alias("shingles")), "shingles")
+    return near.join(sets, "node").repartition(*GROUP).sortWithinPartitions(*GROUP).mapInArrow(verify, "a long, b long")
+
+
+def groups(docs: DataFrame, shingle: int = 3, bits: int = 64, radius: int = 2, bands: Callable | None = None, similarity: float = 0.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, fp, component_id) for every row: the least id reachable over links of at most ``radius`` bits, or, with
+    ``similarity``, over candidates of ``bands`` whose sets of shingles have that Jaccard similarity at least."""
+    found = stored(fingerprints(docs, shingle, bits, id_col, text_col, similarity > 0), "fingerprints")
+    key = ["fp", "digest"] if similarity else ["fp"]
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "hash"))
+    folded = found.groupBy(*key).agg(F.min("doc_id").alias("least"), F.max("n_shingles").alias("n_shingles"), one.alias("one"))
+    nodes = stored(folded.select(*key, "n_shingles", "least", "one.id", "one.hash", F.monotonically_increasing_id().alias("node")), "nodes")
+    if similarity:
+        own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+        roots = connected(verified_links(nodes, own, bands or lsh(12, bits), bits, similarity, shingle))
+    else:
+        roots = connected(links(nodes, bands or pigeonhole(radius, bits), radius))
     placed = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     # written by itself: a join below an aggregate by the same key could not be split where a group is large
     least = stored(placed.groupBy("root").agg(F.min("least").alias("component_id")), "components")
@@ -231,12 +351,10 @@ def groups(docs: DataFrame, shingle: int = 3, bits: int = 64, radius: int = 2, b
 def keep_one(docs: DataFrame, shingle: int = 5, bits: int = 256, similarity: float = 0.8, width: int = 12, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay: of every group of near copies the one with the least id.
 
-    Similar are documents whose fingerprints agree in the share ``similarity`` of their bits and whose numbers of
-    shingles are in that ratio at least. Rows that repeat an id count as one document, of which one row stays. Rows
+    Similar are documents whose sets of shingles have the Jaccard similarity ``similarity`` at least. Rows that repeat an id count as one document, of which one row stays. Rows
     with a null id cannot be told apart: they go if every one of them is a copy of a row with an id, else all stay.
     """
-    radius = int((1 - similarity) * bits)
-    found = groups(docs, shingle, bits, radius, lsh(width, bits), similarity, id_col, text_col)
+    found = groups(docs, shingle, bits, bands=lsh(width, bits), similarity=similarity, id_col=id_col, text_col=text_col)
     same = F.col(id_col).eqNullSafe(F.col("component_id"))
     by_id = stored(found.groupBy(F.col(id_col).alias("__id")).agg(F.max(same).alias("stays"), F.count("*").alias("n")), "copies")
     # what goes is written by itself, so that Spark can see its size and broadcast it where it is small

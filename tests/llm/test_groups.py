@@ -175,6 +175,29 @@ def test_near_copies_are_found(spark):
     assert {2 * i for i in range(120)} <= kept and len(kept) <= 120 + 3
 
 
+def test_near_copies_are_verified(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefghijklmno", k=6))
+    jaccard = lambda a, b: len(a & b) / len(a | b)
+    cut = lambda t: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)}
+    rows, sets = [], []
+    for changed in [3] * 60 + [9] * 60:  # similarities of about 0.9 and 0.74
+        words = [word() for _ in range(300)]
+        near = [*words]
+        for at in range(15, 15 + 30 * changed, 30):
+            near[at] = word()
+        for text in (" ".join(words), " ".join(near)):
+            rows.append((len(rows), text))
+            sets.append(cut(text))
+    # one line over and over outweighs what differs
+    line = " ".join(word() for _ in range(8)) + " "
+    rows += [(1000 + i, line * 200 + " ".join(word() for _ in range(100))) for i in range(3)]
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    apart = {i + 1 for i in range(0, len(sets), 2) if jaccard(sets[i], sets[i + 1]) < 0.8}
+    assert len(apart) == 60 and apart <= kept and {1000, 1001, 1002} <= kept
+    assert len(kept - apart - {1000, 1001, 1002}) <= 120 + 2
+
+
 def test_connected(spark):
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(200, 201), (201, 200), (300, 300)] + [tuple(rng.sample(range(1000, 1400), 2)) for _ in range(250)]
