@@ -7,6 +7,11 @@ cycle; account numbers get right check digits again; mail names and secrets keep
 same value under the same key and kind gives the same pseudonym in every document, whatever its separators, and
 different values never share one.
 
+A run of digit groups that is no card number as a whole is searched for card numbers from group to group, so that an
+expiry date, a check value or an ordinal beside one does not hide it. Such a part begins like a card (3 to 6, 22 to 27,
+81, 82, 9792) and has at least three digits in every group but the last; the usual layouts (unbroken, 4-4-4-4, 4-6-5,
+4-6-4, 4-4-4-4-3) come first, then the leftmost, then the longest.
+
 Candidates that fail validation (a number without a right check digit, a 31st of February, an octet of 300) are left
 as they are. Everything else in a text is kept byte for byte.
 
@@ -31,8 +36,12 @@ KINDS = {
     "address": r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z])(?!\.[0-9])",
     "date": r"(?<![0-9A-Za-z/-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9A-Za-z/-])",
     "social": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
-    "card": r"(?<![0-9A-Za-z+.-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])",
 }
+#: An unbroken number, a run of groups with dashes, or one with spaces too, which ends before a candidate of another kind.
+KINDS["card"] = (
+    r"(?<![0-9A-Za-z+.-])(?:[0-9]{13,19}(?![0-9A-Za-z])|(?=(?:-?[0-9]){13})[0-9]{1,19}(?:-[0-9]{1,19}(?![0-9A-Za-z]))+"
+    r"|(?=(?:[ -]?[0-9]){13})[0-9]{1,19}(?:(?:-| (?!(?:" + "|".join(KINDS[k] for k in ("phone", "address", "date", "social")) + r")))[0-9]{1,19}(?![0-9A-Za-z]))+)"
+)
 CANDIDATE = "|".join(f"(?:{p})" for p in KINDS.values())
 #: First and last day of the dates treated: 146,097 = 189 x 773 days, one full cycle of the calendar.
 FIRST, LAST, LOW, HIGH = "1700-01-01", "2099-12-31", 189, 773
@@ -134,7 +143,7 @@ def kind_of(text: Column) -> Column:
     social = ~text.rlike("^(?:000|666|9)|-00-|-0000$")
     valid = {
         "mail": F.lit(True), "secret": F.lit(True), "account": iban_rest(F.replace(text, F.lit(" "), F.lit(""))) == 1, "phone": F.length(digits(text)).between(8, 15), "address": octets,
-        "date": as_date(text).between(F.lit(FIRST).cast("date"), F.lit(LAST).cast("date")), "social": social, "card": luhn_sum(digits(text)) % 10 == 0,
+        "date": as_date(text).between(F.lit(FIRST).cast("date"), F.lit(LAST).cast("date")), "social": social, "card": F.length(digits(text)).between(13, 19) & (luhn_sum(digits(text)) % 10 == 0),
     }
     out = F.when(F.lit(False), F.lit(""))
     for kind, pattern in KINDS.items():
@@ -142,6 +151,46 @@ def kind_of(text: Column) -> Column:
     return out
 
 
+def cards_within(text: Column) -> Column:
+    """A run of digit groups in pieces (old, kind): card numbers, and what stands between them."""
+
+    def pieces(groups: Column) -> Column:
+        n = F.size(groups)
+        # a group has the separator before it
+        part = lambda s, e: F.array_join(F.slice(groups, s + 1, e - s + 1), "")
+
+        def holds(r: Column) -> Column:
+            number = digits(r["old"])
+            return F.length(number).between(13, 19) & number.rlike("^(?:[3-6]|2[2-7]|8[12]|9792)") & ~r["old"].rlike("(?<![0-9])[0-9]{1,2}[ -]") & (luhn_sum(number) % 10 == 0)
+
+        def run(s: Column, e: Column) -> Column:
+            old = part(s, e)
+            usual = old.rlike("^[ -]?(?:[0-9]+|[0-9]{4}(?:[ -][0-9]{4}){3}(?:[ -][0-9]{3})?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5})$")
+            return F.struct((~usual).alias("rank"), s.alias("s"), (-e).alias("e"), old.alias("old"))
+
+        runs = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda s: F.transform(F.sequence(s, F.least(s + 18, n - 1)), lambda e: run(s, e))))
+        clear = lambda held, r: ~F.exists(held, lambda h: (h["s"] <= -r["e"]) & (r["s"] <= -h["e"]))
+        taken = lambda found: F.aggregate(found, F.slice(found, 1, 0), lambda held, r: F.when(clear(held, r), F.concat(held, F.array(r))).otherwise(held))
+        piece = lambda old, kind: F.struct(old.alias("old"), F.lit(kind).cast("string").alias("kind"))
+
+        def lay(held: Column) -> Column:
+            before = lambda i: F.coalesce(-F.get(held, i - 1)["e"], F.lit(-1))
+            laid = F.flatten(F.transform(held, lambda r, i: F.array(piece(part(before(i) + 1, r["s"] - 1), None), piece(r["old"], "card"))))
+            return F.concat(laid, F.array(piece(part(before(F.size(held)) + 1, n - 1), None)))
+
+        placed = let(F.array_sort(F.filter(runs, holds)), taken)
+        return let(F.array_sort(placed, lambda a, b: a["s"] - b["s"]), lay)
+
+    return let(F.regexp_extract_all(text, F.lit("[ -]?[0-9]+"), F.lit(0)), pieces)
+
+
+def judge(text: Column) -> Column:
+    """A candidate in pieces (old, kind)."""
+    whole = lambda kind: F.array(F.struct(text.alias("old"), kind.alias("kind")))
+    run = text.rlike("^(?=(?:[ -]?[0-9]){13})[0-9]+(?:[ -][0-9]+)+$")
+    return let(kind_of(text), lambda kind: F.when(kind.isNull() & run, cards_within(text)).otherwise(whole(kind)))
+
+
 def pseudonym(text: Column, kind: Column, key: str) -> Column:
     """The permuted candidate."""
     number = digits(text)
@@ -189,13 +238,14 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", counts: bool
     """``docs`` with personal data in its text replaced; with ``counts`` also n_replaced and kinds (kind -> number)."""
     text = F.col(text_col)
     found = F.when(text.rlike("[0-9@=:]") & text.rlike(CANDIDATE), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)))
-    judged = F.transform("__found", lambda m: F.struct(m.alias("old"), kind_of(m).alias("kind")))
-    made = F.transform("__judged", lambda x: F.struct(x["kind"].alias("kind"), F.when(x["kind"].isNull(), x["old"]).otherwise(pseudonym(x["old"], x["kind"], key)).alias("new")))
-    pieces = F.transform(F.split(text, F.lit(CANDIDATE), F.lit(-1)), lambda p, i: F.concat(p, F.coalesce(F.get(F.col("__made"), i)["new"], F.lit(""))))
+    judged = F.transform("__found", judge)
+    new = lambda x: F.struct(x["kind"].alias("kind"), F.when(x["kind"].isNull(), x["old"]).otherwise(pseudonym(x["old"], x["kind"], key)).alias("new"))
+    made = F.transform("__judged", lambda m: F.transform(m, new))
+    pieces = F.transform(F.split(text, F.lit(CANDIDATE), F.lit(-1)), lambda p, i: F.concat(p, F.coalesce(F.array_join(F.get(F.col("__made"), i)["new"], ""), F.lit(""))))
     out = docs.withColumn("__found", found).withColumn("__judged", judged).withColumn("__made", made)
     out = out.withColumn(text_col, F.when(F.col("__found").isNull(), text).otherwise(F.array_join(pieces, "")))
     if counts:
-        kinds = F.coalesce(F.filter(F.transform("__made", lambda x: x["kind"]), lambda k: k.isNotNull()), F.array().cast("array<string>"))
+        kinds = F.coalesce(F.filter(F.transform(F.flatten("__made"), lambda x: x["kind"]), lambda k: k.isNotNull()), F.array().cast("array<string>"))
         out = out.withColumn("n_replaced", F.size(kinds).cast("long"))
         out = out.withColumns({f"n_{k}": (F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long") for k in KINDS})
     return out.drop("__found", "__judged", "__made")

@@ -146,6 +146,20 @@ def test_pii_formats(spark):
     assert all(a != b for a, b in zip(given, got, strict=True)) and got != scrub(spark, given, "other")[0]
 
 
+def test_cards_beside_other_digits(spark):
+    card, other = "4111 1111 1111 1111", "5500-0000-0000-0004"
+    given = [f"{card} 12/27", "4111111111111111 123", f"no. 12 {card}", f"2024 {card} 123", f"{card} {other} 7", f"12 {other}", f"12-{other}-27", "12-4111111111111111", f"{card} 212-555-1234 10.0.0.1", f"3 3782 822463 10005 {card} 1234"]
+    got, n = scrub(spark, given)
+    assert n == [1, 1, 1, 1, 2, 1, 1, 1, 3, 2]
+    for old, new in zip(given, got, strict=True):
+        plain = re.sub("[ -]", "", new)
+        assert not any(x in plain for x in ("4111111111111111", "5500000000000004", "378282246310005")) and re.sub("[0-9]", "9", old)[:32] == re.sub("[0-9]", "9", new)[:32]
+    moved = got[0][: len(card)]
+    assert luhn(moved.replace(" ", "")) and all(moved in x for x in (got[2], got[3], got[4], got[8], got[9])) and got[3].startswith("2024 ") and got[3].endswith(" 123")
+    table = " ".join(str(1950 + i) for i in range(80)) + " " + " ".join(str(10 + i) for i in range(80))
+    assert scrub(spark, [table]) == ([table], [0])
+
+
 def test_pii_leaves_the_rest(spark):
     given = ["4041894974608796 2023-02-30 300.1.1.1 version 4.0. a@b 1066-10-14 x=1", "", None, "plain\n text ", "000-12-3456 GB82WEST12345698765433"]
     assert scrub(spark, given) == (given, [0] * 5)
