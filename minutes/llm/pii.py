@@ -4,6 +4,8 @@ Texts are split at candidates; each candidate is validated, and a valid one is p
 Feistel network: card numbers keep their first digit, length, separators and a right check digit; phone numbers keep
 country code, layout and the leading digits' range; addresses stay four octets; dates stay dates of the same 400-year
 cycle; account numbers get right check digits again; mail names and secrets keep the class of every character. The
+value of a secret is all up to white space or a quote, less punctuation that closes a sentence or bracket; its letters
+a-z and digits are permuted, whatever its length, and all else in it stays. The
 same value under the same key and kind gives the same pseudonym in every document, whatever its separators, and
 different values never share one.
 
@@ -29,8 +31,8 @@ from ..functions.text import let
 ROUNDS = 8
 #: Kinds with the pattern of their candidates, in order of preference where candidates overlap.
 KINDS = {
-    "mail": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])",
-    "secret": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|(?i:(?<![a-z])(?:password|passwd|token|secret|api_key)\s?[=:]\s?[\"']?)[A-Za-z0-9+/_-]{8,256}",
+    "mail": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])",
+    "secret": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|(?i:(?<![a-z])(?:password|passwd|token|secret|api_key)\s?[=:]\s?[\"']?)(?=[^\s\"']*[A-Za-z0-9])(?:[^\s\"']{7,}[^\s\"'.,;:)\]}>]|[^\s\"']{8,})",
     "account": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])",
     "phone": r"(?<![0-9A-Za-z])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|(?<![0-9A-Za-z+])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])|(?<![0-9A-Za-z+-])[2-9][0-9]{2}-[2-9][0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
     "address": r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z])(?!\.[0-9])",
@@ -64,9 +66,9 @@ def _shift(text: Column, other: Column, i: Column, key: str, kind: str) -> Colum
         code = F.ascii(char)
         byte = F.conv(F.substring(bytes_, (at % 64) * 2 + 1, F.lit(2)), 16, 10).cast("int")
         turn = lambda first, n: F.char(F.lit(first) + (code - first + byte) % n)
-        return (
-            F.when(code.between(48, 57), turn(48, 10)).when(code.between(97, 122), turn(97, 26)).when(code.between(65, 90), turn(65, 26)).when(code.between(33, 40), turn(33, 8)).otherwise(char)
-        )
+        out = F.when(code.between(48, 57), turn(48, 10)).when(code.between(97, 122), turn(97, 26)).when(code.between(65, 90), turn(65, 26))
+        # no quote may come into a secret
+        return (out if kind == "secret" else out.when(code.between(33, 40), turn(33, 8))).otherwise(char)
 
     return let(hashed, lambda h: F.array_join(F.transform(F.split(text, ""), lambda c, i: move(c, i, h)), ""))
 

@@ -160,6 +160,20 @@ def test_cards_beside_other_digits(spark):
     assert scrub(spark, [table]) == ([table], [0])
 
 
+def test_whole_secrets(spark):
+    rng = random.Random(8)
+    draw = lambda n: "".join(rng.choices("abcdefghXYZ0123456789", k=n))
+    long, token = draw(400), ".".join(draw(n) for n in (36, 70, 43))
+    given = [f"token={long}", f"token={token}, then", "password=Pa$$w0rd!x#12 end", "password='ab!cd#ef1'", "secret: a1!b2c3d.", f"{long}@mail.example.com"]
+    got, n = scrub(spark, given)
+    assert n == [1] * 6
+    shape = lambda t: re.sub("[0-9]", "9", re.sub("[a-z]", "a", re.sub("[A-Z]", "A", t)))
+    assert all(shape(a) == shape(b) for a, b in zip(given, got, strict=True))
+    assert not any(long[i : i + 12] in got[0] + got[5] for i in range(389)) and not any(part in got[1] for part in token.split("."))
+    assert got[1].endswith(", then") and not any(x in got[2] for x in ("w0rd", "#12 ")) and "ef1" not in got[3] and "c3d" not in got[4]
+    assert scrub(spark, ["token: .......... secret=\"\" password = "])[1] == [0]
+
+
 def test_pii_leaves_the_rest(spark):
     given = ["4041894974608796 2023-02-30 300.1.1.1 version 4.0. a@b 1066-10-14 x=1", "", None, "plain\n text ", "000-12-3456 GB82WEST12345698765433"]
     assert scrub(spark, given) == (given, [0] * 5)
