@@ -121,6 +121,18 @@ def test_lm_scores(docs, empty):
     assert (alone.train_tokens, alone.n_known, alone.base_score) == (0, 0, 0.0) and abs(alone.score - math.log10(1 / 256)) < 1e-5
 
 
+@pytest.mark.parametrize("head", [0, 40, 1_000_000])
+def test_order_holds_at_any_size(spark, monkeypatch, head):
+    for name, n in (("MAX_WINDOWS", 10), ("MAX_CELLS", 10), ("HEAD_WINDOWS", head)):
+        monkeypatch.setattr(lm, name, n, raising=False)
+    rng = random.Random(5)
+    texts = ["".join(rng.choices("aabcd é", k=rng.randint(0, 40))) for _ in range(60)] + ["zzz", "ab\x00ab", "abcd" * 50]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    slow = slow_ppm([t.encode() for t in texts[:40]], 4)
+    got = {r.doc_id: r.score for r in lm.score(rows, rows.where("doc_id < 40"), order=4).collect()}
+    assert len(got) == len(texts) and all(abs(got[i] - slow(t.encode())) < 1e-6 for i, t in enumerate(texts))
+
+
 def luhn(number):
     digits = [int(d) for d in reversed(number)]
     return sum(d if i % 2 == 0 else d * 2 - 9 * (d > 4) for i, d in enumerate(digits)) % 10 == 0
