@@ -9,7 +9,8 @@ The model learns from at most ``max_rows`` labelled documents (chosen by a hash
 cluster); scores are computed for every document.
 
 Defined cases: a null text is scored as an empty one; null labels and null ids do not train; repeated rows are scored
-each; a document with several labels trains with the least of them; without a training row of either class the score
+each; a document with several labels trains with the least of them; if the held-back rows lack a class, all training
+rows calibrate; without a training row of either class the score
 is the share of ones seen, or one half.
 """
 
@@ -150,8 +151,13 @@ def fit(rows: DataFrame) -> Model:
                 cell = np.floor((np.clip(model.raw(matrix(batch)), -1, 2) + 1) / 3 * CELLS).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(cell), batch.column("label")], ["cell", "label"])
 
-    grid = rows.select("x", F.col("label").cast("int").alias("label")).mapInArrow(scored, "cell int, label int")
-    cells = sorted(tuple(r) for r in grid.groupBy("cell").agg(F.sum("label"), F.count("*")).collect())
+    def grid(part: DataFrame) -> list[tuple]:
+        found = part.select("x", F.col("label").cast("int").alias("label")).mapInArrow(scored, "cell int, label int")
+        return sorted(tuple(r) for r in found.groupBy("cell").agg(F.sum("label"), F.count("*")).collect())
+
+    cells = grid(rows.where("calibrate"))
+    if not 0 < sum(c[1] for c in cells) < sum(c[2] for c in cells):
+        cells = grid(rows)
     at, good, n = (np.array(c, float) for c in zip(*cells, strict=True))
     model.knots, model.values = (at + 0.5) / CELLS * 3 - 1, pooled(at, good, n)
     return model

@@ -233,6 +233,16 @@ def test_quality(judged):
     assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r.doc_id) for r in rows if r.predicted)
 
 
+def test_calibration_is_held_back(spark):
+    row = lambda v, label, calibrate: ([v] * len(quality.STATISTICS), label, calibrate)
+    fitted = [row(float(i % 2), i % 2, False) for i in range(80)]
+    held = [row(0.0, 0, True)] * 10 + [row(1.0, i % 2, True) for i in range(10)]
+    ones = np.ones((1, len(quality.STATISTICS)))
+    fit = lambda rows: quality.fit(spark.createDataFrame(rows, "x array<double>, label int, calibrate boolean"))
+    assert abs(fit(fitted + held).score(ones)[0] - 0.5) < 1e-9
+    assert fit(fitted).score(ones)[0] == 1 and fit(fitted + held[:10]).score(ones)[0] == 1
+
+
 def test_quality_without_labels(judged):
     docs, labels = judged
     assert {r.score for r in quality.score(docs, labels.limit(0), F.lit(True)).collect()} == {0.5}
