@@ -106,14 +106,49 @@ def test_mtree_skips_pages(monkeypatch):
 
 
 @pytest.mark.parametrize(("n", "bits", "radius"), [(300, 64, 2), (130, 64, 5), (200, 256, 51), (1, 64, 2), (65, 64, 0)])
-def test_bit_sliced_comparison(n, bits, radius):
+def test_bit_sliced_comparison(n, bits, radius, monkeypatch):
     rng = np.random.default_rng(n)
     rows = rng.integers(0, 2, (n, bits), dtype=np.uint8)
     rows[n // 2 :] = rows[: n - n // 2]
     rows ^= (rng.random((n, bits)) < radius / bits / 2).astype(np.uint8)
-    i, j = simhash.close_pairs(rows, rows, radius)
     near = (rows[:, None, :] != rows[None]).sum(2) <= radius
-    assert set(zip(i.tolist(), j.tolist(), strict=True)) == set(zip(*(x.tolist() for x in np.nonzero(near)), strict=True))
+    listed = lambda found: sorted((int(a), int(b)) for i, j in found for a, b in zip(i, j, strict=True))
+    monkeypatch.setattr(simhash, "WORDS", 6)
+    assert listed(simhash.close_pairs(rows, rows[: n // 2 + 1], radius)) == [tuple(x) for x in np.argwhere(near[:, : n // 2 + 1]).tolist()]
+    assert listed(simhash.close_pairs(rows, None, radius)) == [tuple(x) for x in np.argwhere(np.triu(near, 1)).tolist()]
+
+
+def test_dense_block_is_small(spark):
+    """4,096 fingerprints all within two bits: one group, no list of all pairs."""
+    import tracemalloc
+
+    rows = np.zeros((4096, 256), np.uint8)
+    rows[np.arange(4096), np.arange(4096) % 256] = 1
+    tracemalloc.start()
+    label = np.arange(4096)
+    pieces = 0
+    for i, j in simhash.close_pairs(rows, None, 2):
+        pieces += 1
+        label = simhash.join_labels(label, i, j)
+        if not label.any():
+            break
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert not label.any() and pieces == 1 and peak < 100e6
+    every = max(len(i) for i, _ in simhash.close_pairs(rows, None, 2))
+    assert every <= 64 * simhash.WORDS
+
+
+def test_bands_follow_the_number_of_fingerprints():
+    widths = [len(simhash.lsh(n, 256, 0.8)[0]) for n in (0, 1, 1000, 10**5, 10**6)]
+    assert widths == sorted(widths) and widths[0] == 8 and widths[-1] == 16
+    rng = np.random.default_rng(1)
+    rows = rng.integers(0, 2, (2000, 256), dtype=np.uint8)
+    other = rows ^ (rng.random(rows.shape) < simhash.differing(0.8)).astype(np.uint8)
+    met = np.zeros(2000, bool)
+    for a, b in zip(simhash.band_keys(rows, bands := simhash.lsh(10**4, 256, 0.8)), simhash.band_keys(other, bands), strict=True):
+        met |= a == b
+    assert abs(met.mean() - simhash.RECALL) < 0.02
 
 
 def slow_fingerprint(text, k=3):
@@ -198,6 +233,24 @@ def test_near_copies_are_verified(spark):
     assert len(kept - apart - {1000, 1001, 1002}) <= 120 + 2
 
 
+def test_recall_at_the_similarity(spark):
+    """Single pairs at a Jaccard similarity of 0.8 to 0.82: at least nine in ten are found."""
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choices("abcdefghijklmno", k=6))
+    rows, n = [], 0
+    for i in range(400):
+        words = [word() for _ in range(210)]
+        near = [*words]
+        for at in rng.sample(range(3, 210, 10), 4):
+            near[at] = word()
+        cut = lambda w: {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+        a, b = cut(words), cut(near)
+        assert 0.8 <= len(a & b) / len(a | b) <= 0.84
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(near))]
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {2 * i for i in range(400)} <= kept and 800 - len(kept) >= 0.9 * 400
+
+
 def test_connected(spark):
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(200, 201), (201, 200), (300, 300)] + [tuple(rng.sample(range(1000, 1400), 2)) for _ in range(250)]
