@@ -2,8 +2,9 @@
 
 Pages are kept as arrays. Each entry of an inner page holds a routing vector, the radius that covers everything below
 it and the distance to its page's own routing vector; each entry of a leaf holds a vector and that distance. A search
-takes pages in the order of the least distance they can contain. Before a distance is worked out, the triangle
-inequality on the stored distances decides whether the entry can matter at all.
+takes pages in the order of the least distance they can contain, for a block of queries at once: a page comes with the
+queries that may find something there, and its distances to them are one product. Before a distance is worked out, the
+triangle inequality on the stored distances decides whether the entry can matter to any of them.
 """
 
 from __future__ import annotations
@@ -23,8 +24,11 @@ class Points:
     def __init__(self, x: np.ndarray, square: float | None = None) -> None:
         self.x, self.squares = x, np.einsum("ij,ij->i", x, x) if square is None else np.full(len(x), square)
 
-    def distances(self, to: np.ndarray, square: float, keep: slice | np.ndarray = slice(None)) -> np.ndarray:
-        return np.sqrt(np.maximum(0, self.squares[keep] + square - 2 * (self.x[keep] @ to)))
+    def distances(self, to: np.ndarray, square: float | np.ndarray, keep: slice | np.ndarray = slice(None)) -> np.ndarray:
+        """To one vector, or with rows of vectors and their squares (rows of ``to``, kept points)."""
+        if to.ndim == 1:
+            return np.sqrt(np.maximum(0, self.squares[keep] + square - 2 * (self.x[keep] @ to)))
+        return np.sqrt(np.maximum(0, self.squares[keep] + np.asarray(square)[:, None] - 2 * (to @ self.x[keep].T)))
 
 
 class Tree:
@@ -77,41 +81,60 @@ class Tree:
         self.pages[at] = (routes, np.array(radii), routes.distances(pivot, float(pivot @ pivot)), np.array(children))
         return float(parent.max())
 
-    def search(self, query: np.ndarray, own: int, k: int, limit: float) -> list[tuple[float, int, int]]:
-        """The k nearest rows but those of id ``own``, no farther than ``limit``: (distance, id, row), ties by id."""
-        square = float(query @ query)
+    def search(self, queries: np.ndarray, own: np.ndarray, k: int, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each query the k nearest rows but those of its own id, no farther than its limit: (distances, rows), nearest
+        first, ties by id, rows -1 where there are fewer."""
+        n = len(queries)
+        squares = np.einsum("ij,ij->i", queries, queries)
         # what a rounded distance may be off by: squares of this size cancel in it
-        slack = 1e-6 * (1 + np.sqrt(square))
-        best: list[tuple[float, int, int]] = []
-        todo = [(0.0, 0, float(np.sqrt(((query - self.pivot) ** 2).sum())))]
+        slack = 1e-6 * (1 + np.sqrt(squares))
+        limit = np.array(limit, float)
+        best, at = np.full((n, k), np.inf), np.full((n, k), -1, np.int64)
+        start = np.sqrt(((queries - self.pivot) ** 2).sum(1))
+        todo = [(0.0, 0, np.arange(n), np.zeros(n), start)]
         while todo:
-            least, page, to_pivot = heapq.heappop(todo)
-            reach = limit * (1 + SLACK) + slack
-            if least > reach:
-                break
+            _, page, who, least, to_pivot = heapq.heappop(todo)
+            reach = limit[who] * (1 + SLACK) + slack[who]
+            still = least <= reach
+            who, least, to_pivot, reach = who[still], least[still], to_pivot[still], reach[still]
+            if not len(who):
+                continue
             routes, radii, parent, below = self.pages[page]
-            gap = np.abs(to_pivot - parent)
+            gap = np.abs(to_pivot[:, None] - parent)
             if routes is not None:
-                may = np.flatnonzero(gap - radii <= reach)
-                d = routes.distances(query, square, may)
-                low = np.maximum(least, d - radii[may])
-                for j in np.flatnonzero(low <= reach):
-                    heapq.heappush(todo, (float(low[j]), int(below[may[j]]), float(d[j])))
-                continue
-            rows = slice(below, below + len(parent))
-            may = gap <= reach
-            if not may.all():
-                rows = below + np.flatnonzero(may)
-            d = self.points.distances(query, square, rows)
-            close = np.flatnonzero(d <= reach)
-            if not len(close):
+                may = gap - radii <= reach[:, None]
+                asked = np.flatnonzero(may.any(0))
+                if len(asked):
+                    d = routes.distances(queries[who], squares[who], asked)
+                    low = np.maximum(least[:, None], d - radii[asked])
+                    into = may[:, asked] & (low <= reach[:, None])
+                    for c in np.flatnonzero(into.any(0)):
+                        q = np.flatnonzero(into[:, c])
+                        heapq.heappush(todo, (float(low[q, c].min()), int(below[asked[c]]), who[q], low[q, c], d[q, c]))
                 continue
-            d, names = d[close], self.ids[rows][close]
-            place = close + below if isinstance(rows, slice) else rows[close]
-            order = np.lexsort((names, d))[: k + 1]  # one more than k, as the query's own may be among them
-            best += [(float(d[i]), int(names[i]), int(place[i])) for i in order if names[i] != own]
-            best.sort()
-            del best[k:]
-            if len(best) == k:
-                limit = min(limit, best[-1][0])
-        return best
+            may = gap <= reach[:, None]
+            asked = np.flatnonzero(may.any(0))
+            if len(asked):
+                d = self.points.distances(queries[who], squares[who], below + asked)
+                fits = may[:, asked] & (d <= reach[:, None]) & (self.ids[below + asked] != own[who][:, None])
+                self._keep(best, at, limit, who, np.where(fits, d, np.inf), below + asked, k)
+        return best, at
+
+    def _keep(self, best: np.ndarray, at: np.ndarray, limit: np.ndarray, who: np.ndarray, d: np.ndarray, rows: np.ndarray, k: int) -> None:
+        """Take the distances ``d`` of queries ``who`` to ``rows`` into their best k, and lower their limits."""
+        new = (d <= best[who, -1][:, None]) & (d < np.inf)  # an equal one may have the smaller id
+        some = np.flatnonzero(new.any(1))
+        if not len(some):
+            return
+        who = who[some]
+        both = np.hstack([best[who], np.where(new[some], d[some], np.inf)])
+        place = np.hstack([at[who], np.broadcast_to(rows, (len(who), len(rows)))])
+        edge = np.partition(both, k - 1, axis=1)[:, k - 1]
+        q, c = np.nonzero((both <= edge[:, None]) & (both < np.inf))  # all that reach the k-th, ties too
+        order = np.lexsort((self.ids[place[q, c]], both[q, c], q))
+        q, c = q[order], c[order]
+        rank = np.arange(len(q)) - np.searchsorted(q, q)
+        q, c, rank = q[rank < k], c[rank < k], rank[rank < k]
+        best[who], at[who] = np.inf, -1
+        best[who[q], rank], at[who[q], rank] = both[q, c], place[q, c]
+        limit[who] = np.minimum(limit[who], best[who, -1])

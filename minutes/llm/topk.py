@@ -2,17 +2,21 @@
 
 Vectors are lifted by one coordinate, sqrt(M^2 - |x|^2) with M the greatest norm, so that all have the norm M and the
 largest inner product is the least distance. The index is fitted on a bounded sample: PIVOTS routing vectors. Every
-vector goes to its nearest one; vectors of one routing vector are cut into subtrees of about TREE by a hash of the id,
-so that a crowd of equal vectors is spread, and each subtree is stored as one row (``mtree``).
+vector goes to its nearest one; vectors of one routing vector are cut into subtrees by a hash of the id, so that a crowd
+of equal vectors is spread, and each subtree is stored as one row (``mtree``). A subtree has TREE vectors, more for a
+table of over TREE * TREES, at most TREE_BYTES.
 
 A query first searches one subtree of its nearest routing vector, which bounds the distance of its k-th neighbour; then
-only the subtrees that can hold something nearer, by routing distance and covering radius. Queries meet subtrees in
-blocks of QUERIES. Scores are summed from the unlifted vectors, and the best k of all subtrees are ranked by score.
-For vectors of whole numbers below 2^20 with norms below 2^26 scores and ties are exact.
+only the subtrees that can hold something nearer, by routing distance and covering radius. Queries go to subtrees: a
+subtree that no query asks is not read, and one that very many ask (more than QUERY_BYTES of them) is searched in several
+tasks. The best k of all subtrees are ranked by score. Scores are sums of products of whole numbers: as long as no squared
+norm passes 2^53, all of them are exact in a double, and a table with a longer vector is refused.
 
 Defined cases: vectors that are null, or hold a null or a component that is not finite, take no part, nor do null ids;
-shorter vectors count as filled up with zeros; rows that repeat an id count once (the least vector), and no query finds
-its own id; fewer than k other vectors give all of them; an empty table gives no rows.
+shorter vectors count as filled up with zeros, empty and very long ones are vectors like any other; rows that repeat an
+id count once (the least vector), and no query finds its own id; fewer than k other vectors give all of them; ties go to
+the smaller id; an empty table gives no rows. Only the id and the vector column are read, under names of their own, so
+other columns may have any name.
 """
 
 from __future__ import annotations
@@ -30,14 +34,18 @@ from pyspark.sql import Window
 from .common import stored
 from .mtree import Points, Tree
 
-#: Vectors in a subtree, the most routing vectors, and queries that a task holds at once.
-TREE, PIVOTS, QUERIES = 8192, 1024, 512
+#: Vectors in a subtree at least, subtrees from which on they grow instead, the most routing vectors.
+TREE, TREES, PIVOTS = 8192, 512, 1024
+#: Bytes of a subtree's vectors at most, of the queries that one task asks of it, and queries searched at once.
+TREE_BYTES, QUERY_BYTES, QUERIES = 64 << 20, 32 << 20, 512
+#: Up to this squared norm products of whole numbers are exact in a double.
+EXACT = 2.0**53
 
 
 def vectors(df: DataFrame, id_col: str, vec_col: str, scale: Column | None = None) -> DataFrame:
     """(vec_id, v array<double>) of the rows that take part."""
     v = F.col(vec_col).cast("array<double>")
-    good = v.isNotNull() & F.forall(v, lambda x: F.coalesce(x.between(-1.7e308, 1.7e308), F.lit(False)))
+    good = v.isNotNull() & F.forall(v, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
     own = df.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull()).where(good.alias("good"))
     return own.groupBy("vec_id").agg(F.min("v").alias("v"))
 
@@ -65,7 +73,10 @@ def search(all_vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     out = "query_id long, rank int, vec_id long, score long"
     if not n:
         return spark.createDataFrame([], out)
-    count = int(min(PIVOTS, max(1, -(-n // TREE))))
+    if top > EXACT:
+        raise ValueError(f"a squared norm of {top} passes 2^53: products would not be exact")
+    each = max(1, min(max(TREE, n // TREES), TREE_BYTES // (8 * (size + 1))))
+    count = int(min(PIVOTS, max(1, -(-n // each))))
     chosen = base.orderBy(F.xxhash64("vec_id"), "vec_id").limit(count).select("v").toArrow()
     pivots = lift(unpack(chosen.column("v").combine_chunks(), size), top)
     sent = spark.sparkContext.broadcast(pivots)
@@ -79,7 +90,7 @@ def search(all_vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(d2.argmin(1).astype(np.int32))], ["vec_id", "v", "pivot"])
 
     placed = stored(base.mapInArrow(place, "vec_id long, v array<double>, pivot int"), "placed")
-    cuts = placed.groupBy("pivot").agg(F.ceil(F.count("*") / TREE).cast("int").alias("cuts"))
+    cuts = placed.groupBy("pivot").agg(F.ceil(F.count("*") / each).cast("int").alias("cuts"))
     spread = placed.join(F.broadcast(cuts), "pivot").withColumn("cut", F.pmod(F.xxhash64("vec_id"), F.col("cuts")).cast("int"))
 
     def build(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -89,26 +100,37 @@ def search(all_vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
 
     trees = stored(spread.groupBy("pivot", "cut").applyInPandas(build, "pivot int, cut int, radius double, tree binary"), "trees")
     queries = placed.where(is_query).withColumnRenamed("vec_id", "query_id")
-    blocks = max(1, -(-queries.count() // QUERIES))
-    queries = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
-    served = trees.select("pivot", "cut", "tree", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    held = max(1, QUERY_BYTES // (8 * (size + 1)))
 
-    def find(key: tuple, one: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        rows = []
+    def find(asked: pd.DataFrame, one: pd.DataFrame) -> pd.DataFrame:
+        names, found, scores = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
         if len(one) and len(asked):
             tree: Tree = pickle.loads(one["tree"].iloc[0])
-            lifted = unpack(pa.array(asked["v"]), size)
-            for name, q, limit in zip(asked["query_id"], np.hstack([lifted, np.zeros((len(asked), 1))]), asked["reach"], strict=True):
-                rows += [(name, i, float(tree.points.x[row] @ q)) for _, i, row in tree.search(q, name, k, limit)]
-        return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+            for at in range(0, len(asked), QUERIES):
+                part = asked.iloc[at : at + QUERIES]
+                q = unpack(pa.array(part["v"]), size)
+                own = part["query_id"].to_numpy()
+                _, rows = tree.search(np.hstack([q, np.zeros((len(q), 1))]), own, k, part["reach"].to_numpy())
+                i, j = np.nonzero(rows >= 0)
+                names.append(own[i])
+                found.append(tree.ids[rows[i, j]])
+                scores.append(np.einsum("ij,ij->i", q[i], tree.points.x[rows[i, j], :-1]))
+        return pd.DataFrame({"query_id": np.concatenate(names), "vec_id": np.concatenate(found), "score": np.concatenate(scores)})
+
+    def run(asked: DataFrame) -> DataFrame:
+        """Searches of (pivot, cut, query_id, v, reach), each subtree sent once for every ``held`` queries that ask it."""
+        parts = asked.groupBy("pivot", "cut").agg(F.ceil(F.count("*") / held).cast("int").alias("parts"))
+        place = ["pivot", "cut", "part"]
+        left = asked.join(F.broadcast(parts), ["pivot", "cut"]).withColumn("part", F.pmod(F.xxhash64("query_id"), F.col("parts")).cast("int"))
+        other = parts.select(F.col("pivot").alias("p"), F.col("cut").alias("c"), F.col("parts").alias("n"))
+        right = trees.join(F.broadcast(other), F.expr("pivot = p and cut = c")).select(F.col("p").alias("pivot"), F.col("c").alias("cut"), "tree", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("part"))
+        return left.groupBy(*place).cogroup(right.groupBy(*place)).applyInPandas(find, "query_id long, vec_id long, score double")
 
-    groups = ["pivot", "cut", "block"]
-    run = lambda asked: asked.groupBy(*groups).cogroup(served.groupBy(*groups)).applyInPandas(lambda key, a, b: find(key, b, a), "query_id long, vec_id long, score double")
     first = queries.join(F.broadcast(cuts), "pivot").withColumn("cut", F.pmod(F.xxhash64("query_id"), F.col("cuts")).cast("int")).withColumn("reach", F.lit(float("inf")))
     near = run(first).groupBy("query_id").agg(F.min("score").alias("least"), F.count("*").alias("n"))
     # the distance of the k-th so far; d^2 = |q|^2 + M^2 - 2 q.x
     bound = F.sqrt(F.greatest(F.lit(0.0), norm + F.lit(float(top)) - 2 * F.col("least"))) * (1 + 1e-9) + 1e-6
-    known = stored(queries.join(near, "query_id", "left").withColumn("reach", F.when(F.col("n") >= k, bound).otherwise(float("inf"))).select("query_id", "v", "block", "reach"), "bounds")
+    known = stored(queries.join(near, "query_id", "left").withColumn("reach", F.when(F.col("n") >= k, bound).otherwise(float("inf"))).select("query_id", "v", "reach"), "bounds")
     radii = np.zeros(count)
     for r in trees.groupBy("pivot").agg(F.max("radius").alias("radius")).collect():
         radii[r["pivot"]] = r["radius"]
@@ -120,10 +142,10 @@ def search(all_vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
                 reach = batch.column("reach").to_numpy()
                 routes = Points(sent.value)
                 kept = [np.flatnonzero(routes.distances(x, float(x @ x)) - radii <= r * (1 + 1e-9) + 1e-6 * (1 + np.sqrt(x @ x))) for x, r in zip(q, reach, strict=True)]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(kept, pa.list_(pa.int32()))], ["query_id", "v", "block", "reach", "pivots"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(kept, pa.list_(pa.int32()))], ["query_id", "v", "reach", "pivots"])
 
-    routed = known.mapInArrow(route, "query_id long, v array<double>, block int, reach double, pivots array<int>")
-    every = routed.withColumn("pivot", F.explode("pivots")).drop("pivots").join(trees.select("pivot", F.col("cut").alias("part")), "pivot").withColumnRenamed("part", "cut")
+    routed = known.mapInArrow(route, "query_id long, v array<double>, reach double, pivots array<int>")
+    every = routed.withColumn("pivot", F.explode("pivots")).drop("pivots").join(F.broadcast(trees.select("pivot", "cut")), "pivot")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     best = run(every).withColumn("rank", rank).where(F.col("rank") <= k)
     return best.select("query_id", "rank", "vec_id", F.col("score").cast("long").alias("score"))

@@ -78,6 +78,7 @@ def brute_topk(rows, k):
 def test_topk(spark, monkeypatch):
     monkeypatch.setattr(topk, "TREE", 40)
     monkeypatch.setattr(topk, "QUERIES", 16)
+    monkeypatch.setattr(topk, "QUERY_BYTES", 40 * 30)
     rng = np.random.default_rng(4)
     rows = [(int(i), [float(x) for x in rng.integers(-3, 4, 4)]) for i in range(300)] + [(1000 + i, [1.0, 2.0, 0.0, 3.0]) for i in range(100)] + [(2000, [5.0]), (2005, [])]
     junk = [(None, [1.0]), (3000, None), (3001, [1.0, None]), (3002, [float("nan")]), (3003, [float("inf")]), (0, [9.0] * 4)]
@@ -91,6 +92,8 @@ def test_topk_few_and_none(spark):
     df = spark.createDataFrame([(5, [1.0]), (6, [2.0])], "vec_id long, embedding array<double>")
     search = lambda d: [tuple(r) for r in topk.search(topk.vectors(d, "vec_id", "embedding"), F.col("vec_id") % 5 == 0).collect()]
     assert search(df) == [(5, 1, 6, 2)] and search(df.limit(0)) == [] and search(df.where("vec_id = 5")) == []
+    with pytest.raises(ValueError, match="2\\^53"):
+        search(df.withColumn("embedding", F.array(F.lit(1e8))))
 
 
 def test_mtree_skips_pages(monkeypatch):
@@ -99,10 +102,10 @@ def test_mtree_skips_pages(monkeypatch):
     tree = mtree.Tree(np.arange(len(x)), x, x[0])
     looked = []
     plain = mtree.Points.distances
-    monkeypatch.setattr(mtree.Points, "distances", lambda *a: looked.append(len(d := plain(*a))) or d)
-    got = tree.search(x[3], 3, 5, np.inf)
+    monkeypatch.setattr(mtree.Points, "distances", lambda *a: looked.append((d := plain(*a)).shape[-1]) or d)
+    _, rows = tree.search(x[[3]], np.array([3]), 5, np.array([np.inf]))
     want = sorted((float(np.sqrt(((x[i] - x[3]) ** 2).sum())), i) for i in range(len(x)) if i != 3)[:5]
-    assert [i for _, i, _ in got] == [i for _, i in want] and sum(looked) < len(x) / 4
+    assert tree.ids[rows[0]].tolist() == [i for _, i in want] and sum(looked) < len(x) / 4
 
 
 @pytest.mark.parametrize(("n", "bits", "radius"), [(300, 64, 2), (130, 64, 5), (200, 256, 51), (1, 64, 2), (65, 64, 0)])
