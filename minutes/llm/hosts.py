@@ -5,10 +5,15 @@ level above (all pages, public suffix, registered domain, host); how strong it i
 that level differ beyond chance (a method of moments). A page is blocked if the upper bound of its host's posterior
 share of good pages lies below a threshold, so a host needs bad outcomes, its own or its domain's, to be blocked.
 
+For reputation a host goes without user and port. The public suffix is the longest of ``suffixes`` that it ends with,
+else its last label; the registered domain has one label more. A numeric address is a domain of its own, and all of
+them share a suffix.
+
 Defined cases: a null url or one without :// has an empty host and path and is judged as a host of its own; labels
 that are null, or of no page, do not count, and every label of a page counts as an outcome; rows that repeat an id are
 judged row by row, and each counts with the page's labels; a null page_id has no labels; without any label every host
-stands at one half and is allowed.
+stands at one half and is allowed; urls of any length are read whole; an empty table gives no rows. Only the id and the
+url column are read, under names of their own, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -19,6 +24,14 @@ from pyspark.sql import functions as F
 from .common import stored
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+# Common public suffixes of two labels. A deployment passes the list it keeps, of any number of labels.
+SUFFIXES = (
+    "ac.jp", "ac.nz", "ac.uk", "ac.za", "co.id", "co.il", "co.in", "co.jp", "co.kr", "co.nz", "co.th", "co.uk", "co.za", "com.ar", "com.au", "com.br",
+    "com.cn", "com.co", "com.eg", "com.hk", "com.mx", "com.my", "com.ng", "com.pe", "com.ph", "com.pk", "com.pl", "com.sa", "com.sg", "com.tr", "com.tw",
+    "com.ua", "com.ve", "com.vn", "edu.au", "edu.cn", "go.jp", "go.kr", "gob.ar", "gob.mx", "gov.au", "gov.br", "gov.cn", "gov.in", "gov.uk", "ltd.uk",
+    "me.uk", "ne.jp", "net.au", "net.br", "net.cn", "net.nz", "net.uk", "or.jp", "or.kr", "org.au", "org.br", "org.cn", "org.nz", "org.uk", "plc.uk",
+)
+ADDRESS = r"^(?:[0-9]+(?:\.[0-9]+){3}|\[.*)$"
 #: Limits of a prior's strength in pages, the normal quantile of the bound, and the least share of good pages.
 WEAKEST, STRONGEST, QUANTILE, LEAST_GOOD = 1.0, 1000.0, 1.645, 0.5
 
@@ -40,12 +53,23 @@ def matching_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> t
     return rule, verdict
 
 
-def suffix(host: Column) -> Column:
-    return F.substring_index(host, ".", -1)
+def name_of(host: Column) -> Column:
+    """A host without user and port."""
+    return F.regexp_replace(F.regexp_replace(host, "^.*@", ""), ":[0-9]*$", "")
+
+
+def suffix(name: Column, suffixes: tuple[str, ...] = SUFFIXES) -> Column:
+    out = F.when(name.rlike(ADDRESS), "")
+    for n in sorted({s.count(".") + 1 for s in suffixes}, reverse=True):
+        tail = F.substring_index(name, ".", -n)
+        out = out.when(tail.isin([s for s in suffixes if s.count(".") + 1 == n]), tail)
+    return out.otherwise(F.substring_index(name, ".", -1))
 
 
-def domain(host: Column) -> Column:
-    return F.substring_index(host, ".", -2)
+def domain(name: Column, of: Column) -> Column:
+    """The registered domain: the suffix and one label before it."""
+    labels = F.size(F.split(of, r"\.")) + 1
+    return F.when(of == "", name).otherwise(F.array_join(F.slice(F.split(name, r"\."), -F.least(labels, F.size(F.split(name, r"\."))), labels), "."))
 
 
 def strength(groups: DataFrame, s: str, n: str, mean: str) -> float:
@@ -58,9 +82,10 @@ def strength(groups: DataFrame, s: str, n: str, mean: str) -> float:
     return min(STRONGEST, max(WEAKEST, 1 / r - 1 if r > 0 else STRONGEST))
 
 
-def reputation(hosts: DataFrame) -> DataFrame:
-    """(host, good_upper) from (host, good, labelled): counts of good and of all labelled pages."""
-    base = stored(hosts.withColumn("domain", domain(F.col("host"))).withColumn("suffix", suffix(F.col("host"))), "hosts")
+def reputation(hosts: DataFrame, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
+    """(host, good_upper) from (host, good, labelled), names without user and port: counts of good and of all labelled pages."""
+    base = hosts.withColumn("suffix", suffix(F.col("host"), suffixes))
+    base = stored(base.withColumn("domain", domain(F.col("host"), F.col("suffix"))), "hosts")
     good, labelled = base.agg(F.sum("good"), F.sum("labelled")).first()
     mean = good / labelled if labelled else 0.5
     levels = base
@@ -80,23 +105,25 @@ def reputation(hosts: DataFrame) -> DataFrame:
     return levels.select("host", upper.alias("good_upper"))
 
 
-def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", label_id: str = "doc_id", label_col: str = "quality") -> DataFrame:
+def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", label_id: str = "doc_id", label_col: str = "quality", suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
     """(id, host, path, rule, verdict) for every page."""
     host, path = host_and_path(F.col(url_col))
-    own = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
+    own = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"), name_of(host).alias("name"))
     outcome = labels.select(F.col(label_id).alias("page_id"), F.col(label_col).alias("label")).dropna()
     by_page = outcome.groupBy("page_id").agg(F.sum((F.col("label") == 1).cast("long")).alias("good"), F.count("*").alias("labelled"))
     zero = F.lit(0).cast("long")
-    counts = own.select("page_id", "host").join(by_page, "page_id", "left").groupBy("host").agg(F.coalesce(F.sum("good"), zero).alias("good"), F.coalesce(F.sum("labelled"), zero).alias("labelled"))
-    known = reputation(counts)
+    counts = own.select("page_id", F.col("name").alias("host")).join(by_page, "page_id", "left").groupBy("host").agg(F.coalesce(F.sum("good"), zero).alias("good"), F.coalesce(F.sum("labelled"), zero).alias("labelled"))
+    known = reputation(counts, suffixes).withColumnRenamed("host", "name")
     rule, said = matching_rule(F.col("host"), F.col("path"), rules)
-    judged = own.join(known, "host", "left")
+    judged = own.join(known, "name", "left")
     method = F.when(F.col("good_upper") < LEAST_GOOD, "block").otherwise("allow")
     return judged.select(F.col("page_id").alias(id_col), "host", "path", rule.alias("rule"), F.coalesce(said, method).alias("verdict"))
 
 
-def sql(pages: str, labels: str, rules: list[tuple[str, str]]) -> str:
-    """The same in SQL, for tables with the default names."""
+def sql(pages: str, labels: str, rules: list[tuple[str, str]], suffixes: tuple[str, ...] = SUFFIXES) -> str:
+    """The same in SQL, for tables with the default names and suffixes of two labels."""
+    last = lambda n: f"array_to_string(list_slice(string_split(host, '.'), -{n}, -1), '.')"
+    known = ", ".join(f"'{s}'" for s in suffixes)
     ordered = sorted(rules, key=lambda r: (-len(r[1]), r[1]))
 
     def fits(text: str) -> str:
@@ -112,9 +139,11 @@ def sql(pages: str, labels: str, rules: list[tuple[str, str]]) -> str:
     return f"""
     WITH cut AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END rest FROM {pages}),
     own AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{UPPER}', '{LOWER}') host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) path FROM cut),
+    bare AS (SELECT *, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') name FROM own),
     outcome AS (SELECT doc_id page_id, sum((quality = 1)::INT)::DOUBLE good, count(*)::DOUBLE labelled FROM {labels} WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY 1),
-    hosts AS (SELECT host, coalesce(sum(good), 0) good, coalesce(sum(labelled), 0) labelled FROM own LEFT JOIN outcome USING (page_id) GROUP BY 1),
-    named AS (SELECT *, list_extract(string_split(host, '.'), -1) suffix, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') domain FROM hosts),
+    hosts AS (SELECT name host, coalesce(sum(good), 0) good, coalesce(sum(labelled), 0) labelled FROM bare LEFT JOIN outcome USING (page_id) GROUP BY 1),
+    cut_hosts AS (SELECT *, CASE WHEN regexp_matches(host, '{ADDRESS}') THEN '' WHEN {last(2)} IN ({known}) THEN {last(2)} ELSE {last(1)} END suffix FROM hosts),
+    named AS (SELECT *, CASE WHEN suffix = '' THEN host WHEN contains(suffix, '.') THEN {last(3)} ELSE {last(2)} END domain FROM cut_hosts),
     whole AS (SELECT CASE WHEN sum(labelled) > 0 THEN sum(good) / sum(labelled) ELSE 0.5 END mean FROM named),
     suffixes AS (SELECT suffix, sum(good) g, sum(labelled) n, (SELECT mean FROM whole) parent FROM named GROUP BY 1),
     s AS (SELECT suffix, (g + k * parent) / (n + k) mean FROM suffixes, (SELECT {strength("suffixes", "g", "n", "parent")} k)),
@@ -124,5 +153,5 @@ def sql(pages: str, labels: str, rules: list[tuple[str, str]]) -> str:
     post AS (SELECT host, good + k * m a, labelled - good + k * (1 - m) b FROM h, (SELECT {strength("h", "good", "labelled", "m")} k)),
     bound AS (SELECT host, a / (a + b) + {QUANTILE} * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) top FROM post)
     SELECT page_id, own.host, path, CASE {rule} END AS rule, CASE {said} WHEN top < {LEAST_GOOD} THEN 'block' ELSE 'allow' END AS verdict
-    FROM (SELECT * FROM own) own LEFT JOIN (SELECT host AS bound_host, top FROM bound) ON own.host = bound_host
+    FROM bare own LEFT JOIN (SELECT host AS bound_host, top FROM bound) ON own.name = bound_host
     """

@@ -380,4 +380,23 @@ def test_reputation(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string")
     marks = spark.createDataFrame([*labels, (None, 1), (0, None), (10**6, 0)], "doc_id long, quality int")
     got = {r.host: r.verdict for r in hosts.judge(pages, marks, RULES).collect()}
-    assert got == {"bad.a.org": "block", "ok.a.org": "allow", "new.a.org": "allow", "x.b.com": "allow", "y.b.com": "allow", "z.spam.com": "block", "w.spam.com": "block", "v.spam.com": got["v.spam.com"]}
+    # a host without labels stands as its domain does
+    assert got == {"bad.a.org": "block", "ok.a.org": "allow", "new.a.org": "allow", "x.b.com": "allow", "y.b.com": "allow", "z.spam.com": "block", "w.spam.com": "block", "v.spam.com": "block"}
+
+
+def test_registered_domains(spark):
+    given = ["shop.a.co.uk", "a.co.uk", "co.uk", "x.b.com", "b.com", "com", "10.0.0.1", "[::1]", "", "a.b.city.kawasaki.jp"]
+    rows = spark.createDataFrame(list(enumerate(given)), "i int, name string").orderBy("i")
+    own = hosts.suffix(F.col("name"), ("city.kawasaki.jp", *hosts.SUFFIXES))
+    assert [tuple(r) for r in rows.select(own, hosts.domain(F.col("name"), own)).collect()] == [
+        ("co.uk", "a.co.uk"), ("co.uk", "a.co.uk"), ("co.uk", "co.uk"), ("com", "b.com"), ("com", "b.com"), ("com", "com"), ("", "10.0.0.1"), ("", "[::1]"), ("", ""), ("city.kawasaki.jp", "b.city.kawasaki.jp"),
+    ]
+    rows, labels, n = [], [], 0
+    for host, good, bad in (("www.bad.co.uk", 0, 60), ("www.good.co.uk", 60, 0), ("new.bad.co.uk", 0, 0), ("new.good.co.uk", 0, 0), ("u@www.bad.co.uk:8080", 0, 0), ("other.org", 60, 5)):
+        for i in range(max(1, good + bad)):
+            rows.append((n, f"http://{host}/{i}", "x"))
+            labels += [(n, int(i < good))] if good + bad else []
+            n += 1
+    pages = spark.createDataFrame(rows, "page_id long, url string, name string")
+    got = {r.host: r.verdict for r in hosts.judge(pages, spark.createDataFrame(labels, "doc_id long, quality int"), []).collect()}
+    assert got == {"www.bad.co.uk": "block", "www.good.co.uk": "allow", "new.bad.co.uk": "block", "new.good.co.uk": "allow", "u@www.bad.co.uk:8080": "block", "other.org": "allow"}
