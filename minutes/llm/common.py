@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -12,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own_dir: list[str] = []
+#: What open scopes have stored so far.
+_scopes: list[list[str]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,24 +23,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; only where that is unset (tests, local runs), one of our own."""
+    """The folder in ``spark.checkpoint.dir``; only where that is unset and Spark runs in this process alone (tests, local
+    runs), one of our own. On a cluster a folder of this machine would be another one on each executor."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="minutes-"))
     return f"file://{_own_dir[0]}"
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/minutes/{name}-{uuid.uuid4().hex}"
+def scratch(spark: SparkSession, name: str, keep: bool = False) -> str:
+    path = f"{shared_dir(spark)}/minutes/{name}-{uuid.uuid4().hex}"
+    if _scopes and not keep:
+        _scopes[-1].append(path)
+    return path
 
 
-def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """What operators store within the scope is deleted when it ends. Operators return tables that are not worked out yet,
+    so write the result within the scope, to a place of one's own (or ``stored`` with ``keep``)."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def stored(df: DataFrame, name: str, codec: str = "zstd", keep: bool = False) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage is cut, nothing is computed twice,
     and a lost executor costs only the tasks it was running."""
     spark = df.sparkSession
-    path = scratch(spark, name)
+    path = scratch(spark, name, keep)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -11,7 +11,9 @@ cluster); scores are computed for every document.
 Defined cases: a null text is scored as an empty one; null labels and null ids do not train; repeated rows are scored
 each; a document with several labels trains with the least of them; if the held-back rows lack a class, all training
 rows calibrate; without a training row of either class the score
-is the share of ones seen, or one half.
+is the share of ones seen, or one half; a very long text is one row of its task and is scored whole; an empty table
+gives no rows. ``score`` reads the id and the text column only, under names of its own, so other columns may have any
+name; ``keep_good`` gives back the columns of its input, whatever their names.
 """
 
 from __future__ import annotations
@@ -163,21 +165,23 @@ def fit(rows: DataFrame) -> Model:
     return model
 
 
-def learn(own: DataFrame, labels: DataFrame, train: Column, id_col: str, label_col: str, max_rows: int) -> Model:
-    """A model from the statistics ``own`` (doc_id, x) of the documents with a label."""
+def chosen(labels: DataFrame, train: Column, id_col: str, label_col: str, max_rows: int) -> DataFrame:
+    """(doc_id, label, calibrate) of about ``max_rows`` documents to learn from at most."""
     labelled = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).where(train).dropna()
     labelled = labelled.groupBy("doc_id").agg(F.min("label").alias("label"))
     share = min(1.0, max_rows / max(1, labelled.count()))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    chosen = labelled.where(place < int(share * (1 << 30))) if share < 1 else labelled
+    some = labelled.where(place < int(share * (1 << 30))) if share < 1 else labelled
     calibrate = F.pmod(F.crc32(F.concat(F.lit("calibrate"), F.col("doc_id").cast("string")).cast("binary")), F.lit(5)) == 0
-    return fit(stored(own.join(chosen, "doc_id").select("x", "label", calibrate.alias("calibrate")), "training"))
+    return stored(some.select("doc_id", "label", calibrate.alias("calibrate")), "chosen")
 
 
 def score(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", cut: float = 0.3, max_rows: int = MAX_ROWS) -> DataFrame:
     """(id, score, predicted) for every row; labels are learned where ``train``, an expression of ``doc_id``, holds."""
     own = stored(features(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text"), "statistics")
-    model = docs.sparkSession.sparkContext.broadcast(learn(own, labels, train, id_col, label_col, max_rows))
+    # a bounded number of narrow rows
+    rows = own.join(F.broadcast(chosen(labels, train, id_col, label_col, max_rows)), "doc_id")
+    model = docs.sparkSession.sparkContext.broadcast(fit(stored(rows.select("x", "label", "calibrate"), "training")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,9 +193,11 @@ def score(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", cut: float = 0.3, max_rows: int = MAX_ROWS) -> DataFrame:
-    """The rows of ``docs`` that the classifier accepts. Each is judged where it is read, so no text is shuffled."""
-    own = stored(features(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text"), "statistics")
-    model = docs.sparkSession.sparkContext.broadcast(learn(own, labels, train, id_col, label_col, max_rows))
+    """The rows of ``docs`` that the classifier accepts. Statistics are worked out of the texts to learn from, then of each
+    text where it is judged; no text is shuffled."""
+    some = F.broadcast(chosen(labels, train, id_col, label_col, max_rows))
+    known = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(some, "doc_id")
+    model = docs.sparkSession.sparkContext.broadcast(fit(stored(features(known, "text").select("x", "label", "calibrate"), "training")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text_col, 4 << 20):

@@ -15,9 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Terms of the broadcast head, and the longest term it takes (in bytes): 200,000 x 64 B bounds it by 13 MB.
+#: Terms of the broadcast head, and the longest of them (in bytes): 200,000 x 64 B bounds it by 13 MB.
 HEAD_TERMS = 200_000
 HEAD_BYTES = 64
+#: Longer terms of the head, up to LONG_BYTES each: as many of the commonest as this bounds.
+LONG_TERMS, LONG_BYTES = 500, 1 << 14
 #: Distinct terms a task gathers before it hands them on.
 FLUSH = 250_000
 
@@ -47,26 +49,33 @@ def count_terms(docs: DataFrame, column: str, split: Callable[[pa.Array], Iterat
     return docs.select(column).mapInArrow(run, f"term {kind}, freq long").groupBy("term").agg(F.sum("freq").alias("freq"))
 
 
-def head(vocabulary: DataFrame, value: str) -> dict:
-    """The values of the most frequent terms: at most HEAD_TERMS of at most HEAD_BYTES bytes each.
+def commonest(vocabulary: DataFrame, value: str, most: int) -> dict:
+    """The values of the most frequent terms, at most ``most``.
 
     The frequency limit comes from a histogram of frequencies (64 x 4 bins), so no sort of the vocabulary.
     """
-    short = vocabulary.where(F.octet_length("term") <= HEAD_BYTES)
     cell = F.floor(F.log2(F.col("freq").cast("double")) * 4).cast("int")
-    bins = sorted(((r[0], r[1]) for r in short.groupBy(cell.alias("cell")).count().collect()), reverse=True)
+    bins = sorted(((r[0], r[1]) for r in vocabulary.groupBy(cell.alias("cell")).count().collect()), reverse=True)
     least, held = None, 0
     for at, n in bins:
-        if held + n > HEAD_TERMS:
+        if held + n > most:
             break
         least, held = at, held + n
     if least is None:
         return {}
-    found = short.where(cell >= least).select("term", value).toArrow()
+    found = vocabulary.where(cell >= least).select("term", value).toArrow()
     keys = found.column("term").to_pylist()
     return dict(zip((bytes(k) if isinstance(k, bytearray) else k for k in keys), found.column(value).to_pylist(), strict=True))
 
 
+def head(vocabulary: DataFrame, value: str) -> dict:
+    """The values of the most frequent terms: at most HEAD_TERMS of at most HEAD_BYTES bytes, and LONG_TERMS longer ones of
+    at most LONG_BYTES. A term that is longer still is a row of its own size wherever it stands, and is shuffled."""
+    size = F.octet_length("term")
+    short = commonest(vocabulary.where(size <= HEAD_BYTES), value, HEAD_TERMS)
+    return short | commonest(vocabulary.where((size > HEAD_BYTES) & (size <= LONG_BYTES)), value, LONG_TERMS)
+
+
 def tails(counted: list[list[tuple]], arrow: pa.DataType) -> pa.Array:
     """A list column of (term, tf) for each document."""
     offsets, terms, tfs = [0], [], []

@@ -7,6 +7,7 @@ import sys
 import zlib
 from pathlib import Path
 
+import numpy as np
 import pytest
 import xxhash
 
@@ -78,6 +79,29 @@ def test_op9(spark):
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{data}/labels.parquet").collect()}
     held = [i for i in labels if i in rows and rows[i].held_out]
     assert sum(rows[i].predicted == labels[i] for i in held) >= 0.9 * len(held)
+    # the whole result by plain least squares and the min-max form of isotonic regression
+    from minutes.llm import quality
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()}
+    x = {i: np.array(quality.statistics(t.encode())) for i, t in texts.items()}
+    train = [i for i in texts if i in labels and crc(i, 5) != 0]
+    held = np.array([zlib.crc32(f"calibrate{i}".encode()) % 5 == 0 for i in train])
+    y, own = np.array([labels[i] for i in train], float), np.array([x[i] for i in train])
+    mean, scale = own.mean(0), np.maximum(own.std(0), 1e-6)
+    z = quality.lift((own - mean) / scale)
+    fit, n = z[~held], z.shape[1] - 1
+    ridge = np.diag([quality.RIDGE * len(fit) / n] * n + [0.0]) + 1e-9 * np.eye(n + 1)
+    weights = np.linalg.solve(fit.T @ fit + ridge, fit.T @ y[~held])
+    cell = np.floor((np.clip(z[held] @ weights, -1, 2) + 1) / 3 * quality.CELLS).astype(int)
+    at = np.unique(cell)
+    ones, of = np.array([y[held][cell == c].sum() for c in at]), np.array([(cell == c).sum() for c in at])
+    share = lambda a, b: ones[a : b + 1].sum() / of[a : b + 1].sum()
+    risen = [max(min(share(a, b) for b in range(k, len(at))) for a in range(k + 1)) for k in range(len(at))]
+    raw = quality.lift((np.array([x[i] for i in texts]) - mean) / scale) @ weights
+    want = np.interp(raw, (at + 0.5) / quality.CELLS * 3 - 1, risen)
+    got = np.array([rows[i].score for i in texts])
+    # a score next to the edge of a cell may fall to either side of it
+    assert (np.abs(got - want) < 1e-6).mean() > 0.98 and np.abs(got - want).max() < 0.1
 
 
 def test_op10(spark, docs):
@@ -89,7 +113,13 @@ def test_op10(spark, docs):
     for r in rows:
         own = words(docs[r.doc_id])
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (crc(r.doc_id, 7) == 2, len(own), sum(c[w] > 0 for w in own), n)
-        assert abs(r.base_score - sum(math.log10((c[w] + 1) / (n + v + 1)) for w in own)) < 1e-6 and r.score < 0
+        assert abs(r.base_score - sum(math.log10((c[w] + 1) / (n + v + 1)) for w in own)) < 1e-6
+    # every score at order 4 against the model in one place, which itself is held against plain dictionaries
+    from minutes.llm import ppm
+
+    model = ppm.Model(*ppm.count_windows([t.encode().lower() for i, t in docs.items() if crc(i, 7) != 2], 4), 4)
+    want = dict(zip(docs, model.score([t.encode().lower() for t in docs.values()]), strict=True))
+    assert all(abs(r.score - want[r.doc_id]) < 1e-3 + 1e-5 * abs(want[r.doc_id]) for r in rows)
 
 
 def test_pipeline(spark, docs):
