@@ -60,12 +60,17 @@ def rest(account):
 
 
 def day_of(text):
-    form = "%Y-%m-%d" if text[4] == "-" else "%d/%m/%Y"
-    try:
-        day = dt.datetime.strptime(text, form).date()
-    except ValueError:
-        return None, form
-    return (day if 1700 <= day.year <= 2099 else None), form
+    for form in ("%Y-%m-%d", "%d/%m/%Y", "%m/%d/%Y"):
+        try:
+            day = dt.datetime.strptime(text, form).date()
+            return (day if 1700 <= day.year <= 2099 else None), form
+        except ValueError:
+            pass
+    return None, form
+
+
+# of two digits: all that begin no code of three
+CODES = {"1", "7", *"20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()}
 
 
 def pseudonym(match):
@@ -87,12 +92,12 @@ def pseudonym(match):
     if kind == "phone":
         if not 8 <= len(digits) <= 15:
             return text
-        country = (re.match(r"\+[0-9]{1,3}(?=[ .(-])", text) or [""])[0]
-        local = digits[len(country.lstrip("+")) :]
+        country = next(digits[:n] for n in (1, 2, 3) if n == 3 or digits[:n] in CODES) if text[0] == "+" else ""
+        local = digits[len(country) :]
         narrow = str.maketrans("23456789", "!\"#$%&'(")
         if len(local) == 10:
             local = local[0].translate(narrow) + local[1:3] + local[3].translate(narrow) + local[4:]
-        return country + refill(text[len(country) :], permute(local, kind).translate(str.maketrans("!\"#$%&'(", "23456789")))
+        return refill(text, country + permute(local, kind).translate(str.maketrans("!\"#$%&'(", "23456789")))
     if kind == "address":
         octets = [int(o) for o in text.split(".")]
         if max(octets) > 255:
@@ -102,7 +107,13 @@ def pseudonym(match):
     if kind == "date":
         day, form = day_of(text)
         first = dt.date(1700, 1, 1)
-        return text if day is None else (first + dt.timedelta(permute_number((day - first).days, 189, 773, kind))).strftime(form)
+        if day is None:
+            return text
+        move = lambda d: first + dt.timedelta(permute_number((d - first).days, 189, 773, kind))
+        day = move(day)
+        while form == "%m/%d/%Y" and day.day <= 12:
+            day = move(day)
+        return day.strftime(form)
     if kind == "social":
         return text if re.search("^(?:000|666|9)|-00-|-0000$", text) else refill(text, permute(digits, kind))
     if luhn(digits):
@@ -121,7 +132,7 @@ def made_up(rng):
     card += next(d for d in "0123456789" if luhn(card + d) == 0)
     iban = "DE00" + number(18)
     return [
-        card, "-".join(card[i : i + 4] for i in range(0, 16, 4)), number(16), f"+{rng.randint(1, 99)} {number(2)} {number(4)} {number(4)}", f"+1 ({number(3)}) {number(3)}-{number(4)}",
+        card, "-".join(card[i : i + 4] for i in range(0, 16, 4)), number(16), f"+{rng.randint(1, 99)} {number(2)} {number(4)} {number(4)}", f"+1 ({number(3)}) {number(3)}-{number(4)}", f"+{rng.randint(1, 999)}{number(10)}", f"{rng.randint(1, 12):02d}/{rng.randint(13, 31):02d}/{rng.randint(1700, 2099)}",
         ".".join(str(rng.randint(0, 270)) for _ in range(4)), f"{rng.randint(1690, 2110)}-{rng.randint(1, 13):02d}-{rng.randint(1, 31):02d}", f"{rng.randint(1, 31):02d}/{rng.randint(1, 12):02d}/{rng.randint(1700, 2099)}",
         f"{number(3)}-{number(2)}-{number(4)}", f"{rng.choice(['a', 'Bo_b.9', 'x' * 64])}@m{number(1)}.example.org", "AKIA" + "".join(rng.choices("ABC234", k=16)), f"token = '{number(20)}ab'", f"DE{98 - rest(iban):02d}{iban[4:]}", iban, f"{rng.choice('23')}12-555-{number(4)}",
     ]

@@ -158,6 +158,19 @@ def test_pii_formats(spark):
     assert all(a != b for a, b in zip(given, got, strict=True)) and got != scrub(spark, given, "other")[0]
 
 
+def test_phones_and_dates_are_linked(spark):
+    got, n = scrub(spark, ["+1 555 234 5678", "+15552345678", "(555) 234-5678", "+49 30 1234 5678", "+493012345678", "+353 86 123 4567", "+353861234567"])
+    assert n == [1] * 7
+    plain = [re.sub("[^0-9]", "", t) for t in got]
+    assert plain[0] == plain[1] == "1" + plain[2] and plain[3] == plain[4] and plain[3][:2] == "49" and plain[5] == plain[6] and plain[5][:3] == "353" and len(set(plain)) == 4
+    days, n = scrub(spark, ["03/04/2024", "2024-04-03", "03/25/2024", "25/03/2024", "2024-03-25", "13/13/2024"])
+    iso = lambda t: "-".join(reversed(t.split("/")))
+    assert n == [1, 1, 1, 1, 1, 0] and iso(days[0]) == days[1] and iso(days[3]) == days[4]
+    assert int(days[2][:2]) <= 12 < int(days[2][3:5]) and days[2] != "03/25/2024"
+    every = spark.range(31 * 12).select(F.format_string("%02d/%02d/2023", F.col("id") % 12 + 1, F.expr("id div 12") + 1).alias("text"))
+    assert pii.pseudonymise(every, "k").select("text").distinct().count() == 31 * 12
+
+
 def test_cards_beside_other_digits(spark):
     card, other = "4111 1111 1111 1111", "5500-0000-0000-0004"
     given = [f"{card} 12/27", "4111111111111111 123", f"no. 12 {card}", f"2024 {card} 123", f"{card} {other} 7", f"12 {other}", f"12-{other}-27", "12-4111111111111111", f"{card} 212-555-1234 10.0.0.1", f"3 3782 822463 10005 {card} 1234"]
