@@ -5,14 +5,19 @@ of a value and a separator into one file per task, under the commit protocol of
 member ends with the high byte of its length, which is zero below 16 MiB; that zero is left out of the value and comes
 back as the separator. Behind a longer record the separator is a zero byte between members, which gzip readers skip.
 
-Reading. Every archive is one row of ``binaryFile``; the reader walks through it with an incremental decompressor, one
-member after the other, takes header and block by their stated lengths, and verifies block and payload digests. The
-writer bounds an archive by ARCHIVE bytes of payload (or one record), and with it the memory of a reading task.
+Pages are dealt to archives by a hash of id and payload, so many that one holds about ARCHIVE bytes of payload. Rows that
+repeat an id and a payload are one key; where they pass ARCHIVE together, the key is dealt to several archives. Files keep
+the names that Spark's text writer gives them.
+
+Reading. Every archive is one row of ``binaryFile``, so a task holds it whole; one of more than MOST bytes is refused
+before anything is read. The reader walks through it with an incremental decompressor, one member after the other, takes
+header and block by their stated lengths, and verifies block and payload digests.
 
 Defined cases: a null payload is empty; pages with equal payloads of at least ``least`` bytes are written once in full,
 by the page with the largest id, and as revisits of it otherwise; rows that repeat that id with the same payload are
 each written in full; a null id is never the original unless all ids of the payload are null, and then all its rows
-are written in full. A record that breaks framing or a digest fails the read, unless ``strict`` is off, when it is
+are written in full; a page of any length is one record; an empty table gives no records. Only the id, url and payload
+columns are read, under names of their own, so other columns may have any name. A record that breaks framing or a digest fails the read, unless ``strict`` is off, when it is
 given with its ``error``.
 """
 
@@ -27,10 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, slices
+from .common import scratch, slices, stored
 
-#: Payload bytes per archive, and bytes that the reader hands to the decompressor at once.
-ARCHIVE = 16 << 20
+#: Payload bytes per archive, bytes of the largest archive that is read, and bytes handed to the decompressor at once.
+ARCHIVE = 32 << 20
+MOST = 1 << 30
 PIECE = 1 << 18
 DATE = "2000-01-01T00:00:00Z"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
@@ -75,12 +81,20 @@ def write(pages: DataFrame, path: str, least: int = 0, id_col: str = "page_id",
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit("").cast("binary"))
     own = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
     own = own.withColumn("sum", F.unhex(F.sha1("payload"))).withColumn("key", F.coalesce(F.col("page_id").cast("string"), F.lit("")))
-    sums = own.where(F.octet_length("payload") >= least).select("page_id", "key", "sum")
-    first = sums.groupBy("sum").agg(F.max("page_id").alias("original"), F.count("*").alias("n")).where("n > 1 and original is not null")
-    # the join with a hot side has ids and digests only; payloads then meet its result by page, which is even
-    again = sums.join(first, "sum").where("not page_id <=> original").select("key", "sum", "original").distinct()
-    size = own.agg(F.coalesce(F.sum(F.octet_length("payload")), F.lit(0))).first()[0]
-    rows = own.repartition(max(1, -(-size // ARCHIVE)), "key", "sum").join(again, ["key", "sum"], "left")
+    # a narrow row for each distinct page; the join with a hot side has ids and digests only
+    size = F.octet_length("payload")
+    kinds = stored(own.groupBy("page_id", "key", "sum").agg(F.count("*").alias("n"), F.max(size).alias("size")), "pages")
+    first = kinds.where(F.col("size") >= least).groupBy("sum").agg(F.max("page_id").alias("original"), F.sum("n").alias("all")).where("all > 1 and original is not null")
+    again = kinds.where(F.col("size") >= least).join(first, "sum").where("not page_id <=> original").select("key", "sum", "original")
+    # payloads then meet the result by page, which is even but for rows that repeat
+    cuts = F.ceil(F.col("n") * (F.col("size") + len(HTTP)) / ARCHIVE)
+    hot = stored(kinds.groupBy("key", "sum").agg(F.max(cuts).alias("cuts")).where("cuts > 1"), "repeated")
+    whole = kinds.agg(F.coalesce(F.sum(F.col("n") * F.col("size")), F.lit(0))).first()[0]
+    one = F.coalesce("cuts", F.lit(1).cast("long"))
+    dealt = own.join(hot, ["key", "sum"], "left").withColumn("cut", F.pmod(F.spark_partition_id(), one)).drop("cuts")
+    each = again.join(hot, ["key", "sum"], "left").select("key", "sum", F.explode(F.sequence(F.lit(0).cast("long"), one - 1)).alias("cut"), "original")
+    place = ["key", "sum", "cut"]
+    rows = dealt.repartition(max(1, -(-whole // ARCHIVE)), *place).join(each, place, "left")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "payload", 4 << 20):
@@ -169,7 +183,11 @@ def read(spark: SparkSession, path: str, id_type: str = "bigint", strict: bool =
         columns = zip(*held, strict=True) if held else [[]] * len(names)
         return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names)
 
-    found = spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, RECORDS.format(kind="string") + ", payload binary" * content)
+    files = spark.read.format("binaryFile").load(path)
+    large = files.where(F.col("length") > MOST).select("path", "length").first()
+    if large:
+        raise ValueError(f"{large['path']} has {large['length']} bytes: archives of more than {MOST} are not read")
+    found = files.select("content").mapInArrow(run, RECORDS.format(kind="string") + ", payload binary" * content)
     return found.withColumns({c: F.col(c).cast(id_type) for c in ("page_id", "refers_to")})
 
 
