@@ -1,27 +1,30 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
 The index is cut by documents: a segment is one row with the documents of a few MB of text and, for each term, its
-sorted positions in the segment. Segments are written once to shared storage and searched where they lie; neither
-texts nor postings are shuffled, and the work per task does not depend on how common a term is. Only terms that
-occur in a test item are stored, as no other list can be asked for.
+sorted positions in the segment, as gaps of seven bits a byte. All terms are stored, so an index that is written once
+serves any test items, with no need of the texts. Segments are searched where they lie; neither texts nor postings are
+shuffled, and the work per task does not depend on how common a term is.
 
-A search intersects, for every window of consecutive item words, the lists of its terms shifted by their offsets,
+A search decodes the lists of the items' terms and intersects, for every window of consecutive item words, the lists of its terms shifted by their offsets,
 beginning with the rarest term of the segment; what is left are exact phrase matches. With ``span`` it also looks for
 near matches: places of the window's first term with every other term of it within ``span`` words.
 
 Test items are sent to the tasks in blocks of at most ITEM_BYTES, one pass over the index per block.
 
 Defined cases: a null text has no words; an item without words or with a null id takes no part; an item shorter than
-the window is one window; items with the same id and text count once; repeated documents are judged row by row.
+the window is one window; items with the same id and text count once; repeated documents are judged row by row; a null
+doc_id is kept; a very long text is a segment of its own; an empty table of documents gives no rows, one of items hits
+nothing. Only the id and the text column are read, under names of their own, so other columns may have any name.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -64,32 +67,63 @@ def blocks(items: DataFrame, window: int) -> tuple[int, Iterator[Items]]:
     return n, (Items([(r[0], bytes(r[1])) for r in own.toLocalIterator()], window) for own in parts)
 
 
-def build_index(docs: DataFrame, items: Items, gap: int) -> DataFrame:
-    """Segments of ``docs`` (uid, doc_id, text). Between two documents lie ``gap`` empty positions."""
-    known = docs.sparkSession.sparkContext.broadcast(items.terms)
+def pack(gaps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers in seven bits a byte, the lowest first and the last one marked; and where each ends."""
+    size = np.ones(len(gaps), np.int64)
+    for bits in range(7, 64, 7):
+        more = gaps >= 1 << bits
+        if not more.any():
+            break
+        size += more
+    ends = np.cumsum(size)
+    out = np.zeros(ends[-1] if len(ends) else 0, np.uint8)
+    left = np.arange(len(gaps))
+    for k in range(size.max(initial=0)):
+        left = left[size[left] > k]
+        out[ends[left] - size[left] + k] = (gaps[left] >> 7 * k) & 127
+    out[ends - 1] |= 128
+    return out, ends
+
+
+def unpack(raw: np.ndarray) -> np.ndarray:
+    last = np.flatnonzero(raw & 128)
+    size = np.diff(np.r_[-1, last])
+    out, left = np.zeros(len(last), np.int64), np.arange(len(last))
+    for k in range(size.max(initial=0)):
+        left = left[size[left] > k]
+        out[left] |= (raw[last[left] - size[left] + 1 + k] & 127).astype(np.int64) << 7 * k
+    return out
+
+
+def build_index(docs: DataFrame, gap: int) -> DataFrame:
+    """Segments of ``docs`` (uid, doc_id, text). Between two documents lie ``gap`` empty positions, the most that a search's
+    window and span may come to."""
 
     def segment(batch: pa.RecordBatch) -> pa.RecordBatch:
+        known: defaultdict[bytes, int] = defaultdict()
+        known.default_factory = known.__len__  # a new term has the next number
         parts, sizes = [], []
         for text in utf8(batch.column("text")):
             own = words(text)
             sizes.append(len(own))
-            parts.append(np.fromiter(map(known.value.get, own, repeat(-1)), np.int64, len(own)))
+            parts.append(np.fromiter(map(known.__getitem__, own), np.int64, len(own)))
         counts = np.array(sizes, np.int64)
         starts = np.cumsum(counts + gap) - (counts + gap)
         ids = np.concatenate(parts)
-        at = np.arange(len(ids)) + np.repeat(np.arange(len(counts)) * gap, counts)
-        keys = np.sort((ids << 40 | at)[ids >= 0])
+        keys = np.sort(ids << 40 | (np.arange(len(ids)) + np.repeat(np.arange(len(counts)) * gap, counts)))
         ids, at = keys >> 40, keys & ((1 << 40) - 1)
-        first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]]) if len(ids) else np.zeros(0, np.int64)
-        names = list(known.value)
+        gaps = np.diff(at, prepend=0)
+        first = np.searchsorted(ids, np.arange(len(known)))
+        gaps[first] = at[first]
+        raw, ends = pack(gaps)
         one = lambda x, t: pa.array([x], pa.list_(t))
         return pa.RecordBatch.from_arrays(
             [
                 one(batch.column("uid").to_pylist(), pa.int64()), one(batch.column("doc_id").to_pylist(), batch.column("doc_id").type),
-                one(starts, pa.int64()), one(counts, pa.int64()), one([names[i] for i in ids[first]], pa.binary()),
-                one(np.r_[first, len(ids)], pa.int64()), pa.array([at.astype(np.uint64 if len(at) and at[-1] >> 32 else np.uint32).tobytes()], pa.binary()),
+                one(starts, pa.int64()), one(counts, pa.int64()), one(list(known), pa.binary()),
+                one(np.r_[0, ends][np.r_[first, len(gaps)]], pa.int64()), pa.array([raw.tobytes()], pa.binary()), pa.array([gap], pa.int64()),
             ],
-            ["uids", "doc_ids", "starts", "sizes", "terms", "bounds", "positions"],
+            ["uids", "doc_ids", "starts", "sizes", "terms", "bounds", "positions", "gap"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,7 +131,21 @@ def build_index(docs: DataFrame, items: Items, gap: int) -> DataFrame:
             yield segment(batch)
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.mapInArrow(run, f"uids array<long>, doc_ids array<{kind}>, starts array<long>, sizes array<long>, terms array<binary>, bounds array<long>, positions binary")
+    return docs.mapInArrow(run, f"uids array<long>, doc_ids array<{kind}>, starts array<long>, sizes array<long>, terms array<binary>, bounds array<long>, positions binary, gap long")
+
+
+def lists(terms: pa.Array, bounds: np.ndarray, raw: np.ndarray, asked: pa.Array) -> list[np.ndarray]:
+    """The positions of each asked term in a segment."""
+    found = pa.compute.index_in(asked, value_set=terms)
+    have = np.flatnonzero(found.is_valid().to_numpy(zero_copy_only=False))
+    at = found.drop_null().to_numpy()
+    spans = [raw[a:b] for a, b in zip(bounds[at], bounds[at + 1], strict=True)]
+    gaps = unpack(np.concatenate(spans)) if spans else np.zeros(0, np.int64)
+    sizes = [int(np.count_nonzero(s & 128)) for s in spans]
+    out = [np.zeros(0, np.int64)] * len(asked)
+    for t, own in zip(have, np.split(gaps, np.cumsum(sizes[:-1])), strict=False):
+        out[t] = np.cumsum(own)
+    return out
 
 
 def among(values: np.ndarray, posting: np.ndarray) -> np.ndarray:
@@ -140,20 +188,19 @@ def find(postings: list[np.ndarray], items: Items, span: int | None) -> tuple[li
 def search_index(index: DataFrame, items: Items, span: int | None) -> DataFrame:
     """Per document: its number of words, the spans hit, the items matched and those matched nearly."""
     sent = index.sparkSession.sparkContext.broadcast(items)
+    reach = max((m.shape[1] for m, _ in items.windows), default=0) + (span or 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked = sent.value
-        none = np.zeros(0, np.int64)
+        names = pa.array(list(asked.terms), pa.binary())
         for batch in batches:
             for row in range(batch.num_rows):
                 cell = lambda name: batch.column(name)[row]  # noqa: B023, E731
+                if reach > cell("gap").as_py():
+                    raise ValueError(f"windows and spans of {reach} words pass the index's gap")
                 starts = cell("starts").values.to_numpy()
-                bounds, raw = cell("bounds").values.to_numpy(), cell("positions").as_py()
-                wide = len(raw) == 8 * bounds[-1]
-                at = np.frombuffer(raw, np.uint64 if wide else np.uint32).astype(np.int64)
-                postings = [none] * len(asked.terms)
-                for t, term in enumerate(cell("terms").as_py()):
-                    postings[asked.terms[term]] = at[bounds[t] : bounds[t + 1]]
+                raw = np.frombuffer(cell("positions").as_buffer(), np.uint8)
+                postings = lists(cell("terms").values, cell("bounds").values.to_numpy(), raw, names)
                 exact, near = find(postings, asked, span)
                 spans: list[list] = [[] for _ in starts]
                 hit: list[set] = [set() for _ in starts]
@@ -191,13 +238,9 @@ def joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def matches(docs: DataFrame, items: DataFrame, window: int = 10, span: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(uid, doc_id, n_words, spans, items, near) for every row of ``docs``; items has item_id and text."""
     narrow = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    n, parts = blocks(items, window)
-    if n > 1:  # several passes need the same numbers for the same rows
-        narrow = stored(narrow, "numbered")
-    found = []
-    for own in parts:
-        index = stored(build_index(narrow, own, window + (span or 0)), "postings")
-        found.append(search_index(index, own, span))
+    index = stored(build_index(narrow, window + (span or 0)), "postings")
+    _, parts = blocks(items, window)
+    found = [search_index(index, own, span) for own in parts]
     if len(found) == 1:
         return found[0]
     every = found[0]

@@ -53,6 +53,22 @@ def test_warc_least_and_empty(spark):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_warc_repeated_rows_are_dealt_out(spark, monkeypatch):
+    """A third of all rows with a null id and the same payload: several archives hold them."""
+    monkeypatch.setattr(warc, "ARCHIVE", 1000)
+    rows = [(None, "u", "x" * 50) for _ in range(100)] + [(i, "u", "y" * i) for i in range(200)] + [(7, "u", "y" * 7)] * 60
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(8)
+    path = scratch(spark, "test-warc")
+    warc.write(pages, path)
+    found = warc.read(spark, path)
+    assert found.count() == len(rows) and found.where("record_type = 'revisit'").count() == 0
+    data = [gzip.decompress(f.read_bytes()) for f in local(path).glob("part-*") if f.stat().st_size]
+    assert len(data) > 8 and max(d.count(b"<urn:page:>") for d in data) < 60
+    monkeypatch.setattr(warc, "MOST", 100)
+    with pytest.raises(ValueError, match="more than 100"):
+        warc.read(spark, path)
+
+
 def test_warc_damage():
     good = warc.record(1, "http://a", b"payload", None)
     assert warc.parse(good)["error"] is None and warc.parse(good)["payload"] == b"payload"
@@ -305,6 +321,20 @@ def test_decontamination(spark, monkeypatch):
     assert clean.where("contaminated or n_items > 0").count() == 0 and clean.count() == len(docs)
 
 
+def test_one_index_serves_any_items(spark):
+    numbers = np.array([0, 1, 127, 128, 16383, 16384, (1 << 40) - 1, 5, 1 << 62])
+    raw, ends = decontam.pack(numbers)
+    assert decontam.unpack(raw).tolist() == numbers.tolist() and len(raw) == ends[-1]
+    assert len(decontam.unpack(decontam.pack(numbers[:0])[0])) == 0
+    docs = spark.createDataFrame([(0, 1, "a b c d"), (1, None, "b c"), (2, 3, "d c b a " * 500)], "uid long, doc_id long, text string")
+    index = decontam.build_index(docs, gap=8).cache()
+    for text, want in (("b c", {0, 1}), ("c b a d", {2}), ("zz", set())):
+        found = decontam.search_index(index, decontam.Items([("i", text.encode())], 4), None)
+        assert {r.uid for r in found.collect() if r["items"]} == want
+    with pytest.raises(Exception, match="gap"):
+        decontam.search_index(index, decontam.Items([("i", b"a b c d e f g h i")], 9), None).collect()
+
+
 def test_near_matches(spark):
     docs = spark.createDataFrame([(1, "a x b y c"), (2, "a x x x x x x x b c"), (3, "a b c")], "doc_id long, text string")
     asked = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
