@@ -8,7 +8,9 @@ one place.
 
 Defined cases: a null text is an empty one, which has the end token and the end symbol only; a null doc_id falls in
 training (it hashes as the empty text); repeated rows count and are scored row by row; with no training row every
-symbol has 1/256 and every token 1/(V+1) with V = 0.
+symbol has 1/256 and every token 1/(V+1) with V = 0; a very long text is one row of its task and is scored whole; an empty
+table gives no rows. Of ``docs`` only the text and the columns to keep are read, under names of their own, so other
+columns may have any name.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from pyspark.sql import functions as F
 from . import ppm, terms
 from .common import slices, stored, utf8
 
+#: Context bytes of the model.
+ORDER = 5
 #: Windows of the broadcast head (16 bytes each).
 HEAD_WINDOWS = 1_000_000
 #: Before a window that stands as a term beside words: no byte of UTF-8.
@@ -151,7 +155,7 @@ def score_windows(texts: list[bytes], order: int, grams: np.ndarray, values: np.
     return sums.tolist(), rare
 
 
-def score(docs: DataFrame, training: DataFrame, order: int = 4, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def score(docs: DataFrame, training: DataFrame, order: int = ORDER, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns in ``keep`` with n_tokens, n_known, train_tokens, base_score and score for each row of ``docs``.
 
     ``training`` holds the texts to learn from, in the same column.

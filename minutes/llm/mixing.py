@@ -6,12 +6,17 @@ exponents in one aggregate over the table of sources, which stays in Spark.
 
 A source with quota q and t tokens is read floor(q / t) times in full and once in part. Each reading is a keyed
 permutation: an order of hash blocks, and of hashes within a block. The part ends in the block where the running sum
-of whole blocks passes the rest of the quota, at the last document that still fits. What decides about a document is
+of whole blocks passes the rest of the quota, at the last document that still fits. Running sums go over groups of blocks,
+then over the blocks of one group, so no task has more than a source's groups. What decides about a document is
 its own hash and one row about its source, so no text is shuffled, however large a source is.
 
 Defined cases: a null source is a source of its own; a null or blank text has no tokens and comes along wherever its
 hash falls; a source without tokens has weight 0 and is left out; documents that repeat an id have the same hash and
-are taken or left together; no rows give no rows.
+are taken or left together; a text of any length is one row; no rows give no rows. Other columns may have any name but
+__source, __weight, __full, __blocks, __cut_block, __cut_place and __n; those that ``mix`` adds replace any of their name.
+
+Tokens are words between white space, or what the column ``tokens_col`` says (null: none), such as the counts of
+``tokens.count_tokens``.
 """
 
 from __future__ import annotations
@@ -30,6 +35,10 @@ MAX_SOURCES = 100_000
 GRID, PASSES = 33, 6
 WORD = r"[^\x20\x09-\x0D]+"
 _UNITS = 1 << 40
+#: Blocks of a group.
+GROUP = 4096
+#: What a sample has besides its rows' own columns.
+ADDED = ("mix_weight", "mix_epoch", "mix_block", "mix_slot")
 
 
 def n_tokens(text: Column) -> Column:
@@ -79,9 +88,19 @@ def block_of(place: Column, blocks: Column) -> Column:
     return F.floor(place.cast("double") / _UNITS * blocks).cast("long")
 
 
-def plan(docs: DataFrame, budget_share: float = 1.0, entropy_gain: float = 0.5, max_repeat: float = 4.0, key: str = "mix", source_col: str = "source", id_col: str = "doc_id", text_col: str = "text", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def stops(sums: DataFrame, by: str) -> DataFrame:
+    """(source, by, before): where the running sum of n over ``by``, after ``before``, first passes a source's rest, and
+    the sum before it; no row for a source that has no such place."""
+    order = Window.partitionBy("source").orderBy(by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    passed = sums.withColumn("upto", F.sum("n").over(order) + F.col("before")).where("upto > rest")
+    first = passed.groupBy("source").agg(F.min(F.struct(by, (F.col("upto") - F.col("n")).alias("before"))).alias("x"))
+    return first.select("source", f"x.{by}", "x.before")
+
+
+def plan(docs: DataFrame, budget_share: float = 1.0, entropy_gain: float = 0.5, max_repeat: float = 4.0, key: str = "mix", source_col: str = "source", id_col: str = "doc_id", text_col: str = "text", tokens_col: str | None = None, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """One row per source: tokens, weight, full readings, and where the last reading ends."""
-    own = docs.select(F.col(source_col).cast("string").alias("source"), F.col(id_col).cast("string").alias("name"), n_tokens(F.col(text_col)).alias("n"))
+    size = F.coalesce(F.col(tokens_col), F.lit(0)).cast("long") if tokens_col else n_tokens(F.col(text_col))
+    own = docs.select(F.col(source_col).cast("string").alias("source"), F.col(id_col).cast("string").alias("name"), size.alias("n"))
     own = stored(own, "sizes")  # three narrow columns: the words of a text are counted once
     # a row per source: few files, as the bisection reads them again and again
     sources = stored(own.groupBy("source").agg(F.sum("n").alias("tokens")).where("tokens > 0").coalesce(8), "sources")
@@ -98,10 +117,11 @@ def plan(docs: DataFrame, budget_share: float = 1.0, entropy_gain: float = 0.5,
     about = F.broadcast(shares) if small else shares
     placed = own.join(about, own.source.eqNullSafe(shares.source)).drop(shares.source).withColumn("place", hashed(key, F.col("full"), F.col("name")))
     placed = placed.withColumn("block", block_of(F.col("place"), F.col("blocks")))
-    sums = placed.groupBy("source", "block", "rest").agg(F.sum("n").alias("n"))
-    order = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    last = sums.withColumn("upto", F.sum("n").over(order)).where("upto > rest").groupBy("source").agg(F.min(F.struct("block", (F.col("upto") - F.col("n")).alias("before"))).alias("x"))
-    last = last.select("source", F.col("x.block").alias("cut_block"), F.col("x.before").alias("before"))
+    sums = placed.groupBy("source", "block", "rest").agg(F.sum("n").alias("n")).withColumn("group", F.floor(F.col("block") / GROUP))
+    groups = stops(sums.groupBy("source", "group", "rest").agg(F.sum("n").alias("n")).withColumn("before", F.lit(0).cast("long")), "group")
+    groups = groups.select(F.col("source").alias("s"), F.col("group").alias("g"), "before")
+    within_group = sums.join(F.broadcast(groups) if small else groups, F.col("source").eqNullSafe(F.col("s")) & (F.col("group") == F.col("g"))).drop("s", "g")
+    last = stops(within_group, "block").select("source", F.col("block").alias("cut_block"), "before")
     # the rows of the last block of a source: bounded by the block's tokens
     edge = placed.select("source", "block", "place", "n", "rest").alias("p").join(
         (F.broadcast(last) if small else last).alias("l"), F.expr("p.source <=> l.source and p.block = l.cut_block")
@@ -126,7 +146,7 @@ def mix(docs: DataFrame, key: str = "mix", source_col: str = "source", id_col: s
     copies = F.col("__full") + F.when(part, 1).otherwise(0)
     out = joined.withColumn("__n", copies).where("__n > 0").withColumn("mix_epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1)))
     out = out.withColumn("mix_slot", hashed(key, F.col("mix_epoch"), name)).withColumn("mix_block", block_of(F.col("mix_slot"), F.col("__blocks")))
-    return out.withColumn("mix_weight", F.col("__weight")).select(*docs.columns, "mix_weight", "mix_epoch", "mix_block", "mix_slot")
+    return out.withColumn("mix_weight", F.col("__weight")).select(*(c for c in docs.columns if c not in ADDED), *ADDED)
 
 
 def sql(docs: str, budget_share: float, entropy_gain: float, max_repeat: float, key: str = "mix", block_tokens: int = BLOCK_TOKENS) -> str:

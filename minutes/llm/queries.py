@@ -68,7 +68,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", (crc_bucket(F.col("doc_id"), 7) == 2).alias("held_out"))
-    return lm.score(docs, docs.where(~F.col("held_out")), order=4, keep=("doc_id", "held_out"))
+    return lm.score(docs, docs.where(~F.col("held_out")), keep=("doc_id", "held_out"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

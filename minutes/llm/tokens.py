@@ -5,7 +5,8 @@ vocabulary has a space mark behind another character or a newline, so no merge c
 a text's count is the sum of its pre-tokens' counts (``check_vocabulary`` verifies this for the given file).
 
 Defined cases: a null or empty text has no tokens; repeated documents are counted row by row; a null doc_id is
-kept; other columns of the input are not touched; an empty table gives an empty result.
+kept; a text of any length is counted whole; an empty table gives an empty result. Only the id and the text column are
+read, under names of their own, so other columns may have any name.
 """
 
 from __future__ import annotations

@@ -374,6 +374,17 @@ def test_mixing(spark):
     assert again.exceptAll(out).count() == 0 and again.count() == out.count()
 
 
+def test_mixing_groups_tokens_and_clashes(spark, monkeypatch):
+    df, _ = sources(spark)
+    out = mixing.mix(df, max_repeat=3.0, block_tokens=200)
+    monkeypatch.setattr(mixing, "GROUP", 3)
+    again = mixing.mix(df.withColumn("mix_epoch", F.lit("clash")).withColumn("tokens", F.lit(1)), max_repeat=3.0, block_tokens=200)
+    assert again.columns == [*df.columns, "tokens", *mixing.ADDED] and again.drop("tokens").exceptAll(out).count() == 0 and again.count() == out.count()
+    counted = df.withColumn("given", F.when(F.col("source") != "big", 7))
+    plan = {r.source: r.tokens for r in mixing.plan(counted, tokens_col="given").collect()}
+    assert "big" not in plan and plan["blank"] == 14 and plan["s7"] == 150 * 7
+
+
 def test_mixing_limits(spark):
     df, _ = sources(spark)
     flat = {r.source: r.weight for r in mixing.plan(df, entropy_gain=1.0, max_repeat=1e9).collect()}

@@ -114,10 +114,10 @@ def test_op10(spark, docs):
         own = words(docs[r.doc_id])
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (crc(r.doc_id, 7) == 2, len(own), sum(c[w] > 0 for w in own), n)
         assert abs(r.base_score - sum(math.log10((c[w] + 1) / (n + v + 1)) for w in own)) < 1e-6
-    # every score at order 4 against the model in one place, which itself is held against plain dictionaries
-    from minutes.llm import ppm
+    # every score against the model in one place, which itself is held against plain dictionaries
+    from minutes.llm import lm, ppm
 
-    model = ppm.Model(*ppm.count_windows([t.encode().lower() for i, t in docs.items() if crc(i, 7) != 2], 4), 4)
+    model = ppm.Model(*ppm.count_windows([t.encode().lower() for i, t in docs.items() if crc(i, 7) != 2], lm.ORDER), lm.ORDER)
     want = dict(zip(docs, model.score([t.encode().lower() for t in docs.values()]), strict=True))
     assert all(abs(r.score - want[r.doc_id]) < 1e-3 + 1e-5 * abs(want[r.doc_id]) for r in rows)
 
