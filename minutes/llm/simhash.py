@@ -5,8 +5,9 @@
 2. Equal fingerprints are folded into one node first, so thousands of copies cost one comparison.
 3. Candidates share a band of bits. ``pigeonhole`` bands find every pair within a small radius: of r + 2 bands any two
    fingerprints within r bits agree on two. ``lsh`` bands serve a large radius: they widen with the logarithm of the
-   number of fingerprints, so that about SHARED strangers meet in a band at every size, and there are as many of them as
-   the stated recall takes.
+   number n of fingerprints, so that about STRANGERS n^(1/4) meet by chance in a band (a block's worth: comparing is cheap
+   beside sending), and there are as many of them as the stated recall takes. At a similarity of 0.8 the rows sent then
+   grow as n^1.22.
 4. Fingerprints that share a band are compared in blocks. A block keeps bit planes (bit i of 64 fingerprints in one
    word); planes are XORed with a fingerprint's bit and added to vertical counters by carry-save adders, and the
    block is left as soon as every counter has passed the radius. A band with many members is cut into parts that meet
@@ -45,8 +46,9 @@ LANES, BLOCK = 256, 2048
 #: Shingles in each part of a large band.
 SHINGLES = 1 << 20
 SLICE = 2 << 20
-#: Strangers that share a band key, and the share of pairs at the stated similarity that share any.
-SHARED, RECALL = 16, 0.97
+#: Strangers that share a band key by the fourth root of their number, and the share of pairs at the stated similarity
+#: that share any band.
+STRANGERS, RECALL = 6, 0.97
 #: Words of a counter plane worked on at once: 64 pairs each.
 WORDS = 1 << 13
 _STEP = 0x9E3779B97F4A7C15
@@ -130,8 +132,9 @@ def recall(width: int, count: int, bits: int, share: float) -> float:
 
 
 def lsh(n: int, bits: int, similarity: float) -> list[np.ndarray]:
-    """Bands for ``n`` fingerprints: wide enough that about SHARED of them meet by chance, as many as RECALL takes."""
-    width = min(bits // 4, 60, max(8, math.ceil(math.log2(max(n, 1) / SHARED + 1))))
+    """Bands for ``n`` fingerprints: wide enough that few meet by chance, as many as RECALL takes."""
+    few = min(BLOCK / 2, STRANGERS * max(n, 1) ** 0.25)
+    width = min(bits // 4, 60, max(8, math.ceil(math.log2(max(n, 1) / few))))
     share, count = differing(similarity), 1
     while recall(width, count, bits, share) < RECALL:
         count += max(1, count // 16)

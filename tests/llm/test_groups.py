@@ -160,7 +160,7 @@ def test_dense_block_is_small(spark):
 
 def test_bands_follow_the_number_of_fingerprints():
     widths = [len(simhash.lsh(n, 256, 0.8)[0]) for n in (0, 1, 1000, 10**5, 10**6)]
-    assert widths == sorted(widths) and widths[0] == 8 and widths[-1] == 16
+    assert widths == sorted(widths) and widths[0] == 8 and widths[-1] == 13
     rng = np.random.default_rng(1)
     rows = rng.integers(0, 2, (2000, 256), dtype=np.uint8)
     other = rows ^ (rng.random(rows.shape) < simhash.differing(0.8)).astype(np.uint8)
