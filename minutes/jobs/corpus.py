@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from ..operators import bills, catalog, highlight, search, speeches, themes
 from ..sources import tables
+from ..sources.scratch import narrow
 
 
 def build_tables(texts: DataFrame, meetings: DataFrame) -> dict[str, DataFrame]:
     """speeches, agenda and questioners of the meetings' files."""
     pdfs = catalog.flat_pdfs(meetings)
     said = speeches.build_index(texts, pdfs, meetings)
-    files = texts.select("text_key", "raw").join(pdfs.select("meeting_id", "pdf_pos", "is_toc", "text_key"), "text_key")
+    files = texts.select("text_key", "raw").join(narrow(pdfs.select("meeting_id", "pdf_pos", "is_toc", "text_key")), "text_key")
     toc = bills.extract_toc_titles(files.where("is_toc"))
     return {
         "speeches": said,
@@ -25,7 +26,7 @@ def build_tables(texts: DataFrame, meetings: DataFrame) -> dict[str, DataFrame]:
 def index_folder(spark: SparkSession, text_dir: str, meetings_path: str, toc_path: str, out: str) -> None:
     """Read texts and catalogue, and write the tables below ``out``."""
     meetings = tables.read_meetings(spark, meetings_path)
-    made = build_tables(tables.read_texts(spark, text_dir, spark.sparkContext.defaultParallelism), meetings)
+    made = build_tables(tables.read_texts(spark, text_dir), meetings)
     tables.write_speeches(made["speeches"], f"{out}/speeches", with_norm=True)
     for name in ("agenda", "questioners"):
         tables.write_table(made[name], f"{out}/{name}")
@@ -33,11 +34,11 @@ def index_folder(spark: SparkSession, text_dir: str, meetings_path: str, toc_pat
     tables.write_table(toc, f"{out}/toc")
 
 
-def search_page(said: DataFrame, query: str, by: str = "date", n: int = 1, order: list[str] | None = None, **filters) -> tuple[DataFrame, DataFrame]:
+def search_page(said: DataFrame, query: str, by: str = "date", n: int = 1, order: list[str] | None = None, dictionaries: dict | None = None, **filters) -> tuple[DataFrame, DataFrame]:
     """(summary, page): totals, and a page with snippets; highlighting runs on the rows of the page alone."""
-    found = search.search(said, query, **filters)
+    found = search.search(said, query, dictionaries=dictionaries, **filters)
     shown = search.page(search.rank(found, by, order), n)
-    ranges = highlight.hit_ranges(F.col("text"), search.positive_alternatives(search.compile_query(query)))
+    ranges = highlight.hit_ranges(F.col("text"), search.positive_alternatives(search.compile_query(query, **(dictionaries or {}))))
     return search.search_summary(found), shown.withColumn("ranges", ranges).withColumn("snippet", highlight.snippet(F.col("text"), F.col("ranges")))
 
 

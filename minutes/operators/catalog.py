@@ -217,14 +217,14 @@ def local_pdf_path(meeting_id: Column, url: Column, folder: str) -> Column:
 
 
 def rewrite_pdf_links(speeches: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Speeches with the bundled path of their file (mapping: url, path) where there is one."""
-    known = mapping.select(F.col("url").alias("pdf"), F.col("path").alias("__path")).dropDuplicates(["pdf"])
+    """Speeches with the bundled path of their file (mapping: url, path) where there is one, the least of several."""
+    known = mapping.groupBy(F.col("url").alias("pdf")).agg(F.min("path").alias("__path"))
     return speeches.join(known, "pdf", "left").withColumn("pdf", F.coalesce("__path", "pdf")).select(*speeches.columns)
 
 
 def rewrite_nested_links(meetings: DataFrame, mapping: DataFrame) -> DataFrame:
     """Meetings with the same done inside their files."""
-    rows = meetings.select("id", F.posexplode_outer("pdfs").alias("pos", "p")).join(mapping.select(F.col("url").alias("__url"), "path").dropDuplicates(["__url"]), F.col("p.url") == F.col("__url"), "left")
+    rows = meetings.select("id", F.posexplode_outer("pdfs").alias("pos", "p")).join(mapping.groupBy(F.col("url").alias("__url")).agg(F.min("path").alias("path")), F.col("p.url") == F.col("__url"), "left")
     pdf = F.struct("pos", F.struct(F.col("p.label").alias("label"), F.col("p.date").alias("date"), F.coalesce("path", "p.url").alias("url")).alias("p"))
     nested = rows.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), pdf))), lambda x: x["p"]).alias("pdfs"))
     return meetings.drop("pdfs").join(nested, "id").select(*meetings.columns)

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import re
+from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 from operator import and_, or_
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,8 +19,8 @@ from ..functions.normalize import normalize_term
 from .speeches import role_category
 
 PAGE = 20
-#: Up to so many alternatives a table of queries is one expression; beyond, terms are matched in batches of rows.
-INLINE_TERMS = 200
+#: Up to so many saved queries are one expression; beyond, texts go through an automaton of all their terms.
+INLINE_QUERIES = 200
 
 
 @dataclass(frozen=True)
@@ -153,17 +156,62 @@ def after(df: DataFrame, date: str, score: int, ord_: int, by: str = "date") ->
 
 
 def search_many(speeches: DataFrame, queries: list[tuple[str, str]], id_cols: list[str], norm_col: str = "norm", dictionaries: dict | None = None) -> DataFrame:
-    """(query_id, …id_cols, score) for a table of saved queries in one scan.
+    """(query_id, …id_cols, score) for a table of saved queries in one scan, however many they are.
 
     A row's matches are worked out as an array and exploded, so a speech is read once for all queries. The queries are
     configuration: a list that the caller holds.
     """
     compiled = [(name, compile_query(q, **(dictionaries or {}))) for name, q in queries]
     norm = F.coalesce(norm_col, F.lit(""))
-    out = None
-    for at in range(0, len(compiled), INLINE_TERMS):
-        own = compiled[at : at + INLINE_TERMS]
-        hits = F.array(*(F.when(match(norm, g), F.struct(F.lit(name).alias("query_id"), hit_score(norm, g).alias("score"))) for name, g in own))
-        rows = speeches.select(*id_cols, F.explode(F.array_compact(hits)).alias("h")).select("h.query_id", *id_cols, "h.score")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    if len(compiled) > INLINE_QUERIES:
+        return _by_automaton(speeches.select(*id_cols, norm.alias("__norm")), compiled)
+    hits = F.array(*(F.when(match(norm, g), F.struct(F.lit(name).alias("query_id"), hit_score(norm, g).alias("score"))) for name, g in compiled))
+    return speeches.select(*id_cols, F.explode(F.array_compact(hits)).alias("h")).select("h.query_id", *id_cols, "h.score")
+
+
+def _by_automaton(rows: DataFrame, compiled: list[tuple[str, list[list[Term]]]]) -> DataFrame:
+    """The same for rows with a column __norm: a text is read once for the terms of all queries, and only queries with a
+    term that occurs, or without a positive one, are looked at."""
+    sent = rows.sparkSession.sparkContext.broadcast(compiled)
+    ids = [c for c in rows.columns if c != "__norm"]
+    kinds = dict(rows.dtypes)
+
+    def score(text: str, present: set[str], groups: list[list[Term]]) -> int | None:
+        held = [g for g in groups if all(t.negative != any(a in present for a in t.alternatives) for t in g)]
+        if groups and not held:
+            return None
+        counts = [sum(text.count(next(a for a in t.alternatives if a in present)) for t in g if not t.negative and t.alternatives) for g in held]
+        return max(counts, default=0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        queries = sent.value
+        machine, asked, always = ahocorasick.Automaton(), defaultdict(set), set()
+        for i, (_, groups) in enumerate(queries):
+            if not groups:
+                always.add(i)
+            for group in groups:
+                terms = [a for t in group if not t.negative for a in t.alternatives]
+                for a in terms:
+                    asked[a].add(i)
+                if not terms:
+                    always.add(i)
+                for t in group:
+                    for a in t.alternatives:
+                        machine.add_word(a, a)
+        machine.make_automaton()
+        for batch in batches:
+            at, names, scores = [], [], []
+            for row, text in enumerate(batch.column("__norm").to_pylist()):
+                present = {a for _, a in machine.iter(text)} if len(machine) else set()
+                for i in sorted(always.union(*(asked[a] for a in present if a in asked))):
+                    found = score(text, present, queries[i][1])
+                    if found is not None:
+                        at.append(row)
+                        names.append(queries[i][0])
+                        scores.append(found)
+            kept = [batch.column(c).take(pa.array(at, pa.int32())) for c in ids]
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *kept, pa.array(scores, pa.int32())], ["query_id", *ids, "score"])
+
+    return rows.mapInArrow(run, ", ".join(["query_id string", *(f"`{c}` {kinds[c]}" for c in ids), "score int"]))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import DIGITS, FULL, HALF, SPACE, WS, drop_ws, find_all, to_half_digits, trim_ws
+from ..sources.scratch import narrow
 
 # A speaker's mark, role（name君）; the names given to what has no speaker; bill prefixes; member roles.
 SPEAKER = f"([^{SPACE}、。「」（）]{{1,16}})（([^（）\\n]{{1,14}})君）"
@@ -97,12 +98,13 @@ def build_index(texts: DataFrame, pdfs: DataFrame, meetings: DataFrame) -> DataF
 
     texts (meeting_id, text_key, raw); pdfs (meeting_id, pdf_pos, date, url, text_key); meetings (id, name, type, year,
     era). Two files of a meeting with the same date share a text, and their speeches their ids; they are kept. The catalogue
-    tables are the narrow side of both joins; texts are neither sorted nor moved if Spark finds those small.
+    tables are joined first and are the narrow side: texts are neither sorted nor moved unless these have too many rows to be
+    broadcast.
     """
     about = pdfs.select("meeting_id", "pdf_pos", "date", F.col("url").alias("pdf"), "text_key").join(
         meetings.select(F.col("id").alias("meeting_id"), F.col("name").alias("meeting"), "type", "year", "era"), "meeting_id"
     )
-    files = texts.select("text_key", "raw", seat_map(F.col("raw")).alias("seats")).join(about, "text_key")
+    files = texts.select("text_key", "raw", seat_map(F.col("raw")).alias("seats")).join(narrow(about), "text_key")
     rows = split_speeches(files).where("text <> ''")
     return rows.select(
         make_sid(F.col("meeting_id"), F.col("date"), F.col("text_key"), F.col("speech_pos")).alias("sid"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 INPUT, PREFIX, STEPS = 512, "passage: ", 127
+#: Queries that are matched in one pass over the vectors.
+QUERIES = 4096
 
 
 def embedding_input(speeches: DataFrame) -> DataFrame:
@@ -37,34 +40,43 @@ def vector_search(vectors: DataFrame, query: list[float], k: int = 20, id_col: s
     return scored.orderBy(F.desc("score"), id_col).limit(k)
 
 
-def vector_search_many(vectors: DataFrame, queries: np.ndarray, k: int = 20, id_col: str = "sid", vec_col: str = "vec") -> DataFrame:
-    """(query, id, score, rank) for a block of queries (rows of ``queries``).
+def vector_search_many(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "sid", vec_col: str = "vec") -> DataFrame:
+    """(query, id, score, rank) for every row (query long, vec, not normalised) of ``queries``, ids being distinct.
 
-    Each batch of vectors is one matrix product; a task keeps k per query, and only those are shuffled.
+    Queries are sent in blocks of about QUERIES by a hash of their id, each with a pass over the vectors. A batch of
+    vectors is one matrix product; a task keeps k per query, and only those are shuffled.
     """
-    sent = vectors.sparkSession.sparkContext.broadcast(np.asarray(queries, np.float64))
+    n = max(1, -(-queries.count() // QUERIES))
+    parts = [_block(vectors, queries.where(F.pmod(F.xxhash64("query"), F.lit(n)) == i), k, id_col, vec_col) for i in range(n)]
+    near = reduce(DataFrame.unionByName, parts)
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), id_col))
+    return near.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def _block(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, vec_col: str) -> DataFrame:
+    rows = queries.select(F.col("query").cast("long").alias("query"), F.col(vec_col).cast("array<double>").alias("v")).collect()
+    names = np.array([r["query"] for r in rows], np.int64)
+    sent = vectors.sparkSession.sparkContext.broadcast(np.array([r["v"] for r in rows], np.float64))
     kind = dict(vectors.dtypes)[id_col]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         q = sent.value
         best: pd.DataFrame | None = None
         for batch in batches:
-            if not len(batch):
+            if not len(batch) or not len(q):
                 continue
-            scores = np.stack(batch[vec_col].to_numpy()).astype(np.float64) / STEPS @ q.T
+            scores = np.stack(batch[vec_col].to_numpy()).astype(np.float64) @ q.T / STEPS  # products of whole numbers are exact
             m = min(k, len(batch))
             # all rows that reach the m-th score, so that ties at the edge are left to the order by id
             edge = -np.partition(-scores, m - 1, axis=0)[m - 1]
             row, query = np.nonzero(scores >= edge)
-            own = pd.DataFrame({"query": query, id_col: batch[id_col].to_numpy()[row], "score": scores[row, query]})
+            own = pd.DataFrame({"query": names[query], id_col: batch[id_col].to_numpy()[row], "score": scores[row, query]})
             best = own if best is None else pd.concat([best, own])
             best = best.sort_values(["query", "score", id_col], ascending=[True, False, True]).groupby("query").head(k)
         if best is not None:
             yield best
 
-    near = vectors.select(id_col, vec_col).mapInPandas(run, f"query long, `{id_col}` {kind}, score double")
-    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), id_col))
-    return near.withColumn("rank", rank).where(F.col("rank") <= k)
+    return vectors.select(id_col, vec_col).mapInPandas(run, f"query long, `{id_col}` {kind}, score double")
 
 
 def hybrid_candidates(matched: DataFrame, near: DataFrame, speeches: DataFrame, k: int = 20) -> DataFrame:

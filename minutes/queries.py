@@ -13,10 +13,14 @@ from pyspark.sql import functions as F
 
 from .functions import eras, normalize
 from .operators import annotate, bills, catalog, highlight, profile, search, speeches, themes, vectors, views
+from .sources import tables
+from .sources.scratch import scratch, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
+#: Tables of speeches with their normal form by (session, folder): a search index is built once and then read.
+_INDEX: dict[tuple[str, str], DataFrame] = {}
 
 SEARCH = "the and -with OR que de -ción"
 THEMES = [("articles", ["the", "der", "el"]), ("of", ["of", "de", "von"]), ("ing", ["ing"]), ("rare", ["disgusting", "idiot"]), ("none", ["zzzz", "ー"]), ("tion", ["Tion", "ción"]), ("list", ["|"]), ("shout", ["!!"])]
@@ -41,6 +45,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def said(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index of ``speeches_of``: normal forms are worked out when it is built, not when it is searched."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEX:
+        _INDEX[key] = stored(speeches_of(spark, sf_dir), "speeches")
+    return _INDEX[key]
+
+
+def speeches_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as speeches."""
     n = F.col("doc_id")
     role = F.when(n % 3 == 0, "議長").when(n % 3 == 1, "5番").otherwise("町長")
@@ -109,12 +121,55 @@ def search_filters(spark, sf_dir):
     return found.select("ord", "score")
 
 
-@query()
+_SKIP = r"[\s\x{3000}、，,・･\-－―ー~〜]*"
+#: A text with "the" marked wherever its normal form has it: the marks stand around the letters and what is skipped between.
+_MARKED = f"replace(regexp_replace(text, '([tT]{_SKIP}[hH]{_SKIP}[eE])', '<mark>\\1</mark>', 'g'), '</mark><mark>', '')"
+_FIRST, _LAST = "(instr(m, '<mark>') - 1)", "(strlen_m - instr(reverse(m), reverse('</mark>')) + 1 - 13 * n_ranges)"
+
+
+@query(f"""WITH marked AS (SELECT doc_id AS ord, coalesce(text, '') AS t, {_MARKED.replace("text", "coalesce(text, '')")} AS m FROM documents),
+placed AS (SELECT *, CAST((length(m) - length(replace(m, '<mark>', ''))) / 6 AS INT) AS n_ranges, length(m) AS strlen_m FROM marked),
+cut AS (SELECT *, greatest(0, {_FIRST} - 60) AS a, least(length(t), {_LAST} + 170) AS z FROM placed)
+SELECT ord, n_ranges, CASE WHEN n_ranges = 0 THEN substr(t, 1, 200) || CASE WHEN length(t) > 200 THEN '…' ELSE '' END
+  ELSE CASE WHEN a > 0 THEN '…' ELSE '' END || {_MARKED.replace("text", "substr(t, a + 1, z - a)")} || CASE WHEN z < length(t) THEN '…' ELSE '' END END AS snippet FROM cut""")
 def snippets(spark, sf_dir):
-    """Snippets on a page of results, through the map from normal form to text."""
-    found = search.page(search.rank(search.search(said(spark, sf_dir), SEARCH).select("ord", "date", "score", "text")))
-    ranges = highlight.hit_ranges(F.col("text"), search.positive_alternatives(search.compile_query(SEARCH)))
-    return found.withColumn("ranges", ranges).select("ord", F.size("ranges").alias("n_ranges"), highlight.snippet(F.col("text"), F.col("ranges")).alias("snippet"))
+    """Snippets through the map from normal form to text."""
+    ranges = highlight.hit_ranges(F.col("text"), search.positive_alternatives(search.compile_query("ＴＨＥ")))
+    found = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), F.coalesce("text", F.lit("")).alias("text")).withColumn("ranges", ranges)
+    return found.select("ord", F.size("ranges").alias("n_ranges"), highlight.snippet(F.col("text"), F.col("ranges")).alias("snippet"))
+
+
+@query(f"SELECT doc_id, {_MARKED} AS marked FROM documents")
+def highlight_full(spark, sf_dir):
+    ranges = highlight.hit_ranges(F.col("text"), search.positive_alternatives(search.compile_query("the -of")))
+    return table(spark, sf_dir, "documents").select("doc_id", highlight.highlight_full(F.col("text"), ranges).alias("marked"))
+
+
+_GROWN = {"synonyms": [["the", "der", "los"], ["zzz", "yyy"]], "readings": {"und": "and"}}
+
+
+def _first_count(terms: list[str]) -> str:
+    return "CASE " + " ".join(f"WHEN contains(norm, '{t}') THEN {_count(t)}" for t in terms) + " END"
+
+
+@query(f"WITH {SAID} SELECT ord, {_first_count(['der', 'the', 'los'])} + {_first_count(['und', 'and'])} AS score FROM said WHERE (contains(norm, 'the') OR contains(norm, 'der') OR contains(norm, 'los')) AND (contains(norm, 'und') OR contains(norm, 'and'))")
+def search_expanded(spark, sf_dir):
+    """A term with its synonyms, and one with its reading."""
+    return search.search(said(spark, sf_dir), "DER und", dictionaries=_GROWN).select("ord", "score")
+
+
+@query("SELECT o_orderkey FROM orders WHERE year(o_orderdate) = 1995")
+def search_era_year(spark, sf_dir):
+    """A year in three spellings finds it in any of them."""
+    form = eras.year_variants(F.year("o_orderdate"))
+    text = F.concat(F.lit("第"), F.element_at(form, F.expr("cast(o_orderkey % 4 + 1 as int)")), F.lit(" の件"))
+    own = normalize.add_norm(table(spark, sf_dir, "orders").select("o_orderkey", text.alias("text")))
+    return search.search(own, "平成七年").select("o_orderkey")
+
+
+@query(f"WITH {SAID}, {_HITS} SELECT CAST(ceil(count(*) / 20.0) AS BIGINT) AS n_pages FROM matched")
+def page_count(spark, sf_dir):
+    return search.page_count(search.search(said(spark, sf_dir), SEARCH))
 
 
 _SAVED = [(label, " OR ".join(terms)) for label, terms in THEMES if label not in ("none",)]
@@ -129,6 +184,13 @@ def search_many(spark, sf_dir):
     return search.search_many(said(spark, sf_dir), [q for q in _SAVED if q[0] != "list"], ["ord"])
 
 
+@query(f"WITH {SAID}, terms AS (SELECT chr(97 + (i // 26)::INT) || chr(97 + (i % 26)::INT) AS t, i FROM range(676) r(i)) SELECT 'q' || i AS query_id, ord, CAST((length(norm) - length(replace(norm, t, ''))) / 2 AS INT) AS score FROM said, terms WHERE contains(norm, t) AND NOT contains(norm, 'zz') AND t <> 'or'")
+def search_many_by_automaton(spark, sf_dir):
+    """675 saved queries in one pass over the texts: two letters each, but for the word that joins alternatives."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    return search.search_many(said(spark, sf_dir), [(f"q{26 * i + j}", f"{a}{b} -zz") for i, a in enumerate(letters) for j, b in enumerate(letters) if a + b != "or"], ["ord"])
+
+
 def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A transcript of each conversation: a preamble, then a line per turn."""
     turn = F.concat(F.col("role"), F.lit("（"), F.concat(F.lit("名"), F.col("turn").cast("string")), F.lit("君）"), F.coalesce("text", F.lit("")))
@@ -345,21 +407,18 @@ def vector_topk(spark, sf_dir):
     return near.select("vec_id", F.round(F.col("score") * 127 * 127).cast("long").alias("dot"))
 
 
-@query(f"WITH {_VECTORS}, s AS (SELECT b.vec_id AS q, a.vec_id, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS dot FROM v a, (SELECT * FROM v WHERE vec_id < 8) b), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY dot DESC, vec_id) AS rank FROM s) SELECT q, vec_id, dot, CAST(rank AS INT) AS rank FROM r WHERE rank <= 20")
+@query(f"WITH {_VECTORS}, s AS (SELECT b.vec_id AS q, a.vec_id, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS dot FROM v a, (SELECT * FROM v WHERE vec_id % 50 = 0) b), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY dot DESC, vec_id) AS rank FROM s) SELECT q, vec_id, dot, CAST(rank AS INT) AS rank FROM r WHERE rank <= 20")
 def vector_topk_many(spark, sf_dir):
-    import numpy as np
-
     own = table(spark, sf_dir, "embeddings").select("vec_id", vectors.quantize_int8(F.transform("embedding", lambda x: x.cast("double"))).alias("vec"))
-    asked = own.where("vec_id < 8").orderBy("vec_id").collect()
     # whole numbers as queries, so that ties are exact
-    near = vectors.vector_search_many(own, np.array([r["vec"] for r in asked], float), 20, "vec_id")
+    near = vectors.vector_search_many(own, own.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), "vec"), 20, "vec_id")
     return near.select(F.col("query").alias("q"), "vec_id", F.round(F.col("score") * 127).cast("long").alias("dot"), "rank")
 
 
-@query("SELECT conv_id::VARCHAR AS meeting_id, substr(string_agg('【' || role || ' 名' || turn || '】' || coalesce(text, ''), E'\\n' ORDER BY turn, role, text), 1, 3000) AS corpus FROM conversations GROUP BY 1")
+@query("SELECT conv_id::VARCHAR AS meeting_id, substr(string_agg('【' || role || ' 名' || turn || '】' || coalesce(text, ''), E'\\n' ORDER BY turn, role, text), 1, 60000) AS corpus FROM conversations GROUP BY 1")
 def meeting_corpus(spark, sf_dir):
     own = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("meeting_id"), F.struct("turn", "role", "text").alias("ord"), "role", F.concat(F.lit("名"), F.col("turn").cast("string")).alias("name"), "text")
-    return annotate.meeting_corpus(own, 3000)
+    return annotate.meeting_corpus(own)
 
 
 @query(f"WITH {AGENDA} SELECT meeting_id, no, CASE WHEN ord % 4 = 0 THEN '後' || (ord % 9) ELSE kind END AS kind FROM agenda")
@@ -404,6 +463,222 @@ def bills_by_meeting(spark, sf_dir):
     return found.select("id", "n_bills", "n_questioners", F.array_join(F.transform(F.coalesce("bills", F.array().cast(dict(found.dtypes)["bills"])), lambda b: b["no"]), " ").alias("nos"))
 
 
+_ROLE = "CASE c_custkey % 5 WHEN 0 THEN '議長' WHEN 1 THEN '町長' WHEN 2 THEN c_custkey || '番' WHEN 3 THEN '農林課長' ELSE '副議長' END"
+
+
+@query(f"SELECT c_custkey, {_ROLE} AS role FROM customer")
+def clean_label(spark, sf_dir):
+    """Labels with page marks, stage directions, seats in full width, line numbers and words of the page."""
+    n = F.col("c_custkey").cast("string")
+    wide = F.translate(n, "0123456789", "０１２３４５６７８９")
+    kind = F.col("c_custkey") % 5
+    printed = F.when(kind == 0, F.concat(F.lit("－"), n, F.lit("－議 長"))).when(kind == 1, F.lit("〔質疑〕町長")).when(kind == 2, F.concat(wide, F.lit("番"))).when(kind == 3, F.concat(n, F.lit("農林課長"))).otherwise(F.lit("９時５分－副議長"))
+    return table(spark, sf_dir, "customer").select("c_custkey", speeches.clean_label(printed).alias("role"))
+
+
+@query(f"WITH {SAID} SELECT ord, meeting_id || '_' || coalesce(replace(date, '-', ''), 'k' || ord) || '_' || printf('%04d', ord) AS sid FROM said")
+def make_sid(spark, sf_dir):
+    key = F.concat("meeting_id", F.lit("_k"), F.col("ord").cast("string"))
+    return speeches_of(spark, sf_dir).select("ord", speeches.make_sid(F.col("meeting_id"), F.col("date"), key, F.col("ord")).alias("sid"))
+
+
+@query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN '議案第' || p_partkey || '号' WHEN 2 THEN '報第' || p_partkey || '号' END AS ref FROM part")
+def agenda_ref(spark, sf_dir):
+    n = F.col("p_partkey").cast("string")
+    wide = F.translate(n, "0123456789", "０１２３４５６７８９")
+    text = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("本日は議案第 "), wide, F.lit("　号について。"))).when(F.col("p_partkey") % 3 == 1, F.concat(n, F.lit("号室"))).otherwise(F.concat(F.lit("報第"), n, F.lit("号と議第1号")))
+    return table(spark, sf_dir, "part").select("p_partkey", speeches.detect_agenda_ref(text).alias("ref"))
+
+
+def conversation_meetings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A meeting for each conversation, with one file on one day."""
+    n = F.col("conv_id").cast("string")
+    pdf = F.struct(F.lit("本文").alias("label"), F.lit("2025-06-12").alias("date"), F.concat(F.lit("https://a.example/"), n, F.lit(".pdf")).alias("url"))
+    return table(spark, sf_dir, "conversations").select("conv_id").distinct().select(n.alias("id"), F.concat(F.lit("会議"), n).alias("name"), F.lit("定例会").alias("type"), F.lit(2025).alias("year"), F.lit("令和7年").alias("era"), F.array(pdf).alias("pdfs"))
+
+
+@query(r"""
+WITH turns AS (SELECT conv_id::VARCHAR AS meeting_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role || '（名' || turn || '君）' || coalesce(text, '')) AS pos, role, '名' || turn AS name, trim(coalesce(text, ''), E' \t\n\r\f\v') AS text FROM conversations),
+every AS (SELECT * FROM turns UNION ALL SELECT DISTINCT conv_id::VARCHAR, 0, '', '（会議録情報）', '会議録' FROM conversations)
+SELECT meeting_id || '_20250612_' || printf('%04d', pos) AS sid, meeting_id, '会議' || meeting_id AS meeting, 2025 AS year, 'https://a.example/' || meeting_id || '.pdf' AS pdf, role, name, text FROM every WHERE text <> ''""")
+def build_index(spark, sf_dir):
+    """Catalogue, files and texts joined to a table of speeches, written by year and read back with its normal form."""
+    meetings_of = conversation_meetings(spark, sf_dir)
+    texts = transcripts(spark, sf_dir).withColumn("text_key", F.concat("meeting_id", F.lit("_20250612"))).drop("meeting_id")
+    path = scratch(spark, "index")
+    tables.write_speeches(speeches.build_index(texts, catalog.flat_pdfs(meetings_of), meetings_of), path, with_norm=True)
+    return spark.read.parquet(path).select("sid", "meeting_id", "meeting", "year", "pdf", "role", "name", "text")
+
+
+@query(f"WITH {AGENDA} SELECT meeting_id AS text_key, no, CASE WHEN ord % 2 = 1 THEN 'その他' ELSE kind END AS kind, CASE WHEN ord % 2 = 1 THEN no ELSE title END AS title FROM agenda")
+def bills_without_title(spark, sf_dir):
+    """A number with no title behind it stands for itself."""
+    line = F.concat(F.lit("議第"), F.col("p_partkey").cast("string"), F.lit("号"), F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit(" "), "p_name", kind_words(F.col("p_size")))).otherwise(""), F.lit("〃\n"))
+    own = table(spark, sf_dir, "part").select(F.col("p_brand").alias("text_key"), "p_partkey", line.alias("line"))
+    raw = F.concat(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "line"))), lambda x: x["line"]), ""), F.lit("会議の概要"))
+    return bills.extract_bills(own.groupBy("text_key").agg(raw.alias("raw"))).select("text_key", "no", "kind", "title")
+
+
+@query("""WITH b AS (SELECT p_brand AS meeting_id, CASE WHEN p_partkey % 5 = 0 THEN '決議案第' ELSE '議第' END || p_partkey || '号' AS no, '題' || p_partkey % 37 AS title FROM part)
+SELECT * FROM b WHERE no LIKE '決%' OR NOT EXISTS (SELECT 1 FROM b r WHERE r.no LIKE '決%' AND r.meeting_id = b.meeting_id AND r.title = b.title)""")
+def resolution_duplicates(spark, sf_dir):
+    n = F.col("p_partkey")
+    own = table(spark, sf_dir, "part").select(F.col("p_brand").alias("meeting_id"), F.concat(F.when(n % 5 == 0, "決議案第").otherwise("議第"), n.cast("string"), F.lit("号")).alias("no"), F.concat(F.lit("題"), (n % 37).cast("string")).alias("title"))
+    return bills.drop_resolution_duplicates(own)
+
+
+@query("SELECT page_id, page_id % 3 < 2 AS is_toc FROM pages")
+def toc_files(spark, sf_dir):
+    n = F.col("page_id")
+    url, label = F.concat(F.lit("https://a.example/7.6"), F.when(n % 3 == 0, "MOKUJI").otherwise("day"), F.lit(".pdf")), F.when(n % 3 == 1, "目次（1MB）").when(n % 6 == 2, "本文")
+    return table(spark, sf_dir, "pages").select("page_id", bills.is_toc_pdf(url, label).alias("is_toc"))
+
+
+@query("SELECT page_id, page_id % 2 = 0 AS is_category FROM pages")
+def category_links(spark, sf_dir):
+    n = F.col("page_id").cast("string")
+    href = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("https://a.example/category/32-3-6-"), n, F.lit("-0.html"))).otherwise(F.concat(F.lit("https://a.example/category/32-3-5-"), n))
+    return table(spark, sf_dir, "pages").select("page_id", catalog.is_category_href(href).alias("is_category"))
+
+
+@query("""SELECT page_id::VARCHAR AS id, CAST(2019 + page_id % 5 AS INT) AS year, '定例会' AS type, i AS pos, CASE i WHEN 0 THEN '6月' || (1 + page_id % 28) || '日' ELSE '20250612x.PDF' END AS label,
+  CASE i WHEN 0 THEN printf('%d-06-%02d', 2019 + page_id % 5, 1 + page_id % 28) ELSE '2025-06-12' END AS date FROM pages, (VALUES (0), (1)) AS v(i) WHERE page_id % 4 <> 3""")
+def meeting_pdfs(spark, sf_dir):
+    """The files on a page of a meeting, with dates from labels and from names, each address once."""
+    n = F.col("page_id")
+    link = lambda text, href: F.struct(text.alias("text"), href.alias("href"))
+    first = link(F.concat(F.lit("6月"), (1 + n % 28).cast("string"), F.lit("日")), F.concat(F.lit("https://a.example/cmsfiles/a/"), n.cast("string"), F.lit(".pdf")))
+    dated = link(F.lit(""), F.lit("https://a.example/cmsfiles/b/20250612x.PDF"))
+    links = F.when(n % 4 == 3, F.array(link(F.lit("なし"), F.lit("https://a.example/x.html")))).otherwise(F.array(first, dated, link(F.lit("再"), first["href"])))
+    title = F.concat(F.lit("令和"), (1 + n % 5).cast("string"), F.lit("年6月定例会議・会議録"))
+    pages = table(spark, sf_dir, "pages").select(n.cast("string").alias("id"), "url", title.alias("title"), links.alias("links"))
+    return catalog.meeting_pdfs(pages).select("id", "year", "type", F.posexplode("pdfs").alias("pos", "p")).select("id", "year", "type", "pos", "p.label", "p.date")
+
+
+@query(f"WITH {_MEETINGS} SELECT id, CAST(y AS INT) AS year FROM meetings ORDER BY y DESC, id DESC LIMIT 50")
+def meetings_in_order(spark, sf_dir):
+    return catalog.order_meetings(meetings(spark, sf_dir)).select("id", "year").limit(50)
+
+
+@query("SELECT lpad((page_id * 10)::VARCHAR, 10, '0') AS id FROM pages WHERE page_id * 10 IN (0, 30, 990, 1000000)")
+def target_meetings(spark, sf_dir):
+    own = table(spark, sf_dir, "pages").select(F.lpad((F.col("page_id") * 10).cast("string"), 10, "0").alias("id"), F.col("page_id").alias("ord"))
+    return catalog.select_targets(own, ["30", "0000000990", "1000000"]).select("id").unionByName(catalog.select_targets(own, limit=1).select("id"))
+
+
+@query("""WITH m AS (SELECT url, min('pdf/' || page_id) AS path FROM pages WHERE page_id % 2 = 0 GROUP BY 1) SELECT page_id, coalesce(path, url) AS pdf FROM pages LEFT JOIN m USING (url)""")
+def rewritten_links(spark, sf_dir):
+    own = table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("pdf"))
+    mapping = own.where("page_id % 2 = 0").select(F.col("pdf").alias("url"), F.concat(F.lit("pdf/"), F.col("page_id").cast("string")).alias("path"))
+    return catalog.rewrite_pdf_links(own, mapping)
+
+
+_CHARS = f"string_split(coalesce(text, ''), '')"
+_IS_SKIPPED = r"regexp_full_match(c, '[\s\x{3000}、，,・･\-－―ー~〜]')"
+
+
+@query(f"""WITH chars AS (SELECT doc_id, {_CHARS} AS cs FROM documents), placed AS (SELECT doc_id, unnest(cs) AS c, generate_subscripts(cs, 1) - 1 AS i FROM chars)
+SELECT doc_id, count(*) FILTER (WHERE NOT {_IS_SKIPPED} AND c <> '')::BIGINT AS n, coalesce(sum(i) FILTER (WHERE NOT {_IS_SKIPPED} AND c <> ''), 0)::BIGINT AS places FROM placed GROUP BY 1""")
+def normalize_map(spark, sf_dir):
+    """The places of the characters that make the normal form."""
+    found = table(spark, sf_dir, "documents").select("doc_id", normalize.normalize_with_map(F.col("text")).alias("x"))
+    total = F.aggregate("x.map", F.lit(0).cast("long"), lambda s, i: s + i)
+    return found.select("doc_id", F.size("x.map").cast("long").alias("n"), total.alias("places"))
+
+
+@query(f"SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'given' ELSE {NORM} END AS norm FROM documents")
+def add_norm(spark, sf_dir):
+    own = table(spark, sf_dir, "documents").select("doc_id", "text", F.when(F.col("doc_id") % 2 == 0, "given").alias("norm"))
+    return normalize.add_norm(own).select("doc_id", "norm")
+
+
+@query("SELECT o_orderkey, CAST(1 + o_orderkey % 99 AS INT) AS n FROM orders")
+def kanji_numbers(spark, sf_dir):
+    n = 1 + F.col("o_orderkey") % 99
+    digit = lambda d: F.translate(d.cast("string"), "123456789", "一二三四五六七八九")
+    tens, ones = F.floor(n / 10), n % 10
+    text = F.concat(F.when(tens > 1, digit(tens)).otherwise(""), F.when(tens > 0, "十").otherwise(""), F.when(ones > 0, digit(ones)).otherwise(""))
+    return table(spark, sf_dir, "orders").select("o_orderkey", eras.kanji_number(text).cast("int").alias("n"))
+
+
+@query("""WITH t AS (SELECT replace(p_name, ' ', '') || 'の件' AS title, min(p_partkey) AS ord FROM part GROUP BY 1), l AS (SELECT ord, regexp_replace(title, 'の件', '') AS label FROM t)
+SELECT ord::INT AS ord, label FROM l WHERE length(label) BETWEEN 2 AND 12 ORDER BY ord LIMIT 30""")
+def title_candidates(spark, sf_dir):
+    own = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("int").alias("ord"), F.concat(F.regexp_replace("p_name", " ", ""), F.lit("の件")).alias("title"))
+    return themes.title_candidates(own)
+
+
+@query("SELECT p_partkey, array_to_string(list_slice(list_distinct_in_order, 1, 4), ' OR ') AS q FROM (SELECT p_partkey, [x FOR x, i IN ws IF list_position(ws, x) = i] AS list_distinct_in_order FROM (SELECT p_partkey, string_split(p_name || ' ' || p_type || ' ' || p_name, ' ') AS ws FROM part))")
+def theme_queries(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", themes.theme_query(F.transform(F.split(F.concat_ws(" ", "p_name", "p_type", "p_name"), " "), lambda w: F.concat(F.lit("　"), w, F.lit(" ")))).alias("q"))
+
+
+@query(rf"""WITH {SAID}, member AS (SELECT meeting_id, name, min(ord) AS ord FROM said WHERE role = '5番' GROUP BY 1, 2),
+heads AS (SELECT m.*, substr(trim(regexp_replace(coalesce(text, ''), '[\s\x{{3000}}]+', ' ', 'g')), 1, 90) AS head FROM member m JOIN said s ON m.ord = s.ord)
+SELECT meeting_id, name, head, ord FROM heads WHERE length(head) > 8 ORDER BY ord LIMIT 500""")
+def question_heads(spark, sf_dir):
+    return themes.question_heads(said(spark, sf_dir), agenda(spark, sf_dir))[0]
+
+
+@query("SELECT chr(39640 + 3 * (s_suppkey % 7)::INT) || '髙' || CASE WHEN s_suppkey % 2 = 0 THEN '邊' ELSE '' END AS run, CAST(count(*) * CASE WHEN s_suppkey % 2 = 0 THEN 2 ELSE 1 END AS BIGINT) AS n FROM supplier GROUP BY s_suppkey % 7, s_suppkey % 2")
+def variant_candidates(spark, sf_dir):
+    n = F.col("s_suppkey")
+    first = F.element_at(F.array(*(F.lit(chr(39640 + 3 * i)) for i in range(7))), (n % 7 + 1).cast("int"))
+    own = table(spark, sf_dir, "supplier").select(F.concat(F.lit("名は"), first, F.lit("髙"), F.when(n % 2 == 0, "邊").otherwise(""), F.lit("です")).alias("text"))
+    return profile.variant_candidates(own, {})
+
+
+@query("SELECT (SELECT count(*) FROM documents) AS speeches, (SELECT count(*) FROM part) AS bills")
+def profile_counts(spark, sf_dir):
+    return profile.profile_counts(said(spark, sf_dir), agenda(spark, sf_dir))
+
+
+@query("SELECT doc_id::VARCHAR AS sid, 'passage: ' || substr(coalesce(text, ''), 1, 512) AS input FROM documents")
+def embedding_input(spark, sf_dir):
+    return vectors.embedding_input(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("sid"), "text"))
+
+
+@query(f"""WITH {SAID}, {_HITS}, {_VECTORS}, best AS (SELECT ord FROM matched ORDER BY score DESC, ord LIMIT 20),
+near AS (SELECT a.vec_id AS ord FROM v a, (SELECT q FROM v WHERE vec_id = 7) b ORDER BY list_dot_product(a.q, b.q) DESC, a.vec_id LIMIT 20)
+SELECT ord AS sid, ord IN (SELECT ord FROM best) AS by_word, ord IN (SELECT ord FROM near) AS by_vector, date FROM said WHERE ord IN (SELECT ord FROM best UNION SELECT ord FROM near)""")
+def hybrid_candidates(spark, sf_dir):
+    own = said(spark, sf_dir).withColumn("sid", F.col("ord")).withColumn("pdf", F.lit(""))
+    near = vector_topk(spark, sf_dir).select(F.col("vec_id").alias("sid"), F.col("dot").alias("score"))
+    return vectors.hybrid_candidates(search.search(own, SEARCH), near, own).select("sid", "by_word", "by_vector", "date")
+
+
+@query(f"""WITH {AGENDA}, b AS (SELECT meeting_id, CAST(count(*) AS INT) AS n_bills, string_agg(no || kind || title, '|' ORDER BY ord) AS bills FROM agenda GROUP BY 1)
+SELECT * FROM b""")
+def gian_round_trip(spark, sf_dir):
+    """The nested view as one JSON object by meeting, and back."""
+    own = agenda(spark, sf_dir)
+    asked = own.where("ord < 0").select("meeting_id", "ord", F.lit("").alias("member"), F.lit("").alias("theme"))
+    path = scratch(spark, "gian")
+    tables.write_gian(own, asked, path)
+    rows, _ = tables.read_gian(spark, path)
+    line = F.struct("ord", F.concat("no", "kind", "title").alias("t"))
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["t"]), "|")
+    return rows.groupBy("meeting_id").agg(F.count("*").cast("int").alias("n_bills"), lines.alias("bills"))
+
+
+@query(f"SELECT doc_id, {NORM} AS norm, md5(coalesce(text, '')) AS sum FROM documents")
+def bundle_round_trip(spark, sf_dir):
+    """A bundle of JSON lines, read again."""
+    path = scratch(spark, "bundle")
+    tables.export_bundle({"speeches": table(spark, sf_dir, "documents").select("doc_id", "text")}, path)
+    back = spark.read.schema("doc_id long, text string, norm string").json(f"{path}/speeches")
+    return back.select("doc_id", "norm", F.md5(F.coalesce("text", F.lit(""))).alias("sum"))
+
+
+@query("SELECT vec_id::VARCHAR AS sid, array_to_string(list_transform(embedding, lambda x: greatest(-127, least(127, floor(x::DOUBLE * 127 + 0.5)))::INT), ',') AS vec FROM embeddings")
+def vector_table(spark, sf_dir):
+    """The typed table of vectors, written and read again."""
+    path = scratch(spark, "vectors")
+    own = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("sid"), vectors.quantize_int8(F.transform("embedding", lambda x: x.cast("double"))).alias("vec"))
+    tables.write_typed(own, path, "vectors")
+    return tables.read_typed(spark, path, "vectors").select("sid", F.array_join(F.transform("vec", lambda x: x.cast("string")), ",").alias("vec"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -10,6 +10,11 @@ SPEECHES = (
 )
 AGENDA = "meeting_id string, ord int, no string, kind string, title string"
 QUESTIONERS = "meeting_id string, ord int, member string, theme string"
-GIAN = "map<string, struct<agenda: array<struct<no: string, kind: string, title: string>>, ippan: array<struct<member: string, theme: string>>>>"
+BILL_LIST, ASKED_LIST = "array<struct<no: string, kind: string, title: string>>", "array<struct<member: string, theme: string>>"
+GIAN = f"map<string, struct<agenda: {BILL_LIST}, ippan: {ASKED_LIST}>>"
 VECTORS = "sid string, vec array<tinyint>"
 SUMMARIES = "map<string, struct<summary: string, topics: array<string>, gian: array<struct<no: string, kind: string>>>>"
+HIGHLIGHTS = "label string, query string, reason string"
+MEETING_PAGES = "id string, page_url string"
+#: Tables with a writer and reader of their own.
+TYPED = {"highlights": HIGHLIGHTS, "meeting_pages": MEETING_PAGES, "vectors": VECTORS}

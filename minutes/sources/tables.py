@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .. import schemas
 from ..functions.dictionaries import load as read_dicts
@@ -62,11 +63,29 @@ def nested_gian(agenda: DataFrame, questioners: DataFrame) -> DataFrame:
     return bills.join(asked, "meeting_id", "full")
 
 
+def write_gian(agenda: DataFrame, questioners: DataFrame, path: str) -> None:
+    """The nested view as one JSON object by meeting. It is one value, as its readers want it: for bundles of one body."""
+    entry = F.struct(F.coalesce("agenda", F.array().cast(schemas.BILL_LIST)).alias("agenda"), F.coalesce("ippan", F.array().cast(schemas.ASKED_LIST)).alias("ippan"))
+    whole = nested_gian(agenda, questioners).agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("meeting_id", entry.alias("x")))))).alias("value"))
+    whole.write.mode("overwrite").text(path)
+
+
+def write_typed(df: DataFrame, path: str, kind: str) -> None:
+    """A table of ``schemas.TYPED``: its columns, in its order and of its types, and no others."""
+    fields = StructType.fromDDL(schemas.TYPED[kind])
+    df.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in fields)).write.mode("overwrite").parquet(path)
+
+
+def read_typed(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    return spark.read.schema(schemas.TYPED[kind]).parquet(path)
+
+
 def write_speeches(speeches: DataFrame, path: str, with_norm: bool = False, dynamic: bool = False) -> None:
     """The table of speeches by year; with ``dynamic`` only the years at hand are replaced."""
     own = add_norm(speeches) if with_norm else speeches.drop("norm")
     mode = {"partitionOverwriteMode": "dynamic"} if dynamic else {}
-    own.repartition("year", F.pmod(F.xxhash64("sid"), F.lit(16))).write.mode("overwrite").options(**mode).partitionBy("year").parquet(path)
+    # partitions of a year are as many as its size takes
+    own.hint("rebalance", "year").write.mode("overwrite").options(**mode).partitionBy("year").parquet(path)
 
 
 def write_table(df: DataFrame, path: str, form: str = "parquet") -> None:

@@ -37,16 +37,24 @@ def test_and_or_not(said):
 
 def test_expansion(said):
     assert set(found(said, "R7")) == set(found(said, "2025")) == set(found(said, "令和七年")) == {1}
-    assert set(found(said, "子ども")) == {2} and set(found(said, "sns")) == {2}
-    assert search.expand_term("かいがけ") == ["かいがけ", "鎌掛"]
+    own = {"synonyms": [["学童", "子供"], ["x", "y"]]}
+    assert set(found(said, "学童", dictionaries=own)) == {2} and set(found(said, "sns")) == {2}
+    assert search.expand_term("きょうと") == ["きょうと", "京都"] and search.expand_term("フォト") == ["フォト", "写真", "画像"]
 
 
-@pytest.mark.parametrize(("text", "query", "score"), [("aaaa", "aa", 2), ("xx y", "x OR y", 2), ("補正補正", "補正予算", 2), ("xxyy", "x y", 4)])
+@pytest.mark.parametrize(("text", "query", "score"), [("aaaa", "aa", 2), ("xx y", "x OR y", 2), ("写真写真", "フォト", 2), ("xxyy", "x y", 4)])
 def test_hit_score(spark, text, query, score):
     rows = normalize.add_norm(spark.createDataFrame([(text,)], "text string"))
     assert rows.select(search.hit_score(F.col("norm"), search.compile_query(query))).first()[0] == score
 
 
+def test_many_queries_by_automaton(said, monkeypatch):
+    queries = [(q, q) for q in ("補正 OR 給食", "-予算", "予算 -道路", "", "ー", "- OR", "sns", "2025", "給食 -ー")]
+    plain = sorted(map(tuple, search.search_many(said, queries, ["ord"]).collect()))
+    monkeypatch.setattr(search, "INLINE_QUERIES", 1)
+    assert sorted(map(tuple, search.search_many(said, queries, ["ord"]).collect())) == plain and len(plain) > 12
+
+
 def test_filters(said):
     assert set(found(said, "", year=2024, role="議員")) == {3}
     assert set(found(said, "", speaker="町")) == {1}
@@ -65,7 +73,7 @@ def test_rank_page_summary(said):
 
 
 def test_search_page_job(said):
-    summary, shown = corpus.search_page(said, "補正予算", order=["ord"])
+    summary, shown = corpus.search_page(said, "補正予算", order=["ord"], dictionaries={"synonyms": [["補正予算", "補正"]]})
     assert summary.first().n_rows == 1
     assert shown.first().snippet == "<mark>補正予算</mark>について。<mark>補正予算</mark>の<mark>補正</mark>"
 
@@ -118,12 +126,15 @@ def test_profiles(spark, said):
     assert tuple(profile.profile_counts(said, agenda).first()) == (4, 2)
 
 
-def test_vectors(spark):
+def test_vectors(spark, monkeypatch):
     rows = spark.createDataFrame([("a", [1.0, -1.0, -0.5 / 127, 0.5 / 127, 2.0])], "sid string, v array<double>")
     assert list(rows.select(vectors.quantize_int8(F.col("v"))).first()[0]) == [127, -127, 0, 1, 127]
     vecs = spark.createDataFrame([("a", [127, 0]), ("b", [0, 127]), ("c", [127, 0])], "sid string, vec array<tinyint>")
     assert [(r.sid, r.score) for r in vectors.vector_search(vecs, [1.0, 0.0], 2).collect()] == [("a", 1.0), ("c", 1.0)]
-    many = vectors.vector_search_many(vecs, [[1.0, 0.0], [0.0, 1.0]], 1).orderBy("query").collect()
+    asked = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "query long, vec array<double>")
+    many = vectors.vector_search_many(vecs, asked, 1).orderBy("query").collect()
+    monkeypatch.setattr(vectors, "QUERIES", 1)
+    assert vectors.vector_search_many(vecs, asked, 1).orderBy("query").collect() == many and vectors.vector_search_many(vecs, asked.limit(0)).count() == 0
     assert [(r["query"], r.sid, r["rank"]) for r in many] == [(0, "a", 1), (1, "b", 1)]
 
 
