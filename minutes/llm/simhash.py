@@ -49,6 +49,8 @@ SLICE = 2 << 20
 #: Strangers that share a band key by the fourth root of their number, and the share of pairs at the stated similarity
 #: that share any band.
 STRANGERS, RECALL = 6, 0.97
+#: Candidates (id, hash, node: some 100 bytes each) that are broadcast to the texts; beyond, texts are shuffled to them.
+ASKED = 500_000
 #: Words of a counter plane worked on at once: 64 pairs each.
 WORDS = 1 << 13
 _STEP = 0x9E3779B97F4A7C15
@@ -419,7 +421,8 @@ def verified_links(nodes: DataFrame, docs: DataFrame, bands: list[np.ndarray], b
     kind = "band int, key long, i long, j long, fp binary, node long, n_shingles long, own long"
     near = stored(blocks(nodes, bands).mapInArrow(propose, kind), "candidates")
     asked = stored(near.select("node").distinct().join(nodes, "node").select("node", "id", F.col("hash").alias("__hash")), "asked")
-    text = docs.withColumn("hash", F.xxhash64("text")).join(asked, (F.col("hash") == F.col("__hash")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("node", "text")
+    few = F.broadcast(asked) if asked.count() <= ASKED else asked
+    text = docs.withColumn("hash", F.xxhash64("text")).join(few, (F.col("hash") == F.col("__hash")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("node", "text")
     # rows that repeat an id and a text give the same set again; both sides meet by node without another exchange
     sets = text.mapInArrow(cut, "node long, shingles array<long>").groupBy("node").agg(F.first("shingles").alias("shingles"))
     return near.join(sets, "node").repartition(*GROUP).sortWithinPartitions(*GROUP).mapInArrow(verify, "a long, b long")
