@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, hosts, lm, mixing, pii, quality, simhash, tokens, topk, warc
+from . import codes, decontam, hosts, lm, mixing, pii, quality, simhash, tokens, topk, warc
 from .common import crc_bucket, table
 
 #: Verdict, and host and path, of the URL rules.
@@ -71,8 +71,12 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(docs, docs.where(~F.col("held_out")), keep=("doc_id", "held_out"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_warc, op2_topk, op3_token_counts, op4_pii, op5_simhash, op6_mixing, op7_decontamination, op8_url_filter, op9_quality, op10_lm_scores)
+    own = (op1_warc, op2_topk, op3_token_counts, op4_pii, op5_simhash, op6_mixing, op7_decontamination, op8_url_filter, op9_quality, op10_lm_scores, op11_vector_codes)
     return {f.__name__: f for f in own}
 
 
@@ -84,5 +88,6 @@ def oracle_sql() -> dict[str, str]:
         "op2_topk": topk.sql("embeddings", 50, 5),
         "op6_mixing": mixing.sql("documents", 1.0, 0.5, 4.0),
         "op7_decontamination": decontam.sql("documents", "benchmark", 10, 20),
+        "op11_vector_codes": codes.sql("embeddings", 16, 64, 2),
         "op8_url_filter": hosts.sql("pages", "labels", URL_RULES),
     }
