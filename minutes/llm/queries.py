@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import codes, decontam, hosts, lm, mixing, pii, quality, simhash, tokens, topk, warc
+from . import codes, decontam, hosts, lm, mixing, pii, quality, rules, simhash, tokens, topk, warc
 from .common import crc_bucket, table
 
 #: Verdict, and host and path, of the URL rules.
@@ -75,8 +75,13 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.compress(table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2)
 
 
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = rules.judge(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("p_good", 6).alias("p_good"), "votes_against")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_warc, op2_topk, op3_token_counts, op4_pii, op5_simhash, op6_mixing, op7_decontamination, op8_url_filter, op9_quality, op10_lm_scores, op11_vector_codes)
+    own = (op1_warc, op2_topk, op3_token_counts, op4_pii, op5_simhash, op6_mixing, op7_decontamination, op8_url_filter, op9_quality, op10_lm_scores, op11_vector_codes, op12_quality_rules)
     return {f.__name__: f for f in own}
 
 
