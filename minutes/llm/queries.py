@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import codes, decontam, hosts, lm, mixing, pii, quality, rules, simhash, tokens, topk, warc
+from . import codes, decontam, hosts, lm, mixing, phrases, pii, quality, rules, simhash, tokens, topk, warc
 from .common import crc_bucket, table
 
 #: Verdict, and host and path, of the URL rules.
@@ -80,8 +80,13 @@ def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("p_good", 6).alias("p_good"), "votes_against")
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = phrases.collocations(table(spark, sf_dir, "documents"), longest=3, least=10, percent=50, most=2000)
+    return found.withColumn("rank", F.col("rank").cast("long"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_warc, op2_topk, op3_token_counts, op4_pii, op5_simhash, op6_mixing, op7_decontamination, op8_url_filter, op9_quality, op10_lm_scores, op11_vector_codes, op12_quality_rules)
+    own = (op1_warc, op2_topk, op3_token_counts, op4_pii, op5_simhash, op6_mixing, op7_decontamination, op8_url_filter, op9_quality, op10_lm_scores, op11_vector_codes, op12_quality_rules, op13_collocations)
     return {f.__name__: f for f in own}
 
 
@@ -94,5 +99,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_mixing": mixing.sql("documents", 1.0, 0.5, 4.0),
         "op7_decontamination": decontam.sql("documents", "benchmark", 10, 20),
         "op11_vector_codes": codes.sql("embeddings", 16, 64, 2),
+        "op13_collocations": phrases.sql("documents", 10, 50, 2000),
         "op8_url_filter": hosts.sql("pages", "labels", URL_RULES),
     }
