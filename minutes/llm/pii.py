@@ -14,9 +14,10 @@ A date with slashes has the day first. One that is none so read, but is with the
 that order: it is permuted until its day is over 12 again, so it is not linked to the same day in another layout.
 
 A run of digit groups that is no card number as a whole is searched for card numbers from group to group, so that an
-expiry date, a check value or an ordinal beside one does not hide it. Such a part begins like a card (3 to 6, 22 to 27,
-81, 82, 9792) and has at least three digits in every group but the last; the usual layouts (unbroken, 4-4-4-4, 4-6-5,
-4-6-4, 4-4-4-4-3) come first, then the leftmost, then the longest.
+expiry date, a check value or an ordinal beside one does not hide it. Such a part is unbroken or laid out as 4-4-4-4,
+4-4-4-4-3, 4-6-5 or 4-6-4, and begins with an issuer's digits that go with its length; of parts that overlap, the leftmost,
+then the longest is taken. If over three groups for each card found are left over, or more than one of four
+digits in all, the run is a table of numbers and stays as it is. A run with spaces that is one card as a whole needs the same layout and issuer; one with dashes, the layout.
 
 Candidates that fail validation (a number without a right check digit, a 31st of February, an octet of 300) are left
 as they are. Everything else in a text is kept byte for byte.
@@ -46,10 +47,15 @@ KINDS = {
 }
 #: An unbroken number, a run of groups with dashes, or one with spaces too, which ends before a candidate of another kind.
 KINDS["card"] = (
-    r"(?<![0-9A-Za-z+.-])(?:[0-9]{13,19}(?![0-9A-Za-z])|(?=(?:-?[0-9]){13})[0-9]{1,19}(?:-[0-9]{1,19}(?![0-9A-Za-z]))+"
-    r"|(?=(?:[ -]?[0-9]){13})[0-9]{1,19}(?:(?:-| (?!(?:" + "|".join(KINDS[k] for k in ("phone", "address", "date", "social")) + r")))[0-9]{1,19}(?![0-9A-Za-z]))+)"
+    r"(?<![0-9A-Za-z+.-])(?:[0-9]{13,19}(?![0-9A-Za-z])|(?=(?:-?[0-9]){13})[0-9]{1,19}+(?:-[0-9]{1,19}+(?![0-9A-Za-z]))++"
+    r"|(?=(?:[ -]?[0-9]){13})[0-9]{1,19}+(?:(?:-| (?!(?:" + "|".join(KINDS[k] for k in ("phone", "address", "date", "social")) + r")))[0-9]{1,19}+(?![0-9A-Za-z]))++)"
 )
 CANDIDATE = "|".join(f"(?:{p})" for p in KINDS.values())
+# The layouts of cards, and the first digits of issuers with the lengths they give out.
+LAYOUT = "^[ -]?(?:[0-9]+|[0-9]{4}(?:[ -][0-9]{4}){3}(?:[ -][0-9]{3})?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5})$"
+ISSUER = "^(?:4(?:[0-9]{12}|[0-9]{15}|[0-9]{18})|(?:2[2-7]|5[1-5])[0-9]{14}|3[47][0-9]{13}|3(?:0[0-5]|[689][0-9])[0-9]{11}|(?:35|36|5[06-9]|6[0-9]|8[12])[0-9]{14,17}|9792[0-9]{12})$"
+#: Groups that may stand beside each card of a run, and groups of four digits and more beside all of them.
+BESIDE, LONG_BESIDE = 3, 1
 #: First and last day of the dates treated: 146,097 = 189 x 773 days, one full cycle of the calendar.
 FIRST, LAST, LOW, HIGH = "1700-01-01", "2099-12-31", 189, 773
 #: Permutations of a date with the month first until its day is over 12: each misses with a chance of 0.4.
@@ -172,10 +178,12 @@ def other_day(text: Column, key: str) -> Column:
 def kind_of(text: Column) -> Column:
     """The kind of a candidate that holds against its rule; null for one that does not."""
     octets = F.forall(F.split(text, r"\."), lambda o: o.cast("int") < 256)
+    luhn = F.length(digits(text)).between(13, 19) & (luhn_sum(digits(text)) % 10 == 0)
+    card = F.when(text.contains(" "), fits(text)).otherwise(text.rlike(LAYOUT) & luhn)
     social = ~text.rlike("^(?:000|666|9)|-00-|-0000$")
     valid = {
         "mail": F.lit(True), "secret": F.lit(True), "account": iban_rest(F.replace(text, F.lit(" "), F.lit(""))) == 1, "phone": F.length(digits(text)).between(8, 15), "address": octets,
-        "date": as_date(text).between(F.lit(FIRST).cast("date"), F.lit(LAST).cast("date")), "social": social, "card": F.length(digits(text)).between(13, 19) & (luhn_sum(digits(text)) % 10 == 0),
+        "date": as_date(text).between(F.lit(FIRST).cast("date"), F.lit(LAST).cast("date")), "social": social, "card": card,
     }
     out = F.when(F.lit(False), F.lit(""))
     for kind, pattern in KINDS.items():
@@ -183,35 +191,38 @@ def kind_of(text: Column) -> Column:
     return out
 
 
+def fits(text: Column) -> Column:
+    """Whether digit groups, with the separator before them or not, are a card number by layout, issuer and check digit."""
+    return text.rlike(LAYOUT) & digits(text).rlike(ISSUER) & (luhn_sum(digits(text)) % 10 == 0)
+
+
 def cards_within(text: Column) -> Column:
     """A run of digit groups in pieces (old, kind): card numbers, and what stands between them."""
+    piece = lambda old, kind: F.struct(old.alias("old"), F.lit(kind).cast("string").alias("kind"))
 
     def pieces(groups: Column) -> Column:
         n = F.size(groups)
         # a group has the separator before it
         part = lambda s, e: F.array_join(F.slice(groups, s + 1, e - s + 1), "")
+        spans = lambda s: F.transform(F.filter(F.array(*map(F.lit, (4, 3, 2, 0))), lambda d: s + d < n), lambda d: F.struct(s.alias("s"), (s + d).alias("e"), part(s, s + d).alias("old")))
+        first = lambda s: F.get(groups, s).rlike("^[ -]?(?:[0-9]{4}|[0-9]{13,19})$")
+        starts = F.filter(F.sequence(F.lit(0), n - 1), first)
+        cards = F.flatten(F.transform(starts, lambda s: F.filter(spans(s), lambda r: fits(r["old"]))))
 
-        def holds(r: Column) -> Column:
-            number = digits(r["old"])
-            return F.length(number).between(13, 19) & number.rlike("^(?:[3-6]|2[2-7]|8[12]|9792)") & ~r["old"].rlike("(?<![0-9])[0-9]{1,2}[ -]") & (luhn_sum(number) % 10 == 0)
-
-        def run(s: Column, e: Column) -> Column:
-            old = part(s, e)
-            usual = old.rlike("^[ -]?(?:[0-9]+|[0-9]{4}(?:[ -][0-9]{4}){3}(?:[ -][0-9]{3})?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5})$")
-            return F.struct((~usual).alias("rank"), s.alias("s"), (-e).alias("e"), old.alias("old"))
-
-        runs = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda s: F.transform(F.sequence(s, F.least(s + 18, n - 1)), lambda e: run(s, e))))
-        clear = lambda held, r: ~F.exists(held, lambda h: (h["s"] <= -r["e"]) & (r["s"] <= -h["e"]))
-        taken = lambda found: F.aggregate(found, F.slice(found, 1, 0), lambda held, r: F.when(clear(held, r), F.concat(held, F.array(r))).otherwise(held))
-        piece = lambda old, kind: F.struct(old.alias("old"), F.lit(kind).cast("string").alias("kind"))
+        def taken(found: Column) -> Column:
+            state = F.struct(F.lit(-1).alias("last"), F.slice(found, 1, 0).alias("held"))
+            add = lambda x, r: F.when(r["s"] > x["last"], F.struct(r["e"].alias("last"), F.concat(x["held"], F.array(r)).alias("held"))).otherwise(x)
+            return F.aggregate(found, state, add, lambda x: x["held"])
 
         def lay(held: Column) -> Column:
-            before = lambda i: F.coalesce(-F.get(held, i - 1)["e"], F.lit(-1))
+            before = lambda i: F.coalesce(F.get(held, i - 1)["e"], F.lit(-1))
             laid = F.flatten(F.transform(held, lambda r, i: F.array(piece(part(before(i) + 1, r["s"] - 1), None), piece(r["old"], "card"))))
-            return F.concat(laid, F.array(piece(part(before(F.size(held)) + 1, n - 1), None)))
+            sized = lambda c: F.size(F.filter(c, lambda g: g.rlike("[0-9]{4}")))
+            within, long = (F.aggregate(held, F.lit(0), lambda x, r: x + f(F.slice(groups, r["s"] + 1, r["e"] - r["s"] + 1))) for f in (F.size, sized))  # noqa: B023
+            all_of = F.concat(laid, F.array(piece(part(before(F.size(held)) + 1, n - 1), None)))
+            return F.when((n - within <= BESIDE * F.size(held)) & (sized(groups) - long <= LONG_BESIDE), all_of).otherwise(F.array(piece(text, None)))
 
-        placed = let(F.array_sort(F.filter(runs, holds)), taken)
-        return let(F.array_sort(placed, lambda a, b: a["s"] - b["s"]), lay)
+        return let(let(cards, taken), lay)
 
     return let(F.regexp_extract_all(text, F.lit("[ -]?[0-9]+"), F.lit(0)), pieces)
 
@@ -219,7 +230,7 @@ def cards_within(text: Column) -> Column:
 def judge(text: Column) -> Column:
     """A candidate in pieces (old, kind)."""
     whole = lambda kind: F.array(F.struct(text.alias("old"), kind.alias("kind")))
-    run = text.rlike("^(?=(?:[ -]?[0-9]){13})[0-9]+(?:[ -][0-9]+)+$")
+    run = text.rlike("^(?=(?:[ -]?[0-9]){13})[0-9]++(?:[ -][0-9]++)++$")
     return let(kind_of(text), lambda kind: F.when(kind.isNull() & run, cards_within(text)).otherwise(whole(kind)))
 
 

@@ -185,6 +185,25 @@ def test_cards_beside_other_digits(spark):
     assert scrub(spark, [table]) == ([table], [0])
 
 
+def test_long_runs_of_numbers(spark):
+    """Tables on one line, with any separator, go through whole; a list of cards on one line is found whole."""
+    rng = random.Random(3)
+    numbers = [str(rng.randint(100, 9999)) for _ in range(200_000)]
+    cards = ["4111 1111 1111 1111", "5500-0000-0000-0004", "3782 822463 10005"]
+    given = [" ".join(numbers), "-".join(numbers), "rows: " + " ".join(map(str, range(100_000))) + " end", " ".join(numbers[:50_000]) + " a.b@c.example.com", " ".join(cards * 300), " ".join(numbers[:3000]) + "\n" + cards[0] + " 12/27"]
+    got, n = scrub(spark, given)
+    assert n == [0, 0, 0, 1, 900, 1] and got[:3] == given[:3] and got[3].startswith(" ".join(numbers[:50_000]) + " ")
+    assert not any(c in got[4] for c in cards) and "4111 1111" not in got[5]
+
+
+def test_tables_of_numbers_are_no_cards(spark):
+    rng = random.Random(7)
+    given = [" ".join(str(rng.randint(100, 9999)) for _ in range(60)) for _ in range(200)]
+    given.append("\n".join(" ".join(str(20 * i + j) for j in range(20)) for i in range(2000)))
+    got, n = scrub(spark, given)
+    assert sum(a != b for a, b in zip(given, got, strict=True)) < 2 and n[-1] == 0
+
+
 def test_whole_secrets(spark):
     rng = random.Random(8)
     draw = lambda n: "".join(rng.choices("abcdefghXYZ0123456789", k=n))
