@@ -1,14 +1,15 @@
 """Phrase collocations by contiguous pattern growth: prefixes, their projected occurrences, and what follows them.
 
-Texts are cut into pieces, which no phrase crosses, and pieces into words. Words are counted first. Then every place where
-a word stands is an occurrence of a prefix, and what follows it within its piece, up to the greatest length, is all that
+Texts are cut into pieces, which no phrase crosses, and pieces into words. Words are counted first; rare ones end pieces
+too, as no frequent phrase holds one (a bitmap of the hashes of frequent words, of bounded size, tells most of them). Then
+every place where a word stands is an occurrence of a prefix, and what follows it within its piece, up to the greatest length, is all that
 growing the prefix to the right will ever need: these projected occurrences are sent to one task for each prefix, where
 the recursion runs depth-first: occurrences are dealt by their next word, a phrase that is found often enough is handed
 on, and its own occurrences are grown further; one that is not is left with all that begins with it.
 
 A task that reads texts sorts its occurrences, so equal ones are sent once with their number, and all of a prefix as one
-row. The commonest words (at least one word in SHARE, so at most SHARE of them) are no prefix of one task: their
-occurrences go to one task for each pair of words. A task that holds more than ``hold`` different occurrences of a prefix hands
+row. The commonest words (at least one word in SHARE, so at most SHARE of them) are not left to one task: their
+occurrences are split by a hash of the word behind, into as many parts as they have shares. A task that holds more than ``hold`` different occurrences of a prefix hands
 on what it has counted and begins anew; partial counts are added up and held against the limit afterwards. So no prefix
 has to fit into memory, and no phrase is lost.
 
@@ -26,9 +27,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import pairwise
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,8 +42,10 @@ from .common import slices, stored, utf8
 SHARE, LONGEST = 2000, 256
 #: Tokens a task gathers before it hands its occurrences on; different occurrences of a prefix that its task holds.
 GATHER, HOLD = 1_000_000, 1_000_000
+#: Bits of the map of frequent words for each of them, and in all (16 MB).
+BITS_EACH, BITS = 32, 1 << 27
 #: Phrases of a group, when the best of a language are found.
-GROUP = 100_000
+GROUP = 20_000
 # The characters that end a piece, and those between words.
 _CUT = bytes.maketrans(b".,;:!?\x0a\x0b\x0c\x0d\x09", b"\n" * 10 + b" ")
 END = b"\n"
@@ -103,6 +108,16 @@ def count_words(rows: DataFrame, gather: int) -> DataFrame:
     return rows.mapInArrow(run, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
+def bitmap(frequent: DataFrame) -> np.ndarray:
+    """Bits at the hashes of (lang, word), a power of two of them, in words of 64."""
+    size = min(BITS, max(64, 1 << (BITS_EACH * frequent.count()).bit_length()))
+    at = frequent.select(F.xxhash64("lang", "word").bitwiseAND(F.lit(size - 1)).alias("at"))
+    found = at.groupBy(F.shiftright("at", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toArrow()
+    out = np.zeros(size // 64, np.uint64)
+    out[found.column("at").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
 def occurrences(ids: np.ndarray, begin: int, length: int, many: int) -> tuple[np.ndarray, np.ndarray]:
     """The different stretches of up to ``length`` words of a piece, as rows of numbers (0 behind its end) in order, and
     how often each begins at one of the first ``begin`` places. Those of one word alone are left out."""
@@ -121,36 +136,38 @@ def occurrences(ids: np.ndarray, begin: int, length: int, many: int) -> tuple[np
     return np.stack([c[first] for c in columns], 1), count
 
 
-def project(rows: DataFrame, hot: set[tuple[str, bytes]], length: int, gather: int) -> DataFrame:
-    """(lang, prefix, tails, ns): what follows the occurrences of a prefix in some texts, a line each, and how often."""
-    sent = rows.sparkSession.sparkContext.broadcast(hot)
+def project(rows: DataFrame, common: dict[tuple[str, bytes], int], frequent: np.ndarray, length: int, gather: int) -> DataFrame:
+    """(lang, prefix, part, tails, ns): what follows the occurrences of a prefix in some texts, a line each, and how often."""
+    sent = rows.sparkSession.sparkContext.broadcast((common, frequent))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = sent.value
+        split, bits = sent.value
         for lang, words, ids, n in gathered(batches, length - 1, gather):
-            found, count = occurrences(ids, n, length, len(words))
+            seed = xxhash.xxh64_intdigest(lang.encode(), 42)
+            at = np.array([xxhash.xxh64_intdigest(w, seed) & (64 * len(bits) - 1) for w in words], np.uint64)
+            known = (bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) > 0
+            known[0] = False
+            found, count = occurrences(np.where(known[ids], ids, 0), n, length, len(words))
             if not len(found):
                 continue
-            common = np.array([(lang, w) in split for w in words])
-            # a prefix is one word, or two behind a common one
-            two = common[found[:, 0]]
-            new = np.append(True, (found[1:, 0] != found[:-1, 0]) | two[1:] & (found[1:, 1] != found[:-1, 1]))
-            edges = np.append(np.flatnonzero(new), len(found)).tolist()
-            lines, double = found.tolist(), two.tolist()
-            prefixes, tails, ns = [], [], []
-            for a, b in pairwise(edges):
-                own = 2 if double[a] else 1
-                prefixes.append(b" ".join([words[i] for i in lines[a][:own]]))
-                tails.append(b"\n".join([b" ".join([words[i] for i in line[own:] if i]) for line in lines[a:b]]))
-                ns.append(count[a:b])
-            for a in range(0, len(prefixes), 10_000):
-                part = ns[a : a + 10_000]
-                offsets = np.cumsum([0, *map(len, part)])
-                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(part), pa.int64()))
-                end = a + len(part)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), pa.array(prefixes[a:end], pa.binary()), pa.array(tails[a:end], pa.binary()), lists], ["lang", "prefix", "tails", "ns"])
-
-    return rows.mapInArrow(run, "lang string, prefix binary, tails binary, ns array<long>")
+            # the parts of common words, by the word behind
+            parts = np.array([split.get((lang, w), 1) for w in words])
+            part = np.array([crc32(w) for w in words])[found[:, 1]] % parts[found[:, 0]]
+            order = np.lexsort((part, found[:, 0]))
+            found, count, part = found[order], count[order], part[order]
+            edges = np.append(np.flatnonzero(np.append(True, (found[1:, 0] != found[:-1, 0]) | (part[1:] != part[:-1]))), len(found))
+            for a in range(0, len(edges) - 1, 10_000):
+                own = edges[a : a + 10_001]
+                here = slice(own[0], own[-1])
+                tails = [b" ".join([words[i] for i in line if i]) for line in found[here, 1:].tolist()]
+                joined = [b"\n".join(tails[x:y]) for x, y in pairwise((own - own[0]).tolist())]
+                lists = pa.ListArray.from_arrays(pa.array(own - own[0], pa.int32()), pa.array(count[here], pa.int64()))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang] * len(joined), pa.string()), pa.array([words[i] for i in found[own[:-1], 0]], pa.binary()), pa.array(part[own[:-1]], pa.int32()), pa.array(joined, pa.binary()), lists],
+                    ["lang", "prefix", "part", "tails", "ns"],
+                )
+
+    return rows.mapInArrow(run, "lang string, prefix binary, part int, tails binary, ns array<long>")
 
 
 def grow(phrase: bytes, tails: dict[bytes, int], least: int) -> Iterator[tuple[bytes, int]]:
@@ -170,14 +187,8 @@ def grow(phrase: bytes, tails: dict[bytes, int], least: int) -> Iterator[tuple[b
 
 
 def grown(projected: DataFrame, least: int, hold: int) -> DataFrame:
-    """(lang, phrase, n) of the phrases of two words and more: one task for each prefix, a prefix after the other."""
-
-    def found(prefix: bytes, tails: dict[bytes, int], least: int) -> Iterator[tuple[bytes, int]]:
-        total = sum(tails.values())
-        if total >= least:
-            if b" " in prefix:
-                yield prefix, total
-            yield from grow(prefix, tails, least)
+    """(lang, phrase, n) of the phrases of two words and more: one task for each prefix (or part of one),
+    one after the other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[str, bytes, int]] = []
@@ -189,24 +200,24 @@ def grown(projected: DataFrame, least: int, hold: int) -> DataFrame:
 
         now, tails, bar = None, {}, least
         for batch in batches:
-            for lang, prefix, lines, ns in zip(*(batch.column(c).to_pylist() for c in ("lang", "prefix", "tails", "ns")), strict=True):
-                if (lang, prefix) != now:
+            for lang, prefix, part, lines, ns in zip(*(batch.column(c).to_pylist() for c in ("lang", "prefix", "part", "tails", "ns")), strict=True):
+                if (lang, prefix, part) != now:
                     if now:
-                        out.extend((now[0], *x) for x in found(now[1], tails, bar))
-                    now, tails, bar = (lang, bytes(prefix)), {}, least
-                for tail, n in zip(bytes(lines).split(b"\n"), ns, strict=True):
+                        out.extend((now[0], *x) for x in grow(now[1], tails, bar))
+                    now, tails, bar = (lang, prefix, part), {}, least
+                for tail, n in zip(lines.split(b"\n"), ns, strict=True):
                     tails[tail] = tails.get(tail, 0) + n
                 if len(tails) > hold:
                     # from here on all counts of this prefix are partial
-                    out.extend((lang, *x) for x in found(now[1], tails, 1))
+                    out.extend((lang, *x) for x in grow(now[1], tails, 1))
                     tails, bar = {}, 1
                 if len(out) > 50_000:
                     yield rows()
         if now:
-            out.extend((now[0], *x) for x in found(now[1], tails, bar))
+            out.extend((now[0], *x) for x in grow(now[1], tails, bar))
         yield rows()
 
-    sent = projected.repartition("lang", "prefix").sortWithinPartitions("lang", "prefix")
+    sent = projected.repartition("lang", "prefix", "part").sortWithinPartitions("lang", "prefix", "part")
     counts = sent.mapInArrow(run, "lang string, phrase binary, n long")
     return counts.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
 
@@ -216,10 +227,11 @@ def phrases_of(docs: DataFrame, lang_col: str, text_col: str, longest: int, leas
     rows = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
     words = stored(count_words(rows, gather), "words")
     total = words.agg(F.sum("n")).first()[0] or 0
-    common = words.where((F.col("n") * SHARE >= total) & (F.octet_length("word") <= LONGEST)).select("lang", "word")
-    hot = {(r["lang"], bytes(r["word"])) for r in common.collect()}  # at most SHARE
+    common = words.where((F.col("n") * SHARE >= total) & (F.octet_length("word") <= LONGEST)).collect()  # at most SHARE
+    parts = {(r["lang"], bytes(r["word"])): -(-r["n"] * SHARE // total) for r in common}
+    frequent = bitmap(words.where(F.col("n") >= least))
     text = lambda c: F.col(c).cast("string")
-    found = stored(grown(project(rows, hot, longest, gather), least, hold), "phrases")
+    found = stored(grown(project(rows, parts, frequent, longest, gather), least, hold), "phrases")
     return words.select("lang", text("word").alias("phrase"), "n"), found.select("lang", text("phrase").alias("phrase"), "n")
 
 
