@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Callable
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -51,14 +52,53 @@ def normalize_term(term: str, variants: dict[str, str] | None = None) -> str:
     return term.translate(table(variants))
 
 
+#: Characters that the JVM's functions may treat. Texts with others go to Python, whose str.translate is several times as fast as
+#: regular expressions over large classes and the JVM's translate with hundreds of pairs.
+LATIN = range(0x100)
+
+
+@cache
+def _native(variants: tuple[tuple[str, str], ...]) -> tuple[str, str]:
+    own = Table(dict(variants))
+    gone = [c for c in LATIN if skipped(chr(c))]
+    plain = [c for c in LATIN if c in gone or own[c] == chr(c).lower() and len(own[c]) == 1]
+    # from one end to the other without a step back, which is much faster than to look for other characters
+    return f"[{_class(gone)}]+", f"^[{_class(plain)}]*+\\z"
+
+
+def _class(codes: list[int]) -> str:
+    """The inside of a class of code points, in runs."""
+    runs: list[list[int]] = []
+    for c in codes:
+        if runs and runs[-1][1] == c - 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in runs)
+
+
+def native(variants: dict[str, str] | None = None) -> tuple[str, str]:
+    """Patterns of what is skipped, and of texts whose normal form is lower case without it: all of ASCII, most of Latin-1."""
+    return _native(tuple((VARIANTS if variants is None else variants).items()))
+
+
+def needs_python(col: Column, variants: dict[str, str] | None = None) -> Column:
+    return F.coalesce(~col.rlike(native(variants)[1]), F.lit(False))
+
+
 def normalizer(variants: dict[str, str] | None = None) -> Callable[[Column], Column]:
+    """Normal forms with the JVM's functions where they suffice. Other texts go to Python; those are null there."""
     own = table(variants)
 
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: t.translate(own) if t else "")
+        return texts.map(lambda t: t.translate(own) if t else t)
+
+    def form(col: Column) -> Column:
+        in_python = run(F.when(needs_python(col, variants), col))
+        return F.coalesce(in_python, F.lower(F.regexp_replace(col, native(variants)[0], "")), F.lit(""))
 
-    return run
+    return form
 
 
 def normalize_text(col: Column, variants: dict[str, str] | None = None) -> Column:

@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 INPUT, PREFIX, STEPS = 512, "passage: ", 127
-#: Queries that are matched in one pass over the vectors.
-QUERIES = 4096
+#: Queries of a block, values of a block of vectors, and vectors that are worked on at once.
+QUERIES, VALUES, CHUNK = 4096, 1 << 22, 1024
 
 
 def embedding_input(speeches: DataFrame) -> DataFrame:
@@ -43,40 +41,72 @@ def vector_search(vectors: DataFrame, query: list[float], k: int = 20, id_col: s
 def vector_search_many(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "sid", vec_col: str = "vec") -> DataFrame:
     """(query, id, score, rank) for every row (query long, vec, not normalised) of ``queries``, ids being distinct.
 
-    Queries are sent in blocks of about QUERIES by a hash of their id, each with a pass over the vectors. A batch of
-    vectors is one matrix product; a task keeps k per query, and only those are shuffled.
+    Queries and vectors are dealt into blocks of bounded size by their ids, and every pair of blocks meets in a task of its
+    own; it keeps k for each of its queries, and only those are shuffled again. So the plan is the same for any number of
+    queries, and none of them come to the driver.
     """
-    n = max(1, -(-queries.count() // QUERIES))
-    parts = [_block(vectors, queries.where(F.pmod(F.xxhash64("query"), F.lit(n)) == i), k, id_col, vec_col) for i in range(n)]
-    near = reduce(DataFrame.unionByName, parts)
+    shape, asked = vectors.agg(F.max(F.size(vec_col)), F.count("*")).first(), queries.count()
+    per_block = max(CHUNK, VALUES // max(1, shape[0] or 1))
+    by, of = max(1, -(-asked // QUERIES)), max(1, -(-shape[1] // per_block))
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    deal = lambda c, count: F.pmod(F.xxhash64(c), F.lit(count)).cast("int")
+    left = queries.where(F.col(vec_col).isNotNull()).select(F.col("query").cast("long").alias("query"), F.col(vec_col).cast("array<double>").alias("v"), deal("query", by).alias("__q"), every(of).alias("__v"))
+    right = vectors.where(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"), every(by).alias("__q"), deal(id_col, of).alias("__v"))
+    cells = left.groupBy("__q", "__v").cogroup(right.groupBy("__q", "__v"))
+    kind = dict(right.dtypes)["id"]
+
+    def meet(asked: pa.Table, stored: pa.Table) -> pa.Table:
+        names, ids, scores = nearest(asked, stored, k)
+        return pa.table([names, ids, scores], ["query", "id", "score"])
+
+    near = cells.applyInArrow(meet, f"query long, id {kind}, score double").withColumnRenamed("id", id_col)
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), id_col))
     return near.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def _block(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, vec_col: str) -> DataFrame:
-    rows = queries.select(F.col("query").cast("long").alias("query"), F.col(vec_col).cast("array<double>").alias("v")).collect()
-    names = np.array([r["query"] for r in rows], np.int64)
-    sent = vectors.sparkSession.sparkContext.broadcast(np.array([r["v"] for r in rows], np.float64))
-    kind = dict(vectors.dtypes)[id_col]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        q = sent.value
-        best: pd.DataFrame | None = None
-        for batch in batches:
-            if not len(batch) or not len(q):
-                continue
-            scores = np.stack(batch[vec_col].to_numpy()).astype(np.float64) @ q.T / STEPS  # products of whole numbers are exact
-            m = min(k, len(batch))
-            # all rows that reach the m-th score, so that ties at the edge are left to the order by id
-            edge = -np.partition(-scores, m - 1, axis=0)[m - 1]
-            row, query = np.nonzero(scores >= edge)
-            own = pd.DataFrame({"query": names[query], id_col: batch[id_col].to_numpy()[row], "score": scores[row, query]})
-            best = own if best is None else pd.concat([best, own])
-            best = best.sort_values(["query", "score", id_col], ascending=[True, False, True]).groupby("query").head(k)
-        if best is not None:
-            yield best
-
-    return vectors.select(id_col, vec_col).mapInPandas(run, f"query long, `{id_col}` {kind}, score double")
+def matrix(column: pa.ChunkedArray) -> np.ndarray:
+    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def nearest(asked: pa.Table, stored: pa.Table, k: int) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """Up to k nearest stored vectors of every query, ties by id: (queries, ids, scores).
+
+    Vectors come in order of their length, longest first. A query is done when even a vector in its own direction would
+    stay below its k-th score so far (Cauchy and Schwarz), and a block of vectors is held against the others alone.
+    """
+    kind = stored.schema.field("id").type
+    if not len(asked) or not len(stored):
+        return pa.array([], pa.int64()), pa.array([], kind), pa.array([], pa.float64())
+    q, v = matrix(asked.column("v")), matrix(stored.column("v"))
+    length = np.sqrt((v**2).sum(1))
+    order = np.argsort(-length, kind="stable")
+    # the place of each id among all, so that ties are settled by whole numbers
+    place = np.empty(len(v), np.int64)
+    place[pc.sort_indices(stored.column("id")).to_numpy()] = np.arange(len(v))
+    reach = np.sqrt((q**2).sum(1))
+    floor = np.full(len(q), -np.inf)
+    best = np.zeros((0, 3))  # query, score, place
+    for a in range(0, len(v), CHUNK):
+        rows = order[a : a + CHUNK]
+        live = np.flatnonzero(reach * length[rows[0]] * (1 + 1e-9) / STEPS >= floor)
+        if not len(live):
+            break
+        scores = q[live] @ v[rows].T / STEPS  # products of whole numbers are exact
+        m = min(k, len(rows))
+        # all that reach the m-th score here and the k-th so far, so that ties at the edge are left to the order by id
+        edge = np.maximum(-np.partition(-scores, m - 1, axis=1)[:, m - 1], floor[live])
+        i, j = np.nonzero(scores >= edge[:, None])
+        best = np.concatenate([best, np.stack([live[i], scores[i, j], place[rows[j]]], 1)])
+        best = best[np.lexsort((best[:, 2], -best[:, 1], best[:, 0]))]
+        first = np.searchsorted(best[:, 0], np.arange(len(q)))
+        nth = np.arange(len(best)) - first[best[:, 0].astype(np.int64)]
+        best, nth = best[nth < k], nth[nth < k]
+        full = nth == k - 1
+        floor[best[full, 0].astype(np.int64)] = best[full, 1]
+    at = np.empty(len(v), np.int64)
+    at[place] = np.arange(len(v))
+    names = asked.column("query").combine_chunks().take(pa.array(best[:, 0].astype(np.int64)))
+    return names, stored.column("id").combine_chunks().take(pa.array(at[best[:, 2].astype(np.int64)])), pa.array(best[:, 1])
 
 
 def hybrid_candidates(matched: DataFrame, near: DataFrame, speeches: DataFrame, k: int = 20) -> DataFrame:

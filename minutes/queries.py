@@ -12,15 +12,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import eras, normalize
-from .operators import annotate, bills, catalog, highlight, profile, search, speeches, themes, vectors, views
+from .operators import annotate, bills, catalog, grams, highlight, profile, search, speeches, themes, vectors, views
 from .sources import tables
 from .sources.scratch import scratch, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
-#: Tables of speeches with their normal form by (session, folder): a search index is built once and then read.
-_INDEX: dict[tuple[str, str], DataFrame] = {}
 
 SEARCH = "the and -with OR que de -ción"
 THEMES = [("articles", ["the", "der", "el"]), ("of", ["of", "de", "von"]), ("ing", ["ing"]), ("rare", ["disgusting", "idiot"]), ("none", ["zzzz", "ー"]), ("tion", ["Tion", "ción"]), ("list", ["|"]), ("shout", ["!!"])]
@@ -45,11 +43,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def said(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The index of ``speeches_of``: normal forms are worked out when it is built, not when it is searched."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _INDEX:
-        _INDEX[key] = stored(speeches_of(spark, sf_dir), "speeches")
-    return _INDEX[key]
+    """The index of ``speeches_of``, built anew: normal forms are worked out when it is written, not when it is searched."""
+    return stored(speeches_of(spark, sf_dir), "speeches")
+
+
+def gram_index(spark: SparkSession, sf_dir: str) -> str:
+    """The same in blocks with an index of grams; its path."""
+    path = scratch(spark, "blocks")
+    grams.build(speeches_of(spark, sf_dir), path, ["ord"])
+    return path
 
 
 def speeches_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,6 +160,12 @@ def search_expanded(spark, sf_dir):
     return search.search(said(spark, sf_dir), "DER und", dictionaries=_GROWN).select("ord", "score")
 
 
+@query(f"WITH {SAID} SELECT ord, {_count('disgusting')} AS score FROM said WHERE contains(norm, 'disgusting') AND NOT contains(norm, 'ß') UNION ALL SELECT ord, {_count('ñq')} FROM said WHERE contains(norm, 'ñq') AND NOT (contains(norm, 'disgusting') AND NOT contains(norm, 'ß'))")
+def search_by_grams(spark, sf_dir):
+    """Terms that few blocks hold, one of them of two characters: the others are not read."""
+    return grams.search(spark, gram_index(spark, sf_dir), "disgusting -ß OR ñq").select("ord", "score")
+
+
 @query("SELECT o_orderkey FROM orders WHERE year(o_orderdate) = 1995")
 def search_era_year(spark, sf_dir):
     """A year in three spellings finds it in any of them."""

@@ -1,5 +1,6 @@
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,3 +74,19 @@ def test_year_to_era(spark):
 def test_white_space(spark):
     assert column(spark, ["　a﻿", " a 　 b\n"], trim_ws) == ["a", "a 　 b"]
     assert column(spark, [" a 　\n b\n"], squeeze_ws) == ["a b"]
+
+
+def test_normal_form_of_every_character(spark):
+    """The JVM's branch and Python's agree with the table on all code points, alone and within a text."""
+    codes = [c for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF]
+    for around in ("{}", "Ab -{}É", "Σ{}Σ "):
+        given = [around.format(chr(c)) for c in codes] if around != "{}" else [chr(c) for c in codes]
+        frame = spark.createDataFrame(pd.DataFrame({"t": given})).select("t", normalize.normalize_text(F.col("t")).alias("n"))
+        assert not [r.t for r in frame.collect() if r.n != normalize.normalize_term(r.t)]
+
+
+def test_latin_texts_stay_in_the_engine(spark):
+    asked = lambda values, **more: [r[0] for r in spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string").orderBy("i").select(normalize.needs_python(F.col("v"), **more)).collect()]
+    assert asked(["", None, "plain - ASCII\n\t~", "".join(map(chr, range(128))) * 50, "Ünïcode çà ß ÿ", "・", "½", "ＡＢ", "x" * 300_000]) == [False] * 5 + [True] * 3 + [False]
+    assert asked(["abc", "xyz"], variants={"a": "b"}) == [True, False]
+    assert column(spark, ["abc-A"], lambda c: normalize.normalize_text(c, {"a": "b"})) == ["bbca"]
