@@ -5,22 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import bills, catalog, highlight, search, speeches, themes
+from ..operators import catalog, extraction, highlight, search, themes
 from ..sources import tables
-from ..sources.scratch import narrow
+from ..sources.scratch import stored
 
 
 def build_tables(texts: DataFrame, meetings: DataFrame) -> dict[str, DataFrame]:
-    """speeches, agenda and questioners of the meetings' files."""
-    pdfs = catalog.flat_pdfs(meetings)
-    said = speeches.build_index(texts, pdfs, meetings)
-    files = texts.select("text_key", "raw").join(narrow(pdfs.select("meeting_id", "pdf_pos", "is_toc", "text_key")), "text_key")
-    toc = bills.extract_toc_titles(files.where("is_toc"))
-    return {
-        "speeches": said,
-        "agenda": bills.build_agenda(bills.extract_bills(files), toc),
-        "questioners": bills.merge_questioners(bills.extract_questioners(files)),
-    }
+    """speeches, agenda and questioners of the meetings' files; the texts are read once, and what they hold is stored."""
+    return extraction.tables_of(stored(extraction.extract(texts, meetings), "extracted"))
 
 
 def index_folder(spark: SparkSession, text_dir: str, meetings_path: str, toc_path: str, out: str) -> None:

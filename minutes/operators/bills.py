@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from ..functions.text import DIGITS, SPACE, WS, drop_newlines, drop_ws, find_all, to_half_digits
+from ..functions.text import DIGITS, SPACE, WS, drop_newlines, drop_ws, find_all, let, to_half_digits
 from .speeches import BILL
 
 # Where the minutes proper begin; prefixes of bills in tables of contents; kinds with their words, in order.
@@ -71,58 +71,89 @@ def clean_title(col: Column) -> Column:
     return F.substring(t, 1, 80)
 
 
+#: Places of what comes behind everything found with a title of its own.
+BEHIND = 1_000_000
+
+
+def first_by_number(matches: DataFrame, *keys: str) -> DataFrame:
+    """(keys, no, title, ord): of matches (pos, no, title) the first of each number."""
+    first = matches.groupBy(*keys, "no").agg(F.min(F.struct("pos", "title")).alias("x"))
+    return first.select(*keys, "no", "x.title", F.col("x.pos").alias("ord"))
+
+
+def bill_matches(raw: Column) -> Column:
+    """(pos, no, title) of every bill in an agenda's head: those with a title, then all numbers without one."""
+    found = lambda head, pattern, n: find_all(head, f"{BILL}{WS}*({DIGITS}+){WS}*号{pattern}", n)
+    row = lambda m, pos, title: F.struct(pos.cast("int").alias("pos"), number(m["g1"], m["g2"]).alias("no"), title.alias("title"))
+
+    def both(head: Column) -> Column:
+        titled = F.transform(found(head, f"{WS}*([^〃]*?)(?={ENDS}|\\z)", 3), lambda m, i: row(m, i, clean_title(m["g3"])))
+        seen = F.transform(found(head, "", 2), lambda m, i: row(m, i + BEHIND, F.lit(None).cast("string")))
+        return F.concat(F.filter(titled, lambda x: x["title"] != ""), seen)
+
+    return let(agenda_head(raw), both)
+
+
+def named_bills(matches: DataFrame, *keys: str) -> DataFrame:
+    """(keys, no, kind, title, ord) of matches: the first title stands for a number, else the number for itself."""
+    first = first_by_number(matches, *keys)
+    kind = F.when(F.col("title").isNull(), OTHER).otherwise(bill_kind(F.concat("no", "title")))
+    return first.select(*keys, "no", kind.alias("kind"), F.coalesce("title", "no").alias("title"), "ord")
+
+
 def extract_bills(texts: DataFrame) -> DataFrame:
     """(text_key, no, kind, title, ord) of each text, and the other columns of ``texts`` but raw.
 
     The first title that is not empty stands for a number; numbers without any title come last, with themselves as title.
     """
     rest = [c for c in texts.columns if c != "raw"]
-    head = texts.select(*rest, agenda_head(F.col("raw")).alias("__head"))
-    titled = find_all(F.col("__head"), f"{BILL}{WS}*({DIGITS}+){WS}*号{WS}*([^〃]*?)(?={ENDS}|\\z)", 3)
-    seen = find_all(F.col("__head"), f"{BILL}{WS}*({DIGITS}+){WS}*号", 2)
-    a = head.select(*rest, F.posexplode(titled).alias("pos", "m")).select(*rest, "pos", number(F.col("m.g1"), F.col("m.g2")).alias("no"), clean_title(F.col("m.g3")).alias("title"))
-    a = a.where("title <> ''").select(*rest, "no", F.struct(F.lit(0).alias("late"), "pos").alias("ord"), "title")
-    b = head.select(*rest, F.posexplode(seen).alias("pos", "m")).select(*rest, number(F.col("m.g1"), F.col("m.g2")).alias("no"), F.struct(F.lit(1).alias("late"), "pos").alias("ord"))
-    both = a.unionByName(b.withColumn("title", F.lit(None).cast("string")))
-    first = both.groupBy(*rest, "no").agg(F.min(F.struct("ord", "title")).alias("x"))
-    title = F.col("x.title")
-    kind = F.when(title.isNull(), OTHER).otherwise(bill_kind(F.concat("no", title)))
-    place = F.col("x.ord.late") * 1_000_000 + F.col("x.ord.pos")
-    return first.select(*rest, "no", kind.alias("kind"), F.coalesce(title, "no").alias("title"), place.alias("ord"))
-
-
-def toc_items(texts: DataFrame) -> DataFrame:
-    """Titles of single bills in a table of contents: (…, no, title, ord), the first per number."""
-    rest = [c for c in texts.columns if c != "raw"]
-    part = texts.select(*rest, F.posexplode(F.split("raw", "(?=１．)")).alias("ord", "part"))
+    return named_bills(texts.select(*rest, F.inline(bill_matches(F.col("raw")))), *rest)
+
+
+def item_matches(raw: Column) -> Column:
+    """(pos, no, title) of the single bills in a table of contents."""
     pattern = f"^１．{WS}*{TOC_BILL}{WS}*({DIGITS}+){WS}*号{WS}*(.+)"
-    line = drop_newlines(F.col("part"))
-    title = F.regexp_extract(line, pattern, 3)
-    for cut in ("[…‥]+.*\\z", f"{DIGITS}+[－-]{DIGITS}+.*\\z", "〔.*\\z"):
-        title = F.regexp_replace(title, cut, "")
-    found = part.where(line.rlike(pattern)).select(*rest, number(F.regexp_extract(line, pattern, 1), F.regexp_extract(line, pattern, 2)).alias("no"), drop_ws(title).alias("title"), "ord")
-    found = found.where(~F.col("title").startswith("から") & (F.length("title") >= 3))
-    return found.groupBy(*rest, "no").agg(F.min(F.struct("ord", "title")).alias("x")).select(*rest, "no", "x.title", "x.ord")
+
+    def item(part: Column, i: Column) -> Column:
+        line = drop_newlines(part)
+        title = F.regexp_extract(line, pattern, 3)
+        for cut in ("[…‥]+.*\\z", f"{DIGITS}+[－-]{DIGITS}+.*\\z", "〔.*\\z"):
+            title = F.regexp_replace(title, cut, "")
+        made = F.struct(i.cast("int").alias("pos"), number(F.regexp_extract(line, pattern, 1), F.regexp_extract(line, pattern, 2)).alias("no"), drop_ws(title).alias("title"))
+        return F.when(line.rlike(pattern), made)
+
+    items = F.transform(F.split(raw, "(?=１．)"), item)
+    return F.filter(items, lambda x: x.isNotNull() & ~x["title"].startswith("から") & (F.length(x["title"]) >= 3))
+
+
+def range_matches(raw: Column) -> Column:
+    """(pos, no, title) of every number in the ranges "A to B (title)", none of which is longer than 31."""
+    limit = lambda m, g: to_half_digits(m[g]).try_cast("int")
+
+    def numbers(m: Column, pos: Column) -> Column:
+        low, high, title = limit(m, "g2"), limit(m, "g3"), drop_ws(m["g4"])
+        one = lambda n: F.struct((BEHIND + pos * (LONGEST_RANGE + 1) + n).cast("int").alias("pos"), F.concat(m["g1"], n.cast("string"), F.lit("号")).alias("no"), title.alias("title"))
+        good = (title != "") & (high >= low) & (high - low <= LONGEST_RANGE)
+        return F.when(good, F.transform(F.sequence(low, high), one)).otherwise(F.array().cast("array<struct<pos: int, no: string, title: string>>"))
+
+    return F.flatten(F.transform(find_all(drop_newlines(raw), RANGE, 4), numbers))
 
 
 def expand_bill_ranges(texts: DataFrame) -> DataFrame:
-    """One row per number of every range "A to B (title)", the first range per number; none is longer than 31."""
+    """One row per number of every range, the first range per number."""
     rest = [c for c in texts.columns if c != "raw"]
-    found = texts.select(*rest, F.posexplode(find_all(drop_newlines(F.col("raw")), RANGE, 4)).alias("pos", "m"))
-    low, high = (to_half_digits(F.col(c)).try_cast("int") for c in ("m.g2", "m.g3"))
-    rows = found.select(*rest, "pos", F.col("m.g1").alias("prefix"), low.alias("low"), high.alias("high"), drop_ws(F.col("m.g4")).alias("title"))
-    rows = rows.where("title <> '' and high >= low and high - low <= " + str(LONGEST_RANGE))
-    each = rows.select(*rest, "title", "pos", "prefix", F.explode(F.sequence("low", "high")).alias("n"))
-    each = each.select(*rest, F.concat("prefix", F.col("n").cast("string"), F.lit("号")).alias("no"), "title", (F.col("pos") * 1000 + F.col("n")).alias("ord"), "pos", "n")
-    first = each.groupBy(*rest, "no").agg(F.min(F.struct("pos", "n", "title")).alias("x"))
-    return first.select(*rest, "no", "x.title", (1_000_000 + F.col("x.pos") * (LONGEST_RANGE + 1) + F.col("x.n")).alias("ord"))
+    return first_by_number(texts.select(*rest, F.inline(range_matches(F.col("raw")))), *rest)
+
+
+def toc_matches(raw: Column) -> Column:
+    """Single items of a table of contents, then the numbers of ranges."""
+    return F.concat(item_matches(raw), range_matches(raw))
 
 
 def extract_toc_titles(texts: DataFrame) -> DataFrame:
     """Titles by number of each table of contents: single items, then ranges for the numbers these lack."""
     rest = [c for c in texts.columns if c != "raw"]
-    single, ranged = toc_items(texts), expand_bill_ranges(texts)
-    return single.unionByName(ranged.join(single.select(*rest, "no"), [*rest, "no"], "left_anti"))
+    return first_by_number(texts.select(*rest, F.inline(toc_matches(F.col("raw")))), *rest)
 
 
 def merge_bills(bills: DataFrame, toc: DataFrame) -> DataFrame:
@@ -155,15 +186,23 @@ def build_agenda(bills: DataFrame, toc: DataFrame) -> DataFrame:
     return order_bills(drop_resolution_duplicates(merge_bills(bills, toc)))
 
 
-def extract_questioners(texts: DataFrame) -> DataFrame:
-    """(…, ord, member, theme) named after the first mention of general questions in the head; the first per name."""
-    rest = [c for c in texts.columns if c != "raw"]
-    head = F.split(F.col("raw"), BODY, 2)[0]
+def questioner_matches(raw: Column) -> Column:
+    """(pos, member) of everybody named after the first mention of general questions in the head."""
+    head = F.split(raw, BODY, 2)[0]
     block = F.regexp_extract(head, "(?s)(一般質問.*)", 1)
     # A name is kanji in one or two parts before 君.
     pattern = f"{DIGITS}{{1,2}}{WS}*番[{SPACE}、,]*([一-龥々]{{2,4}}){WS}*([一-龥々]{{0,4}}){WS}*君"
-    rows = texts.select(*rest, F.posexplode(find_all(block, pattern, 2)).alias("ord", "m")).select(*rest, "ord", F.concat("m.g1", "m.g2").alias("member"))
-    return rows.groupBy(*rest, "member").agg(F.min("ord").alias("ord")).select(*rest, "ord", "member", F.lit("").alias("theme"))
+    return F.transform(find_all(block, pattern, 2), lambda m, i: F.struct(i.cast("int").alias("pos"), F.concat(m["g1"], m["g2"]).alias("member")))
+
+
+def first_by_member(matches: DataFrame, *keys: str) -> DataFrame:
+    return matches.groupBy(*keys, "member").agg(F.min("pos").alias("ord")).select(*keys, "ord", "member", F.lit("").alias("theme"))
+
+
+def extract_questioners(texts: DataFrame) -> DataFrame:
+    """(…, ord, member, theme) of each text, the first mention per name."""
+    rest = [c for c in texts.columns if c != "raw"]
+    return first_by_member(texts.select(*rest, F.inline(questioner_matches(F.col("raw")))), *rest)
 
 
 def merge_questioners(questioners: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import DIGITS, FULL, HALF, SPACE, WS, drop_ws, find_all, to_half_digits, trim_ws
+from ..functions.text import DIGITS, FULL, HALF, SPACE, WS, drop_ws, find_all, let, to_half_digits, trim_ws
 from ..sources.scratch import narrow
 
 # A speaker's mark, role（name君）; the names given to what has no speaker; bill prefixes; member roles.
@@ -35,26 +35,43 @@ def clean_label(col: Column) -> Column:
     return F.regexp_replace(r, f"^{DIGITS}+(?=[^0-9０-９番])", "")
 
 
+def _parts(raw: Column) -> Column:
+    """A text cut before every speaker's mark."""
+    plain = F.regexp_replace(F.coalesce(raw, F.lit("")), "[\\u0001-\\u0003]", "")
+    return F.split(F.regexp_replace(plain, SPEAKER, "\u0001$1\u0002$2\u0003"), "\u0001", -1)
+
+
+def _speech(part: Column, i: Column, alone: Column, led: Column) -> list[Column]:
+    """speech_pos, role, name and text of the i-th part of a text; ``alone``: there is no other, ``led``: it begins with a mark."""
+    first, said = i == 0, F.split(part, "[\\u0002\\u0003]", 3)
+    return [
+        F.when(alone, 0).otherwise(i - F.when(led, 1).otherwise(0)).alias("speech_pos"),
+        F.when(first, "").otherwise(clean_label(said[0])).alias("role"),
+        F.when(alone, WHOLE).when(first, PREAMBLE).otherwise(clean_label(said[1])).alias("name"),
+        trim_ws(F.when(first, part).otherwise(said[2])).alias("text"),
+    ]
+
+
 def split_speeches(texts: DataFrame) -> DataFrame:
     """One row per speech of each text: speech_pos, role, name, text, and the columns of ``texts`` but raw.
 
     What stands before the first speaker, and a text without any, is a row of its own. An empty speech keeps its number.
     """
-    raw = F.regexp_replace(F.coalesce("raw", F.lit("")), "[\\u0001-\\u0003]", "")
-    parts = F.split(F.regexp_replace(raw, SPEAKER, "\u0001$1\u0002$2\u0003"), "\u0001", -1)
     rest = [c for c in texts.columns if c != "raw"]
-    rows = texts.withColumn("__parts", parts).select(*rest, (F.size("__parts") == 1).alias("__alone"), (F.col("__parts")[0] == "").alias("__led"), F.posexplode("__parts").alias("__pos", "__part"))
+    rows = texts.withColumn("__parts", _parts(F.col("raw"))).select(*rest, (F.size("__parts") == 1).alias("__alone"), (F.col("__parts")[0] == "").alias("__led"), F.posexplode("__parts").alias("__pos", "__part"))
     rows = rows.where(F.col("__alone") | (F.col("__pos") > 0) | ~F.col("__led"))
-    first = F.col("__pos") == 0
-    said = F.split("__part", "[\\u0002\\u0003]", 3)
-    name = F.when(F.col("__alone"), WHOLE).when(first, PREAMBLE).otherwise(clean_label(said[1]))
-    return rows.select(
-        *rest,
-        F.when(F.col("__alone"), 0).otherwise(F.col("__pos") - F.when(F.col("__led"), 1).otherwise(0)).alias("speech_pos"),
-        F.when(first, "").otherwise(clean_label(said[0])).alias("role"),
-        name.alias("name"),
-        trim_ws(F.when(first, F.col("__part")).otherwise(said[2])).alias("text"),
-    )
+    return rows.select(*rest, *_speech(F.col("__part"), F.col("__pos"), F.col("__alone"), F.col("__led")))
+
+
+def speech_list(raw: Column) -> Column:
+    """The same as an array on the text's own row, roles with the seats of its roster; without empty speeches."""
+
+    def rows(parts: Column, seats: Column) -> Column:
+        alone, led = F.size(parts) == 1, parts[0] == ""
+        every = F.transform(parts, lambda p, i: F.when(alone | (i > 0) | ~led, F.struct(*_speech(p, i, alone, led))))
+        return F.transform(F.filter(every, lambda x: x["text"] != ""), lambda x: x.withField("role", resolve_seats(x["role"], x["name"], seats)))
+
+    return let(F.struct(_parts(raw).alias("parts"), seat_map(raw).alias("seats")), lambda x: rows(x["parts"], x["seats"]))
 
 
 def seat_map(raw: Column) -> Column:

@@ -15,6 +15,7 @@ from .functions import eras, normalize
 from .operators import annotate, bills, catalog, grams, highlight, profile, search, speeches, themes, vectors, views
 from .sources import tables
 from .sources.scratch import scratch, stored
+from .streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -518,6 +519,33 @@ def build_index(spark, sf_dir):
     return spark.read.parquet(path).select("sid", "meeting_id", "meeting", "year", "pdf", "role", "name", "text")
 
 
+def in_batches(spark: SparkSession, texts: DataFrame, meetings_of: DataFrame) -> dict[str, DataFrame]:
+    """The tables of texts that arrive in three batches, of which the second is repeated."""
+    path = scratch(spark, "stream")
+    batch = F.pmod(F.xxhash64("text_key"), F.lit(3))
+    for n in (0, 1, 1, 2):
+        ingest.ingest(texts.where(batch == n), n, meetings_of, path, buckets=16)
+    return ingest.read_tables(spark, path)
+
+
+@query(_SQL["build_index"])
+def speeches_in_batches(spark, sf_dir):
+    """Each conversation's speeches, brought up to date batch by batch."""
+    texts = transcripts(spark, sf_dir).select(F.concat("meeting_id", F.lit("_20250612")).alias("text_key"), "raw")
+    return in_batches(spark, texts, conversation_meetings(spark, sf_dir))["speeches"].select("sid", "meeting_id", "meeting", "year", "pdf", "role", "name", "text")
+
+
+@query(f"WITH {AGENDA} SELECT meeting_id, CAST(row_number() OVER (PARTITION BY meeting_id ORDER BY ord) AS INT) AS ord, no, kind, title FROM agenda")
+def agenda_in_batches(spark, sf_dir):
+    """The bills of meetings whose files, each with every third bill, come in different batches: they are merged anew each time."""
+    own = table(spark, sf_dir, "part").select(F.col("p_brand").alias("id"), (F.col("p_partkey") % 3).alias("day"), "p_partkey", F.concat(F.lit("議第"), F.col("p_partkey").cast("string"), F.lit("号 "), "p_name", kind_words(F.col("p_size")), F.lit("〃\n")).alias("line"))
+    head = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "line"))), lambda x: x["line"]), "")
+    texts = own.groupBy(F.concat("id", F.lit("_2025060"), (F.col("day") + 1).cast("string")).alias("text_key")).agg(F.concat(head, F.lit("会議の概要")).alias("raw"))
+    pdf = lambda i: F.struct(F.lit("本文").alias("label"), F.lit(f"2025-06-0{i}").alias("date"), F.lit(f"https://a.example/{i}.pdf").alias("url"))
+    brands = own.select("id").distinct().select("id", F.lit("会議").alias("name"), F.lit("定例会").alias("type"), F.lit(2025).alias("year"), F.lit("令和7年").alias("era"), F.array(*map(pdf, (1, 2, 3))).alias("pdfs"))
+    return in_batches(spark, texts, brands)["agenda"].select("meeting_id", "ord", "no", "kind", "title")
+
+
 @query(f"WITH {AGENDA} SELECT meeting_id AS text_key, no, CASE WHEN ord % 2 = 1 THEN 'その他' ELSE kind END AS kind, CASE WHEN ord % 2 = 1 THEN no ELSE title END AS title FROM agenda")
 def bills_without_title(spark, sf_dir):
     """A number with no title behind it stands for itself."""

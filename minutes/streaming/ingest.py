@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from .. import schemas
 from ..functions.normalize import add_norm
-from ..operators import catalog, speeches
+from ..operators import catalog, extraction, speeches
+from ..sources.scratch import narrow
 from ..sources.tables import key_of_file
 
 
@@ -27,3 +32,70 @@ def stream_index(spark: SparkSession, text_dir: str, meetings: DataFrame, out: s
         rows.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return texts.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+#: Buckets of meetings: what a batch touches is worked out again by bucket.
+BUCKETS = 256
+TABLES = ("speeches", "agenda", "questioners")
+_SCHEMAS = {"speeches": f"{schemas.SPEECHES}, norm string", "agenda": schemas.AGENDA, "questioners": schemas.QUESTIONERS}
+_PARTS = "text_key string, meeting_id string, pdf_pos int, date string, pdf string, is_toc boolean, meeting string, type string, year int, era string, pos int, no string, title string, role string, name string, text string, batch int, bucket int, kind string"
+
+
+def ingest(texts: DataFrame, number: int, meetings: DataFrame, out: str, buckets: int = BUCKETS) -> None:
+    """Bring the tables below ``out`` up to date with a batch of texts (text_key, raw).
+
+    What the batch's texts hold is kept under the batch's number. Then the meetings of the buckets it touches are merged anew from
+    everything kept of them, the latest version of each file, and written under that number too; a last, small table tells
+    which buckets that were. Readers take each bucket from the latest batch that is finished, so they never see half of
+    one, and a batch that is repeated after a failure replaces what it had written. The work is that of the batch and of its buckets.
+    """
+    spark = texts.sparkSession
+    dealt = lambda df: df.withColumn("bucket", F.pmod(F.xxhash64("meeting_id"), F.lit(buckets)).cast("int"))
+    kept = f"{out}/parts/batch={number}"
+    dealt(extraction.extract(texts, meetings)).write.mode("overwrite").partitionBy("bucket", "kind").parquet(kept)
+    parts = spark.read.schema(_PARTS).parquet(f"{out}/parts")
+    touched = sorted(r["bucket"] for r in parts.where((F.col("batch") == number) & (F.col("kind") == extraction.FILE)).select("bucket").distinct().collect())
+    known = parts.where((F.col("batch") <= number) & F.col("bucket").isin(touched))
+    latest = known.where(F.col("kind") == extraction.FILE).groupBy("meeting_id", "text_key").agg(F.max("batch").alias("batch"))
+    current = known.join(narrow(latest), ["meeting_id", "text_key", "batch"])
+    for name, df in extraction.tables_of(current).items():
+        own = add_norm(df) if name == "speeches" else df
+        folders = ["bucket", "year"] if name == "speeches" else ["bucket"]
+        dealt(own).hint("rebalance", *folders).write.mode("overwrite").partitionBy(*folders).parquet(f"{out}/{name}/batch={number}")
+    spark.createDataFrame([(b,) for b in touched], "bucket int").coalesce(1).write.mode("overwrite").parquet(f"{out}/done/batch={number}")
+
+
+def _versions(spark: SparkSession, out: str) -> dict[int, list[int]]:
+    """The buckets that each finished batch was the last to write."""
+    done = spark.read.schema("bucket int, batch int").parquet(f"{out}/done")
+    found: dict[int, list[int]] = {}
+    for r in done.groupBy("bucket").agg(F.max("batch").alias("batch")).collect():  # a row for each bucket
+        found.setdefault(r["batch"], []).append(r["bucket"])
+    return found
+
+
+def read_tables(spark: SparkSession, out: str) -> dict[str, DataFrame]:
+    """speeches (with their normal form, by year), agenda and questioners as of the last finished batch."""
+    now = reduce(or_, ((F.col("batch") == b) & F.col("bucket").isin(own) for b, own in _versions(spark, out).items()), F.lit(False))
+    there = lambda name: spark.read.schema(f"{_SCHEMAS[name]}, batch int, bucket int").parquet(f"{out}/{name}").where(now).drop("batch", "bucket")
+    return {name: there(name) for name in TABLES}
+
+
+def vacuum(spark: SparkSession, out: str) -> int:
+    """Delete the folders of tables that a later finished batch has replaced; how many there were. For times without readers."""
+    latest = {b: batch for batch, own in _versions(spark, out).items() for b in own}
+    done = spark.read.schema("bucket int, batch int").parquet(f"{out}/done").distinct().collect()
+    old = [(r["batch"], r["bucket"]) for r in done if r["batch"] < latest[r["bucket"]]]
+    gone = 0
+    for name in TABLES:
+        for batch, bucket in old:
+            at = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/{name}/batch={batch}/bucket={bucket}")
+            gone += at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return gone
+
+
+def stream_tables(spark: SparkSession, text_dir: str, meetings: DataFrame, out: str, checkpoint: str, buckets: int = BUCKETS, files_per_batch: int = 10_000) -> StreamingQuery:
+    """``ingest`` of new or changed files below ``text_dir`` in batches, until all there are have been read."""
+    files = spark.readStream.format("text").option("wholetext", True).option("pathGlobFilter", "*.txt").option("maxFilesPerTrigger", files_per_batch).load(text_dir)
+    texts = files.select(key_of_file(F.col("_metadata.file_name"))[1].alias("text_key"), F.col("value").alias("raw"))
+    return texts.writeStream.foreachBatch(lambda batch, number: ingest(batch, number, meetings, out, buckets)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
