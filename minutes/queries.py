@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import eras, normalize
-from .operators import annotate, bills, catalog, grams, highlight, profile, search, speeches, themes, vectors, views
+from .operators import annotate, bills, catalog, grams, highlight, profile, ranking, search, speeches, themes, vectors, views
 from .sources import tables
 from .sources.scratch import scratch, stored
 from .streaming import ingest
@@ -683,6 +683,35 @@ def hybrid_candidates(spark, sf_dir):
     return vectors.hybrid_candidates(search.search(own, SEARCH), near, own).select("sid", "by_word", "by_vector", "date")
 
 
+_BM25_TERMS = [["the", "der"], ["tion"], ["que"], ["disgusting"]]
+_TF = [f"coalesce(CASE {' '.join(f"WHEN contains(norm, '{a}') THEN {_count(a)}" for a in t)} END, 0)" for t in _BM25_TERMS]
+_BM25 = f"""tf AS (SELECT ord, [{", ".join(_TF)}] AS tf, length(norm) AS len FROM said),
+stats AS (SELECT count(*) AS texts, avg(len) AS mean, {", ".join(f"count(*) FILTER (WHERE tf[{i + 1}] > 0) AS n{i}" for i in range(len(_TF)))} FROM tf),
+bm AS (SELECT ord, {" + ".join(f"CASE WHEN tf[{i + 1}] > 0 THEN ln(1 + (texts - n{i} + 0.5::DOUBLE) / (n{i} + 0.5::DOUBLE)) * tf[{i + 1}] * 2.2::DOUBLE / (tf[{i + 1}] + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / mean)) ELSE 0 END" for i in range(len(_TF)))} AS score FROM tf, stats WHERE list_max(tf) > 0)"""
+
+
+@query(f"WITH {SAID}, {_BM25} SELECT ord, round(score, 6) AS score FROM bm")
+def bm25_scores(spark, sf_dir):
+    """All texts with any of four terms, one of them with a synonym."""
+    return ranking.bm25(said(spark, sf_dir), _BM25_TERMS).select("ord", F.round("bm25", 6).alias("score"))
+
+
+@query(f"""WITH {SAID}, {_BM25}, {_VECTORS}, w AS (SELECT ord AS sid, row_number() OVER (ORDER BY score DESC, ord) AS rank FROM bm), s AS (SELECT b.vec_id AS query, a.vec_id AS sid, list_dot_product(a.q, b.q) AS dot FROM v a, v b WHERE b.vec_id % 50 = 0),
+n AS (SELECT query, sid, row_number() OVER (PARTITION BY query ORDER BY dot DESC, sid) AS rank FROM s),
+paired AS (SELECT query, sid, w.rank AS rank_word, n.rank AS rank_vector FROM (SELECT DISTINCT query, w.* FROM s, w WHERE w.rank <= 50) w FULL JOIN (SELECT * FROM n WHERE rank <= 50) n USING (query, sid)),
+fused AS (SELECT *, coalesce(1.0::DOUBLE / (60 + rank_word), 0) + coalesce(1.0::DOUBLE / (60 + rank_vector), 0) AS fused FROM paired)
+SELECT query, sid, rank_word::INT AS rank_word, rank_vector::INT AS rank_vector, round(fused, 9) AS fused, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY fused DESC, sid) AS rank FROM fused) WHERE rank <= 20""")
+def hybrid_fused(spark, sf_dir):
+    """Keywords and vectors in one ranking, for every vector that asks."""
+    own = table(spark, sf_dir, "embeddings").select("vec_id", vectors.quantize_int8(F.transform("embedding", lambda x: x.cast("double"))).alias("vec"))
+    asked = own.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), "vec")
+    near = vectors.vector_search_many(own, asked, 50, "vec_id").select("query", F.col("vec_id").alias("sid"), "rank")
+    words = ranking.top(ranking.bm25(said(spark, sf_dir), _BM25_TERMS).withColumnRenamed("ord", "sid"), "sid", "bm25", 50)
+    every = asked.select("query").crossJoin(F.broadcast(words))  # of 50 rows
+    found = ranking.fuse({"word": every, "vector": near}, "sid", 20, by=("query",))
+    return found.select("query", "sid", "rank_word", "rank_vector", F.round("fused", 9).alias("fused"), "rank")
+
+
 @query(f"""WITH {AGENDA}, b AS (SELECT meeting_id, CAST(count(*) AS INT) AS n_bills, string_agg(no || kind || title, '|' ORDER BY ord) AS bills FROM agenda GROUP BY 1)
 SELECT * FROM b""")
 def gian_round_trip(spark, sf_dir):
