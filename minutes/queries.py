@@ -726,6 +726,22 @@ def gian_round_trip(spark, sf_dir):
     return rows.groupBy("meeting_id").agg(F.count("*").cast("int").alias("n_bills"), lines.alias("bills"))
 
 
+@query(f"""WITH {AGENDA}, b AS (SELECT meeting_id, CAST(count(*) AS INT) AS n_bills, string_agg(no || kind || title, '|' ORDER BY ord) AS bills FROM agenda GROUP BY 1),
+q AS (SELECT 'Brand#' || (s_suppkey % 70) AS meeting_id, CAST(count(*) AS INT) AS n_asked, string_agg(s_name, '|' ORDER BY s_suppkey) AS asked FROM supplier GROUP BY 1)
+SELECT meeting_id, coalesce(n_bills, 0) AS n_bills, bills, coalesce(n_asked, 0) AS n_asked, asked FROM b FULL JOIN q USING (meeting_id)""")
+def gian_fragments(spark, sf_dir):
+    """Bills and questioners as sorted fragments of a JSON object, and back."""
+    own = agenda(spark, sf_dir)
+    asked = table(spark, sf_dir, "supplier").select(F.concat(F.lit("Brand#"), (F.col("s_suppkey") % 70).cast("string")).alias("meeting_id"), F.col("s_suppkey").cast("int").alias("ord"), F.col("s_name").alias("member"), F.lit("").alias("theme"))
+    path = scratch(spark, "fragments")
+    tables.write_gian_fragments(own, asked, path)
+    bills_of, asked_of = tables.read_gian_fragments(spark, path)
+    joined = lambda t: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", t.alias("t")))), lambda x: x["t"]), "|")
+    by = lambda df, n, t, name: df.groupBy("meeting_id").agg(F.count("*").cast("int").alias(n), joined(t).alias(name))
+    both = by(bills_of, "n_bills", F.concat("no", "kind", "title"), "bills").join(by(asked_of, "n_asked", F.col("member"), "asked"), "meeting_id", "full")
+    return both.select("meeting_id", F.coalesce("n_bills", F.lit(0)).alias("n_bills"), "bills", F.coalesce("n_asked", F.lit(0)).alias("n_asked"), "asked")
+
+
 @query(f"SELECT doc_id, {NORM} AS norm, md5(coalesce(text, '')) AS sum FROM documents")
 def bundle_round_trip(spark, sf_dir):
     """A bundle of JSON lines, read again."""

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -42,10 +46,7 @@ def _mapping(spark: SparkSession, path: str, kind: str) -> DataFrame:
 
 def read_gian(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(agenda, questioners) from one JSON object by meeting."""
-    rows = _mapping(spark, path, schemas.GIAN)
-    agenda = rows.select("meeting_id", F.posexplode("x.agenda").alias("pos", "a")).select("meeting_id", (F.col("pos") + 1).alias("ord"), "a.*")
-    asked = rows.select("meeting_id", F.posexplode("x.ippan").alias("pos", "a")).select("meeting_id", (F.col("pos") + 1).alias("ord"), "a.*")
-    return agenda, asked
+    return _flat_gian(_mapping(spark, path, schemas.GIAN))
 
 
 def read_summaries(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -70,6 +71,58 @@ def write_gian(agenda: DataFrame, questioners: DataFrame, path: str) -> None:
     whole.write.mode("overwrite").text(path)
 
 
+def write_gian_fragments(agenda: DataFrame, questioners: DataFrame, path: str, fragments: int | None = None) -> None:
+    """The nested view in fragments sorted by meeting, for any number of meetings: every file below ``path``/fragments is a
+    JSON object by meeting, with one meeting a line, and ``path``/manifest tells which meetings each file has.
+
+    A task writes the meetings of a range, one after the other, so no task holds more than a batch of them. Fragments are
+    as many as the size takes, unless a number is given.
+    """
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begun = False
+        for batch in batches:
+            # a comma before all but the first, and the braces on lines of their own
+            made = [f",{x}" for x in batch.column("value").to_pylist()]
+            if made and not begun:
+                begun, made = True, ["{", made[0][1:], *made[1:]]
+            yield pa.RecordBatch.from_arrays([pa.array(made, pa.string())], ["value"])
+        if begun:
+            yield pa.RecordBatch.from_arrays([pa.array(["}"])], ["value"])
+
+    entry = F.struct(F.coalesce("agenda", F.array().cast(schemas.BILL_LIST)).alias("agenda"), F.coalesce("ippan", F.array().cast(schemas.ASKED_LIST)).alias("ippan"))
+    one = F.to_json(F.create_map(F.coalesce("meeting_id", F.lit("")), entry))
+    nested = nested_gian(agenda, questioners)
+    rows = nested.repartitionByRange(*([fragments] if fragments else []), "meeting_id").sortWithinPartitions("meeting_id")
+    inside = F.substring(one, F.lit(2), F.length(one) - 2)
+    rows.select(inside.alias("value")).mapInArrow(lines, "value string").write.mode("overwrite").text(f"{path}/fragments")
+    found = _fragment_lines(agenda.sparkSession, path).groupBy("file").agg(F.min("meeting_id").alias("first"), F.max("meeting_id").alias("last"), F.count("*").alias("meetings"))
+    found.repartitionByRange("first").sortWithinPartitions("first").write.mode("overwrite").json(f"{path}/manifest")
+
+
+def _fragment_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, meeting_id, x) of fragments, a line at a time."""
+    kept = spark.read.schema("value string").text(f"{path}/fragments").where(F.length("value") > 1)
+    whole = F.concat(F.lit("{"), F.regexp_replace("value", "^,", ""), F.lit("}"))
+    return kept.select(F.col("_metadata.file_name").alias("file"), F.explode(F.from_json(whole, schemas.GIAN)).alias("meeting_id", "x"))
+
+
+def _flat_gian(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(agenda, questioners) of rows (meeting_id, x)."""
+    flat = lambda c: rows.select("meeting_id", F.posexplode(f"x.{c}").alias("pos", "a")).select("meeting_id", (F.col("pos") + 1).alias("ord"), "a.*")
+    return flat("agenda"), flat("ippan")
+
+
+def read_gian_fragments(spark: SparkSession, path: str, meeting: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(agenda, questioners) of fragments; of one meeting, from the fragments that may have it alone."""
+    rows = _fragment_lines(spark, path)
+    if meeting is not None:
+        manifest = spark.read.schema("file string, first string, last string, meetings long").json(f"{path}/manifest")
+        files = [r["file"] for r in manifest.where((F.col("first") <= meeting) & (F.col("last") >= meeting)).collect()]  # one or two
+        rows = rows.where(F.col("file").isin(files) & (F.col("meeting_id") == meeting))
+    return _flat_gian(rows)
+
+
 def write_typed(df: DataFrame, path: str, kind: str) -> None:
     """A table of ``schemas.TYPED``: its columns, in its order and of its types, and no others."""
     fields = StructType.fromDDL(schemas.TYPED[kind])
@@ -92,7 +145,23 @@ def write_table(df: DataFrame, path: str, form: str = "parquet") -> None:
     df.write.mode("overwrite").format(form).save(path)
 
 
-def export_bundle(tables: dict[str, DataFrame], path: str) -> None:
-    """Every table of a bundle as JSON lines below ``path``; speeches get their normal form."""
+def export_bundle(tables: dict[str, DataFrame], path: str, gian: tuple[DataFrame, DataFrame] | None = None, small: dict[str, object] | None = None) -> None:
+    """A bundle below ``path``: every table as JSON lines, speeches with their normal form; ``gian`` (agenda, questioners)
+    as fragments; what is ``small`` (dictionaries, topics, settings) as one JSON value each; and a list of all parts."""
     for name, df in tables.items():
         write_table(add_norm(df) if name == "speeches" else df, f"{path}/{name}", "json")
+    parts = [(name, "lines") for name in tables]
+    if gian:
+        write_gian_fragments(*gian, f"{path}/gian")
+        parts.append(("gian", "fragments"))
+    some = next(iter(tables.values()), None) if tables else gian[0] if gian else None
+    spark = some.sparkSession if some is not None else SparkSession.active()
+    for name, value in (small or {}).items():
+        spark.createDataFrame([(json.dumps(value, ensure_ascii=False),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/{name}")
+        parts.append((name, "value"))
+    spark.createDataFrame(parts, "name string, form string").coalesce(1).write.mode("overwrite").json(f"{path}/parts")
+
+
+def read_small(spark: SparkSession, path: str) -> object:
+    """One of the small values of a bundle."""
+    return json.loads(spark.read.text(path, wholetext=True).where("value <> ''").first()[0])
