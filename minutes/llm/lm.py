@@ -31,6 +31,8 @@ from .common import slices, stored, utf8
 ORDER = 5
 #: Windows of the broadcast head (16 bytes each).
 HEAD_WINDOWS = 1_000_000
+#: Windows that a task holds before it hands on their counts.
+HELD_WINDOWS = 4_000_000
 #: Before a window that stands as a term beside words: no byte of UTF-8.
 MARK = b"\xff"
 #: Bytes of text that a task works on at once.
@@ -44,19 +46,23 @@ def words(text: bytes) -> list[bytes]:
     return out
 
 
-def window_counts(docs: DataFrame, column: str, order: int) -> DataFrame:
+def window_counts(docs: DataFrame, column: str, order: int, most: int = HELD_WINDOWS) -> DataFrame:
     """(gram, n): how often each context and symbol occurs, pre-aggregated by task."""
 
+    def rows(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        keys, counts = ppm.add_up(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        for at in range(0, len(keys), 1 << 18):
+            yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + (1 << 18)]), pa.array(counts[at : at + (1 << 18)].astype(np.int64))], ["gram", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in slices(batches, column, 4 * SLICE):
             held.append(ppm.count_windows([t.lower() for t in utf8(batch.column(column))], order))
-            if sum(len(k) for k, _ in held) > 4_000_000:
-                held = [ppm.add_up(*(np.concatenate(x) for x in zip(*held, strict=True)))]
+            if sum(len(k) for k, _ in held) > most:
+                yield from rows(held)
+                held = []
         if held:
-            keys, counts = ppm.add_up(*(np.concatenate(x) for x in zip(*held, strict=True)))
-            for at in range(0, len(keys), 1 << 18):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + (1 << 18)]), pa.array(counts[at : at + (1 << 18)].astype(np.int64))], ["gram", "n"])
+            yield from rows(held)
 
     return docs.select(column).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 

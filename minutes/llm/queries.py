@@ -28,7 +28,7 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    whole = topk.vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding").withColumn("v", F.transform("v", lambda x: F.floor(x * 256).cast("double")))
+    whole = topk.vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding").withColumn("v", F.transform("v", lambda x: topk.scaled(x)))
     return topk.search(whole, F.col("vec_id") % 50 == 0, k=5)
 
 

@@ -10,7 +10,9 @@ A query first searches one subtree of its nearest routing vector, which bounds t
 only the subtrees that can hold something nearer, by routing distance and covering radius. Queries go to subtrees: a
 subtree that no query asks is not read, and one that very many ask (more than QUERY_BYTES of them) is searched in several
 tasks. The best k of all subtrees are ranked by score. Scores are sums of products of whole numbers: as long as no squared
-norm passes 2^53, all of them are exact in a double, and a table with a longer vector is refused.
+norm passes 2^48, all of them are exact in a double, and different ones have different distances. Longer vectors, which are
+none or few, are left out of the index: they are held against all queries, and those of them that ask against all vectors,
+in blocks, with whole numbers of any size. A score that a long cannot hold is null; its rank is right.
 
 Defined cases: vectors that are null, or hold a null or a component that is not finite, take no part, nor do null ids;
 shorter vectors count as filled up with zeros, empty and very long ones are vectors like any other; rows that repeat an
@@ -21,8 +23,10 @@ other columns may have any name.
 
 from __future__ import annotations
 
+import heapq
 import pickle
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -31,6 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from ..sources.scratch import narrow
 from .common import stored
 from .mtree import Points, Tree
 
@@ -38,8 +43,10 @@ from .mtree import Points, Tree
 TREE, TREES, PIVOTS = 8192, 512, 1024
 #: Bytes of a subtree's vectors at most, of the queries that one task asks of it, and queries searched at once.
 TREE_BYTES, QUERY_BYTES, QUERIES = 64 << 20, 32 << 20, 512
-#: Up to this squared norm products of whole numbers are exact in a double.
-EXACT = 2.0**53
+#: Up to this squared norm the roots of different squared distances are different doubles.
+EXACT = 2.0**48
+#: Queries and vectors of a block that are compared with whole numbers of any size; what such numbers are padded to.
+LONG_QUERIES, LONG_VECTORS, DIGITS = 512, 4096, 1300
 
 
 def vectors(df: DataFrame, id_col: str, vec_col: str, scale: Column | None = None) -> DataFrame:
@@ -50,6 +57,11 @@ def vectors(df: DataFrame, id_col: str, vec_col: str, scale: Column | None = Non
     return own.groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
+def scaled(x: Column, by: float = 256.0) -> Column:
+    """floor(by * x) as a double; beyond 2^53 a double is whole already, and a long might not hold it."""
+    return F.when(F.abs(x * by) < 2.0**53, F.floor(x * by).cast("double")).otherwise(x * by)
+
+
 def unpack(column: pa.Array, size: int) -> np.ndarray:
     out = np.zeros((len(column), size))
     flat, bounds = column.flatten().to_numpy(zero_copy_only=False), np.r_[0, np.cumsum(column.value_lengths().to_numpy())]
@@ -64,17 +76,67 @@ def lift(x: np.ndarray, top: float) -> np.ndarray:
     return np.hstack([x, np.sqrt(np.maximum(0, top - (x * x).sum(1)))[:, None]])
 
 
+def squared_norm() -> Column:
+    return F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
+
+
 def search(all_vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score): for every query among ``all_vectors`` (vec_id, v) the k highest products."""
-    spark = all_vectors.sparkSession
     base = stored(all_vectors, "vectors")
-    norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
+    far = squared_norm() > EXACT
+    if not base.where(far).limit(1).count():
+        return by_trees(base, is_query, k)
+    near, asked = base.where(~far), base.where(is_query)
+    found = [with_order(by_trees(near, is_query, k)), by_blocks(asked.where(~far), base.where(far), k), by_blocks(asked.where(far), base, k)]
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("order"), "vec_id"))
+    best = reduce(DataFrame.unionByName, found).withColumn("rank", rank).where(F.col("rank") <= k)
+    return best.select("query_id", "rank", "vec_id", "score")
+
+
+def order_of(score: int) -> str:
+    """A text that sorts like the number."""
+    return f"{score + 10**DIGITS:0{DIGITS + 1}d}"
+
+
+def with_order(found: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([order_of(x) for x in batch.column("score").to_pylist()], pa.string())], ["query_id", "vec_id", "score", "order"])
+
+    return found.select("query_id", "vec_id", "score").mapInArrow(run, "query_id long, vec_id long, score long, order string")
+
+
+def by_blocks(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, score, order): at least the k best of each query, by whole numbers of any size."""
+    by, of = (max(1, -(-df.count() // n)) for df, n in ((queries, LONG_QUERIES), (candidates, LONG_VECTORS)))
+    deal = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.select("vec_id", "v", deal(by).alias("i"), every(of).alias("j"))
+    right = candidates.select("vec_id", "v", every(by).alias("i"), deal(of).alias("j"))
+
+    def meet(asked: pa.Table, stored_: pa.Table) -> pa.Table:
+        rows = []
+        if len(asked) and len(stored_):
+            ids = stored_.column("vec_id").to_pylist()
+            size = max(len(v) for t in (asked, stored_) for v in t.column("v").to_pylist())
+            q, x = (np.array([[int(c) for c in v] + [0] * (size - len(v)) for v in t.column("v").to_pylist()], object).reshape(len(t), size) for t in (asked, stored_))
+            for name, scores in zip(asked.column("vec_id").to_pylist(), q @ x.T if size else np.zeros((len(q), len(x)), object), strict=True):
+                best = heapq.nsmallest(k, ((-s, i) for s, i in zip(scores, ids, strict=True) if i != name))
+                rows += [(name, i, -s if -(2**63) <= -s < 2**63 else None, order_of(-s)) for s, i in best]
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
+        return pa.table([pa.array([r[n] for r in rows], t) for n, t in enumerate(kinds)], ["query_id", "vec_id", "score", "order"])
+
+    return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(meet, "query_id long, vec_id long, score long, order string")
+
+
+def by_trees(base: DataFrame, is_query: Column, k: int) -> DataFrame:
+    """The same for stored vectors whose squared norms are at most EXACT."""
+    spark = base.sparkSession
+    norm = squared_norm()
     n, top, size = base.agg(F.count("*"), F.coalesce(F.max(norm), F.lit(0.0)), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
     out = "query_id long, rank int, vec_id long, score long"
     if not n:
         return spark.createDataFrame([], out)
-    if top > EXACT:
-        raise ValueError(f"a squared norm of {top} passes 2^53: products would not be exact")
     each = max(1, min(max(TREE, n // TREES), TREE_BYTES // (8 * (size + 1))))
     count = int(min(PIVOTS, max(1, -(-n // each))))
     chosen = base.orderBy(F.xxhash64("vec_id"), "vec_id").limit(count).select("v").toArrow()
@@ -121,9 +183,9 @@ def search(all_vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
         """Searches of (pivot, cut, query_id, v, reach), each subtree sent once for every ``held`` queries that ask it."""
         parts = asked.groupBy("pivot", "cut").agg(F.ceil(F.count("*") / held).cast("int").alias("parts"))
         place = ["pivot", "cut", "part"]
-        left = asked.join(F.broadcast(parts), ["pivot", "cut"]).withColumn("part", F.pmod(F.xxhash64("query_id"), F.col("parts")).cast("int"))
+        left = asked.join(narrow(parts), ["pivot", "cut"]).withColumn("part", F.pmod(F.xxhash64("query_id"), F.col("parts")).cast("int"))
         other = parts.select(F.col("pivot").alias("p"), F.col("cut").alias("c"), F.col("parts").alias("n"))
-        right = trees.join(F.broadcast(other), F.expr("pivot = p and cut = c")).select(F.col("p").alias("pivot"), F.col("c").alias("cut"), "tree", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("part"))
+        right = trees.join(narrow(other), F.expr("pivot = p and cut = c")).select(F.col("p").alias("pivot"), F.col("c").alias("cut"), "tree", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("part"))
         return left.groupBy(*place).cogroup(right.groupBy(*place)).applyInPandas(find, "query_id long, vec_id long, score double")
 
     first = queries.join(F.broadcast(cuts), "pivot").withColumn("cut", F.pmod(F.xxhash64("query_id"), F.col("cuts")).cast("int")).withColumn("reach", F.lit(float("inf")))
@@ -145,7 +207,7 @@ def search(all_vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(kept, pa.list_(pa.int32()))], ["query_id", "v", "reach", "pivots"])
 
     routed = known.mapInArrow(route, "query_id long, v array<double>, reach double, pivots array<int>")
-    every = routed.withColumn("pivot", F.explode("pivots")).drop("pivots").join(F.broadcast(trees.select("pivot", "cut")), "pivot")
+    every = routed.withColumn("pivot", F.explode("pivots")).drop("pivots").join(narrow(trees.select("pivot", "cut")), "pivot")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     best = run(every).withColumn("rank", rank).where(F.col("rank") <= k)
     return best.select("query_id", "rank", "vec_id", F.col("score").cast("long").alias("score"))

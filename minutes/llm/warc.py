@@ -9,9 +9,11 @@ Pages are dealt to archives by a hash of id and payload, so many that one holds
 repeat an id and a payload are one key; where they pass ARCHIVE together, the key is dealt to several archives. Files keep
 the names that Spark's text writer gives them.
 
-Reading. Every archive is one row of ``binaryFile``, so a task holds it whole; one of more than MOST bytes is refused
-before anything is read. The reader walks through it with an incremental decompressor, one member after the other, takes
-header and block by their stated lengths, and verifies block and payload digests.
+Reading. An archive of up to MOST bytes is one row of ``binaryFile``. The reader walks through it with an incremental
+decompressor, one member after the other, takes header and block by their stated lengths, and verifies block and payload
+digests. A larger archive, of any size, is read as a stream by the text source, which inflates files that are named .gz member
+by member and cuts them before every mark of a record; a cut within a block is mended by the block's stated length. So no
+task holds more than a batch of records. Only what is both over 2 GiB and not named .gz cannot be read by Spark either way.
 
 Defined cases: a null payload is empty; pages with equal payloads of at least ``least`` bytes are written once in full,
 by the page with the largest id, and as revisits of it otherwise; rows that repeat that id with the same payload are
@@ -34,10 +36,12 @@ from pyspark.sql import functions as F
 
 from .common import scratch, slices, stored
 
-#: Payload bytes per archive, bytes of the largest archive that is read, and bytes handed to the decompressor at once.
+#: Payload bytes per archive, bytes of the largest archive that is read whole, and bytes handed to the decompressor at once.
 ARCHIVE = 32 << 20
 MOST = 1 << 30
 PIECE = 1 << 18
+#: What every record begins with, all versions.
+MARK = "WARC/1."
 DATE = "2000-01-01T00:00:00Z"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 RECORDS = "page_id {kind}, url string, payload_bytes long, payload_digest string, record_type string, refers_to {kind}, error string"
@@ -91,7 +95,9 @@ def write(pages: DataFrame, path: str, least: int = 0, id_col: str = "page_id",
     hot = stored(kinds.groupBy("key", "sum").agg(F.max(cuts).alias("cuts")).where("cuts > 1"), "repeated")
     whole = kinds.agg(F.coalesce(F.sum(F.col("n") * F.col("size")), F.lit(0))).first()[0]
     one = F.coalesce("cuts", F.lit(1).cast("long"))
-    dealt = own.join(hot, ["key", "sum"], "left").withColumn("cut", F.pmod(F.spark_partition_id(), one)).drop("cuts")
+    # the row of a task, taken before a join that may bring all rows of a key together
+    own = own.withColumn("turn", F.monotonically_increasing_id())
+    dealt = own.join(hot, ["key", "sum"], "left").withColumn("cut", F.pmod(F.xxhash64("turn"), one)).drop("cuts", "turn")
     each = again.join(hot, ["key", "sum"], "left").select("key", "sum", F.explode(F.sequence(F.lit(0).cast("long"), one - 1)).alias("cut"), "original")
     place = ["key", "sum", "cut"]
     rows = dealt.repartition(max(1, -(-whole // ARCHIVE)), *place).join(each, place, "left")
@@ -145,26 +151,59 @@ def parse(data: bytes) -> dict:
     return out
 
 
+def complete(data: bytes) -> bool:
+    """Whether a record has all of its block, as far as its header tells."""
+    head, found, rest = data.partition(b"\r\n\r\n")
+    length = next((x.partition(b":")[2].strip() for x in head.split(b"\r\n") if x.lower().startswith(b"content-length:")), b"")
+    return bool(found) and (not length.isdigit() or len(rest) >= int(length) + 4)
+
+
+def joined(pieces: Iterator[tuple[str, bytes]]) -> Iterator[bytes]:
+    """Whole records of (file, piece), the pieces of a file being what stands between its marks."""
+    now, held = None, b""
+    for file, piece in pieces:
+        if file != now:
+            if held:
+                yield held  # an archive that ends within a record; its framing is wrong
+            now, held = file, b""
+            if piece.strip(b"\0\r\n"):
+                yield piece
+            continue
+        held += MARK.encode() + piece
+        if complete(held):
+            yield held
+            held = b""
+    if held:
+        yield held
+
+
 def read(spark: SparkSession, path: str, id_type: str = "bigint", strict: bool = True, content: bool = False) -> DataFrame:
     """One row per record below ``path`` (RECORDS; with ``content`` also the payload of responses)."""
 
     def page(uri: str) -> str | None:
         return uri.removeprefix("<urn:page:").removesuffix(">") or None
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(records: Iterator[bytes]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for data in records:
+            r = parse(data)
+            if r["error"] and strict:
+                raise ValueError(f"{r['error']}: {r['fields']}")
+            held.append(row(r))
+            size += len(r["payload"])
+            if len(held) >= 4096 or content and size > 4 << 20:
+                yield table(held)
+                held, size = [], 0
+        yield table(held)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for archive in batch.column("content"):
-                held, size = [], 0
-                for data in members(archive.as_py()):
-                    r = parse(data)
-                    if r["error"] and strict:
-                        raise ValueError(f"{r['error']}: {r['fields']}")
-                    held.append(row(r))
-                    size += len(r["payload"])
-                    if len(held) >= 4096 or content and size > 4 << 20:
-                        yield table(held)
-                        held, size = [], 0
-                yield table(held)
+                yield from rows(members(archive.as_py()))
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = ((file, piece) for batch in batches for file, piece in zip(batch.column("file").to_pylist(), batch.column("piece").to_pylist(), strict=True))
+        yield from rows(joined(pieces))
 
     def row(r: dict) -> tuple:
         f = r["fields"]
@@ -184,10 +223,15 @@ def read(spark: SparkSession, path: str, id_type: str = "bigint", strict: bool =
         return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names)
 
     files = spark.read.format("binaryFile").load(path)
-    large = files.where(F.col("length") > MOST).select("path", "length").first()
+    out = RECORDS.format(kind="string") + ", payload binary" * content
+    large = [r["path"] for r in files.where(F.col("length") > MOST).select("path", "length").collect() if r["path"].endswith(".gz") or r["length"] >= 1 << 31]
+    if odd := [p for p in large if not p.endswith(".gz")]:
+        raise ValueError(f"archives of over 2 GiB need a name that ends in .gz: {odd[:3]}")
+    found = files.where(~F.col("path").isin(large)).select("content").mapInArrow(whole, out)
     if large:
-        raise ValueError(f"{large['path']} has {large['length']} bytes: archives of more than {MOST} are not read")
-    found = files.select("content").mapInArrow(run, RECORDS.format(kind="string") + ", payload binary" * content)
+        # one mark of a record to the next, in the order of the file
+        lines = spark.read.option("lineSep", MARK).text(large).select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("piece"))
+        found = found.unionByName(lines.mapInArrow(stream, out))
     return found.withColumns({c: F.col(c).cast(id_type) for c in ("page_id", "refers_to")})
 
 

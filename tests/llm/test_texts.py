@@ -133,6 +133,16 @@ def test_order_holds_at_any_size(spark, monkeypatch, head):
     assert len(got) == len(texts) and all(abs(got[i] - slow(t.encode())) < 1e-6 for i, t in enumerate(texts))
 
 
+def test_window_counts_are_handed_on(spark):
+    """However few windows a task holds, their counts add up."""
+    rng = random.Random(9)
+    texts = ["".join(rng.choices("abc d", k=rng.randint(0, 200))) for _ in range(300)] + [None]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").repartition(2)
+    got = [{r.gram: r.n for r in lm.window_counts(rows, "text", 3, most).collect()} for most in (1, 500, lm.HELD_WINDOWS)]
+    keys, counts = ppm.count_windows([(t or "").encode() for t in texts], 3)
+    assert got[0] == got[1] == got[2] == dict(zip(keys.tolist(), counts.tolist(), strict=True))
+
+
 def luhn(number):
     digits = [int(d) for d in reversed(number)]
     return sum(d if i % 2 == 0 else d * 2 - 9 * (d > 4) for i, d in enumerate(digits)) % 10 == 0
