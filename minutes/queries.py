@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import eras, normalize
-from .operators import annotate, bills, catalog, grams, highlight, profile, ranking, search, speeches, themes, vectors, views
+from .operators import annotate, bills, catalog, grams, highlight, profile, ranking, saved, search, speeches, themes, vectors, views
 from .sources import tables
 from .sources.scratch import scratch, stored
 from .streaming import ingest
@@ -200,6 +200,14 @@ def search_many_by_automaton(spark, sf_dir):
     return search.search_many(said(spark, sf_dir), [(f"q{26 * i + j}", f"{a}{b} -zz") for i, a in enumerate(letters) for j, b in enumerate(letters) if a + b != "or"], ["ord"])
 
 
+@query(f"WITH {SAID}, saved AS (SELECT p_partkey AS query_id, lower(string_split(p_name, ' ')[1])[:3] AS a, substr(lower(p_type), 1 + p_partkey % 4, 2) AS b FROM part) SELECT query_id, ord, CAST((length(norm) - length(replace(norm, a, ''))) / 3 AS INT) AS score FROM said, saved WHERE contains(norm, a) AND NOT contains(norm, b)")
+def search_saved(spark, sf_dir):
+    """A saved query for every part, three letters of its name without two of its kind, as a table."""
+    n, name = F.col("p_partkey"), F.lower(F.substring(F.split("p_name", " ")[0], 1, 3))
+    own = table(spark, sf_dir, "part").select(n.alias("query_id"), F.concat(name, F.lit(" -"), F.lower(F.substring(F.col("p_type"), (1 + n % 4).cast("int"), F.lit(2)))).alias("query"))
+    return saved.search_saved(said(spark, sf_dir), own, ["ord"])
+
+
 def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A transcript of each conversation: a preamble, then a line per turn."""
     turn = F.concat(F.col("role"), F.lit("（"), F.concat(F.lit("名"), F.col("turn").cast("string")), F.lit("君）"), F.coalesce("text", F.lit("")))
