@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import eras, normalize
-from .operators import annotate, bills, catalog, grams, highlight, profile, ranking, saved, search, speeches, themes, vectors, views
+from .operators import annotate, bills, catalog, grams, highlight, paging, profile, ranking, saved, search, speeches, themes, vectors, views
 from .sources import tables
 from .sources.scratch import scratch, stored
 from .streaming import ingest
@@ -118,6 +118,15 @@ def search_page_by_date(spark, sf_dir):
     return search.page(search.rank(search.search(said(spark, sf_dir), SEARCH).select("ord", "date", "score"), "date"))
 
 
+@query(f"WITH {SAID}, {_HITS} SELECT ord, date, score, rank::BIGINT AS rank FROM (SELECT *, row_number() OVER (ORDER BY score DESC, coalesce(date, '') DESC, ord) AS rank FROM matched) WHERE rank > 40 AND rank <= 60 OR rank > 200 AND rank <= 220")
+def search_deep_pages(spark, sf_dir):
+    """The third and the eleventh page of one written ranking."""
+    path = scratch(spark, "ranking")
+    paging.write_ranking(search.search(said(spark, sf_dir), SEARCH).select("ord", "date", "score"), path, "relevance")
+    pages = [paging.read_page(spark, path, n).select("ord", "date", "score", "rank") for n in (3, 11)]
+    return pages[0].unionByName(pages[1])
+
+
 @query(f"WITH {SAID} SELECT ord, 0 AS score FROM said WHERE year = 2021 AND type = 'en' AND role = '5番' AND contains(name, 'e') AND date >= '2021-03-01' AND date <= '2021-10-15'")
 def search_filters(spark, sf_dir):
     found = search.search(said(spark, sf_dir), "", year=2021, type="en", role="議員", speaker="e", date_from="2021-03-01", date_to="2021-10-15")
@@ -390,9 +399,18 @@ def pdf_manifest(spark, sf_dir):
     return catalog.pdf_manifest(both, both)
 
 
-@query(r"""SELECT page_id, CAST(len(regexp_extract_all(regexp_replace(html, '<script.*?</script>|<!--.*?-->', '', 'gs'), '<a\s[^>]*href="[^"]+"')) AS INT) AS n_links FROM pages""")
+_TEXT = """replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&')"""
+
+
+@query(rf"""WITH plain AS (SELECT page_id, regexp_replace(html, '<script.*?</script>|<style.*?</style>|<!--.*?-->', '', 'gs') AS h FROM pages),
+found AS (SELECT page_id, unnest(regexp_extract_all(h, '<a\s[^>]*href="([^"]+)"[^>]*>.*?</a>')) AS a, generate_subscripts(regexp_extract_all(h, '<a\s[^>]*href="([^"]+)"[^>]*>.*?</a>'), 1) - 1 AS pos FROM plain),
+heads AS (SELECT page_id, trim({_TEXT.format("regexp_replace(regexp_extract(h, '(?s)<h1>(.*?)</h1>', 1), '<[^>]*>', '', 'g')")}) AS h1, trim({_TEXT.format("regexp_extract(h, '(?s)<title>(.*?)</title>', 1)")}) AS t FROM plain)
+SELECT page_id, CASE WHEN h1 <> '' THEN h1 ELSE t END AS title, pos::INT AS pos, trim({_TEXT.format("regexp_replace(a, '<[^>]*>', '', 'g')")}) AS text,
+  CASE WHEN regexp_matches(a, 'href="https?:') THEN '' ELSE 'https://a.example' END || {_TEXT.format("regexp_extract(a, 'href=\"([^\"]+)\"', 1)")} AS href FROM found JOIN heads USING (page_id)""")
 def extract_links(spark, sf_dir):
-    return catalog.extract_links(table(spark, sf_dir, "pages"), "https://a.example/").select("page_id", F.size("links").alias("n_links"))
+    """Titles, and every link with its text and address."""
+    found = catalog.extract_links(table(spark, sf_dir, "pages"), "https://a.example/")
+    return found.select("page_id", "title", F.posexplode("links").alias("pos", "x")).select("page_id", "title", "pos", "x.text", "x.href")
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -530,7 +548,7 @@ def build_index(spark, sf_dir):
 def in_batches(spark: SparkSession, texts: DataFrame, meetings_of: DataFrame) -> dict[str, DataFrame]:
     """The tables of texts that arrive in three batches, of which the second is repeated."""
     path = scratch(spark, "stream")
-    batch = F.pmod(F.xxhash64("text_key"), F.lit(3))
+    batch, texts = F.pmod(F.xxhash64("text_key"), F.lit(3)), stored(texts, "arrivals")
     for n in (0, 1, 1, 2):
         ingest.ingest(texts.where(batch == n), n, meetings_of, path, buckets=16)
     return ingest.read_tables(spark, path)
@@ -599,9 +617,31 @@ def meeting_pdfs(spark, sf_dir):
     return catalog.meeting_pdfs(pages).select("id", "year", "type", F.posexplode("pdfs").alias("pos", "p")).select("id", "year", "type", "pos", "p.label", "p.date")
 
 
-@query(f"WITH {_MEETINGS} SELECT id, CAST(y AS INT) AS year FROM meetings ORDER BY y DESC, id DESC LIMIT 50")
+@query(f"WITH {_MEETINGS} SELECT id, CAST(y AS INT) AS year, row_number() OVER (ORDER BY y DESC, id DESC) - 1 AS place FROM meetings")
 def meetings_in_order(spark, sf_dir):
-    return catalog.order_meetings(meetings(spark, sf_dir)).select("id", "year").limit(50)
+    """All meetings, with the place they are written at."""
+    path = scratch(spark, "ordered")
+    catalog.order_meetings(meetings(spark, sf_dir)).select("id", "year").write.parquet(path)
+    # the rows of a sorted table come in the order of its files and of the rows in them
+    at = spark.read.parquet(path).select("id", "year", F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("n"))
+    place = F.row_number().over(Window.partitionBy("file").orderBy("n"))
+    files = at.groupBy("file").agg(F.count("*").alias("rows"))
+    before = F.coalesce(F.sum("rows").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each file
+    return at.withColumn("place", place).join(F.broadcast(files.withColumn("before", before)), "file").select("id", "year", (F.col("before") + F.col("place") - 1).alias("place"))
+
+
+@query(f"""WITH {SAID}, k AS (SELECT CASE WHEN role = '5番' THEN 'member' ELSE 'official' END AS kind, CASE WHEN role = '5番' THEN name ELSE role END AS value, CASE WHEN role = '5番' THEN role ELSE name END AS hint, ord FROM said)
+SELECT kind, value, arg_max(hint, ord) AS hint, min(ord) AS first_ord FROM k GROUP BY 1, 2""")
+def speaker_master_last(spark, sf_dir):
+    return profile.speaker_master(said(spark, sf_dir), last=True)
+
+
+@query("SELECT 'Brand' || (s_suppkey % 9) AS meeting_id, row_number() OVER (PARTITION BY s_suppkey % 9 ORDER BY min(s_suppkey)) ::INT AS ord, translate(lpad((s_suppkey % 40)::VARCHAR, 2, '0'), '0123456789', '甲乙丙丁戊己庚辛壬癸') AS member, '' AS theme FROM supplier GROUP BY s_suppkey % 9, s_suppkey % 40")
+def merged_questioners(spark, sf_dir):
+    """The first mention of each questioner over the files of a meeting."""
+    n = F.col("s_suppkey")
+    name = F.translate(F.lpad((n % 40).cast("string"), 2, "0"), "0123456789", "甲乙丙丁戊己庚辛壬癸")
+    return bills.merge_questioners(table(spark, sf_dir, "supplier").select(F.concat(F.lit("Brand"), (n % 9).cast("string")).alias("meeting_id"), n.cast("int").alias("pdf_pos"), F.lit(0).alias("ord"), name.alias("member")))
 
 
 @query("SELECT lpad((page_id * 10)::VARCHAR, 10, '0') AS id FROM pages WHERE page_id * 10 IN (0, 30, 990, 1000000)")
