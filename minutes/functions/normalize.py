@@ -123,6 +123,20 @@ def with_map(text: str, own: Table = _DEFAULT) -> tuple[str, list[int]]:
     return "".join(parts), [i for i, p in enumerate(parts) for _ in p]
 
 
+def add_norm_runs(speeches: DataFrame, variants: dict[str, str] | None = None) -> DataFrame:
+    """With columns norm and runs: stretches (n, t) of the normal form that are stretches of the text, by where each begins
+    in both. A new one begins where characters were dropped before it, or where one character became several."""
+    own = table(variants)
+
+    @F.pandas_udf("struct<norm: string, runs: array<struct<n: int, t: int>>>")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        found = [with_map(t or "", own) for t in texts]
+        runs = [[{"n": j, "t": i} for j, i in enumerate(m) if not j or i != m[j - 1] + 1] for _, m in found]
+        return pd.DataFrame({"norm": [n for n, _ in found], "runs": runs})
+
+    return speeches.withColumn("__made", run(F.col("text"))).withColumns({"norm": F.col("__made.norm"), "runs": F.col("__made.runs")}).drop("__made")
+
+
 def add_norm(speeches: DataFrame, variants: dict[str, str] | None = None) -> DataFrame:
     """With a column norm, worked out only where there is none yet."""
     made = normalize_text(F.col("text"), variants)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -40,6 +42,38 @@ def hit_ranges(text: Column, alternatives: list[str], variants: dict[str, str] |
     return run(text)
 
 
+def stored_ranges(norm: Column, runs: Column, alternatives: list[str]) -> Column:
+    """The same from a stored normal form and its runs (``add_norm_runs``), with SQL functions alone."""
+    span = lambda start, end: F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"))
+    none = F.array().cast("array<struct<start: int, end: int>>")
+
+    def place(j: Column) -> Column:
+        """Where the j-th character of the normal form stands in the text."""
+        run = F.element_at(F.filter(runs, lambda r: r["n"] <= j), -1)
+        return run["t"] + j - run["n"]
+
+    def hits(term: str) -> Column:
+        """Spans of a term's places without overlap: each is where what stands before it, and the terms there, end."""
+        sizes = F.transform(F.split(norm, F.lit(re.escape(term)), F.lit(-1)), lambda part: F.length(part))
+        before = lambda k: F.aggregate(F.slice(sizes, 1, k + 1), F.lit(0), lambda s, n: s + n) + k * len(term)
+        starts = lambda n: F.transform(F.sequence(F.lit(0), n - 2), before)
+        return F.when(F.size(sizes) > 1, F.transform(starts(F.size(sizes)), lambda s: span(place(s), place(s + len(term) - 1) + 1))).otherwise(none)
+
+    state = F.struct(none.alias("done"), F.lit(None).cast("struct<start: int, end: int>").alias("last"))
+
+    def add(s: Column, x: Column) -> Column:
+        joined = s["last"].isNotNull() & (x["start"] <= s["last"]["end"])
+        grown = F.struct(s["done"].alias("done"), span(s["last"]["start"], F.greatest(s["last"]["end"], x["end"])).alias("last"))
+        closed = F.when(s["last"].isNull(), s["done"]).otherwise(F.concat(s["done"], F.array(s["last"])))
+        return F.when(joined, grown).otherwise(F.struct(closed.alias("done"), span(x["start"], x["end"]).alias("last")))
+
+    every = [hits(a) for a in dict.fromkeys(filter(None, alternatives))]
+    if not every:
+        return none
+    end = lambda s: F.when(s["last"].isNull(), s["done"]).otherwise(F.concat(s["done"], F.array(s["last"])))
+    return F.when(norm == "", none).otherwise(F.aggregate(F.array_sort(F.concat(*every)), state, add, end))
+
+
 def _cut(text: Column, start: Column, end: Column) -> Column:
     return F.substring(text, start + 1, F.greatest(end - start, F.lit(0)))
 

@@ -151,6 +151,15 @@ def snippets(spark, sf_dir):
     return found.select("ord", F.size("ranges").alias("n_ranges"), highlight.snippet(F.col("text"), F.col("ranges")).alias("snippet"))
 
 
+@query(_SQL["snippets"])
+def snippets_from_runs(spark, sf_dir):
+    """Snippets from the stored places of the normal form, without Python once it is stored."""
+    text = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), F.coalesce("text", F.lit("")).alias("text"))
+    own = stored(normalize.add_norm_runs(text), "runs")
+    found = own.withColumn("ranges", highlight.stored_ranges(F.col("norm"), F.col("runs"), search.positive_alternatives(search.compile_query("ＴＨＥ"))))
+    return found.select("ord", F.size("ranges").alias("n_ranges"), highlight.snippet(F.col("text"), F.col("ranges")).alias("snippet"))
+
+
 @query(f"SELECT doc_id, {_MARKED} AS marked FROM documents")
 def highlight_full(spark, sf_dir):
     ranges = highlight.hit_ranges(F.col("text"), search.positive_alternatives(search.compile_query("the -of")))
