@@ -293,18 +293,18 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
 def sql(table: str, least: int, percent: int, most: int) -> str:
     """``collocations`` of two and three words in DuckDB."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    return rf"""WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[.,;:!?\x0A-\x0D]')) AS p FROM {table}),
-lists AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM pieces),
+    return rf"""WITH pieces AS MATERIALIZED (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[.,;:!?\x0A-\x0D]')) AS p FROM {table}),
+lists AS MATERIALIZED (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM pieces),
 ones AS (SELECT lang, unnest(w) AS phrase FROM lists),
-counts AS (SELECT lang, phrase, count(*) AS f, 1 AS size FROM ones GROUP BY 1, 2
+counts AS MATERIALIZED (SELECT lang, phrase, count(*) AS f, 1 AS size FROM ones GROUP BY 1, 2
   UNION ALL SELECT lang, phrase, count(*), 2 FROM (SELECT lang, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS phrase FROM lists WHERE len(w) > 1) GROUP BY 1, 2
   UNION ALL SELECT lang, phrase, count(*), 3 FROM (SELECT lang, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS phrase FROM lists WHERE len(w) > 2) GROUP BY 1, 2),
-found AS (SELECT *, string_split(phrase, ' ') AS w FROM counts WHERE size > 1 AND f >= {least}),
-cuts AS (SELECT lang, phrase, f, unnest(range(1, size)) AS k, w FROM found),
+found AS MATERIALIZED (SELECT *, string_split(phrase, ' ') AS w FROM counts WHERE size > 1 AND f >= {least}),
+cuts AS MATERIALIZED (SELECT lang, phrase, f, k, array_to_string(w[1:k], ' ') AS a_part, array_to_string(w[k + 1:], ' ') AS b_part FROM (SELECT *, unnest(range(1, size)) AS k FROM found)),
 scored AS (SELECT c.lang, c.phrase, c.f AS a, k, x.f AS l, y.f AS r, 1000000::HUGEINT * c.f * c.f // (x.f::HUGEINT * y.f) AS score FROM cuts c
-  JOIN counts x ON x.lang = c.lang AND x.phrase = array_to_string(w[1:k], ' ') JOIN counts y ON y.lang = c.lang AND y.phrase = array_to_string(w[k + 1:], ' ')),
+  JOIN counts x ON x.lang = c.lang AND x.phrase = a_part JOIN counts y ON y.lang = c.lang AND y.phrase = b_part),
 best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
 inner_ AS (SELECT lang, array_to_string(w[1:2], ' ') AS phrase, f FROM found WHERE size = 3 UNION ALL SELECT lang, array_to_string(w[2:3], ' '), f FROM found WHERE size = 3),
 kept AS (SELECT * FROM best b WHERE NOT EXISTS (SELECT 1 FROM inner_ i WHERE i.lang = b.lang AND i.phrase = b.phrase AND 100 * i.f >= {percent} * b.a)),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
-SELECT lang, rank, phrase, a, l, r, (SELECT sum(f)::BIGINT FROM counts n WHERE n.size = 1 AND n.lang = ranked.lang) AS n, score::BIGINT AS score FROM ranked WHERE rank <= {most}"""
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN (SELECT lang, sum(f)::BIGINT AS n FROM counts WHERE size = 1 GROUP BY 1) t USING (lang) WHERE rank <= {most}"""
