@@ -52,7 +52,8 @@ def ingest(texts: DataFrame, number: int, meetings: DataFrame, out: str, buckets
     spark = texts.sparkSession
     dealt = lambda df: df.withColumn("bucket", F.pmod(F.xxhash64("meeting_id"), F.lit(buckets)).cast("int"))
     kept = f"{out}/parts/batch={number}"
-    dealt(extraction.extract(texts, meetings)).write.mode("overwrite").partitionBy("bucket", "kind").parquet(kept)
+    # by folder first: else every task would leave a file in each of them
+    dealt(extraction.extract(texts, meetings)).hint("rebalance", "bucket", "kind").write.mode("overwrite").partitionBy("bucket", "kind").parquet(kept)
     parts = spark.read.schema(_PARTS).parquet(f"{out}/parts")
     touched = sorted(r["bucket"] for r in parts.where((F.col("batch") == number) & (F.col("kind") == extraction.FILE)).select("bucket").distinct().collect())
     known = parts.where((F.col("batch") <= number) & F.col("bucket").isin(touched))
