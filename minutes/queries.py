@@ -227,7 +227,8 @@ def search_saved(spark, sf_dir):
     n = F.col("p_partkey") * 7919
     word = F.concat(*(F.char(97 + F.floor(n / 26**i) % 26) for i in range(5)))
     own = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("query_id"), F.concat(word, F.lit(" -zz")).alias("query"))
-    return saved.search_saved(said(spark, sf_dir), own, ["ord"])
+    # ids and normal forms are all that is needed
+    return saved.search_saved(stored(speeches_of(spark, sf_dir).select("ord", "norm"), "norms"), own, ["ord"])
 
 
 def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
