@@ -1,13 +1,17 @@
 """Saved queries as a table: which texts match which of any number of queries.
 
-Queries are compiled where they lie. A group of terms (of those joined by OR) can only hold where one of its positive terms
-does, so it is indexed under one of them, and that under a single gram of each of its alternatives: the rarest over the
-texts, so that few texts have to be held against it. Texts are read twice: to count the grams that queries ask for, and to
-find the texts that have the chosen ones; a bitmap of bounded size tells a task which grams those are. Texts and
-queries then meet by gram, in parts where a gram is in many texts, and what meets is verified in the engine with the same
-rules as ``search``. Neither queries nor texts come to the driver.
+A group of terms (of those joined by OR) can only hold where every positive term does, and a term only where all grams of one
+of its alternatives occur. Up to ``IN_PLACE`` alternatives with ``IN_PLACE_GRAMS`` grams are counted, and their index (grams to
+alternatives, to terms, to groups) goes to every task: texts are read once, where they lie, and nothing of them is shuffled.
+An alternative is looked up by the gram that it shares with the fewest others, then its other grams are tested.
 
-Groups without a positive term have nothing to be found by. They are held against all texts, as their matches are most of them.
+Beyond that, queries stay where they lie too. A group is indexed under one of its terms, and that under a single gram of
+each of its alternatives: the rarest over the texts. Texts are read twice: to count the grams that queries ask for, and to
+find the texts that have the chosen ones; a bitmap of bounded size tells a task which grams those are. Texts and queries
+then meet by gram, in parts where a gram is in many texts. Neither queries nor texts come to the driver.
+
+On both ways what meets is verified in the engine with the same rules as ``search``, so the results are the same. Groups
+without a positive term have nothing to be found by. They are held against all texts, as their matches are most of them.
 
 Defined cases: a null or empty query matches every text with score 0; queries that repeat an id count each; a null normal form
 is empty; texts that repeat an id are matched each; ids of texts may be null.
@@ -16,6 +20,7 @@ is empty; texts that repeat an id are matched each; ids of texts may be null.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +31,8 @@ from ..sources.scratch import narrow, stored
 from .grams import SIZES, code_points, keys, term_keys
 from .search import compile_query
 
+#: Alternatives, and grams of all of them, whose index is small enough to go to every task (some 100 MB).
+IN_PLACE, IN_PLACE_GRAMS = 200_000, 4_000_000
 #: Bits of the map of grams for each of them, and in all (16 MB).
 BITS_EACH, BITS = 64, 1 << 27
 #: Texts of a part of a gram.
@@ -97,13 +104,86 @@ def score(norm: Column, groups: Column) -> Column:
     return F.when(F.size(groups) == 0, 0).otherwise(best)
 
 
-def search_saved(speeches: DataFrame, saved: DataFrame, id_cols: list[str], norm_col: str = "norm", dictionaries: dict | None = None, part: int = PART) -> DataFrame:
-    """(query_id, …id_cols, score) of all matches of ``saved`` (query_id, query)."""
-    queries = stored(compiled(saved, dictionaries), "saved")
-    texts = speeches.select(*id_cols, F.coalesce(norm_col, F.lit("")).alias("__norm"))
-    # where a group can be found: (at, group, term, alternative, gram)
-    group = queries.select("at", F.posexplode("grams").alias("group", "g"))
-    entry = group.select("at", "group", F.posexplode("g").alias("term", "t")).select("at", "group", "term", F.posexplode("t").alias("alternative", "a")).select("at", "group", "term", "alternative", F.explode("a").alias("gram"))
+class Index(NamedTuple):
+    """Alternatives by one gram each; flat lists with where each part of them begins."""
+
+    grams: np.ndarray  # distinct, ascending
+    alternative_starts: np.ndarray  # of each gram, in alternatives
+    alternatives: np.ndarray
+    gram_starts: np.ndarray  # of each alternative, in own
+    own: np.ndarray  # places in grams
+    term_of: np.ndarray  # of each alternative
+    group_of: np.ndarray  # of each term
+    needed: np.ndarray  # terms of each group
+    query_of: np.ndarray  # of each group
+
+
+def index_of(entries: pa.Table) -> Index:
+    """Of (at, group, term, needed, grams), a row for each alternative."""
+    lists = entries.column("grams").combine_chunks()
+    sizes = np.diff(lists.offsets.to_numpy())
+    grams, own, shared = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    # the gram of an alternative that the fewest others have: the first of its stretch in this order
+    order = np.lexsort((own, shared[own], np.repeat(np.arange(len(sizes)), sizes)))
+    key = own[order[starts[:-1]]]
+    by_key = np.argsort(key, kind="stable")
+    place = np.stack([entries.column(c).to_numpy() for c in ("at", "group", "term")], 1)
+    terms, term_of = np.unique(place, axis=0, return_inverse=True)
+    groups, group_of = np.unique(terms[:, :2], axis=0, return_inverse=True)
+    needed = np.zeros(len(groups), np.int64)
+    needed[group_of.ravel()[term_of.ravel()]] = entries.column("needed").to_numpy()
+    return Index(grams, np.searchsorted(key[by_key], np.arange(len(grams) + 1)), by_key, starts, own, term_of.ravel(), group_of.ravel(), needed, groups[:, 0])
+
+
+def _stretches(starts: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of the stretches ``which`` of a flat list, and where each of these begins among them."""
+    sizes = starts[which + 1] - starts[which]
+    begins = np.cumsum(sizes) - sizes
+    return np.arange(sizes.sum()) + np.repeat(starts[which] - begins, sizes), begins
+
+
+def candidates(index: Index, text: str, sizes: tuple[int, ...], have: np.ndarray) -> np.ndarray:
+    """The queries of which all positive terms of a group may be in the text; ``have``: a flag for each gram, all unset."""
+    codes = code_points(text)
+    found = np.concatenate([keys(codes, s) for s in sizes])
+    at = np.minimum(np.searchsorted(index.grams, found), len(index.grams) - 1)
+    at = at[index.grams[at] == found]
+    have[at] = True
+    own = index.alternatives[_stretches(index.alternative_starts, at)[0]]
+    if len(own):
+        places, begins = _stretches(index.gram_starts, own)
+        own = own[np.logical_and.reduceat(have[index.own[places]], begins)]
+    have[at] = False
+    groups, n = np.unique(index.group_of[np.unique(index.term_of[own])], return_counts=True)
+    return np.unique(index.query_of[groups[n == index.needed[groups]]])
+
+
+def met_in_place(texts: DataFrame, entries: DataFrame) -> DataFrame:
+    """``texts`` (with column __norm) with a row for each query (at) that may match."""
+    index = index_of(entries.toArrow())  # counted by the caller
+    cols, kinds = texts.columns, dict(texts.dtypes)
+    if not len(index.grams):
+        return texts.withColumn("at", F.lit(None).cast("long")).where("false")
+    sent = texts.sparkSession.sparkContext.broadcast(index)
+    # grams of a size are at least so large, unless they begin with a zero character
+    sizes = tuple(s for s in SIZES if s == SIZES[-1] or index.grams[0] < 1 << (21 * s))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = sent.value
+        have = np.zeros(len(own.grams), bool)
+        for batch in batches:
+            found = [candidates(own, text, sizes, have) for text in batch.column("__norm").to_pylist()]
+            kept = pa.array([i for i, q in enumerate(found) if len(q)], pa.int32())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(kept) for c in cols), pa.array([q for q in found if len(q)], pa.list_(pa.int64()))], [*cols, "ats"])
+
+    listed = texts.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in cols), "ats array<long>"]))
+    return listed.select(*cols, F.explode("ats").alias("at"))
+
+
+def met_by_shuffle(texts: DataFrame, entries: DataFrame, id_cols: list[str], part: int) -> DataFrame:
+    """The same for any number of queries: each group under the rarest gram of one of its terms."""
+    entry = entries.select("at", "group", "term", "alternative", F.explode("grams").alias("gram"))
     wanted = stored(entry.select("gram").distinct(), "grams")
     counts = stored(asked_grams(texts, bitmap(wanted, wanted.count())).join(wanted, "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n")), "counts")
     rated = entry.join(counts, "gram", "left").withColumn("n", F.coalesce("n", F.lit(0)))
@@ -111,10 +191,7 @@ def search_saved(speeches: DataFrame, saved: DataFrame, id_cols: list[str], norm
     # the positive term of a group with the fewest texts over its alternatives
     terms = rarest.groupBy("at", "group", "term").agg(F.sum("x.n").alias("n"), F.collect_set("x").alias("xs"))
     best = terms.groupBy("at", "group").agg(F.min(F.struct("n", "term", "xs")).alias("b"))
-    index = best.select("at", F.explode("b.xs").alias("x")).select("at", "x.gram", "x.n").where("n > 0").distinct()
-    # queries with a group that has nothing to be found by are held against all texts, and by nothing else
-    free = queries.where((F.size("grams") == 0) | F.exists("grams", lambda g: F.size(g) == 0)).select("at")
-    index = stored(index.join(free, "at", "left_anti"), "index")
+    index = stored(best.select("at", F.explode("b.xs").alias("x")).select("at", "x.gram", "x.n").where("n > 0").distinct(), "index")
     chosen = index.select("gram", "n").distinct()
     # texts with the chosen grams, each gram in parts
     found = asked_grams(texts, bitmap(chosen, chosen.count()))
@@ -125,8 +202,23 @@ def search_saved(speeches: DataFrame, saved: DataFrame, id_cols: list[str], norm
     right = split(index).select("at", "gram", F.explode(F.sequence(F.lit(0), one - 1)).alias("part"))
     named = {c: f"__{i}" for i, c in enumerate(id_cols)}
     pairs = left.join(right, ["gram", "part"]).select("at", *(F.col(c).alias(n) for c, n in named.items())).distinct()
-    same = [F.col(c).eqNullSafe(F.col(n)) for c, n in named.items()]
-    met = texts.join(pairs, same).drop(*named.values())
+    return texts.join(pairs, [F.col(c).eqNullSafe(F.col(n)) for c, n in named.items()]).drop(*named.values())
+
+
+def search_saved(speeches: DataFrame, saved: DataFrame, id_cols: list[str], norm_col: str = "norm", dictionaries: dict | None = None, part: int = PART, in_place: int = IN_PLACE) -> DataFrame:
+    """(query_id, …id_cols, score) of all matches of ``saved`` (query_id, query)."""
+    queries = stored(compiled(saved, dictionaries), "saved")
+    texts = speeches.select(*id_cols, F.coalesce(norm_col, F.lit("")).alias("__norm"))
+    # queries with a group that has nothing to be found by are held against all texts, and by nothing else
+    is_free = (F.size("grams") == 0) | F.exists("grams", lambda g: F.size(g) == 0)
+    free = queries.where(is_free).select("at")
+    # where a group can be found: (at, group, term, needed, alternative, grams)
+    group = queries.where(~is_free).select("at", F.posexplode("grams").alias("group", "g"))
+    term = group.select("at", "group", F.size("g").alias("needed"), F.posexplode("g").alias("term", "t"))
+    entries = term.select("at", "group", "term", "needed", F.posexplode("t").alias("alternative", "grams"))
+    size = entries.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("grams")), F.lit(0)).alias("grams")).first()
+    here = size["n"] <= in_place and size["grams"] <= IN_PLACE_GRAMS
+    met = met_in_place(texts, entries) if here else met_by_shuffle(texts, entries, id_cols, part)
     every = texts.crossJoin(narrow(free)) if free.limit(1).count() else None  # queries that say only what must not be there
     asked = queries.select(F.col("at").alias("__at"), "query_id", "groups")
     both = (met if every is None else met.unionByName(every)).join(narrow(asked), F.col("at") == F.col("__at"))
