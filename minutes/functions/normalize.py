@@ -144,11 +144,14 @@ def add_norm(speeches: DataFrame, variants: dict[str, str] | None = None) -> Dat
 
 
 def profile_normalize(col: Column) -> Column:
+    """The profile form of each text, which knows no variants; in the engine where its functions suffice."""
+
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: profile_term(t) if t else "")
+        return texts.map(lambda t: profile_term(t) if t else t)
 
-    return run(col)
+    in_python = run(F.when(needs_python(col, {}), col))
+    return F.coalesce(in_python, F.lower(F.regexp_replace(col, native({})[0], "")), F.lit(""))
 
 
 def profile_term(term: str) -> str:

@@ -51,15 +51,21 @@ def speaker_list(speeches: DataFrame) -> DataFrame:
 
 def topic_hits(speeches: DataFrame, topics: list[tuple[str, str]]) -> DataFrame:
     """(label, hits): speeches whose profile form holds any part of the topic's OR query."""
+    return topic_counts(speeches, topics)
+
+
+def topic_counts(speeches: DataFrame, topics: list[tuple[str, str]], *keep: str) -> DataFrame:
+    """The same for each combination of the columns ``keep``; a column form is taken as the profile form."""
     parts = [(label, [p for p in map(profile_term, re.split(r"\s+[Oo][Rr]\s+", q)) if p]) for label, q in topics]
 
     def holds(text: Column, terms: list[str]) -> Column:
         return reduce(or_, (text.contains(F.lit(t)) for t in terms), F.lit(False))
 
-    form = speeches.select(profile_normalize(F.col("text")).alias("form"))
-    counts = form.agg(*(F.count_if(holds(F.col("form"), terms)).alias(f"c{i}") for i, (_, terms) in enumerate(parts)))
-    rows = F.array(*(F.struct(F.lit(label).alias("label"), F.col(f"c{i}").alias("hits")) for i, (label, _) in enumerate(parts)))
-    return counts.select(F.explode(rows).alias("r")).select("r.*")
+    form = F.coalesce("form", F.lit("")) if "form" in speeches.columns else profile_normalize(F.col("text"))
+    rows = speeches.select(*keep, form.alias("form"))
+    counts = rows.groupBy(*keep).agg(F.count("*").alias("c"), *(F.count_if(holds(F.col("form"), terms)).alias(f"c{i}") for i, (_, terms) in enumerate(parts)))
+    each = F.array(*(F.struct(F.lit(label).alias("label"), F.col(f"c{i}").alias("hits")) for i, (label, _) in enumerate(parts))).cast("array<struct<label: string, hits: bigint>>")
+    return counts.select(*keep, F.explode(each).alias("r")).select(*keep, "r.*")
 
 
 def profile_counts(speeches: DataFrame, agenda: DataFrame) -> DataFrame:

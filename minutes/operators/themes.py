@@ -29,7 +29,25 @@ def _any(norm: Column, terms: list[str]) -> Column:
 
 def matched_themes(norm: Column, themes: list[tuple[str, list[str]]]) -> Column:
     """The labels of the themes that a normal form touches."""
-    return F.array_compact(F.array(*(F.when(_any(norm, normal_terms(terms)), F.lit(label)) for label, terms in themes)))
+    return F.array_compact(F.array(*(F.when(_any(norm, normal_terms(terms)), F.lit(label)) for label, terms in themes)).cast("array<string>"))
+
+
+def with_terms(spark: SparkSession, themes: list[tuple[str, list[str]]]) -> DataFrame:
+    """(label, ord) of the themes with a term."""
+    return spark.createDataFrame([(label, i) for i, (label, _) in enumerate(t for t in themes if normal_terms(t[1]))], "label string, ord int")
+
+
+def folded_themes(speeches: DataFrame, themes: list[tuple[str, list[str]]], norm_col: str = "norm", *keep: str) -> DataFrame:
+    """(…keep, label, meeting_id, name, official): the distinct meetings and names of members that touch a theme, and official speeches."""
+    said = speeches.select(*keep, F.explode(matched_themes(F.coalesce(norm_col, F.lit("")), themes)).alias("label"), role_category(F.coalesce("role", F.lit(""))).alias("category"), "meeting_id", "name")
+    member, official = F.col("category") == "議員", F.col("category").isin("当局", "議長")
+    named = member & F.col("name").isNotNull() & (F.col("name") != "") & ~F.col("name").startswith("（")
+    return said.groupBy(*keep, "label", F.when(member, F.col("meeting_id")).alias("meeting_id"), F.when(named, F.col("name")).alias("name")).agg(F.count_if(official).alias("official"))
+
+
+def title_themes(agenda: DataFrame, themes: list[tuple[str, list[str]]], *keep: str) -> DataFrame:
+    """(…keep, label) for each title and theme that it touches."""
+    return agenda.where("title <> ''").select(*keep, F.explode(matched_themes(normalize_text(F.col("title")), themes)).alias("label"))
 
 
 def score_themes(speeches: DataFrame, agenda: DataFrame, themes: list[tuple[str, list[str]]], norm_col: str = "norm") -> DataFrame:
@@ -38,17 +56,12 @@ def score_themes(speeches: DataFrame, agenda: DataFrame, themes: list[tuple[str,
     One scan works out the themes of each speech; only (theme, category, meeting, name) rows are shuffled, and distinct
     ones are folded before the counts, so a theme that most speeches touch costs no more than another.
     """
-    spark = speeches.sparkSession
     own = [(label, terms) for label, terms in themes if normal_terms(terms)]
-    said = speeches.select(F.explode(matched_themes(F.coalesce(norm_col, F.lit("")), own)).alias("label"), role_category(F.coalesce("role", F.lit(""))).alias("category"), "meeting_id", "name")
-    member, official = F.col("category") == "議員", F.col("category").isin("当局", "議長")
-    named = member & F.col("name").isNotNull() & (F.col("name") != "") & ~F.col("name").startswith("（")
-    folded = said.groupBy("label", F.when(member, F.col("meeting_id")).alias("meeting_id"), F.when(named, F.col("name")).alias("name")).agg(F.count_if(official).alias("official"))
+    folded = folded_themes(speeches, own, norm_col)
     counts = folded.groupBy("label").agg(F.count_distinct("meeting_id").alias("meetings"), F.count_distinct("name").alias("members"), F.sum("official").alias("official_hits"))
-    titles = agenda.where("title <> ''").select(F.explode(matched_themes(normalize_text(F.col("title")), own)).alias("label")).groupBy("label").agg(F.count("*").alias("agenda_hits"))
-    every = spark.createDataFrame([(label, i) for i, (label, _) in enumerate(own)], "label string, ord int")
+    titles = title_themes(agenda, own).groupBy("label").agg(F.count("*").alias("agenda_hits"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return every.join(counts, "label", "left").join(titles, "label", "left").select("label", "ord", *map(zero, ("meetings", "members", "official_hits", "agenda_hits")))
+    return with_terms(speeches.sparkSession, themes).join(counts, "label", "left").join(titles, "label", "left").select("label", "ord", *map(zero, ("meetings", "members", "official_hits", "agenda_hits")))
 
 
 def seed_candidates(spark: SparkSession) -> DataFrame:

@@ -15,7 +15,7 @@ from .functions import eras, normalize
 from .operators import annotate, bills, catalog, grams, highlight, paging, profile, ranking, saved, search, speeches, themes, vectors, views
 from .sources import tables
 from .sources.scratch import scratch, stored
-from .streaming import ingest
+from .streaming import counts, ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -231,9 +231,9 @@ def search_saved(spark, sf_dir):
     return saved.search_saved(stored(speeches_of(spark, sf_dir).select("ord", "norm"), "norms"), own, ["ord"])
 
 
-def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def transcripts(spark: SparkSession, sf_dir: str, role: Column | None = None) -> DataFrame:
     """A transcript of each conversation: a preamble, then a line per turn."""
-    turn = F.concat(F.col("role"), F.lit("（"), F.concat(F.lit("名"), F.col("turn").cast("string")), F.lit("君）"), F.coalesce("text", F.lit("")))
+    turn = F.concat(F.col("role") if role is None else role, F.lit("（"), F.concat(F.lit("名"), F.col("turn").cast("string")), F.lit("君）"), F.coalesce("text", F.lit("")))
     rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", turn.alias("line")))).alias("lines"))
     raw = F.concat(F.lit("会議録\n"), F.array_join(F.transform("lines", lambda x: x["line"]), "\n"))
     return rows.select(F.col("conv_id").cast("string").alias("meeting_id"), F.col("conv_id").cast("string").alias("text_key"), raw.alias("raw"))
@@ -586,6 +586,31 @@ def agenda_in_batches(spark, sf_dir):
     return in_batches(spark, texts, brands)["agenda"].select("meeting_id", "ord", "no", "kind", "title")
 
 
+_TURNS = f"""said AS (SELECT conv_id AS meeting_id, '名' || turn AS name, CASE role WHEN 'user' THEN '5番' ELSE '町長' END AS role, {NORM} AS norm FROM conversations WHERE trim(coalesce(text, ''), E' \\t\\n\\r\\f\\v') <> '')"""
+_COUNTED = " UNION ALL ".join(
+    f"""SELECT '{label}' AS label, (SELECT count(DISTINCT meeting_id) FROM said WHERE role = '5番' AND ({_any_sql("norm", terms)})) AS meetings,
+    (SELECT count(DISTINCT name) FROM said WHERE role = '5番' AND ({_any_sql("norm", terms)})) AS members,
+    (SELECT count(*) FROM said WHERE role <> '5番' AND ({_any_sql("norm", terms)})) AS official_hits, (SELECT count(*) FROM said WHERE {_any_sql("norm", terms)}) AS hits"""
+    for label, terms in THEMES
+)
+
+
+@query(f"WITH {_TURNS} {_COUNTED}")
+def theme_counts_in_batches(spark, sf_dir):
+    """Themes and topics of conversations in three batches, counted after the first and the last."""
+    turns = transcripts(spark, sf_dir, F.when(F.col("role") == "user", "5番").otherwise("町長"))
+    texts = stored(turns.select(F.concat("meeting_id", F.lit("_20250612")).alias("text_key"), "raw"), "arrivals")
+    meetings_of, path = conversation_meetings(spark, sf_dir), scratch(spark, "stream")
+    topics = [(label, " OR ".join(terms)) for label, terms in THEMES]
+    batch = F.pmod(F.xxhash64("text_key"), F.lit(3))
+    for n in range(3):
+        ingest.ingest(texts.where(batch == n), n, meetings_of, path, buckets=16)
+        if n != 1:
+            counts.count(spark, path, THEMES, topics)
+    scores = counts.theme_scores(spark, path, THEMES, topics).drop("ord", "agenda_hits")
+    return scores.join(counts.topic_hits(spark, path, THEMES, topics), "label")
+
+
 @query(f"WITH {AGENDA} SELECT meeting_id AS text_key, no, CASE WHEN ord % 2 = 1 THEN 'その他' ELSE kind END AS kind, CASE WHEN ord % 2 = 1 THEN no ELSE title END AS title FROM agenda")
 def bills_without_title(spark, sf_dir):
     """A number with no title behind it stands for itself."""

@@ -66,7 +66,7 @@ def ingest(texts: DataFrame, number: int, meetings: DataFrame, out: str, buckets
     spark.createDataFrame([(b,) for b in touched], "bucket int").coalesce(1).write.mode("overwrite").parquet(f"{out}/done/batch={number}")
 
 
-def _versions(spark: SparkSession, out: str) -> dict[int, list[int]]:
+def versions(spark: SparkSession, out: str) -> dict[int, list[int]]:
     """The buckets that each finished batch was the last to write."""
     done = spark.read.schema("bucket int, batch int").parquet(f"{out}/done")
     found: dict[int, list[int]] = {}
@@ -75,16 +75,19 @@ def _versions(spark: SparkSession, out: str) -> dict[int, list[int]]:
     return found
 
 
-def read_tables(spark: SparkSession, out: str) -> dict[str, DataFrame]:
-    """speeches (with their normal form, by year), agenda and questioners as of the last finished batch."""
-    now = reduce(or_, ((F.col("batch") == b) & F.col("bucket").isin(own) for b, own in _versions(spark, out).items()), F.lit(False))
-    there = lambda name: spark.read.schema(f"{_SCHEMAS[name]}, batch int, bucket int").parquet(f"{out}/{name}").where(now).drop("batch", "bucket")
+def read_tables(spark: SparkSession, out: str, buckets: list[int] | None = None) -> dict[str, DataFrame]:
+    """speeches (with their normal form, by year), agenda and questioners as of the last finished batch; of ``buckets`` alone
+    if they are given, and then with a column bucket."""
+    here = lambda own: own if buckets is None else sorted(set(own) & set(buckets))
+    now = reduce(or_, ((F.col("batch") == b) & F.col("bucket").isin(here(own)) for b, own in versions(spark, out).items() if here(own)), F.lit(False))
+    gone = ["batch"] if buckets is not None else ["batch", "bucket"]
+    there = lambda name: spark.read.schema(f"{_SCHEMAS[name]}, batch int, bucket int").parquet(f"{out}/{name}").where(now).drop(*gone)
     return {name: there(name) for name in TABLES}
 
 
 def vacuum(spark: SparkSession, out: str) -> int:
     """Delete the folders of tables that a later finished batch has replaced; how many there were. For times without readers."""
-    latest = {b: batch for batch, own in _versions(spark, out).items() for b in own}
+    latest = {b: batch for batch, own in versions(spark, out).items() for b in own}
     done = spark.read.schema("bucket int, batch int").parquet(f"{out}/done").distinct().collect()
     old = [(r["batch"], r["bucket"]) for r in done if r["batch"] < latest[r["bucket"]]]
     gone = 0
