@@ -74,16 +74,33 @@ def speech_list(raw: Column) -> Column:
     return let(F.struct(_parts(raw).alias("parts"), seat_map(raw).alias("seats")), lambda x: rows(x["parts"], x["seats"]))
 
 
-def seat_map(raw: Column) -> Column:
-    """Name to seat, from the roster of members present; of several seats for a name the last."""
+def seat_list(raw: Column) -> Column:
+    """(name, pos, seat) of the roster of members present, in order of name; of several seats for a name the last."""
     roster = F.regexp_extract(raw, "(?s)(出席議員[（(].*)", 1)
     end = "欠席|遅刻|途中退席|[2２]．"
     block = F.when(roster.rlike(end), F.regexp_extract(roster, f"(?s)^(.*?)(?:{end})", 1)).otherwise(F.substring(roster, 1, 400))
     pairs = find_all(block, f"({DIGITS}+){WS}*番{WS}*([^0-9０-９]+?)(?={DIGITS}+{WS}*番|\\z)", 2)
-    named = F.transform(pairs, lambda p: F.struct(F.regexp_replace(p["g2"], f"[{SPACE}・]", "").alias("name"), F.concat(to_half_digits(p["g1"]), F.lit("番")).alias("seat")))
-    kept = F.filter(named, lambda p: F.length(p["name"]).between(2, 6))
-    last = F.filter(kept, lambda p, i: ~F.exists(F.slice(kept, i + 2, F.size(kept) + 1), lambda q: q["name"] == p["name"]))
-    return F.map_from_entries(last)
+    named = F.transform(pairs, lambda p, i: F.struct(F.regexp_replace(p["g2"], f"[{SPACE}・]", "").alias("name"), i.alias("pos"), F.concat(to_half_digits(p["g1"]), F.lit("番")).alias("seat")))
+    kept = F.array_sort(F.filter(named, lambda p: F.length(p["name"]).between(2, 6)))
+    # in order of name and place, the last of a name stands before another one
+    return let(kept, lambda own: F.filter(own, lambda p, i: ~F.get(own, i + 1)["name"].eqNullSafe(p["name"])))
+
+
+def seat_map(raw: Column) -> Column:
+    """Name to seat, from the roster of members present."""
+    return F.map_from_entries(F.transform(seat_list(raw), lambda p: F.struct(p["name"], p["seat"])))
+
+
+def seat_rows(texts: DataFrame) -> DataFrame:
+    """The same as rows (text_key, name, seat), for rosters of any length."""
+    return texts.select("text_key", F.explode(seat_list(F.col("raw"))).alias("p")).select("text_key", "p.name", "p.seat")
+
+
+def with_seats(speeches: DataFrame, seats: DataFrame) -> DataFrame:
+    """``resolve_seats`` of speeches (text_key, name, role, …) by a join with ``seat_rows``, one for each file and name."""
+    found = speeches.join(seats.withColumnRenamed("seat", "__seat"), ["text_key", "name"], "left")
+    role = F.when(F.col("role").rlike(SEAT_ROLE), F.coalesce("__seat", "role")).otherwise(F.col("role"))
+    return found.withColumn("role", role).select(*speeches.columns)
 
 
 def resolve_seats(role: Column, name: Column, seats: Column) -> Column:
