@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
@@ -20,8 +21,16 @@ CATEGORY = "category/32-3-6-[0-9]+"
 EXTRA, REGULAR = "臨時会", "定例会"
 
 
+#: An ampersand that begins no reference with a semicolon. It stands for itself, as in ?a=1&copy=2 and in texts that were cut.
+_BARE = re.compile("&(?!(?:[A-Za-z][A-Za-z0-9]*|#[0-9]+|#[xX][0-9A-Fa-f]+);)")
+
+
 class _Links(HTMLParser):
-    """First heading, title, and anchors with their text."""
+    """First heading, title, and anchors with their text; scripts and styles are no text."""
+
+    def read(self, html: str) -> None:
+        self.feed(_BARE.sub("&amp;", html))
+        self.close()
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -45,6 +54,8 @@ class _Links(HTMLParser):
 
     def handle_data(self, data):
         inside = {x[0] for x in self.open}
+        if inside & {"script", "style"}:
+            return
         for tag in ("h1", "title"):
             if tag in inside:
                 self.heads[tag].append(data)
@@ -53,15 +64,15 @@ class _Links(HTMLParser):
 
 
 def extract_links(pages: DataFrame, root: str, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``pages`` without its html, with title and links (text, href absolute against ``root``); empty hrefs are dropped."""
+    """``pages`` without its html, with title and links (text, href absolute against ``root``); empty hrefs are dropped.
+    References without a semicolon stay as they are."""
 
     @F.pandas_udf("struct<title: string, links: array<struct<text: string, href: string>>>")
     def parse(htmls: pd.Series) -> pd.DataFrame:
         titles, links = [], []
         for html in htmls:
             page = _Links()
-            page.feed(html or "")
-            page.close()
+            page.read(html or "")
             texts = ["".join(page.heads.get(t, [])).strip() for t in ("h1", "title")]
             titles.append(texts[0] or texts[1])
             links.append([{"text": " ".join(text.split()), "href": _absolute(root, href)} for href, text in page.links if href])

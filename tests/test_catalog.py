@@ -110,3 +110,9 @@ def test_stream_reads_each_file_once(spark, tmp_path):
     (text / "1_20250613.txt").write_text("本文だけ", "utf-8")
     ingest.stream_index(*args).awaitTermination()
     assert first == 3 and spark.read.parquet(str(tmp_path / "said")).count() == 4
+
+
+def test_references_without_a_semicolon_stay(spark):
+    html = '<title>a &amp; b&amp</title><script>var x = "&amp;" && 1;</script><a href="?a=1&copy=2&amp;b=3">x &lt;&lt y<script>1 && 2</script> &#228; &eacute; &</a>'
+    page = catalog.extract_links(spark.createDataFrame([("p", html)], "url string, html string"), "https://a.example/").first()
+    assert page.title == "a & b&amp" and [tuple(x) for x in page.links] == [("x <&lt y ä é &", "https://a.example/?a=1&copy=2&b=3")]
