@@ -9,10 +9,13 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,18 +28,33 @@ def skipped(char: str) -> bool:
     return char in SKIPPED or bool(_SPACES.match(char))
 
 
+#: Stands for a number of characters that was not worked out yet; no character becomes so many.
+_UNKNOWN = 255
+
+
 class Table(dict):
     """What each character becomes, for str.translate; worked out when a character is first met."""
 
     def __init__(self, variants: dict[str, str]) -> None:
         super().__init__()
         self.variants = variants
+        self.known = np.full(0x110000, _UNKNOWN, np.uint8)
 
     def __missing__(self, code: int) -> str:
         char = chr(code)
         self[code] = "" if skipped(char) else unicodedata.normalize("NFKC", self.variants.get(char, char)).lower()
         return self[code]
 
+    def sizes(self, codes: np.ndarray) -> np.ndarray:
+        """How many characters each becomes."""
+        found = self.known[codes]
+        new = codes[found == _UNKNOWN]
+        if len(new):
+            for c in set(new.tolist()):
+                self.known[c] = len(self[c])
+            found = self.known[codes]
+        return found
+
     def __reduce__(self):
         return Table, (self.variants,)
 
@@ -106,21 +124,43 @@ def normalize_text(col: Column, variants: dict[str, str] | None = None) -> Colum
     return normalizer(variants)(col)
 
 
+#: Bytes of texts whose places are worked out at once: a batch of Spark's has any number of them.
+SLICE = 4_000_000
+
+
+def slices(texts: pa.Array, size: int = SLICE) -> Iterator[pa.Array]:
+    """A batch of texts in stretches of up to ``size`` bytes, or of one text."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")))
+        yield texts.slice(at, end - at)
+        at = end
+
+
+def lists(values: list[np.ndarray]) -> tuple[pa.Array, np.ndarray]:
+    """Offsets and values of a list array."""
+    return pa.array(np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)), np.concatenate([np.empty(0, np.int32), *values]).astype(np.int32)
+
+
 def normalize_with_map(col: Column, variants: dict[str, str] | None = None) -> Column:
     """struct(norm, map): map[j] is the place in the text of what made the j-th character of the normal form."""
     own = table(variants)
 
-    @F.pandas_udf("struct<norm: string, map: array<int>>")
-    def run(texts: pd.Series) -> pd.DataFrame:
-        found = [with_map(t or "", own) for t in texts]
-        return pd.DataFrame({"norm": [n for n, _ in found], "map": [m for _, m in found]})
+    @F.arrow_udf("struct<norm: string, map: array<int>>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            for texts in slices(batch):
+                found = [with_map(t or "", own) for t in texts.to_pylist()]
+                offsets, places = lists([m for _, m in found])
+                yield pa.StructArray.from_arrays([pa.array([n for n, _ in found], pa.string()), pa.ListArray.from_arrays(offsets, pa.array(places))], ["norm", "map"])
 
     return run(col)
 
 
-def with_map(text: str, own: Table = _DEFAULT) -> tuple[str, list[int]]:
-    parts = [own[ord(c)] for c in text]
-    return "".join(parts), [i for i, p in enumerate(parts) for _ in p]
+def with_map(text: str, own: Table = _DEFAULT) -> tuple[str, np.ndarray]:
+    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    return text.translate(own), np.repeat(np.arange(len(codes), dtype=np.int32), own.sizes(codes))
 
 
 def add_norm_runs(speeches: DataFrame, variants: dict[str, str] | None = None) -> DataFrame:
@@ -128,11 +168,16 @@ def add_norm_runs(speeches: DataFrame, variants: dict[str, str] | None = None) -
     in both. A new one begins where characters were dropped before it, or where one character became several."""
     own = table(variants)
 
-    @F.pandas_udf("struct<norm: string, runs: array<struct<n: int, t: int>>>")
-    def run(texts: pd.Series) -> pd.DataFrame:
-        found = [with_map(t or "", own) for t in texts]
-        runs = [[{"n": j, "t": i} for j, i in enumerate(m) if not j or i != m[j - 1] + 1] for _, m in found]
-        return pd.DataFrame({"norm": [n for n, _ in found], "runs": runs})
+    @F.arrow_udf("struct<norm: string, runs: array<struct<n: int, t: int>>>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            for texts in slices(batch):
+                found = [with_map(t or "", own) for t in texts.to_pylist()]
+                begins = [np.flatnonzero(np.diff(m, prepend=-2) != 1) for _, m in found]
+                offsets, n = lists(begins)
+                _, t = lists([m[b] for (_, m), b in zip(found, begins, strict=True)])
+                runs = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(n), pa.array(t)], ["n", "t"]))
+                yield pa.StructArray.from_arrays([pa.array([n for n, _ in found], pa.string()), runs], ["norm", "runs"])
 
     return speeches.withColumn("__made", run(F.col("text"))).withColumns({"norm": F.col("__made.norm"), "runs": F.col("__made.runs")}).drop("__made")
 

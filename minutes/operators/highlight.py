@@ -3,89 +3,131 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.normalize import table, with_map
+from ..functions.normalize import lists, slices, table, with_map
+from ..functions.text import let
 
 BEFORE, BEHIND, HEAD = 60, 170, 200
 OPEN, CLOSE, MORE = "<mark>", "</mark>", "…"
+#: Values, or characters, that are looked through one by one; whole stretches of them are skipped.
+STRETCH = 64
 
 
-def merged(text: str, alternatives: list[str], own) -> list[tuple[int, int]]:
-    norm, places = with_map(text, own)
-    spans = []
+def merged(text: str, alternatives: list[str], own) -> np.ndarray:
+    """Start and end of each span, in order."""
+    norm = text.translate(own)
+    first, last = [], []
     for a in filter(None, alternatives):
         at = norm.find(a)
         while at >= 0:
-            spans.append((places[at], places[at + len(a) - 1] + 1))
+            first.append(at)
+            last.append(at + len(a) - 1)
             at = norm.find(a, at + len(a))
-    out: list[tuple[int, int]] = []
-    for start, end in sorted(spans, key=lambda s: s[0]):
-        if out and start <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], end))
-        else:
-            out.append((start, end))
-    return out
+    if not first:
+        return np.empty((0, 2), np.int32)
+    places = with_map(text, own)[1]
+    starts, ends = places[first], places[last] + 1
+    order = np.argsort(starts, kind="stable")
+    starts, ends = starts[order], np.maximum.accumulate(ends[order])
+    new = np.flatnonzero(np.concatenate([[True], starts[1:] > ends[:-1]]))
+    return np.stack([starts[new], ends[np.append(new[1:], len(ends)) - 1]], 1)
 
 
 def hit_ranges(text: Column, alternatives: list[str], variants: dict[str, str] | None = None) -> Column:
     """Spans [start, end) of the text where an alternative is found in its normal form; spans that touch are one."""
     own = table(variants)
 
-    @F.pandas_udf("array<struct<start: int, end: int>>")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [{"start": a, "end": b} for a, b in merged(t or "", alternatives, own)])
+    @F.arrow_udf("array<struct<start: int, end: int>>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            for texts in slices(batch):
+                found = [merged(t or "", alternatives, own) for t in texts.to_pylist()]
+                (offsets, starts), (_, ends) = lists([x[:, 0] for x in found]), lists([x[:, 1] for x in found])
+                yield pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(starts), pa.array(ends)], ["start", "end"]))
 
     return run(text)
 
 
+def running(values: Column, zero: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """The fold of each value and all before it, without a step for each of those: whole stretches are folded once."""
+
+    def within(own: Column, start: Column, first: Column, last: Column) -> Column:
+        return F.aggregate(F.sequence(first, last), start, lambda s, i: join(s, F.get(own, i)))
+
+    def folded(own: Column) -> Column:
+        size, of = F.size(own), lambda i: F.floor(i / STRETCH).cast("int")
+        one = lambda b: F.when(b == 0, zero).otherwise(within(own, zero, (b - 1) * STRETCH, b * STRETCH - 1))
+        # the n-th is the fold of the stretch before the n-th
+        wholes = F.transform(F.sequence(F.lit(0), of(F.greatest(size - 1, F.lit(0)))), one)
+        return let(wholes, lambda w: F.transform(own, lambda _, i: within(own, within(w, zero, F.lit(0), of(i)), of(i) * STRETCH, i)))
+
+    return let(values, folded)
+
+
 def stored_ranges(norm: Column, runs: Column, alternatives: list[str]) -> Column:
     """The same from a stored normal form and its runs (``add_norm_runs``), with SQL functions alone."""
     span = lambda start, end: F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"))
     none = F.array().cast("array<struct<start: int, end: int>>")
+    terms = list(dict.fromkeys(filter(None, alternatives)))
+    if not terms:
+        return none
 
-    def place(j: Column) -> Column:
-        """Where the j-th character of the normal form stands in the text."""
-        run = F.element_at(F.filter(runs, lambda r: r["n"] <= j), -1)
-        return run["t"] + j - run["n"]
+    def place(own: Column, j: Column) -> Column:
+        """Where the j-th character of the normal form stands in the text: the last run that begins there or before, by bisection."""
+        at = F.aggregate(own["steps"], F.lit(0), lambda low, s: F.when(F.get(own["runs"], low + s)["n"] <= j, low + s).otherwise(low))
+        return let(F.get(own["runs"], at), lambda r: r["t"] + j - r["n"])
 
-    def hits(term: str) -> Column:
+    def hits(own: Column, term: str) -> Column:
         """Spans of a term's places without overlap: each is where what stands before it, and the terms there, end."""
-        sizes = F.transform(F.split(norm, F.lit(re.escape(term)), F.lit(-1)), lambda part: F.length(part))
-        before = lambda k: F.aggregate(F.slice(sizes, 1, k + 1), F.lit(0), lambda s, n: s + n) + k * len(term)
-        starts = lambda n: F.transform(F.sequence(F.lit(0), n - 2), before)
-        return F.when(F.size(sizes) > 1, F.transform(starts(F.size(sizes)), lambda s: span(place(s), place(s + len(term) - 1) + 1))).otherwise(none)
+        sizes = F.transform(F.split(own["norm"], F.lit(re.escape(term)), F.lit(-1)), lambda part: F.length(part))
+        before = let(running(sizes, F.lit(0), lambda s, n: s + n), lambda x: F.slice(x, 1, F.size(x) - 1))
+        starts = F.transform(before, lambda s, k: s + k * len(term))
+        return F.transform(starts, lambda s: span(place(own, s), place(own, s + len(term) - 1) + 1))
 
-    state = F.struct(none.alias("done"), F.lit(None).cast("struct<start: int, end: int>").alias("last"))
+    def joined(spans: Column) -> Column:
+        """Spans in order as one where they touch or overlap."""
+        ends = running(F.transform(spans, lambda x: x["end"]), F.lit(0), lambda a, b: F.greatest(a, b))
 
-    def add(s: Column, x: Column) -> Column:
-        joined = s["last"].isNotNull() & (x["start"] <= s["last"]["end"])
-        grown = F.struct(s["done"].alias("done"), span(s["last"]["start"], F.greatest(s["last"]["end"], x["end"])).alias("last"))
-        closed = F.when(s["last"].isNull(), s["done"]).otherwise(F.concat(s["done"], F.array(s["last"])))
-        return F.when(joined, grown).otherwise(F.struct(closed.alias("done"), span(x["start"], x["end"]).alias("last")))
+        def cut(ends: Column) -> Column:
+            first = F.filter(F.transform(spans, lambda _, i: i), lambda i: (i == 0) | (F.get(spans, i)["start"] > F.get(ends, i - 1)))
+            last = lambda first, k: F.coalesce(F.get(first, k + 1), F.size(spans)) - 1
+            return let(first, lambda f: F.transform(f, lambda i, k: span(F.get(spans, i)["start"], F.get(ends, last(f, k)))))
 
-    every = [hits(a) for a in dict.fromkeys(filter(None, alternatives))]
-    if not every:
-        return none
-    end = lambda s: F.when(s["last"].isNull(), s["done"]).otherwise(F.concat(s["done"], F.array(s["last"])))
-    return F.when(norm == "", none).otherwise(F.aggregate(F.array_sort(F.concat(*every)), state, add, end))
+        return let(ends, cut)
 
-
-def _cut(text: Column, start: Column, end: Column) -> Column:
-    return F.substring(text, start + 1, F.greatest(end - start, F.lit(0)))
+    steps = F.filter(F.array(*(F.lit(1 << k) for k in reversed(range(30)))), lambda s: s < F.size(runs))
+    own = F.struct(norm.alias("norm"), runs.alias("runs"), steps.alias("steps"))
+    found = let(own, lambda x: let(F.array_sort(F.concat(*(hits(x, t) for t in terms))), joined))
+    return F.when(F.coalesce(norm, F.lit("")) == "", none).otherwise(found)
 
 
 def _marked(text: Column, ranges: Column, start: Column, end: Column) -> Column:
-    """text[start, end) with its ranges marked."""
-    state = F.struct(F.lit("").alias("out"), start.cast("int").alias("at"))
-    done = F.aggregate(
-        ranges, state,
-        lambda s, r: F.struct(F.concat(s["out"], _cut(text, s["at"], r["start"]), F.lit(OPEN), _cut(text, r["start"], r["end"]), F.lit(CLOSE)).alias("out"), r["end"].alias("at")),
-    )
-    return F.concat(done["out"], _cut(text, done["at"], end))
+    """text[start, end) with its ranges marked. The text lies in stretches, so that a cut costs what it is long."""
+    size = 4 * STRETCH
+    of = lambda n: F.floor(n / size).cast("int")
+
+    def run(x: Column) -> Column:
+        own, spans = x["own"], x["ranges"]
+
+        def cut(a: Column, b: Column) -> Column:
+            over = F.array_join(F.transform(F.sequence(of(a), of(b - 1)), lambda i: F.get(own, i)), "")
+            return F.when(b > a, F.substring(over, a - of(a) * size + 1, b - a)).otherwise("")
+
+        def piece(r: Column, i: Column) -> Column:
+            return F.concat(cut(F.coalesce(F.get(spans, i - 1)["end"], x["start"]), r["start"]), F.lit(OPEN), cut(r["start"], r["end"]), F.lit(CLOSE))
+
+        behind = F.coalesce(F.get(spans, F.size(spans) - 1)["end"], x["start"])
+        return F.concat(F.array_join(F.transform(spans, piece), ""), cut(behind, x["end"]))
+
+    own = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+    x = F.struct(own.alias("own"), ranges.alias("ranges"), start.cast("int").alias("start"), end.cast("int").alias("end"))
+    return F.when(text.isNotNull(), let(x, run))
 
 
 def snippet(text: Column, ranges: Column) -> Column:
