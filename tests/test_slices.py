@@ -20,3 +20,9 @@ def test_many_hits_of_a_long_text(spark):
     both = rows.select("i", highlight.stored_ranges(F.col("norm"), F.col("runs"), ["the"]).alias("x"), highlight.hit_ranges(F.col("text"), ["the"]).alias("y"), "text")
     got = both.select("i", (F.col("x") == F.col("y")).alias("same"), F.size("x").alias("n"), F.length(highlight.highlight_full(F.col("text"), F.col("x"))).alias("m")).orderBy("i").collect()
     assert [tuple(r) for r in got] == [(1, True, 40_000, 20 * 40_000), (2, True, 1, 120_013), (3, True, 0, None)]
+
+
+def test_map_is_whole_beyond_a_slice(spark):
+    n = normalize.SLICE // 1000
+    rows = spark.range(0, n * 2, 1, 1).select(F.expr("repeat('a b', 400)").alias("t")).select(normalize.normalize_with_map(F.col("t")).alias("x"))
+    assert tuple(rows.agg(F.count("*"), F.sum(F.size("x.map")), F.sum(F.element_at("x.map", -1))).first()) == (2 * n, 2 * n * 800, 2 * n * 1199)
