@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -21,6 +22,8 @@ from .speeches import role_category
 PAGE = 20
 #: Up to so many saved queries are one expression; beyond, texts go through an automaton of all their terms.
 INLINE_QUERIES = 200
+#: So many matches, and those of one more text, are handed on at once by the automaton.
+MATCHES = 50_000
 
 
 @dataclass(frozen=True)
@@ -201,17 +204,26 @@ def _by_automaton(rows: DataFrame, compiled: list[tuple[str, list[list[Term]]]])
                     for a in t.alternatives:
                         machine.add_word(a, a)
         machine.make_automaton()
+        every = pa.array([name for name, _ in queries], pa.string())
+
+        def matches(batch: pa.RecordBatch, at: array, which: array, scores: array) -> pa.RecordBatch:
+            kept = [batch.column(c).take(pa.array(at, pa.int32())) for c in ids]
+            return pa.RecordBatch.from_arrays([every.take(pa.array(which, pa.int32())), *kept, pa.array(scores, pa.int32())], ["query_id", *ids, "score"])
+
         for batch in batches:
-            at, names, scores = [], [], []
-            for row, text in enumerate(batch.column("__norm").to_pylist()):
+            at, which, scores = array("i"), array("i"), array("i")
+            for row, text in enumerate(batch.column("__norm")):
+                text = text.as_py()
                 present = {a for _, a in machine.iter(text)} if len(machine) else set()
                 for i in sorted(always.union(*(asked[a] for a in present if a in asked))):
                     found = score(text, present, queries[i][1])
                     if found is not None:
                         at.append(row)
-                        names.append(queries[i][0])
+                        which.append(i)
                         scores.append(found)
-            kept = [batch.column(c).take(pa.array(at, pa.int32())) for c in ids]
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *kept, pa.array(scores, pa.int32())], ["query_id", *ids, "score"])
+                if len(at) >= MATCHES:  # handed on before the batch is through, which may hold any number of them
+                    yield matches(batch, at, which, scores)
+                    at, which, scores = array("i"), array("i"), array("i")
+            yield matches(batch, at, which, scores)
 
     return rows.mapInArrow(run, ", ".join(["query_id string", *(f"`{c}` {kinds[c]}" for c in ids), "score int"]))

@@ -4,7 +4,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from minutes.functions import normalize
-from minutes.operators import highlight
+from minutes.operators import highlight, search
 
 
 def test_slices_are_bounded():
@@ -26,3 +26,9 @@ def test_map_is_whole_beyond_a_slice(spark):
     n = normalize.SLICE // 1000
     rows = spark.range(0, n * 2, 1, 1).select(F.expr("repeat('a b', 400)").alias("t")).select(normalize.normalize_with_map(F.col("t")).alias("x"))
     assert tuple(rows.agg(F.count("*"), F.sum(F.size("x.map")), F.sum(F.element_at("x.map", -1))).first()) == (2 * n, 2 * n * 800, 2 * n * 1199)
+
+
+def test_matches_are_handed_on_in_parts(spark):
+    rows = spark.range(0, 500, 1, 1).select("id", F.lit("abc").alias("norm"))
+    found = search.search_many(rows, [(f"q{i}", "ab") for i in range(300)], ["id"])
+    assert 500 * 300 > search.MATCHES and found.distinct().count() == found.count() == 500 * 300
