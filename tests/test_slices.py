@@ -32,3 +32,10 @@ def test_matches_are_handed_on_in_parts(spark):
     rows = spark.range(0, 500, 1, 1).select("id", F.lit("abc").alias("norm"))
     found = search.search_many(rows, [(f"q{i}", "ab") for i in range(300)], ["id"])
     assert 500 * 300 > search.MATCHES and found.distinct().count() == found.count() == 500 * 300
+
+
+def test_marks_of_many_hits(spark):
+    """Snippets through the map, where every cut from the start of the text would take minutes."""
+    row = spark.createDataFrame([("é" * 300 + "the 髙 " * 30_000,)], "text string").withColumn("r", highlight.hit_ranges(F.col("text"), ["the"]))
+    shown = row.select(highlight.snippet(F.col("text"), F.col("r"))).first()[0]
+    assert shown == "…" + "é" * 60 + "<mark>the</mark> 髙 " * 30_000
