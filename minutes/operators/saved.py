@@ -50,20 +50,32 @@ _INDEX = "array<array<array<array<bigint>>>>"
 
 
 def compiled(saved: DataFrame, dictionaries: dict | None = None) -> DataFrame:
-    """(at, query_id, groups, grams) of (query_id, query); grams: of each group, positive term and alternative."""
+    """(at, query_id, groups) of (query_id, query)."""
     rows = saved.select("query_id", F.col("query").cast("string").alias("query")).withColumn("at", F.monotonically_increasing_id())
     known = dictionaries or {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.list_(pa.struct([("negative", pa.bool_()), ("alternatives", pa.list_(pa.string()))])))
         for batch in batches:
             made = [compile_query(q or "", **known) for q in batch.column("query").to_pylist()]
             groups = [[[{"negative": t.negative, "alternatives": list(t.alternatives)} for t in g] for g in q] for q in made]
-            grams = [[[[sorted(term_keys(a)) for a in t.alternatives] for t in g if not t.negative] for g in q] for q in made]
-            kind = pa.list_(pa.list_(pa.struct([("negative", pa.bool_()), ("alternatives", pa.list_(pa.string()))])))
-            nested = pa.list_(pa.list_(pa.list_(pa.list_(pa.int64()))))
-            yield pa.RecordBatch.from_arrays([batch.column("at"), batch.column("query_id"), pa.array(groups, kind), pa.array(grams, nested)], ["at", "query_id", "groups", "grams"])
+            yield pa.RecordBatch.from_arrays([batch.column("at"), batch.column("query_id"), pa.array(groups, kind)], ["at", "query_id", "groups"])
 
-    return rows.mapInArrow(run, f"at long, query_id {dict(rows.dtypes)['query_id']}, groups {_GROUPS}, grams {_INDEX}")
+    # dealt anew, as a table of queries is small for the work on it
+    dealt = rows.repartition(saved.sparkSession.sparkContext.defaultParallelism)
+    return dealt.mapInArrow(run, f"at long, query_id {dict(rows.dtypes)['query_id']}, groups {_GROUPS}")
+
+
+def with_grams(queries: DataFrame) -> DataFrame:
+    """(at, grams): grams of each group, positive term and alternative."""
+    positive = F.transform("groups", lambda g: F.transform(F.filter(g, lambda t: ~t["negative"]), lambda t: t["alternatives"]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grams = [[[[sorted(term_keys(a)) for a in t] for t in g] for g in q] for q in batch.column("terms").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("at"), pa.array(grams, pa.list_(pa.list_(pa.list_(pa.list_(pa.int64())))))], ["at", "grams"])
+
+    return queries.select("at", positive.alias("terms")).mapInArrow(run, f"at long, grams {_INDEX}")
 
 
 def bitmap(grams: DataFrame, count: int) -> np.ndarray:
@@ -281,7 +293,7 @@ def search_saved(speeches: DataFrame, saved: DataFrame, id_cols: list[str], norm
     queries = stored(compiled(saved, dictionaries), "saved")
     texts = speeches.select(*id_cols, F.coalesce(norm_col, F.lit("")).alias("__norm"))
     # queries with a group that has nothing to be found by are held against all texts, and by nothing else
-    is_free = (F.size("grams") == 0) | F.exists("grams", lambda g: F.size(g) == 0)
+    is_free = (F.size("groups") == 0) | F.exists("groups", lambda g: F.forall(g, lambda t: t["negative"]))
     free, found = queries.where(is_free), queries.where(~is_free)
     size = found.agg(F.coalesce(F.sum(F.aggregate(F.flatten("groups"), F.lit(0), lambda s, t: s + F.size(t["alternatives"]))), F.lit(0))).first()[0]
     cols = ["query_id", *id_cols, "score"]
@@ -291,7 +303,7 @@ def search_saved(speeches: DataFrame, saved: DataFrame, id_cols: list[str], norm
         out = [matched_in_place(texts, found.where(F.pmod(F.xxhash64("at"), F.lit(passes)) == k), id_cols) for k in range(passes)]
     else:
         # where a group can be found: (at, group, term, alternative, grams)
-        group = found.select("at", F.posexplode("grams").alias("group", "g"))
+        group = with_grams(found).select("at", F.posexplode("grams").alias("group", "g"))
         term = group.select("at", "group", F.posexplode("g").alias("term", "t"))
         entries = term.select("at", "group", "term", F.posexplode("t").alias("alternative", "grams"))
         asked = found.select(F.col("at").alias("__at"), "query_id", "groups")
