@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 # The characters that count as white space, as the inside of a character class.
 SPACE = "\\t\\n\\u000B\\f\\r \\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000\\uFEFF"
 WS = f"[{SPACE}]"
+SPACES = "".join(c for c in map(chr, range(0x10000)) if re.fullmatch(WS, c))
 # Half and full width digits.
 HALF, FULL = "0123456789", "０１２３４５６７８９"
 DIGITS = "[0-9０-９]"
@@ -17,7 +19,7 @@ DIGITS = "[0-9０-９]"
 
 def trim_ws(col: Column) -> Column:
     """Without white space (of any kind in WS) at both ends."""
-    return F.regexp_replace(col, f"^{WS}+|{WS}+\\z", "")
+    return F.btrim(col, F.lit(SPACES))
 
 
 def drop_ws(col: Column) -> Column:

@@ -81,6 +81,11 @@ def first_by_number(matches: DataFrame, *keys: str) -> DataFrame:
     return first.select(*keys, "no", "x.title", F.col("x.pos").alias("ord"))
 
 
+def _numbered(text: Column, found: Column) -> Column:
+    """``found``, bills in a text. All prefixes have this character, so the patterns do not go through a text without it."""
+    return F.when(text.contains("第"), found).when(text.isNotNull(), F.array().cast("array<struct<pos: int, no: string, title: string>>"))
+
+
 def bill_matches(raw: Column) -> Column:
     """(pos, no, title) of every bill in an agenda's head: those with a title, then all numbers without one."""
     found = lambda head, pattern, n: find_all(head, f"{BILL}{WS}*({DIGITS}+){WS}*号{pattern}", n)
@@ -91,7 +96,7 @@ def bill_matches(raw: Column) -> Column:
         seen = F.transform(found(head, "", 2), lambda m, i: row(m, i + BEHIND, F.lit(None).cast("string")))
         return F.concat(F.filter(titled, lambda x: x["title"] != ""), seen)
 
-    return let(agenda_head(raw), both)
+    return let(agenda_head(raw), lambda head: _numbered(head, both(head)))
 
 
 def named_bills(matches: DataFrame, *keys: str) -> DataFrame:
@@ -147,7 +152,7 @@ def expand_bill_ranges(texts: DataFrame) -> DataFrame:
 
 def toc_matches(raw: Column) -> Column:
     """Single items of a table of contents, then the numbers of ranges."""
-    return F.concat(item_matches(raw), range_matches(raw))
+    return _numbered(raw, F.concat(item_matches(raw), range_matches(raw)))
 
 
 def extract_toc_titles(texts: DataFrame) -> DataFrame:
@@ -189,7 +194,7 @@ def build_agenda(bills: DataFrame, toc: DataFrame) -> DataFrame:
 def questioner_matches(raw: Column) -> Column:
     """(pos, member) of everybody named after the first mention of general questions in the head."""
     head = F.split(raw, BODY, 2)[0]
-    block = F.regexp_extract(head, "(?s)(一般質問.*)", 1)
+    block = F.when(head.contains("一般質問"), F.regexp_extract(head, "(?s)(一般質問.*)", 1)).when(head.isNotNull(), "")
     # A name is kanji in one or two parts before 君.
     pattern = f"{DIGITS}{{1,2}}{WS}*番[{SPACE}、,]*([一-龥々]{{2,4}}){WS}*([一-龥々]{{0,4}}){WS}*君"
     return F.transform(find_all(block, pattern, 2), lambda m, i: F.struct(i.cast("int").alias("pos"), F.concat(m["g1"], m["g2"]).alias("member")))

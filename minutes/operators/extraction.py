@@ -2,7 +2,9 @@
 
 ``extract`` works out speeches, bills, titles of contents and questioners as arrays on the row of a text and emits them as
 tagged rows, so texts are scanned, and joined to the catalogue, once. The rows are stored by the caller and read by kind;
-what is left to do on them (the first of a number, merging by meeting) shuffles narrow rows only.
+what is left to do on them (the first of a number, merging by meeting) shuffles narrow rows only. A catalogue of few rows is
+broadcast to the texts; beyond that they are worked out where they lie, and the rows are shuffled to it, so that the tasks of the
+work are those of the reading, however few the shuffle makes.
 """
 
 from __future__ import annotations
@@ -10,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.scratch import narrow
+from ..sources.scratch import is_narrow
 from . import bills, catalog, speeches
 
 #: Kinds of rows. A row of kind FILE stands for the text itself, so one that holds nothing leaves a trace.
@@ -31,16 +33,23 @@ def extract(texts: DataFrame, meetings: DataFrame) -> DataFrame:
     """(text_key, what the catalogue tells of the file, kind, pos, no, title, role, name, text) for texts (text_key, raw)."""
     pdfs = catalog.flat_pdfs(meetings).withColumnRenamed("url", "pdf")
     about = pdfs.join(meetings.select(F.col("id").alias("meeting_id"), F.col("name").alias("meeting"), "type", "year", "era"), "meeting_id")
-    files = texts.select("text_key", "raw").join(narrow(about.select("text_key", *_ABOUT)), "text_key")
+    about, texts = about.select("text_key", *_ABOUT), texts.select("text_key", "raw")
+    if is_narrow(about):
+        return texts.join(F.broadcast(about), "text_key").select("text_key", *_ABOUT, F.inline(_held(F.col("is_toc"))))
+    found = texts.select("text_key", F.inline(_held(F.lit(True)))).join(about, "text_key")
+    return found.where((F.col("kind") != CONTENTS) | F.col("is_toc")).select("text_key", *_ABOUT, "kind", *_FIELDS)
+
+
+def _held(is_toc: Column) -> Column:
+    """The tagged rows of a text ``raw``; those of contents only where ``is_toc``."""
     raw, none = F.col("raw"), F.array().cast("array<struct<pos: int, no: string, title: string>>")
-    rows = F.concat(
+    return F.concat(
         _tagged(FILE, F.array(F.struct(F.lit(0).alias("pos"))), pos="pos"),
         _tagged(SPEECH, speeches.speech_list(raw), speech_pos="pos", role="role", name="name", text="text"),
         _tagged(BILL, F.coalesce(bills.bill_matches(raw), none), pos="pos", no="no", title="title"),
-        _tagged(CONTENTS, F.when(F.col("is_toc") & raw.isNotNull(), bills.toc_matches(raw)).otherwise(none), pos="pos", no="no", title="title"),
+        _tagged(CONTENTS, F.when(is_toc & raw.isNotNull(), bills.toc_matches(raw)).otherwise(none), pos="pos", no="no", title="title"),
         _tagged(ASKED, F.coalesce(bills.questioner_matches(raw), F.array().cast("array<struct<pos: int, member: string>>")), pos="pos", member="name"),
     )
-    return files.select("text_key", *_ABOUT, F.inline(rows))
 
 
 def speeches_of(rows: DataFrame) -> DataFrame:

@@ -13,7 +13,9 @@ from ..functions.text import DIGITS, FULL, HALF, SPACE, WS, drop_ws, find_all, l
 from ..sources.scratch import narrow
 
 # A speaker's mark, role（name君）; the names given to what has no speaker; bill prefixes; member roles.
-SPEAKER = f"([^{SPACE}、。「」（）]{{1,16}})（([^（）\\n]{{1,14}})君）"
+# A mark is looked for by its name; the role is then read backwards, so that no place is tried as the beginning of a role.
+_ROLE = f"{SPACE}、。「」（）"
+MARK, ROLE, LONGEST_ROLE = f"（(?<=[^{_ROLE}]（)([^（）\\n]{{1,14}})君）", f"[^{_ROLE}\\u0001-\\u0003]+\\z", 16
 PREAMBLE, WHOLE = "（会議録情報）", "（本文）"
 BILL = "(議第|報第|議案第|選第|諮第|発議第)"
 SEAT_ROLE, MEMBER_ROLE = f"^{DIGITS}*番\\z", f"^{DIGITS}+番\\z"
@@ -36,19 +38,32 @@ def clean_label(col: Column) -> Column:
 
 
 def _parts(raw: Column) -> Column:
-    """A text cut before every speaker's mark."""
+    """A text cut before every speaker's mark: (role, name, text) as printed; the first part has no role or name."""
     plain = F.regexp_replace(F.coalesce(raw, F.lit("")), "[\\u0001-\\u0003]", "")
-    return F.split(F.regexp_replace(plain, SPEAKER, "\u0001$1\u0002$2\u0003"), "\u0001", -1)
+    cut = F.split(F.regexp_replace(plain, MARK, "\u0001$1\u0003"), "\u0001", -1)
+
+    def parts(pieces: Column, roles: Column) -> Column:
+        """Of pieces "name, text, role of the next"."""
+
+        def part(piece: Column, i: Column) -> Column:
+            said = F.element_at(F.split(piece, "\u0003", -1), -1)
+            text = let(said, lambda x: F.when(i + 1 < F.size(pieces), F.left(x, F.length(x) - F.length(roles[i]))).otherwise(x))
+            return F.struct(F.get(roles, i - 1).alias("role"), F.when(i > 0, F.substring_index(piece, "\u0003", 1)).alias("name"), text.alias("text"))
+
+        return F.transform(pieces, part)
+
+    roles = lambda pieces: F.transform(pieces, lambda piece: F.regexp_extract(F.right(piece, F.lit(LONGEST_ROLE)), ROLE, 0))
+    return let(cut, lambda pieces: let(F.struct(pieces.alias("pieces"), roles(pieces).alias("roles")), lambda x: parts(x["pieces"], x["roles"])))
 
 
 def _speech(part: Column, i: Column, alone: Column, led: Column) -> list[Column]:
     """speech_pos, role, name and text of the i-th part of a text; ``alone``: there is no other, ``led``: it begins with a mark."""
-    first, said = i == 0, F.split(part, "[\\u0002\\u0003]", 3)
+    first = i == 0
     return [
         F.when(alone, 0).otherwise(i - F.when(led, 1).otherwise(0)).alias("speech_pos"),
-        F.when(first, "").otherwise(clean_label(said[0])).alias("role"),
-        F.when(alone, WHOLE).when(first, PREAMBLE).otherwise(clean_label(said[1])).alias("name"),
-        trim_ws(F.when(first, part).otherwise(said[2])).alias("text"),
+        F.when(first, "").otherwise(clean_label(part["role"])).alias("role"),
+        F.when(alone, WHOLE).when(first, PREAMBLE).otherwise(clean_label(part["name"])).alias("name"),
+        trim_ws(part["text"]).alias("text"),
     ]
 
 
@@ -58,7 +73,7 @@ def split_speeches(texts: DataFrame) -> DataFrame:
     What stands before the first speaker, and a text without any, is a row of its own. An empty speech keeps its number.
     """
     rest = [c for c in texts.columns if c != "raw"]
-    rows = texts.withColumn("__parts", _parts(F.col("raw"))).select(*rest, (F.size("__parts") == 1).alias("__alone"), (F.col("__parts")[0] == "").alias("__led"), F.posexplode("__parts").alias("__pos", "__part"))
+    rows = texts.withColumn("__parts", _parts(F.col("raw"))).select(*rest, (F.size("__parts") == 1).alias("__alone"), (F.col("__parts")[0]["text"] == "").alias("__led"), F.posexplode("__parts").alias("__pos", "__part"))
     rows = rows.where(F.col("__alone") | (F.col("__pos") > 0) | ~F.col("__led"))
     return rows.select(*rest, *_speech(F.col("__part"), F.col("__pos"), F.col("__alone"), F.col("__led")))
 
@@ -67,7 +82,7 @@ def speech_list(raw: Column) -> Column:
     """The same as an array on the text's own row, roles with the seats of its roster; without empty speeches."""
 
     def rows(parts: Column, seats: Column) -> Column:
-        alone, led = F.size(parts) == 1, parts[0] == ""
+        alone, led = F.size(parts) == 1, parts[0]["text"] == ""
         every = F.transform(parts, lambda p, i: F.when(alone | (i > 0) | ~led, F.struct(*_speech(p, i, alone, led))))
         return F.transform(F.filter(every, lambda x: x["text"] != ""), lambda x: x.withField("role", resolve_seats(x["role"], x["name"], seats)))
 
@@ -76,9 +91,10 @@ def speech_list(raw: Column) -> Column:
 
 def seat_list(raw: Column) -> Column:
     """(name, pos, seat) of the roster of members present, in order of name; of several seats for a name the last."""
-    roster = F.regexp_extract(raw, "(?s)(出席議員[（(].*)", 1)
     end = "欠席|遅刻|途中退席|[2２]．"
-    block = F.when(roster.rlike(end), F.regexp_extract(roster, f"(?s)^(.*?)(?:{end})", 1)).otherwise(F.substring(roster, 1, 400))
+    present = lambda roster: F.when(roster.rlike(end), F.regexp_extract(roster, f"(?s)^(.*?)(?:{end})", 1)).otherwise(F.substring(roster, 1, 400))
+    roster = F.when(raw.contains("出席議員"), F.regexp_extract(raw, "(?s)(出席議員[（(].*)", 1)).when(raw.isNotNull(), "")
+    block = let(roster, present)
     pairs = find_all(block, f"({DIGITS}+){WS}*番{WS}*([^0-9０-９]+?)(?={DIGITS}+{WS}*番|\\z)", 2)
     named = F.transform(pairs, lambda p, i: F.struct(F.regexp_replace(p["g2"], f"[{SPACE}・]", "").alias("name"), i.alias("pos"), F.concat(to_half_digits(p["g1"]), F.lit("番")).alias("seat")))
     kept = F.array_sort(F.filter(named, lambda p: F.length(p["name"]).between(2, 6)))
@@ -111,7 +127,7 @@ def resolve_seats(role: Column, name: Column, seats: Column) -> Column:
 def detect_agenda_ref(text: Column) -> Column:
     """The first bill that a text refers to, like 議第48号; null if none."""
     pattern = f"{BILL}{WS}*({DIGITS}+){WS}*号"
-    return F.when(text.rlike(pattern), F.concat(F.regexp_extract(text, pattern, 1), to_half_digits(F.regexp_extract(text, pattern, 2)), F.lit("号")))
+    return F.when(text.contains("号") & text.rlike(pattern), F.concat(F.regexp_extract(text, pattern, 1), to_half_digits(F.regexp_extract(text, pattern, 2)), F.lit("号")))
 
 
 def role_category(role: Column) -> Column:

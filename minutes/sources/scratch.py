@@ -32,6 +32,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def narrow(df: DataFrame, rows: int = NARROW_ROWS) -> DataFrame:
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def is_narrow(df: DataFrame, rows: int | None = None) -> bool:
+    """Whether it is counted to have few rows."""
+    rows = NARROW_ROWS if rows is None else rows
+    return df.limit(rows + 1).count() <= rows
+
+
+def narrow(df: DataFrame, rows: int | None = None) -> DataFrame:
     """For the narrow side of a join with whole texts: broadcast if it is counted to have few rows, else as it is."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return F.broadcast(df) if is_narrow(df, rows) else df

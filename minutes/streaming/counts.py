@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import profile, themes
-from ..sources.scratch import stored
+from ..sources.scratch import exists, stored
 from . import ingest
 
 Themes = list[tuple[str, list[str]]]
@@ -41,7 +41,7 @@ def place_of(out: str, wanted: Themes, topics: Topics) -> str:
 def number_names(names: DataFrame, path: str) -> DataFrame:
     """All (name, ordinal) below ``path``, after those of ``names`` that it lacks were added behind the others of their slots."""
     spark = names.sparkSession
-    known = spark.read.schema(_ORDINALS).parquet(path) if _exists(spark, path) else spark.createDataFrame([], _ORDINALS)
+    known = spark.read.schema(_ORDINALS).parquet(path) if exists(spark, path) else spark.createDataFrame([], _ORDINALS)
     slot = F.pmod(F.xxhash64("name"), F.lit(SLOTS))
     used = known.groupBy(F.pmod(F.col("ordinal") - 1, F.lit(SLOTS)).alias("slot")).agg(F.max(F.floor((F.col("ordinal") - 1) / SLOTS) + 1).alias("used"))
     new = names.select("name").distinct().join(known, "name", "left_anti").withColumn("slot", slot)
@@ -50,14 +50,9 @@ def number_names(names: DataFrame, path: str) -> DataFrame:
     return spark.read.schema(_ORDINALS).parquet(path)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
-
-
 def _versions(spark: SparkSession, path: str) -> dict[int, tuple[int, int]]:
     """For each bucket the last run that counted it, and the version it was of."""
-    if not _exists(spark, f"{path}/counted"):
+    if not exists(spark, f"{path}/counted"):
         return {}
     rows = spark.read.schema("bucket int, version int, batch int").parquet(f"{path}/counted").collect()  # a row for each run and bucket
     return {r["bucket"]: (r["batch"], r["version"]) for r in sorted(rows, key=lambda r: r["batch"])}
